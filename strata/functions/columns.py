@@ -36,7 +36,9 @@ def with_lineage(
         date_col = F.current_date()
     else:
         date_col = F.lit(str(ingestion_date)).cast("date")
-    if source_file is None:
+    if source_file is None and "source_file" in df.columns:
+        src = F.col("source_file")
+    elif source_file is None:
         src = F.col("_metadata.file_name") if _has_metadata(df) else F.lit(None).cast("string")
     elif isinstance(source_file, str):
         src = F.lit(source_file)

@@ -62,8 +62,16 @@ def classify(
     *,
     check_time: _dt.datetime | None = None,
     skew: SkewOptions = DEFAULT_SKEW,
+    seen_keys: DataFrame | None = None,
+    first_flag: str | None = None,
 ) -> DataFrame:
-    """Q9: flag every row with its first failure (or null when kept)."""
+    """Q9: flag every row with its first failure (or null when kept).
+
+    ``seen_keys`` (dedup-key columns) lists keys already ranked first by
+    earlier runs or stream epochs; rows with such a key are duplicates
+    too (T3). ``first_flag`` names an output column holding whether the
+    row was its key's first (what a later epoch must treat as seen).
+    """
     d = rename_present(df, contract.rename)
     if contract.schema is not None:
         d = coerce(d, contract.schema, contract.coercers, keep_source=True, source_prefix=SOURCE_PREFIX)
@@ -87,6 +95,8 @@ def classify(
     if contract.dedup_keys:
         alive = None if contract.dedup_before_required else F.col("_pre").isNull()
         d = flag_first(d, contract.dedup_keys, contract.dedup_order, alive=alive, out="_is_first", skew=skew)
+        if seen_keys is not None:
+            d = _mark_seen(d, seen_keys, contract.dedup_keys, skew)
         key_text = F.concat_ws("|", *[q(k).cast("string") for k in contract.dedup_keys])
         post.append(_fail(~F.coalesce(F.col("_is_first"), F.lit(True)), REASON_DUPLICATE, key_text))
 
@@ -110,12 +120,39 @@ def classify(
     ts = F.lit(check_time).cast("timestamp") if check_time is not None else F.current_timestamp()
     helper = {"_pre", "_is_first"} | {c for c in d.columns if c.startswith("_fk_hit")} | set(src_cols)
     keep = [q(c) for c in d.columns if c not in helper]
+    extra = []
+    if first_flag:
+        flag = F.coalesce(F.col("_is_first"), F.lit(False)) if "_is_first" in d.columns else F.col("_pre").isNull()
+        extra.append(flag.alias(first_flag))
     return d.select(
         *keep,
         outcome.getField("r").alias(REASON),
         outcome.getField("v").alias(VALUE),
         ts.alias(CHECK_TIME),
+        *extra,
+    )
+
+
+def _mark_seen(d: DataFrame, seen: DataFrame, keys: list[str], skew: SkewOptions) -> DataFrame:
+    """Turn ``_is_first`` false for rows whose key is in ``seen``.
+
+    ``seen`` is reduced to distinct keys (a partial aggregate), and joined
+    by null-safe equality; broadcast when proven small.
+    """
+    from strata.operators.skew import bounded
+
+    sk = seen.select(*[F.col(f"`{k}`").alias(f"_sk{i}") for i, k in enumerate(keys)]).distinct().withColumn("_seen", F.lit(True))
+    if bounded(seen, skew.max_broadcast_rows):
+        sk = F.broadcast(sk)
+    cond = None
+    for i, k in enumerate(keys):
+        c = d[f"`{k}`"].eqNullSafe(sk[f"_sk{i}"])
+        cond = c if cond is None else cond & c
+    j = d.join(sk, cond, "left").drop(*[f"_sk{i}" for i in range(len(keys))])
+    first = F.when(F.col("_is_first").isNull(), F.lit(None).cast("boolean")).otherwise(
+        F.col("_is_first") & F.col("_seen").isNull()
     )
+    return j.withColumn("_is_first", first).drop("_seen")
 
 
 def split(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:

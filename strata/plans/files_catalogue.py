@@ -1,9 +1,294 @@
-"""Driver keys for sources, sinks and streams (rows-only checks)."""
+"""Driver keys for sources, sinks and streams.
+
+Each key writes files *derived from the given tables by Spark* into a
+fresh folder under the session's shared checkpoint directory, reads them
+back through the library, and returns the result. Where a round trip
+must reproduce a table, ``FILE_ORACLE`` holds the SQL over the original
+table, so these keys get a value check too.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from strata.functions.columns import with_lineage
+from strata.operators.filters import of_batch
+from strata.operators.quality import REASON, classify, outcome_counts
+from strata.plans.catalogue import lineitem_contract, table
+from strata.session import scratch_dir
+from strata.sinks import layout as K
+from strata.sources import files as S
+from strata.sources.dialect import SEMICOLON_LATIN1, Dialect
+from strata.sources.payload import explode_payload, records_as_columns
+from strata.streaming.files import silver_outputs, stream_bronze, stream_silver
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+CUSTOMER_SCHEMA = T.StructType(
+    [
+        T.StructField("c_custkey", T.LongType()),
+        T.StructField("c_name", T.StringType()),
+        T.StructField("c_nationkey", T.IntegerType()),
+        T.StructField("c_acctbal", T.DoubleType()),
+        T.StructField("c_mktsegment", T.StringType()),
+    ]
+)
+ORDER_SCHEMA = T.StructType(
+    [
+        T.StructField("o_orderkey", T.LongType()),
+        T.StructField("o_custkey", T.LongType()),
+        T.StructField("o_orderstatus", T.StringType()),
+        T.StructField("o_totalprice", T.DoubleType()),
+        T.StructField("o_orderdate", T.DateType()),
+        T.StructField("o_orderpriority", T.StringType()),
+    ]
+)
+LINE_SCHEMA = T.StructType(
+    [
+        T.StructField("l_orderkey", T.LongType()),
+        T.StructField("l_partkey", T.LongType()),
+        T.StructField("l_suppkey", T.LongType()),
+        T.StructField("l_linenumber", T.IntegerType()),
+        T.StructField("l_quantity", T.DoubleType()),
+        T.StructField("l_shipdate", T.TimestampNTZType()),
+    ]
+)
+
+# Title lines placed above the header in the preamble fixtures
+# (a long title, a blank line, a year), as statistical agencies publish.
+TITLE_LINES = [
+    "Tabela 6579 - População residente estimada, por unidade da federação e ano de referência",
+    "",
+    "2024",
+]
+
+
+def _orders_for_text(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    return o.select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.to_date("o_orderdate").alias("o_orderdate"), "o_orderpriority"
+    )
+
+
+def write_with_titles(df: DataFrame, path: str, dialect: Dialect, titles: list[str], files: int = 4) -> None:
+    """Write ``df`` as delimited text, each file starting with ``titles`` and a header."""
+    header = dialect.sep.join(df.columns)
+    lines = df.repartition(files).select(F.to_csv(F.struct(*df.columns), {"sep": dialect.sep}).alias("value"))
+    block = list(titles) + [header]
+
+    def prepend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        started = False
+        for pdf in batches:
+            if not started:
+                yield pd.DataFrame({"value": block})
+                started = True
+            yield pdf
+
+    lines.mapInPandas(prepend, "value string").write.mode("overwrite").text(path)
+
+
+# --- sources ------------------------------------------------------------------
+
+
+def s1_csv_latin1_semicolon(spark: SparkSession, d: str) -> DataFrame:
+    """S1 S2 S10 K13: ';' + Latin-1 round trip with the schema pinned."""
+    path = scratch_dir(spark, "s1")
+    K.write_csv(table(spark, d, "customer").select(*CUSTOMER_SCHEMA.fieldNames()), path, SEMICOLON_LATIN1)
+    return S.read_csv(spark, path, Dialect(sep=";", encoding="latin-1"), CUSTOMER_SCHEMA)
+
+
+def s3_preamble_skip(spark: SparkSession, d: str) -> DataFrame:
+    """S3: three title lines above the header in every file."""
+    path = scratch_dir(spark, "s3")
+    write_with_titles(_orders_for_text(spark, d), path, Dialect(sep=";"), TITLE_LINES)
+    return S.read_csv(spark, path, Dialect(sep=";", preamble=3), ORDER_SCHEMA)
+
+
+def s4_header_detect(spark: SparkSession, d: str) -> DataFrame:
+    """Header row found per file by the header rule."""
+    path = scratch_dir(spark, "s4")
+    write_with_titles(_orders_for_text(spark, d), path, Dialect(sep="|"), TITLE_LINES)
+    return S.read_csv(spark, path, Dialect(sep="|", preamble="auto"), ORDER_SCHEMA)
+
+
+def s5_json_lines(spark: SparkSession, d: str) -> DataFrame:
+    """JSON lines round trip."""
+    path = scratch_dir(spark, "s5")
+    ev = table(spark, d, "events")
+    fmt = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    ev.write.mode("overwrite").options(**fmt).json(path)
+    return S.read_json(spark, path, ev.schema, options=fmt)
+
+
+def s6_payload_unwrap(spark: SparkSession, d: str) -> DataFrame:
+    """Payload documents of four shapes (root array, data list, results
+    list behind a non-list data key, single object) unwrapped to rows."""
+    c = table(spark, d, "customer")
+    rec = F.to_json(F.struct("c_custkey", "c_name", "c_acctbal"))
+    k = F.col("c_custkey") % 4
+    doc = (
+        F.when(k == 0, F.concat(F.lit("["), rec, F.lit("]")))
+        .when(k == 1, F.concat(F.lit('{"data":['), rec, F.lit('],"meta":{"source":"derived"}}')))
+        .when(k == 2, F.concat(F.lit('{"data":5,"results":['), rec, F.lit("]}")))
+        .otherwise(rec)
+    )
+    path = scratch_dir(spark, "s6")
+    c.select(doc.alias("value")).write.mode("overwrite").text(path)
+    docs = S.read_text(spark, path)
+    rows = explode_payload(docs, "value")
+    return records_as_columns(rows, "record", "c_custkey long, c_name string, c_acctbal double").drop("_payload_error")
+
+
+def s9_dir_source_file(spark: SparkSession, d: str) -> DataFrame:
+    """A glob over several files; every row knows its own file."""
+    path = scratch_dir(spark, "s9")
+    K.write_csv(_orders_for_text(spark, d).repartition(4), path, Dialect())
+    df = S.read_dir(spark, f"{path}/*.csv", "csv", Dialect(), ORDER_SCHEMA)
+    b = with_lineage(df, "b-s9", "2024-01-01")
+    return b.select("o_orderkey", (F.col("source_file").endswith(".csv")).alias("has_source"))
+
+
+def s13_binary_listing(spark: SparkSession, d: str) -> DataFrame:
+    """File listing with sizes (bytes not read)."""
+    path = scratch_dir(spark, "s13")
+    table(spark, d, "orders").repartition(3).write.mode("overwrite").parquet(path)
+    return S.list_files(spark, f"{path}/*.parquet").select("name", "length")
+
+
+def s17_new_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files not yet in the manifest (idempotent re-ingest)."""
+    path = scratch_dir(spark, "s17")
+    K.write_csv(_orders_for_text(spark, d).repartition(4), path, Dialect())
+    listing = S.list_files(spark, f"{path}/*.csv")
+    first_two = S.read_dir(spark, f"{path}/*.csv", "csv", Dialect(), ORDER_SCHEMA)
+    bronze = with_lineage(first_two, "b-s17", "2024-01-01")
+    names = listing.orderBy("name").limit(2).select("name")
+    ingested = bronze.join(F.broadcast(names), bronze["source_file"] == names["name"], "left_semi")
+    manifest = K.manifest_rows(ingested).withColumn("source_path", F.col("source_path"))
+    return S.new_files(listing, manifest, "name", "source_path").select("name")
+
+
+def s20_corrupt_capture(spark: SparkSession, d: str) -> DataFrame:
+    """Malformed values survive Bronze in ``_corrupt_record``."""
+    path = scratch_dir(spark, "s20")
+    o = table(spark, d, "orders")
+    price = F.when(F.col("o_orderkey") % 10 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string"))
+    K.write_csv(o.select("o_orderkey", price.alias("o_totalprice")), path, Dialect())
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_totalprice", T.DoubleType())])
+    df = S.read_csv(spark, path, Dialect(), schema, corrupt_column=True)
+    return df.select("o_orderkey", "o_totalprice", F.col(S.CORRUPT).isNotNull().alias("corrupt"))
+
+
+# --- sinks ----------------------------------------------------------------------
+
+
+def k1_bronze_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Bronze append partitioned by date, verified in one aggregate."""
+    path = scratch_dir(spark, "k1")
+    b = with_lineage(table(spark, d, "lineitem"), "batch-k1", "2024-01-01")
+    K.write_bronze(b, path)
+    v = K.verify_write(spark, path, "batch-k1")
+    of = of_batch(spark.read.parquet(path), "batch-k1").agg(F.count(F.lit(1)).alias("of_batch_rows"))
+    return v.select("*", of.scalar().alias("of_batch_rows"))
+
+
+def k2_silver_split(spark: SparkSession, d: str) -> DataFrame:
+    """Q9 K2 K3: flagged frame written once by outcome, both parts read back."""
+    root = scratch_dir(spark, "k2")
+    flagged = classify(table(spark, d, "lineitem"), lineitem_contract(spark, d))
+    kept, quarantined = K.write_split(flagged, root)
+    qpath = scratch_dir(spark, "k2q")
+    K.append_quarantine(quarantined, qpath)
+    spath = scratch_dir(spark, "k2s")
+    K.write_silver(kept, spath)
+    stored_q = spark.read.parquet(qpath).drop("_dq_check_date")
+    stored_k = spark.read.parquet(spath)
+    return outcome_counts(stored_q.unionByName(stored_k.withColumns({REASON: F.lit(None).cast("string")}), allowMissingColumns=True))
+
+
+def k8_zorder(spark: SparkSession, d: str) -> DataFrame:
+    """K8: Z-ordered rewrite keeps every row."""
+    path = scratch_dir(spark, "k8")
+    K.zorder_write(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), path, ["o_custkey", "o_totalprice"], files=8)
+    return spark.read.parquet(path)
+
+
+def k9_compact(spark: SparkSession, d: str) -> DataFrame:
+    """K9 K4: many small files compacted; rows unchanged."""
+    path = scratch_dir(spark, "k9")
+    table(spark, d, "orders").select("o_orderkey", "o_totalprice").repartition(16).write.parquet(path)
+    K.compact(spark, path, target_mb=64)
+    return spark.read.parquet(path)
+
+
+# --- streams ------------------------------------------------------------------------
+
+
+def _line_files(spark: SparkSession, d: str, files: int = 4) -> str:
+    path = scratch_dir(spark, "lines")
+    li = table(spark, d, "lineitem").select(*LINE_SCHEMA.fieldNames())
+    K.write_csv(li.repartition(files), path, Dialect())
+    return path
+
+
+def t1_stream_bronze(spark: SparkSession, d: str) -> DataFrame:
+    """New files appended to Bronze by a file stream (availableNow)."""
+    src = _line_files(spark, d)
+    out, ck = scratch_dir(spark, "t1out"), scratch_dir(spark, "t1ck")
+    stream_bronze(spark, src, LINE_SCHEMA, out, ck, Dialect())
+    return spark.read.parquet(out).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+def t2_stream_silver(spark: SparkSession, d: str) -> DataFrame:
+    """Epochs classified one by one; duplicates found across epochs."""
+    from strata.streaming.files import bronze_stream
+
+    src = _line_files(spark, d)
+    out, ck = scratch_dir(spark, "t2out"), scratch_dir(spark, "t2ck")
+    b = bronze_stream(spark, src, LINE_SCHEMA, Dialect(), max_files_per_trigger=1)
+    stream_silver(b, lineitem_contract(spark, d), out, ck)
+    kept, quarantined = silver_outputs(spark, out)
+    both = quarantined.select(REASON).unionByName(kept.select(F.lit(None).cast("string").alias(REASON)))
+    return both.agg(F.count_if(F.col(REASON) == "duplicate").alias("duplicates"), F.count(F.lit(1)).alias("total"))
+
+
+FILE_QUERIES: dict[str, Query] = {
+    "s1_csv_latin1_semicolon": s1_csv_latin1_semicolon,
+    "s3_preamble_skip": s3_preamble_skip,
+    "s4_header_detect": s4_header_detect,
+    "s5_json_lines": s5_json_lines,
+    "s6_payload_unwrap": s6_payload_unwrap,
+    "s9_dir_source_file": s9_dir_source_file,
+    "s13_binary_listing": s13_binary_listing,
+    "s17_new_files": s17_new_files,
+    "s20_corrupt_capture": s20_corrupt_capture,
+    "k1_bronze_roundtrip": k1_bronze_roundtrip,
+    "k2_silver_split": k2_silver_split,
+    "k8_zorder": k8_zorder,
+    "k9_compact": k9_compact,
+    "t1_stream_bronze": t1_stream_bronze,
+    "t2_stream_silver": t2_stream_silver,
+}
+
+_ORDERS_TEXT = "SELECT o_orderkey,o_custkey,o_orderstatus,o_totalprice,CAST(o_orderdate AS DATE) AS o_orderdate,o_orderpriority FROM orders"
 
-FILE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+FILE_ORACLE: dict[str, str] = {
+    "s1_csv_latin1_semicolon": "SELECT c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment FROM customer",
+    "s3_preamble_skip": _ORDERS_TEXT,
+    "s4_header_detect": _ORDERS_TEXT,
+    "s5_json_lines": "SELECT event_id,ts,user_id,event_type,value,props FROM events",
+    "s6_payload_unwrap": "SELECT c_custkey,c_name,c_acctbal FROM customer",
+    "s9_dir_source_file": "SELECT o_orderkey,true AS has_source FROM orders",
+    "s20_corrupt_capture": "SELECT o_orderkey,CASE WHEN o_orderkey%10=0 THEN NULL ELSE o_totalprice END AS o_totalprice,o_orderkey%10=0 AS corrupt FROM orders",
+    "k1_bronze_roundtrip": "SELECT count(*) AS total_rows,CAST(1 AS BIGINT) AS batches,count(*) AS batch_rows,CAST(1 AS BIGINT) AS partitions,count(*) AS of_batch_rows FROM lineitem",
+    "k2_silver_split": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN rn>1 THEN 'duplicate' WHEN NOT l_quantity BETWEEN 5 AND 45 THEN 'l_quantity failed validation' WHEN hit IS NULL THEN 'l_suppkey not in reference' ELSE 'kept' END AS reason FROM (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey,l_linenumber ORDER BY l_shipdate,l_partkey,l_suppkey) AS rn, s.s_suppkey AS hit FROM lineitem l LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal>=0) s ON l.l_suppkey=s.s_suppkey)) GROUP BY 1",
+    "k8_zorder": "SELECT o_orderkey,o_custkey,o_totalprice FROM orders",
+    "k9_compact": "SELECT o_orderkey,o_totalprice FROM orders",
+    "t1_stream_bronze": "SELECT l_orderkey,l_linenumber,l_quantity FROM lineitem",
+    "t2_stream_silver": "SELECT count(*)-count(DISTINCT (l_orderkey,l_linenumber)) AS duplicates,count(*) AS total FROM lineitem",
+}
