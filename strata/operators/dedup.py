@@ -3,12 +3,14 @@
 The plain form is ``row_number() over (partition by keys order by ..)``:
 one shuffle, but every row of a key lands in one task, so a key holding a
 third of the input would stall the job. Here keys are first counted with a
-partial (map-side combined) aggregate; the few keys above a row bound are
-broadcast as a "hot" set whose size is capped, and their rows are spread
+partial (map-side combined) aggregate; the few keys above a row bound
+(at most ``max_hot_keys``, so the set is bounded) are broadcast as a
+"hot" set, and their rows are spread
 over ``salt_buckets`` window partitions. Each salt bucket yields one local
 first row; the global first among those candidates is found with a
 tiny aggregate over the hot rows, broadcast back. Ordinary keys keep the
-one-shuffle window. Results are identical to the plain window.
+one-shuffle window, and when no key is hot the plan is exactly the plain
+window. Results are identical to the plain window.
 """
 
 from __future__ import annotations
@@ -79,14 +81,20 @@ def flag_first(
         b = b.withColumn("_alive", F.coalesce(alive, F.lit(False)))
         part.append(F.col("_alive"))
 
-    # Hot keys: exact counts by a partial aggregate, top few above the bound.
-    counts = b.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-    hot = (
-        counts.filter(F.col("_n") > skew.hot_key_rows)
-        .orderBy(F.desc("_n"))
-        .limit(skew.max_hot_keys)
-        .select(*[F.col(f"`{k}`").alias(f"_hk{i}") for i, k in enumerate(keys)], F.lit(True).alias("_hot"))
+    # Hot keys: exact counts by a partial aggregate; at most max_hot_keys of
+    # them (the heaviest) reach the driver, so the set has a proven bound.
+    hot_rows = hot_keys(b, keys, skew)
+    if not hot_rows:
+        w = Window.partitionBy(*part).orderBy(*ordf, F.col("_tb"))
+        first = F.row_number().over(w) == 1
+        if alive is not None:
+            first = F.when(F.col("_alive"), first)
+        return b.select(*[F.col(f"`{c}`") for c in base_cols], first.alias(out))
+    spark = df.sparkSession
+    hot_schema = T.StructType(
+        [T.StructField(f"_hk{i}", df.schema[k].dataType, True) for i, k in enumerate(keys)]
     )
+    hot = spark.createDataFrame([tuple(r) for r in hot_rows], hot_schema).withColumn("_hot", F.lit(True))
     cond = None
     for i, k in enumerate(keys):
         c = b[f"`{k}`"].eqNullSafe(hot[f"_hk{i}"])
@@ -102,11 +110,11 @@ def flag_first(
 
     # Winner of each hot key: min over its rows of (order, hash, salt).
     ostruct = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(ordf)], F.col("_tb").alias("_otb"), F.col("_salt").alias("_os"))
-    hot_rows = b.filter(F.col("_hot"))
+    hot_part = b.filter(F.col("_hot"))
     if alive is not None:
-        hot_rows = hot_rows.filter(F.col("_alive"))
+        hot_part = hot_part.filter(F.col("_alive"))
     winners = (
-        hot_rows.groupBy(*[F.col(f"`{k}`").alias(f"_wk{i}") for i, k in enumerate(keys)])
+        hot_part.groupBy(*[F.col(f"`{k}`").alias(f"_wk{i}") for i, k in enumerate(keys)])
         .agg(F.min(ostruct).alias("_win"))
     )
     wcond = None
@@ -121,6 +129,18 @@ def flag_first(
     return joined.select(*[F.col(f"`{c}`") for c in base_cols], first.alias(out))
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], skew: SkewOptions = DEFAULT_SKEW) -> list:
+    """Keys holding more than ``skew.hot_key_rows`` rows, heaviest first.
+
+    Exact counts from a partial (map-side combined) aggregate; at most
+    ``skew.max_hot_keys`` key tuples are returned, so the list is bounded
+    whatever the data. Keys beyond the cap stay exact on the plain path.
+    """
+    counts = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    top = counts.filter(F.col("_n") > skew.hot_key_rows).orderBy(F.desc("_n")).limit(skew.max_hot_keys)
+    return [tuple(r[k] for k in keys) for r in top.collect()]
+
+
 def window_flag_first(df: DataFrame, keys: Sequence[str], order: OrderSpec = (), out: str = "_is_first") -> DataFrame:
     """The plain one-shuffle form, for keys known to be free of skew."""
     ordf = _normalised_order(df, order)
