@@ -93,10 +93,18 @@ def write_silver(df: DataFrame, path: str, fmt: str = "parquet", partition: Sequ
 
 
 def append_quarantine(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """K3: append quarantined rows, partitioned by the *date* of the check."""
+    """K3: append quarantined rows, partitioned by the *date* of the check.
+
+    The table always exists with its schema, even when no row was ever
+    quarantined: an empty append leaves an empty file in today's partition.
+    """
+    spark = df.sparkSession
     df.withColumn("_dq_check_date", F.to_date(F.col(CHECK_TIME))).write.format(fmt).mode("append").partitionBy(
         "_dq_check_date"
     ).save(path)
+    if not any(n.startswith("_dq_check_date=") for n in list_dir(spark, path)):
+        today = _dt.datetime.now(_dt.timezone.utc).date().isoformat()
+        df.limit(0).write.format(fmt).mode("append").save(f"{path.rstrip('/')}/_dq_check_date={today}")
 
 
 def write_split(flagged: DataFrame, root: str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
@@ -199,11 +207,13 @@ def zorder_key(df: DataFrame, columns: Sequence[str], bits: int = 8, relative_er
     n = 1 << bits
     probs = [i / n for i in range(1, n)]
     edges = df.approxQuantile(list(columns), probs, relative_error)
-    buckets = []
-    for c, e in zip(columns, edges):
-        arr = F.array(*[F.lit(float(x)) for x in sorted(set(e))]) if e else F.array().cast("array<double>")
+    def bucket(c: str, e: list[float]):  # noqa: ANN202
+        arr = F.array(*[F.lit(float(v)) for v in sorted(set(e))]) if e else F.array().cast("array<double>")
         x = F.col(f"`{c}`").cast("double")
-        buckets.append(F.coalesce(F.size(F.filter(arr, lambda b, x=x: b <= x)), F.lit(0)).cast("long"))
+        # number of edges <= x: the quantile bucket (nulls go to bucket 0)
+        return F.coalesce(F.size(F.filter(arr, lambda b: b <= x)), F.lit(0)).cast("long")
+
+    buckets = [bucket(c, e) for c, e in zip(columns, edges)]
     key = F.lit(0).cast("long")
     k = len(buckets)
     for bit in range(bits):
