@@ -48,6 +48,31 @@ def lookup_hit(
     return j.withColumn(hit, F.col("_ref_key").isNotNull()).drop("_ref_key", "_ref_salt", "_row_salt")
 
 
+def small_side_join(
+    big: DataFrame,
+    small: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    *,
+    skew: SkewOptions = DEFAULT_SKEW,
+) -> DataFrame:
+    """Equi-join a big frame to a side expected to be small (a lookup).
+
+    Broadcast when ``small`` is proven below ``max_broadcast_rows``;
+    otherwise ``small`` is replicated over ``salt_buckets`` and each big
+    row takes one salt from its hash, so no key of ``big`` — however hot —
+    lands in a single task. Valid for ``inner``/``left``/``left_semi``/
+    ``left_anti`` with ``big`` on the left; the output equals the plain join.
+    """
+    keys = list(on)
+    if bounded(small, skew.max_broadcast_rows):
+        return big.join(F.broadcast(small), keys, how)
+    s = skew.salt_buckets
+    rep = small.withColumn("_jsalt", F.explode(F.sequence(F.lit(0), F.lit(s - 1))))
+    salted = big.withColumn("_jsalt", F.pmod(row_hash(big), F.lit(s)).cast("int"))
+    return salted.join(rep, keys + ["_jsalt"], how).drop("_jsalt")
+
+
 def fk_orphans(df: DataFrame, column: str, ref: DataFrame, ref_column: str | None = None, *, skew: SkewOptions = DEFAULT_SKEW) -> DataFrame:
     """Rows whose key is not in the reference (null keys included)."""
     return (
@@ -85,19 +110,28 @@ def denormalise(
 
     ``on`` names the key on ``df``; ``ref_on`` the key on ``ref`` when it
     is named differently. The reference side is broadcast when proven
-    small; otherwise Spark's shuffle join (with AQE skew splitting) runs.
+    small; otherwise it is replicated over the salt buckets and ``df``
+    rows are salted by their hash, so a hot key on ``df`` is split.
     """
     left_keys = [on] if isinstance(on, str) else list(on)  # type: ignore[arg-type]
     right_keys = left_keys if ref_on is None else ([ref_on] if isinstance(ref_on, str) else list(ref_on))
     keep = list(columns) if columns is not None else [c for c in ref.columns if c not in right_keys]
     r = ref.select(*[F.col(f"`{k}`").alias(f"_jk{i}") for i, k in enumerate(right_keys)], *[F.col(f"`{c}`") for c in keep])
-    if bounded(ref, skew.max_broadcast_rows):
+    left = df
+    salted = not bounded(ref, skew.max_broadcast_rows)
+    if salted:
+        r = r.withColumn("_jsalt", F.explode(F.sequence(F.lit(0), F.lit(skew.salt_buckets - 1))))
+        left = df.withColumn("_jsalt", F.pmod(row_hash(df), F.lit(skew.salt_buckets)).cast("int"))
+    else:
         r = F.broadcast(r)
     cond = None
     for i, k in enumerate(left_keys):
-        c = df[f"`{k}`"] == r[f"_jk{i}"]
+        c = left[f"`{k}`"] == r[f"_jk{i}"]
         cond = c if cond is None else cond & c
-    return df.join(r, cond, how).drop(*[f"_jk{i}" for i in range(len(right_keys))])
+    if salted:
+        cond = cond & (left["_jsalt"] == r["_jsalt"])
+    out = left.join(r, cond, how).drop(*[f"_jk{i}" for i in range(len(right_keys))])
+    return out.drop("_jsalt") if salted else out
 
 
 def star(df: DataFrame, dims: Sequence[tuple[DataFrame, str | Sequence[str], Sequence[str] | None] | tuple[DataFrame, str, Sequence[str] | None, str]], *, skew: SkewOptions = DEFAULT_SKEW) -> DataFrame:

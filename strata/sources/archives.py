@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.operators.joins import small_side_join
 from strata.sources.dialect import Dialect, canonical_encoding
 
 # Member names skipped in every archive (macOS resource forks).
@@ -112,8 +113,10 @@ def read_zip_lines(spark: SparkSession, pattern: str, chosen: DataFrame | None =
     py_enc = _PY_ENCODING[canonical_encoding(encoding)]
     binary = spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("archive"), "content")
     if chosen is not None:
+        # one row per archive (its chosen member names): a lookup, broadcast
+        # when proven small so archive bytes are not shuffled
         wanted = chosen.groupBy("archive").agg(F.collect_list("member").alias("members"))
-        binary = binary.join(wanted, "archive")
+        binary = small_side_join(binary, wanted, ["archive"], "inner")
     else:
         binary = binary.withColumn("members", F.lit(None).cast("array<string>"))
 

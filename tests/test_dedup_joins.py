@@ -83,3 +83,18 @@ def test_star_chain(spark):
     out = star(fact, [(nation, "nk", ["n_name", "n_regionkey"], "n_nationkey"), (region, "n_regionkey", ["r_name"], "r_regionkey")])
     got = sorted((r.id, r.n_name, r.r_name) for r in out.collect())
     assert got == [(1, "BR", "AMERICA"), (2, "AR", "AMERICA"), (3, None, None)]
+
+
+def test_denormalise_and_small_side_join_salted_paths(spark):
+    from strata.operators.joins import small_side_join
+
+    big = skewed(spark)
+    ref = spark.createDataFrame([("hot", 1), ("k3", 2), ("k5", 3)], "rk string, val int")
+    a = denormalise(big, ref, "k", ["val"], ref_on="rk")
+    b = denormalise(big, ref, "k", ["val"], ref_on="rk", skew=SkewOptions(max_broadcast_rows=1, salt_buckets=4))
+    assert a.count() == big.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    small = ref.withColumnRenamed("rk", "k")
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        x = small_side_join(big, small, ["k"], how)
+        y = small_side_join(big, small, ["k"], how, skew=SkewOptions(max_broadcast_rows=1, salt_buckets=4))
+        assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0, how
