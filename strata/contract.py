@@ -137,6 +137,9 @@ class Contract:
     rename: dict[str, str] = field(default_factory=dict)
     coercers: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
     dedup_before_required: bool = False
+    # "row": whole-row hash breaks ties (stable choice between runs);
+    # "order": key + order columns only (no extra columns scanned)
+    dedup_tie_break: str | list[str] = "row"
 
     @property
     def table_name(self) -> str:

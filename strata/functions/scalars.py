@@ -57,7 +57,7 @@ def safe_cast(c: Column | str, dtype: T.DataType | str, fmt: str | None = None)
     if isinstance(dtype, str):
         dtype = T._parse_datatype_string(dtype)
     if fmt is not None and isinstance(dtype, T.DateType):
-        return F.try_to_date(col.cast("string"), F.lit(fmt))
+        return F.try_to_date(col.cast("string"), fmt)
     if fmt is not None and isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.try_to_timestamp(col.cast("string"), F.lit(fmt)).cast(dtype)
     if isinstance(dtype, T.BooleanType):

@@ -55,6 +55,24 @@ def _normalised_order(df: DataFrame, order: OrderSpec) -> list[Column]:
     return out
 
 
+def tie_break_hash(df: DataFrame, keys: Sequence[str], order: OrderSpec, tie_break: str | Sequence[str]) -> Column:
+    """The last sort field of keep-first.
+
+    ``"row"`` hashes the whole row (which of two rows tied on key and
+    order is kept never changes between runs); ``"order"`` hashes only key
+    and order columns, so a scan reads no other column — use it when the
+    order is already total; a list hashes the named columns.
+    """
+    if tie_break == "row":
+        return row_hash(df)
+    if tie_break == "order":
+        names = list(keys) + [o if isinstance(o, str) else o[0] for o in order]
+    else:
+        names = list(tie_break)
+    cols = [F.col(f"`{c}`") for c in dict.fromkeys(names) if c in df.columns]
+    return F.xxhash64(*cols) if cols else F.lit(0).cast("long")
+
+
 def flag_first(
     df: DataFrame,
     keys: Sequence[str],
@@ -63,19 +81,21 @@ def flag_first(
     alive: Column | None = None,
     out: str = "_is_first",
     skew: SkewOptions = DEFAULT_SKEW,
+    tie_break: str | Sequence[str] = "row",
 ) -> DataFrame:
     """Add boolean ``out``: true on the one row kept per key, false on the others.
 
-    ``order`` sorts rows inside a key (first wins); a hash of the whole row
-    breaks remaining ties, so the choice is deterministic. Rows where
-    ``alive`` is false take no part and get null.
+    ``order`` sorts rows inside a key (first wins); a hash (see
+    ``tie_break_hash``) breaks remaining ties, so the choice is
+    deterministic. Rows where ``alive`` is false take no part and get null.
+    Exactly one row per key is first whatever the tie-break.
     """
     keys = list(keys)
     if not keys:
         raise ValueError("dedup needs at least one key column")
     base_cols = df.columns
     ordf = _normalised_order(df, order)
-    b = df.withColumn("_tb", row_hash(df))
+    b = df.withColumn("_tb", tie_break_hash(df, keys, order, tie_break))
     part = [F.col(f"`{k}`") for k in keys]
     if alive is not None:
         b = b.withColumn("_alive", F.coalesce(alive, F.lit(False)))
@@ -101,8 +121,11 @@ def flag_first(
         cond = c if cond is None else cond & c
     b = b.join(F.broadcast(hot), cond, "left").drop(*[f"_hk{i}" for i in range(len(keys))])
     b = b.withColumn("_hot", F.coalesce(F.col("_hot"), F.lit(False)))
+    # the salt spreads a hot key by the hash of the whole row, so rows that
+    # tie on key and order still split across tasks
+    spread = row_hash(df)
     b = b.withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.col("_tb"), F.lit(skew.salt_buckets))).otherwise(F.lit(0)).cast("int")
+        "_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(skew.salt_buckets))).otherwise(F.lit(0)).cast("int")
     )
 
     w = Window.partitionBy(*part, F.col("_salt")).orderBy(*ordf, F.col("_tb"), F.col("_salt"))
@@ -141,10 +164,12 @@ def hot_keys(df: DataFrame, keys: Sequence[str], skew: SkewOptions = DEFAULT_SKE
     return [tuple(r[k] for k in keys) for r in top.collect()]
 
 
-def window_flag_first(df: DataFrame, keys: Sequence[str], order: OrderSpec = (), out: str = "_is_first") -> DataFrame:
+def window_flag_first(
+    df: DataFrame, keys: Sequence[str], order: OrderSpec = (), out: str = "_is_first", tie_break: str | Sequence[str] = "row"
+) -> DataFrame:
     """The plain one-shuffle form, for keys known to be free of skew."""
     ordf = _normalised_order(df, order)
-    b = df.withColumn("_tb", row_hash(df))
+    b = df.withColumn("_tb", tie_break_hash(df, keys, order, tie_break))
     w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*ordf, F.col("_tb"))
     return b.withColumn(out, F.row_number().over(w) == 1).drop("_tb")
 
@@ -155,6 +180,7 @@ def dedup(
     order: OrderSpec = ("ingestion_date",),
     *,
     skew: SkewOptions = DEFAULT_SKEW,
+    tie_break: str | Sequence[str] = "row",
 ) -> tuple[DataFrame, DataFrame]:
     """(kept, duplicates) — first row per key kept, the rest returned apart.
 
@@ -162,7 +188,7 @@ def dedup(
     (``strata.sinks.write_split``) when both are materialised, so the
     shuffle runs once.
     """
-    flagged = flag_first(df, keys, order, skew=skew)
+    flagged = flag_first(df, keys, order, skew=skew, tie_break=tie_break)
     kept = flagged.filter(F.col("_is_first")).drop("_is_first")
     dups = flagged.filter(~F.col("_is_first")).drop("_is_first").withColumn(
         "_dq_failure_reason", F.lit("duplicate")

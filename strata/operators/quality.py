@@ -94,7 +94,9 @@ def classify(
     post: list[_Failure] = []
     if contract.dedup_keys:
         alive = None if contract.dedup_before_required else F.col("_pre").isNull()
-        d = flag_first(d, contract.dedup_keys, contract.dedup_order, alive=alive, out="_is_first", skew=skew)
+        d = flag_first(
+            d, contract.dedup_keys, contract.dedup_order, alive=alive, out="_is_first", skew=skew, tie_break=contract.dedup_tie_break
+        )
         if seen_keys is not None:
             d = _mark_seen(d, seen_keys, contract.dedup_keys, skew)
         key_text = F.concat_ws("|", *[q(k).cast("string") for k in contract.dedup_keys])

@@ -72,6 +72,7 @@ def flagship(spark: SparkSession, sf_dir: str, batch_id: str = "flagship") -> Da
             Rule.range("l_quantity", "5..45"),
             Rule.foreign_key("l_orderkey", orders, "o_orderkey", "l_orderkey not in orders"),
         ],
+        dedup_tie_break="order",
     )
     _, kept, _ = silver(b, contract)
     return LINE_GOLD.build(kept.select(*[c for c in kept.columns if c not in ("source_file",)]))
