@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.columns import with_lineage
-from strata.operators.filters import of_batch
+from strata.operators.filters import from_file, of_batch
 from strata.operators.quality import REASON, classify, outcome_counts
 from strata.plans.catalogue import lineitem_contract, table
 from strata.session import scratch_dir
@@ -226,6 +226,68 @@ def k9_compact(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def f7_from_file(spark: SparkSession, d: str) -> DataFrame:
+    """Lineage lookup of the rows that came from one source file."""
+    path = scratch_dir(spark, "f7")
+    K.write_csv(_orders_for_text(spark, d), path, Dialect())
+    df = with_lineage(S.read_csv(spark, path, Dialect(), ORDER_SCHEMA), "b-f7", "2024-01-01", "orders_2024.csv")
+    return from_file(df, "orders_2024.csv").select("o_orderkey", "o_totalprice")
+
+
+def w6_head(spark: SparkSession, d: str) -> DataFrame:
+    """Preview rows (ordered first, so the 20 rows are fixed)."""
+    from strata.operators.windows import head
+
+    return head(table(spark, d, "orders").orderBy("o_orderkey").select("o_orderkey", "o_orderstatus"), 20)
+
+
+def k10_retention(spark: SparkSession, d: str) -> DataFrame:
+    """Two daily Bronze batches; the older partition is dropped."""
+    path = scratch_dir(spark, "k10")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    K.write_bronze(with_lineage(li, "b-old", "2024-01-01", "old.csv"), path)
+    K.write_bronze(with_lineage(li, "b-new", "2024-01-02", "new.csv"), path)
+    K.drop_partitions(spark, path, "2024-01-02")
+    return spark.read.parquet(path).select("l_orderkey", "l_linenumber", "l_quantity", "batch_id")
+
+
+def k12_partition_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct values of candidate partition columns, checked against the limit."""
+    li = table(spark, d, "lineitem")
+    rows = [(c, K.check_partition_column(li, c, 10_000)) for c in ("l_returnflag", "l_linestatus")]
+    return spark.createDataFrame(rows, "column string, distinct_values long")
+
+
+def k6_register_comment(spark: SparkSession, d: str) -> DataFrame:
+    """Tables registered on shared locations, commented, read back."""
+    import uuid
+
+    from strata.operators.audits import check_comments
+
+    tag = uuid.uuid4().hex[:8]
+    gold = scratch_dir(spark, "k6")
+    o = table(spark, d, "orders")
+    o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).write.parquet(gold)
+    name = f"strata_gold_status_{tag}"
+    K.register(spark, name, gold)
+    K.comment_columns(spark, name, {"o_orderstatus": "order status code", "n": "orders with that status"})
+    failed = check_comments(spark, name).filter(F.col("status") == "fail").count()
+    if failed:
+        raise RuntimeError(f"{failed} columns without comments")
+    csv_path = scratch_dir(spark, "k6csv")
+    K.write_csv(o.select("o_orderkey", "o_orderstatus"), csv_path, Dialect())
+    ext = S.register_files(spark, f"strata_orders_csv_{tag}", "csv", csv_path, {"header": "true"})
+    ctas = S.ctas_from_files(
+        spark, f"strata_orders_ctas_{tag}", csv_path, Dialect(), T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_orderstatus", T.StringType())]),
+        location=scratch_dir(spark, "k6ctas"),
+    )
+    per_status = spark.table(name)
+    check = ext.count() == ctas.count()
+    if not check:
+        raise RuntimeError("external and CTAS tables disagree")
+    return per_status
+
+
 # --- streams ------------------------------------------------------------------------
 
 
@@ -273,6 +335,11 @@ FILE_QUERIES: dict[str, Query] = {
     "k9_compact": k9_compact,
     "t1_stream_bronze": t1_stream_bronze,
     "t2_stream_silver": t2_stream_silver,
+    "f7_from_file": f7_from_file,
+    "w6_head": w6_head,
+    "k10_retention": k10_retention,
+    "k12_partition_guard": k12_partition_guard,
+    "k6_register_comment": k6_register_comment,
 }
 
 _ORDERS_TEXT = "SELECT o_orderkey,o_custkey,o_orderstatus,o_totalprice,CAST(o_orderdate AS DATE) AS o_orderdate,o_orderpriority FROM orders"
@@ -291,4 +358,9 @@ FILE_ORACLE: dict[str, str] = {
     "k9_compact": "SELECT o_orderkey,o_totalprice FROM orders",
     "t1_stream_bronze": "SELECT l_orderkey,l_linenumber,l_quantity FROM lineitem",
     "t2_stream_silver": "SELECT count(*)-count(DISTINCT (l_orderkey,l_linenumber)) AS duplicates,count(*) AS total FROM lineitem",
+    "f7_from_file": "SELECT o_orderkey,o_totalprice FROM orders",
+    "w6_head": "SELECT o_orderkey,o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 20",
+    "k10_retention": "SELECT l_orderkey,l_linenumber,l_quantity,'b-new' AS batch_id FROM lineitem",
+    "k12_partition_guard": "SELECT 'l_returnflag' AS column,count(DISTINCT l_returnflag) AS distinct_values FROM lineitem UNION ALL SELECT 'l_linestatus',count(DISTINCT l_linestatus) FROM lineitem",
+    "k6_register_comment": "SELECT o_orderstatus,count(*) AS n FROM orders GROUP BY 1",
 }

@@ -242,13 +242,23 @@ def preview(df: DataFrame, n: int = 20) -> tuple[DataFrame, list[tuple[str, str]
     return df.limit(n), [(f.name, f.dataType.simpleString()) for f in df.schema.fields], df.count()
 
 
-def ctas_from_files(spark: SparkSession, name: str, path: str, dialect: Dialect = Dialect(), schema: T.StructType | None = None, fmt: str = "parquet") -> DataFrame:
-    """Create (or rebuild) a managed table from files."""
+def ctas_from_files(
+    spark: SparkSession,
+    name: str,
+    path: str,
+    dialect: Dialect = Dialect(),
+    schema: T.StructType | None = None,
+    fmt: str = "parquet",
+    location: str | None = None,
+) -> DataFrame:
+    """Create (or rebuild) a table from files, optionally at ``location``
+    (shared storage) instead of the warehouse folder."""
     df = read_csv(spark, path, dialect, schema)
     view = f"_src_{abs(hash((name, path))) % 10**8}"
     df.createOrReplaceTempView(view)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"CREATE TABLE {name} USING {fmt} AS SELECT * FROM {view}")
+    loc = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE TABLE {name} USING {fmt}{loc} AS SELECT * FROM {view}")
     spark.catalog.dropTempView(view)
     return spark.table(name)
 
