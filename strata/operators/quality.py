@@ -143,14 +143,25 @@ def _mark_seen(d: DataFrame, seen: DataFrame, keys: list[str], skew: SkewOptions
     """
     from strata.operators.skew import bounded
 
+    from strata.operators.skew import row_hash
+
     sk = seen.select(*[F.col(f"`{k}`").alias(f"_sk{i}") for i, k in enumerate(keys)]).distinct().withColumn("_seen", F.lit(True))
-    if bounded(seen, skew.max_broadcast_rows):
+    left = d
+    salted = not bounded(seen, skew.max_broadcast_rows)
+    if salted:
+        # replicate the distinct seen keys over the salt buckets; a hot key of
+        # this batch is split across tasks by its rows' hashes
+        sk = sk.withColumn("_ssalt", F.explode(F.sequence(F.lit(0), F.lit(skew.salt_buckets - 1))))
+        left = d.withColumn("_ssalt", F.pmod(row_hash(d), F.lit(skew.salt_buckets)).cast("int"))
+    else:
         sk = F.broadcast(sk)
     cond = None
     for i, k in enumerate(keys):
-        c = d[f"`{k}`"].eqNullSafe(sk[f"_sk{i}"])
+        c = left[f"`{k}`"].eqNullSafe(sk[f"_sk{i}"])
         cond = c if cond is None else cond & c
-    j = d.join(sk, cond, "left").drop(*[f"_sk{i}" for i in range(len(keys))])
+    if salted:
+        cond = cond & (left["_ssalt"] == sk["_ssalt"])
+    j = left.join(sk, cond, "left").drop(*[f"_sk{i}" for i in range(len(keys))], "_ssalt")
     first = F.when(F.col("_is_first").isNull(), F.lit(None).cast("boolean")).otherwise(
         F.col("_is_first") & F.col("_seen").isNull()
     )

@@ -288,6 +288,44 @@ def k6_register_comment(spark: SparkSession, d: str) -> DataFrame:
     return per_status
 
 
+LINE_WIDE = T.StructType(
+    [
+        T.StructField("l_orderkey", T.LongType()),
+        T.StructField("l_partkey", T.LongType()),
+        T.StructField("l_suppkey", T.LongType()),
+        T.StructField("l_linenumber", T.IntegerType()),
+        T.StructField("l_quantity", T.DoubleType()),
+        T.StructField("l_extendedprice", T.DoubleType()),
+        T.StructField("l_returnflag", T.StringType()),
+        T.StructField("l_linestatus", T.StringType()),
+        T.StructField("l_shipdate", T.TimestampNTZType()),
+    ]
+)
+
+
+def e2e_lineitem_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Bronze (CSV files, manifest, audit) -> Silver (one flagged write) ->
+    Gold, each layer materialised once; returns the stored Gold table."""
+    import datetime as _dt
+
+    from strata.operators.aggregates import Aggregate, Measure
+    from strata.plans.stages import run_bronze, run_gold, run_silver
+
+    src = scratch_dir(spark, "e2e_src")
+    li = table(spark, d, "lineitem").select(*LINE_WIDE.fieldNames())
+    K.write_csv(li.repartition(4), src, Dialect())
+    root = scratch_dir(spark, "e2e")
+    b = run_bronze(spark, f"{src}/*.csv", root, Dialect(), schema=LINE_WIDE, batch_id="e2e", ingestion_date="2024-01-01")
+    s = run_silver(spark, b.paths["bronze"], lineitem_contract(spark, d), root, check_time=_dt.datetime(2024, 1, 1))
+    agg = Aggregate(
+        "by_flag_status",
+        ["l_returnflag", "l_linestatus"],
+        [Measure("total_price", "money_sum", "l_extendedprice"), Measure("row_count", "count_all"), Measure("avg_qty", "avg", "l_quantity", digits=6)],
+    )
+    g = run_gold(spark, s.paths["silver"], [agg], f"{root}/gold")
+    return spark.read.parquet(g.paths["by_flag_status"])
+
+
 # --- streams ------------------------------------------------------------------------
 
 
@@ -340,6 +378,7 @@ FILE_QUERIES: dict[str, Query] = {
     "k10_retention": k10_retention,
     "k12_partition_guard": k12_partition_guard,
     "k6_register_comment": k6_register_comment,
+    "e2e_lineitem_layers": e2e_lineitem_layers,
 }
 
 _ORDERS_TEXT = "SELECT o_orderkey,o_custkey,o_orderstatus,o_totalprice,CAST(o_orderdate AS DATE) AS o_orderdate,o_orderpriority FROM orders"
@@ -363,4 +402,5 @@ FILE_ORACLE: dict[str, str] = {
     "k10_retention": "SELECT l_orderkey,l_linenumber,l_quantity,'b-new' AS batch_id FROM lineitem",
     "k12_partition_guard": "SELECT 'l_returnflag' AS column,count(DISTINCT l_returnflag) AS distinct_values FROM lineitem UNION ALL SELECT 'l_linestatus',count(DISTINCT l_linestatus) FROM lineitem",
     "k6_register_comment": "SELECT o_orderstatus,count(*) AS n FROM orders GROUP BY 1",
+    "e2e_lineitem_layers": "SELECT l_returnflag,l_linestatus,CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total_price,count(*) AS row_count,round(avg(l_quantity),6) AS avg_qty FROM (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey,l_linenumber ORDER BY l_shipdate,l_partkey,l_suppkey) AS rn FROM lineitem l) x WHERE rn=1 AND l_quantity BETWEEN 5 AND 45 AND EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey=x.l_suppkey AND s.s_acctbal>=0) GROUP BY 1,2",
 }

@@ -12,11 +12,22 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dataclasses import dataclass, field
+
+from pyspark.sql import Observation
+from pyspark.sql import types as T
+
 from strata.contract import Contract, Rule
 from strata.functions.columns import with_lineage
+from strata.functions.scalars import new_batch_id, run_timestamp
+from strata.operators import audits as Q
+from strata.operators import report as R
 from strata.operators.aggregates import Aggregate, Measure
-from strata.operators.quality import classify, split
+from strata.operators.quality import REASON, check_conservation, classify, split
 from strata.operators.skew import DEFAULT_SKEW, SkewOptions
+from strata.sinks import layout as K
+from strata.sources.dialect import Dialect
+from strata.sources.files import list_files, new_files, read_csv
 
 
 def bronze(df: DataFrame, batch_id: str, ingestion_date: _dt.date | str | None = None) -> DataFrame:
@@ -76,3 +87,120 @@ def flagship(spark: SparkSession, sf_dir: str, batch_id: str = "flagship") -> Da
     )
     _, kept, _ = silver(b, contract)
     return LINE_GOLD.build(kept.select(*[c for c in kept.columns if c not in ("source_file",)]))
+
+
+# --- materialised stage runs -------------------------------------------------------
+#
+# Each run writes its layer once and derives checks and reports from what
+# was stored, never from re-running the upstream plan.
+
+
+@dataclass
+class StageRun:
+    """Paths written by a stage run, and its check table."""
+
+    paths: dict[str, str]
+    checks: DataFrame
+    info: dict[str, object] = field(default_factory=dict)
+
+
+def run_bronze(
+    spark: SparkSession,
+    source: str,
+    root: str,
+    dialect: Dialect = Dialect(),
+    *,
+    schema: T.StructType | None = None,
+    batch_id: str | None = None,
+    ingestion_date: _dt.date | str | None = None,
+) -> StageRun:
+    """Bronze: new files only (manifest), lineage, append by date, audit.
+
+    Rows read are counted by an ``Observation`` on the write itself, so
+    the source is scanned once.
+    """
+    batch_id = batch_id or new_batch_id()
+    bronze_path, manifest_path = f"{root}/bronze", f"{root}/manifest"
+    listing = list_files(spark, source)
+    if K.path_exists(spark, manifest_path):
+        todo = new_files(listing, spark.read.parquet(manifest_path), "name", "source_path")
+    else:
+        todo = listing
+    names = [r["path"] for r in todo.select("path").collect()]  # file paths: one row per file
+    if not names:
+        empty = Q.union_checks(Q._checks(spark, [("bronze", "new_files", True, 0, ">= 0", Q.REPORT)]))
+        return StageRun({"bronze": bronze_path, "manifest": manifest_path}, empty, {"rows": 0, "files": 0})
+    df = read_csv(spark, names, dialect, schema, source_column="source_file")
+    obs = Observation("bronze_rows")
+    b = bronze(df, batch_id, ingestion_date).observe(obs, F.count(F.lit(1)).alias("rows"))
+    K.write_bronze(b, bronze_path)
+    rows_in = int(obs.get["rows"])
+    stored = spark.read.parquet(bronze_path).filter(F.col("batch_id") == batch_id)
+    K.append_manifest(stored, manifest_path)
+    checks = Q.audit_bronze(stored, input_rows=rows_in, stored_format="parquet")
+    return StageRun({"bronze": bronze_path, "manifest": manifest_path}, checks, {"rows": rows_in, "files": len(names), "batch_id": batch_id})
+
+
+def run_silver(
+    spark: SparkSession,
+    bronze_path: str,
+    contract: Contract,
+    root: str,
+    *,
+    check_time: _dt.datetime | None = None,
+    skew: SkewOptions = DEFAULT_SKEW,
+) -> StageRun:
+    """Silver: classify once, store the flagged frame by outcome, rebuild
+    Silver from its kept part and append its quarantined part; checks are
+    computed over the stored tables."""
+    check_time = check_time or run_timestamp()
+    source = spark.read.parquet(bronze_path)
+    flagged = classify(source, contract, check_time=check_time, skew=skew)
+    run_dir = f"{root}/_runs/{check_time.strftime('%Y%m%dT%H%M%S')}"
+    kept, quarantined = K.write_split(flagged, run_dir)
+    silver_path, quarantine_path = f"{root}/silver", f"{root}/quarantine"
+    K.write_silver(kept, silver_path)
+    K.append_quarantine(quarantined, quarantine_path)
+    stored_kept = spark.read.parquet(silver_path)
+    this_run = spark.read.parquet(quarantine_path).filter(F.col("_dq_check_time") == F.lit(check_time))
+    cons = check_conservation(spark.read.parquet(run_dir), source=source).first()
+    assert cons is not None
+    checks = Q.union_checks(
+        Q._checks(spark, [("silver", "kept_plus_quarantined_equals_bronze", bool(cons["ok"]), cons["kept"] + cons["quarantined"], cons["input_rows"], Q.ABORT)]),
+        Q.audit_silver(stored_kept, contract),
+    )
+    return StageRun(
+        {"silver": silver_path, "quarantine": quarantine_path, "flagged": run_dir},
+        checks,
+        {"kept": cons["kept"], "quarantined": cons["quarantined"], "check_time": check_time, "quarantine_this_run": this_run},
+    )
+
+
+def run_gold(spark: SparkSession, silver_path: str, aggregates: list[Aggregate], root: str) -> StageRun:
+    """Gold: one table per aggregate; grain and null-dimension checks on the stored tables."""
+    silver_df = spark.read.parquet(silver_path)
+    paths = K.write_gold({a.name: a.build(silver_df) for a in aggregates}, root)
+    checks = [Q.check_grain(spark.read.parquet(paths[a.name]), silver_df, a.dims, a.name) for a in aggregates]
+    return StageRun(paths, Q.union_checks(*checks))
+
+
+def run_report(spark: SparkSession, bronze_run: StageRun, silver_run: StageRun, gold_run: StageRun, aggregates: list[Aggregate]) -> dict[str, DataFrame]:
+    """Report tables (R1-R7) over what the stages stored."""
+    outputs = {
+        "bronze": ("bronze", spark.read.parquet(bronze_run.paths["bronze"])),
+        "silver": ("silver", spark.read.parquet(silver_run.paths["silver"])),
+        "quarantine": ("silver", spark.read.parquet(silver_run.paths["quarantine"])),
+    }
+    outputs.update({name: ("gold", spark.read.parquet(p)) for name, p in gold_run.paths.items()})
+    this_run = silver_run.info["quarantine_this_run"]
+    assert isinstance(this_run, DataFrame)
+    return {
+        "run_summary": R.run_summary(outputs),
+        "failure_reasons": R.failure_reasons(this_run),
+        "aggregate_catalog": R.aggregate_catalog(spark, aggregates),
+        "batches": R.batch_metadata(spark.read.parquet(bronze_run.paths["manifest"])),
+        "bronze_profile": R.profile(spark.read.parquet(bronze_run.paths["bronze"])),
+        "audits": R.audit_table(bronze_run.checks, silver_run.checks, gold_run.checks),
+        "storage": R.storage(spark, {k: v for k, v in {**bronze_run.paths, **silver_run.paths, **gold_run.paths}.items() if k != "manifest"}),
+        "bad_samples": Q.bad_samples(this_run, 5, order=[c for c in this_run.columns if c not in (REASON,)][:2]),
+    }

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators.quality import CHECK_TIME, REASON
+from strata.operators.skew import row_hash
 from strata.sources.dialect import Dialect
 
 OUTCOME = "_dq_outcome"
@@ -230,8 +231,10 @@ def zorder_write(df: DataFrame, path: str, columns: Sequence[str], files: int =
     """
     if not 1 <= len(columns) <= 4:
         raise ValueError("Z-order on 1-4 columns; more dilutes clustering")
-    keyed = zorder_key(df, columns, bits)
-    out = keyed.repartitionByRange(files, "_zkey").sortWithinPartitions("_zkey").drop("_zkey")
+    keyed = zorder_key(df, columns, bits).withColumn("_zt", row_hash(df))
+    # the row hash after the key lets one very common key value span several
+    # files instead of landing in one range partition
+    out = keyed.repartitionByRange(files, "_zkey", "_zt").sortWithinPartitions("_zkey").drop("_zkey", "_zt")
     write_overwrite(out, path, fmt)
 
 

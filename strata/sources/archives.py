@@ -168,7 +168,10 @@ def read_zip_csv(
 
         names = next(_csv.reader(io.StringIO(first["line"]), delimiter=dialect.sep, quotechar=dialect.quote or '"'))
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    body = lines.filter((F.col("line_no") > hdr_no) & (F.trim("line") != ""))
+    # one archive member is streamed by one task; spreading its lines over
+    # the shuffle partitions lets parsing and everything after run in parallel
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    body = lines.filter((F.col("line_no") > hdr_no) & (F.trim("line") != "")).repartition(parts)
     opts = {"sep": dialect.sep, "quote": dialect.quote, "escape": dialect.escape, "mode": "PERMISSIVE"}
     parsed = body.select("archive", "member", F.from_csv("line", schema.simpleString(), opts).alias("_r"))
     return parsed.select(*[F.col(f"_r.`{n}`").alias(n) for n in schema.fieldNames()], F.element_at(F.split("member", "/"), -1).alias("source_file"), "archive")

@@ -17,6 +17,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,8 +104,14 @@ def silver_epoch_writer(
             earlier = spark.read.format(fmt).load(out)
             if EPOCH in earlier.columns and FIRST in earlier.columns:
                 seen = earlier.filter((F.col(EPOCH) < epoch_id) & F.col(FIRST)).select(*contract.dedup_keys)
-        flagged = classify(batch, contract, check_time=check_time, skew=skew, seen_keys=seen, first_flag=FIRST)
-        flagged.write.format(fmt).mode("overwrite").save(f"{out.rstrip('/')}/{EPOCH}={epoch_id}")
+        # the batch is read by the size checks and by the write: keep it once
+        # (memory and disk; a lost block is recomputed from the same files)
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            flagged = classify(batch, contract, check_time=check_time, skew=skew, seen_keys=seen, first_flag=FIRST)
+            flagged.write.format(fmt).mode("overwrite").save(f"{out.rstrip('/')}/{EPOCH}={epoch_id}")
+        finally:
+            batch.unpersist()
 
     return write_epoch
 

@@ -102,6 +102,7 @@ def test_streaming_bronze_then_silver_equals_batch(spark, tmp_dir):
     for i, body in enumerate(files):
         with open(f"{src}/f{i}.csv", "w") as fh:
             fh.write(body)
+        os.utime(f"{src}/f{i}.csv", (1_700_000_000 + i * 60, 1_700_000_000 + i * 60))  # arrival order
     ST.stream_bronze(spark, src, LINES, f"{tmp_dir}/bronze", f"{tmp_dir}/ck1")
     bronze = spark.read.parquet(f"{tmp_dir}/bronze")
     assert bronze.count() == 7 and bronze.filter(F.col("source_file").isNull()).count() == 0
@@ -128,3 +129,16 @@ def test_replayed_epoch_is_not_duplicated(spark, tmp_dir):
     kept, q = ST.silver_outputs(spark, f"{tmp_dir}/out")
     assert sorted(r.k for r in kept.collect()) == ["a", "b", "c"]
     assert [(r.k, r[REASON]) for r in q.collect()] == [("a", "duplicate")]
+
+
+def test_seen_keys_salted_path_matches_broadcast(spark):
+    from strata.operators.skew import SkewOptions
+
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), (None, 1), ("c", 1)], "k string, v int")
+    seen = spark.createDataFrame([("a",), (None,)], "k string")
+    c = Contract("t", dedup_keys=["k"], dedup_order=["v"])
+    x = classify(df, c, seen_keys=seen)
+    y = classify(df, c, seen_keys=seen, skew=SkewOptions(max_broadcast_rows=1, salt_buckets=3))
+    got = sorted(((r.k, r.v, r[REASON]) for r in y.collect()), key=repr)
+    assert got == sorted(((r.k, r.v, r[REASON]) for r in x.collect()), key=repr)
+    assert got == sorted([("a", 1, "duplicate"), ("a", 2, "duplicate"), ("b", 1, None), (None, 1, "duplicate"), ("c", 1, None)], key=repr)
