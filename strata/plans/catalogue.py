@@ -25,6 +25,7 @@ from strata.operators.dedup import dedup, duplicate_groups
 from strata.operators.filters import contains_any
 from strata.operators.joins import denormalise, fk_orphans, fk_valid, star
 from strata.operators.quality import REASON, classify, outcome_counts
+from strata.operators.skew import SkewOptions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +54,37 @@ def q3_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return dups.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "_dq_failure_reason")
 
 
+# A third of all line items share one derived key: the hot-key case.
+HOT_SKEW = SkewOptions(hot_key_rows=1_000, max_hot_keys=100, salt_buckets=16)
+
+
+def _hot_keyed_lineitem(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    hk = F.when(F.col("l_orderkey") % 3 == 0, F.lit(-1)).otherwise(F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return li.select(hk.cast("long").alias("hk"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+
+
+def w1_dedup_hot_key(spark: SparkSession, d: str) -> DataFrame:
+    """W1 with one key holding a third of the rows: the salted keep-first path."""
+    order = ["l_shipdate", "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber"]
+    kept, _ = dedup(_hot_keyed_lineitem(spark, d), ["hk"], order, skew=HOT_SKEW, tie_break="order")
+    return kept.select("hk", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def q9_hot_key_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Q9 over the hot-keyed line items: salted dedup inside the classifier."""
+    li = table(spark, d, "lineitem")
+    hk = F.when(F.col("l_orderkey") % 3 == 0, F.lit(-1)).otherwise(F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    c = Contract(
+        "lineitem_hot",
+        dedup_keys=["hk"],
+        dedup_order=["l_shipdate", "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber"],
+        rules=[Rule.range("l_quantity", "5..45")],
+        dedup_tie_break="order",
+    )
+    return outcome_counts(classify(li.withColumn("hk", hk.cast("long")), c, skew=HOT_SKEW))
+
+
 def q1_required(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select(F.nullif(F.col("l_linenumber"), F.lit(7)).alias("l_linenumber"))
     flagged = classify(li, Contract("lineitem", required_columns=["l_linenumber"]))
@@ -318,9 +350,15 @@ QUERIES: dict[str, Query] = {
     "x6_basename": x6_basename,
     "f8_contains": f8_contains,
     "flagship_gold": flagship_gold,
+    "w1_dedup_hot_key": w1_dedup_hot_key,
+    "q9_hot_key_outcomes": q9_hot_key_outcomes,
 }
 
+_HOT = "CASE WHEN l_orderkey%3=0 THEN -1 ELSE l_orderkey*10+l_linenumber END"
+
 ORACLE: dict[str, str] = {
+    "w1_dedup_hot_key": f"SELECT CAST({_HOT} AS BIGINT) AS hk,l_orderkey,l_linenumber,l_partkey,l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY {_HOT} ORDER BY l_shipdate,l_partkey,l_suppkey,l_orderkey,l_linenumber)=1",
+    "q9_hot_key_outcomes": f"SELECT reason, count(*) AS n FROM (SELECT CASE WHEN row_number() OVER (PARTITION BY {_HOT} ORDER BY l_shipdate,l_partkey,l_suppkey,l_orderkey,l_linenumber)>1 THEN 'duplicate' WHEN NOT l_quantity BETWEEN 5 AND 45 THEN 'l_quantity failed validation' ELSE 'kept' END AS reason FROM lineitem) GROUP BY 1",
     "w1_dedup_kept": "SELECT l_orderkey,l_linenumber,l_partkey,l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey,l_linenumber ORDER BY l_shipdate,l_partkey,l_suppkey)=1",
     "q3_duplicates": "SELECT l_orderkey,l_linenumber,l_partkey,l_suppkey,'duplicate' AS _dq_failure_reason FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey,l_linenumber ORDER BY l_shipdate,l_partkey,l_suppkey)>1",
     "q1_required": "SELECT CASE WHEN l_linenumber=7 THEN 'required_column_null:l_linenumber' ELSE 'kept' END AS outcome, count(*) AS n FROM lineitem GROUP BY 1",
