@@ -27,7 +27,8 @@ CHECK_SCHEMA = "stage string, check string, status string, observed string, expe
 ABORT, QUARANTINE, REPORT = "abort", "quarantine", "report"
 
 
-def _checks(spark: SparkSession, rows: list[tuple[str, str, bool, object, object, str]]) -> DataFrame:
+def check_rows(spark: SparkSession, rows: list[tuple[str, str, bool, object, object, str]]) -> DataFrame:
+    """A check table from (stage, check, passed, observed, expected, on_fail) tuples."""
     data = [(s, c, "pass" if ok else "fail", None if o is None else str(o), None if e is None else str(e), p) for s, c, ok, o, e, p in rows]
     return spark.createDataFrame(data, CHECK_SCHEMA)
 
@@ -74,7 +75,7 @@ def audit_bronze(
     rows.append(("bronze", "partition_column_present", partition_column in out.columns, partition_column in out.columns, True, ABORT))
     if stored_format is not None:
         rows.append(("bronze", "storage_format", stored_format == expected_format, stored_format, expected_format, ABORT))
-    return _checks(spark, rows)
+    return check_rows(spark, rows)
 
 
 # --- Silver ----------------------------------------------------------------
@@ -131,7 +132,7 @@ def audit_silver(kept: DataFrame, contract, schema: T.StructType | None = None)
     if contract.dedup_keys:
         dups = kept.groupBy(*contract.dedup_keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).count()
         rows.append(("silver", "dedup_applied", dups == 0, dups, 0, ABORT))
-    return _checks(spark, rows)
+    return check_rows(spark, rows)
 
 
 def bad_samples(quarantine: DataFrame, n: int = 5, reason: str = "_dq_failure_reason", order: Sequence[str] | None = None) -> DataFrame:
@@ -162,7 +163,7 @@ def check_grain(agg: DataFrame, source: DataFrame, dims: Sequence[str], name: st
     """Q14 + Q15 as check rows: rows = distinct keys (abort), no null dimension (abort)."""
     r = grain_stats(agg, source, dims).first()
     assert r is not None
-    return _checks(
+    return check_rows(
         agg.sparkSession,
         [
             ("gold", f"{name}:grain", r["agg_rows"] == r["keys"], r["agg_rows"], r["keys"], ABORT),
@@ -175,20 +176,20 @@ def check_dims(agg: DataFrame, dims: Sequence[str], name: str = "aggregate") ->
     """Q15: no null in any dimension column, per column."""
     r = agg.agg(*[F.count_if(F.col(f"`{d}`").isNull()).alias(d) for d in dims]).first()
     assert r is not None
-    return _checks(agg.sparkSession, [("gold", f"{name}:null_dimension:{d}", r[d] == 0, r[d], 0, ABORT) for d in dims])
+    return check_rows(agg.sparkSession, [("gold", f"{name}:null_dimension:{d}", r[d] == 0, r[d], 0, ABORT) for d in dims])
 
 
 def check_continuity(gaps: DataFrame, name: str = "aggregate") -> DataFrame:
     """Gold date continuity (W4): report-only check on the number of gaps."""
     n = gaps.count()
-    return _checks(gaps.sparkSession, [("gold", f"{name}:date_continuity", n == 0, n, 0, REPORT)])
+    return check_rows(gaps.sparkSession, [("gold", f"{name}:date_continuity", n == 0, n, 0, REPORT)])
 
 
 def check_comments(spark: SparkSession, table_name: str) -> DataFrame:
     """Q16: every column of a registered table has a comment."""
     cols = spark.catalog.listColumns(table_name)
     rows = [("gold", f"{table_name}:comment:{c.name}", bool(c.description), c.description or "", "non-empty", REPORT) for c in cols]
-    return _checks(spark, rows)
+    return check_rows(spark, rows)
 
 
 # --- smoke -------------------------------------------------------------------

@@ -128,7 +128,7 @@ def run_bronze(
         todo = listing
     names = [r["path"] for r in todo.select("path").collect()]  # file paths: one row per file
     if not names:
-        empty = Q.union_checks(Q._checks(spark, [("bronze", "new_files", True, 0, ">= 0", Q.REPORT)]))
+        empty = Q.union_checks(Q.check_rows(spark, [("bronze", "new_files", True, 0, ">= 0", Q.REPORT)]))
         return StageRun({"bronze": bronze_path, "manifest": manifest_path}, empty, {"rows": 0, "files": 0})
     df = read_csv(spark, names, dialect, schema, source_column="source_file")
     obs = Observation("bronze_rows")
@@ -166,7 +166,7 @@ def run_silver(
     cons = check_conservation(spark.read.parquet(run_dir), source=source).first()
     assert cons is not None
     checks = Q.union_checks(
-        Q._checks(spark, [("silver", "kept_plus_quarantined_equals_bronze", bool(cons["ok"]), cons["kept"] + cons["quarantined"], cons["input_rows"], Q.ABORT)]),
+        Q.check_rows(spark, [("silver", "kept_plus_quarantined_equals_bronze", bool(cons["ok"]), cons["kept"] + cons["quarantined"], cons["input_rows"], Q.ABORT)]),
         Q.audit_silver(stored_kept, contract),
     )
     return StageRun(

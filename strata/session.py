@@ -90,3 +90,27 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     root = ensure_checkpoint_dir(spark)
     path = os.path.join(root.rstrip("/"), "strata-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
     return path
+
+
+def size_for_input(
+    spark: SparkSession,
+    input_bytes: int,
+    *,
+    target_partition_mb: int = 256,
+    max_split_mb: int = 256,
+    min_partitions: int = 200,
+) -> int:
+    """Size shuffles and scan splits for an input of ``input_bytes``.
+
+    Sets ``spark.sql.shuffle.partitions`` to about one partition per
+    ``target_partition_mb`` of input (AQE then coalesces small ones and
+    splits skewed ones), the AQE advisory size to the same target, and
+    the scan split size, so a task's share fits executor memory without
+    spilling at 100 TB as at 100 GB. Returns the partition count.
+    """
+    target = target_partition_mb * 1024 * 1024
+    parts = max(min_partitions, -(-int(input_bytes) // target))
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(max_split_mb * 1024 * 1024))
+    return parts

@@ -95,3 +95,15 @@ def test_union_schema_diff_reconcile(spark):
     assert r.ok and r.source_rows == 5
     assert W.missing_rows(spark.range(5), spark.range(3), spark.range(3, 4), ["id"]).count() == 1
     assert W.top_reasons(spark.createDataFrame([("x",), ("y",), ("x",)], "_dq_failure_reason string"), 1).first().reason == "x"
+
+
+def test_size_for_input(spark):
+    from strata.session import size_for_input
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_for_input(spark, 100 * 1024**4) == 409600  # 100 TB at 256 MB per partition
+        assert size_for_input(spark, 1024) == 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
