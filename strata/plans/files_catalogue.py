@@ -62,7 +62,7 @@ LINE_SCHEMA = T.StructType(
 # Title lines placed above the header in the preamble fixtures
 # (a long title, a blank line, a year), as statistical agencies publish.
 TITLE_LINES = [
-    "Tabela 6579 - População residente estimada, por unidade da federação e ano de referência",
+    "Tabela 1 - População residente estimada, por unidade da federação e ano de referência",
     "",
     "2024",
 ]

@@ -31,7 +31,7 @@ def contract(spark, **kw):
     from strata.functions.scalars import to_bool, to_decimal_br
 
     return Contract(
-        "ibge-population",
+        "state-population",
         schema=SCHEMA,
         primary_keys=["state_id", "year"],
         dedup_keys=["state_id", "year"],
@@ -155,7 +155,7 @@ def test_contract_validate_rejects_bad_rule(spark):
 def test_contract_from_dict(spark):
     spec = {
         "dataset": {
-            "slug": "ibge-sidra-population",
+            "slug": "state-population",
             "primary_keys": ["state_id", "year"],
             "dedup_keys": ["state_id", "year"],
             "required_columns": ["state_id", "year"],
@@ -164,7 +164,7 @@ def test_contract_from_dict(spark):
         }
     }
     c = Contract.from_dict(spec, SCHEMA, {"states_clean": states(spark)})
-    assert c.table_name == "ibge_sidra_population"
+    assert c.table_name == "state_population"
     assert [r.kind for r in c.all_rules()] == ["required", "required", "range", "foreign_key"]
 
 

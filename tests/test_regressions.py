@@ -143,4 +143,4 @@ def test_d24_no_default_fill_for_nulls(spark):
 
 
 def test_d26_slug_becomes_identifier():
-    assert Contract("ibge-sidra-population").table_name == "ibge_sidra_population"
+    assert Contract("state-population").table_name == "state_population"

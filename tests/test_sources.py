@@ -15,7 +15,7 @@ from strata.sources.dialect import Dialect, canonical_encoding
 from strata.sources.payload import explode_payload, records_as_columns
 
 HEADER = '"D1C";"D1N";"D2C";"V"'
-TITLES = ["Tabela 6579 - População residente estimada (Pessoas)", "", "Unidade da Federação x Ano"]
+TITLES = ["Tabela 1 - População residente estimada (Pessoas)", "", "Unidade da Federação x Ano"]
 
 
 def population_file(path, n, start=0, titles=TITLES):

@@ -11,7 +11,7 @@ from strata.operators.aggregates import Aggregate, Measure
 from strata.plans.stages import run_bronze, run_gold, run_report, run_silver
 from strata.sources.dialect import Dialect
 
-TITLES = ["Tabela 6579 - População residente estimada", "Variável - População residente estimada (Pessoas)", ""]
+TITLES = ["Tabela 1 - População residente estimada", "Variável - População residente estimada (Pessoas)", ""]
 HEADER = "D1C;D1N;D2C;D2N;V"
 ROWS = [
     "33;Rio de Janeiro;2020;2020;17366189",
@@ -55,7 +55,7 @@ def test_four_layers(spark, tmp_dir):
         ]
     )
     contract = Contract(
-        "ibge-sidra-population",
+        "state-population",
         schema=schema,
         primary_keys=["state_id", "year"],
         dedup_keys=["state_id", "year"],
