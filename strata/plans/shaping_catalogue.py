@@ -181,6 +181,27 @@ def r5_profile(spark: SparkSession, d: str) -> DataFrame:
     return R.profile(table(spark, d, "orders"))
 
 
+def r6_audit_table(spark: SparkSession, d: str) -> DataFrame:
+    """Bronze, Silver and Gold checks of one run in one table."""
+    li = table(spark, d, "lineitem")
+    flagged = _flagged_lineitem(spark, d)
+    kept, _ = split(flagged)
+    gold = A.aggregate(kept, ["l_returnflag", "l_linestatus"], [A.Measure("n", "count_all")])
+    return R.audit_table(
+        Q.audit_bronze(P.with_lineage(li, "batch-r6", "2024-01-01"), input_rows=li.count()),
+        Q.audit_silver(kept, lineitem_contract(spark, d)),
+        Q.check_grain(gold, kept, ["l_returnflag", "l_linestatus"], "by_flag_status"),
+    )
+
+
+def r7_storage(spark: SparkSession, d: str) -> DataFrame:
+    """Files and bytes per stored table."""
+    root = scratch_dir(spark, "r7")
+    table(spark, d, "orders").write.parquet(f"{root}/orders")
+    table(spark, d, "lineitem").write.partitionBy("l_returnflag").parquet(f"{root}/lineitem")
+    return R.storage(spark, {"orders": f"{root}/orders", "lineitem": f"{root}/lineitem"})
+
+
 # --- scalar functions ------------------------------------------------------------------
 
 
@@ -253,6 +274,8 @@ QUERIES: dict[str, Query] = {
     "r2_failure_reasons": r2_failure_reasons,
     "r4_batch_metadata": r4_batch_metadata,
     "r5_profile": r5_profile,
+    "r6_audit_table": r6_audit_table,
+    "r7_storage": r7_storage,
     "x10_digits": x10_digits,
     "x13_to_utc": x13_to_utc,
     "x14_two_digit_year": x14_two_digit_year,
