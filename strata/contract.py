@@ -31,6 +31,10 @@ def _sql_literal(v: str) -> str:
     return "'" + v.replace("'", "''") + "'"
 
 
+def _text_literal(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
 def _quote(col: str) -> str:
     return "`" + col.replace("`", "``") + "`"
 
@@ -53,7 +57,8 @@ def parse_range(col: str, spec: str) -> str:
             return f"{q} >= {_sql_literal(lo)}"
         return f"{q} <= {_sql_literal(hi)}"
     if "|" in s and not re.search(r"[()=<>]|\bIN\b|\bOR\b", s, re.IGNORECASE):
-        vals = ", ".join(_sql_literal(v) for v in s.split("|"))
+        # members are text ("01" stays "01"); Spark casts them for numeric columns
+        vals = ", ".join(_text_literal(v.strip()) for v in s.split("|"))
         return f"{q} IN ({vals})"
     return s
 
@@ -87,7 +92,7 @@ class Rule:
 
     @staticmethod
     def isin(column: str, values: Iterable[object], message: str | None = None) -> "Rule":
-        vals = ", ".join(_sql_literal(str(v)) if not isinstance(v, (int, float)) else str(v) for v in values)
+        vals = ", ".join(str(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else _text_literal(str(v)) for v in values)
         return Rule("range", column, f"{_quote(column)} IN ({vals})", message or DEFAULT_RANGE_MESSAGE.format(col=column))
 
     @staticmethod

@@ -140,6 +140,7 @@ def test_fk_null_semantics(spark):
 def test_parse_range_f4():
     assert parse_range("year", "1900..2100") == "`year` BETWEEN 1900 AND 2100"
     assert parse_range("s", "active|inactive|pending") == "`s` IN ('active', 'inactive', 'pending')"
+    assert parse_range("uf", "01|02") == "`uf` IN ('01', '02')"
     assert parse_range("x", "..10") == "`x` <= 10"
     assert parse_range("x", "5..") == "`x` >= 5"
     assert parse_range("x", "x % 3 = 0") == "x % 3 = 0"
@@ -201,3 +202,12 @@ def test_property_split_is_a_partition_and_idempotent(spark, rows):
     # independent of partitioning
     f2 = classify(df.repartition(3), c)
     assert sorted(map(tuple, f.select("k", "x", "v", REASON).collect()), key=repr) == sorted(map(tuple, f2.select("k", "x", "v", REASON).collect()), key=repr)
+
+
+def test_isin_keeps_text_codes(spark):
+    df = spark.createDataFrame([("01",), ("1",), ("02",)], "uf string")
+    f = classify(df, Contract("t", rules=[Rule.isin("uf", ["01", "02"])]))
+    assert sorted(str(r[REASON]) for r in f.collect()) == ["None", "None", "uf failed validation"]
+    n = spark.createDataFrame([(1,), (3,)], "n int")
+    g = classify(n, Contract("t", rules=[Rule.range("n", "1|2")]))
+    assert sorted(str(r[REASON]) for r in g.collect()) == ["None", "n failed validation"]
