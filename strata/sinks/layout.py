@@ -205,12 +205,28 @@ def zorder_key(df: DataFrame, columns: Sequence[str], bits: int = 8, relative_er
     2**bits - 1 numbers per column); the key interleaves the bucket bits,
     so rows near each other in every column get near keys.
     """
+    from pyspark.sql import types as T
+
     n = 1 << bits
     probs = [i / n for i in range(1, n)]
-    edges = df.approxQuantile(list(columns), probs, relative_error)
+
+    def numeric(c: str):  # noqa: ANN202
+        dt = df.schema[c].dataType
+        col = F.col(f"`{c}`")
+        if isinstance(dt, T.NumericType):
+            return col.cast("double")
+        if isinstance(dt, T.DateType):
+            return F.unix_date(col).cast("double")
+        if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+            return F.unix_micros(col.cast("timestamp")).cast("double")
+        raise ValueError(f"Z-order needs numeric or temporal columns, not {c!r} ({dt.simpleString()})")
+
+    proxies = df.select(*[numeric(c).alias(f"_zq{i}") for i, c in enumerate(columns)])
+    edges = proxies.approxQuantile([f"_zq{i}" for i in range(len(columns))], probs, relative_error)
+
     def bucket(c: str, e: list[float]):  # noqa: ANN202
         arr = F.array(*[F.lit(float(v)) for v in sorted(set(e))]) if e else F.array().cast("array<double>")
-        x = F.col(f"`{c}`").cast("double")
+        x = numeric(c)
         # number of edges <= x: the quantile bucket (nulls go to bucket 0)
         return F.coalesce(F.size(F.filter(arr, lambda b: b <= x)), F.lit(0)).cast("long")
 

@@ -142,3 +142,11 @@ def test_seen_keys_salted_path_matches_broadcast(spark):
     got = sorted(((r.k, r.v, r[REASON]) for r in y.collect()), key=repr)
     assert got == sorted(((r.k, r.v, r[REASON]) for r in x.collect()), key=repr)
     assert got == sorted([("a", 1, "duplicate"), ("a", 2, "duplicate"), ("b", 1, None), (None, 1, "duplicate"), ("c", 1, None)], key=repr)
+
+
+def test_zorder_on_dates_and_timestamps(spark, tmp_dir):
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    K.zorder_write(o.withColumn("d", F.to_date("o_orderdate")), f"{tmp_dir}/zt", ["o_orderdate", "d", "o_totalprice"], files=4)
+    assert spark.read.parquet(f"{tmp_dir}/zt").count() == o.count()
+    with pytest.raises(ValueError):
+        K.zorder_write(o, f"{tmp_dir}/zs", ["o_orderstatus"])
