@@ -197,6 +197,18 @@ def k1_bronze_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return v.select("*", of.scalar().alias("of_batch_rows"))
 
 
+def q9_bucketed_bronze(spark: SparkSession, d: str) -> DataFrame:
+    """K1 + Q9: Bronze stored bucketed by the dedup keys; Silver's keep-first
+    window then reads the buckets with no shuffle of the full rows."""
+    import uuid
+
+    path = scratch_dir(spark, "bucketed")
+    b = with_lineage(table(spark, d, "lineitem"), "b-bkt", "2024-01-01", "lineitem.csv")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    t = K.write_bronze_bucketed(b, f"strata_bronze_{uuid.uuid4().hex[:8]}", path, ["l_orderkey", "l_linenumber"], n)
+    return outcome_counts(classify(t, lineitem_contract(spark, d)))
+
+
 def k2_silver_split(spark: SparkSession, d: str) -> DataFrame:
     """Q9 K2 K3: flagged frame written once by outcome, both parts read back."""
     root = scratch_dir(spark, "k2")
@@ -369,6 +381,7 @@ FILE_QUERIES: dict[str, Query] = {
     "s20_corrupt_capture": s20_corrupt_capture,
     "k1_bronze_roundtrip": k1_bronze_roundtrip,
     "k2_silver_split": k2_silver_split,
+    "q9_bucketed_bronze": q9_bucketed_bronze,
     "k8_zorder": k8_zorder,
     "k9_compact": k9_compact,
     "t1_stream_bronze": t1_stream_bronze,
@@ -394,6 +407,7 @@ FILE_ORACLE: dict[str, str] = {
     "k1_bronze_roundtrip": "SELECT count(*) AS total_rows,CAST(1 AS BIGINT) AS batches,count(*) AS batch_rows,CAST(1 AS BIGINT) AS partitions,count(*) AS of_batch_rows FROM lineitem",
     "k2_silver_split": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN rn>1 THEN 'duplicate' WHEN NOT l_quantity BETWEEN 5 AND 45 THEN 'l_quantity failed validation' WHEN hit IS NULL THEN 'l_suppkey not in reference' ELSE 'kept' END AS reason FROM (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey,l_linenumber ORDER BY l_shipdate,l_partkey,l_suppkey) AS rn, s.s_suppkey AS hit FROM lineitem l LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal>=0) s ON l.l_suppkey=s.s_suppkey)) GROUP BY 1",
     "k8_zorder": "SELECT o_orderkey,o_custkey,o_totalprice FROM orders",
+    "q9_bucketed_bronze": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN rn>1 THEN 'duplicate' WHEN NOT l_quantity BETWEEN 5 AND 45 THEN 'l_quantity failed validation' WHEN hit IS NULL THEN 'l_suppkey not in reference' ELSE 'kept' END AS reason FROM (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey,l_linenumber ORDER BY l_shipdate,l_partkey,l_suppkey) AS rn, s.s_suppkey AS hit FROM lineitem l LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal>=0) s ON l.l_suppkey=s.s_suppkey)) GROUP BY 1",
     "k9_compact": "SELECT o_orderkey,o_totalprice FROM orders",
     "t1_stream_bronze": "SELECT l_orderkey,l_linenumber,l_quantity FROM lineitem",
     "t2_stream_silver": "SELECT count(*)-count(DISTINCT (l_orderkey,l_linenumber)) AS duplicates,count(*) AS total FROM lineitem",

@@ -67,6 +67,35 @@ def write_bronze(df: DataFrame, path: str, partition: str = "ingestion_date", fm
     df.write.format(fmt).mode("append").partitionBy(partition).save(path)
 
 
+def write_bronze_bucketed(
+    df: DataFrame,
+    table: str,
+    path: str,
+    keys: Sequence[str],
+    buckets: int,
+    partition: str = "ingestion_date",
+    fmt: str = "parquet",
+) -> DataFrame:
+    """K1 for tables rebuilt into Silver again and again: append Bronze as an
+    external table at ``path``, bucketed (and sorted) by the dedup keys.
+
+    Silver's keep-first window then reads the buckets as they lie: its
+    ``partitionBy(keys)`` needs no shuffle of the full rows, each run. The
+    bucket count should match the intended shuffle width (e.g. from
+    ``strata.session.size_for_input``).
+    """
+    (
+        df.write.format(fmt)
+        .mode("append")
+        .partitionBy(partition)
+        .bucketBy(buckets, *keys)
+        .sortBy(*keys)
+        .option("path", path)
+        .saveAsTable(table)
+    )
+    return df.sparkSession.table(table)
+
+
 def write_overwrite(df: DataFrame, path: str, fmt: str = "parquet", partition: Sequence[str] = ()) -> None:
     """Overwrite a path that ``df`` may itself read: write beside, then swap.
 

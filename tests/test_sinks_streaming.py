@@ -150,3 +150,16 @@ def test_zorder_on_dates_and_timestamps(spark, tmp_dir):
     assert spark.read.parquet(f"{tmp_dir}/zt").count() == o.count()
     with pytest.raises(ValueError):
         K.zorder_write(o, f"{tmp_dir}/zs", ["o_orderstatus"])
+
+
+def test_bucketed_bronze_feeds_dedup_without_shuffle(spark, tmp_dir):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    b = with_lineage(li, "b1", "2024-01-01", "li.csv")
+    t = K.write_bronze_bucketed(b, "strata_bronze_li_b", f"{tmp_dir}/bb", ["l_orderkey", "l_linenumber"], 8)
+    c = Contract("li", dedup_keys=["l_orderkey", "l_linenumber"], dedup_order=["l_shipdate", "l_partkey", "l_suppkey"])
+    f = classify(t, c)
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    window_part = plan.split("Window [row_number()")[1]
+    assert "Exchange" not in window_part.split("FileScan")[0]  # no shuffle between scan and window
+    assert sorted(tuple(r) for r in outcome_counts(f).collect()) == sorted(tuple(r) for r in outcome_counts(classify(li, c)).collect())
+    spark.sql("DROP TABLE IF EXISTS strata_bronze_li_b")
