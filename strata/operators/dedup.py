@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.operators.skew import DEFAULT_SKEW, SkewOptions, bounded, row_hash
+from strata.operators.skew import DEFAULT_SKEW, SkewOptions, row_hash
 
 OrderSpec = Sequence[str | tuple[str, str]]
 
@@ -158,11 +158,9 @@ def hot_keys(df: DataFrame, keys: Sequence[str], skew: SkewOptions = DEFAULT_SKE
     Exact counts from a partial (map-side combined) aggregate; at most
     ``skew.max_hot_keys`` key tuples are returned, so the list is bounded
     whatever the data. Keys beyond the cap stay exact on the plain path.
-    A frame with at most ``hot_key_rows`` rows cannot hold a hot key, so
-    the aggregate is skipped after a bounded check (reads n + 1 rows).
+    (A row-bound pre-check would not be cheaper: a limit applies per task,
+    so on a large input it reads as much as this aggregate's scan.)
     """
-    if bounded(df.select(*[F.col(f"`{k}`") for k in keys]), skew.hot_key_rows):
-        return []
     counts = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
     top = counts.filter(F.col("_n") > skew.hot_key_rows).orderBy(F.desc("_n")).limit(skew.max_hot_keys)
     return [tuple(r[k] for k in keys) for r in top.collect()]

@@ -55,9 +55,12 @@ def small_side_join(
     how: str = "left",
     *,
     skew: SkewOptions = DEFAULT_SKEW,
+    known_rows: int | None = None,
 ) -> DataFrame:
     """Equi-join a big frame to a side expected to be small (a lookup).
 
+    ``known_rows`` is an upper bound on ``small``'s rows known without a
+    job (e.g. one row per input file); otherwise ``bounded`` checks it.
     Broadcast when ``small`` is proven below ``max_broadcast_rows``;
     otherwise ``small`` is replicated over ``salt_buckets`` and each big
     row takes one salt from its hash, so no key of ``big`` — however hot —
@@ -65,7 +68,8 @@ def small_side_join(
     ``left_anti`` with ``big`` on the left; the output equals the plain join.
     """
     keys = list(on)
-    if bounded(small, skew.max_broadcast_rows):
+    small_enough = known_rows <= skew.max_broadcast_rows if known_rows is not None else bounded(small, skew.max_broadcast_rows)
+    if small_enough:
         return big.join(F.broadcast(small), keys, how)
     s = skew.salt_buckets
     rep = small.withColumn("_jsalt", F.explode(F.sequence(F.lit(0), F.lit(s - 1))))

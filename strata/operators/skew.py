@@ -36,8 +36,10 @@ DEFAULT_SKEW = SkewOptions()
 def bounded(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.
 
-    Reads at most ``max_rows + 1`` rows, so the check stays cheap on a big
-    input: it proves a bound instead of counting everything.
+    Used on the side that may be broadcast (reference tables, per-file or
+    per-archive lookups), never on the fact side. Each task stops after
+    ``max_rows + 1`` rows of its split, over the pruned columns only, so
+    the check costs at most one narrow scan of that smaller side.
     """
     return df.limit(max_rows + 1).count() <= max_rows
 

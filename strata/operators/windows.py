@@ -13,7 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.operators.skew import bounded
 from strata.session import scratch_dir
 
 OrderSpec = Sequence[str | tuple[str, str]]
@@ -38,19 +37,26 @@ def rank_all(
 ) -> DataFrame:
     """Dense 1..N numbering in a total order (``order`` must break ties).
 
-    Inside the bound the frame (normally an aggregate) is numbered by one
-    window. Beyond it: range-partitioned sort, rows counted per partition,
+    The input (normally an aggregate) is written once to the shared
+    scratch folder, so it is computed once and its row count is read from
+    Parquet footers. Inside the bound it is numbered by one window.
+    Beyond it: range-partitioned sort, rows counted per partition,
     offsets summed over those few counts, and the offset table broadcast
     back — no task ever holds more than one range of the data. The sorted
     frame is checkpointed to the shared checkpoint folder first, so both
     uses see the same partition boundaries.
     """
     cols = _order_cols(order)
-    if bounded(df, max_single_partition_rows):
-        return df.withColumn(rank_col, F.row_number().over(Window.orderBy(*cols)).cast("bigint"))
     spark = df.sparkSession
+    # Stage the input once in the shared folder: its row count then comes
+    # from Parquet footers, and neither path recomputes the input.
+    src_path = scratch_dir(spark, "rank-in")
+    df.write.parquet(src_path)
+    src = spark.read.parquet(src_path)
+    if src.count() <= max_single_partition_rows:
+        return src.withColumn(rank_col, F.row_number().over(Window.orderBy(*cols)).cast("bigint"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    sorted_df = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    sorted_df = src.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
     sorted_df = sorted_df.withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
     path = scratch_dir(spark, "rank")
     sorted_df.write.parquet(path)

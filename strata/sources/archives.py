@@ -116,7 +116,7 @@ def read_zip_lines(spark: SparkSession, pattern: str, chosen: DataFrame | None =
         # one row per archive (its chosen member names): a lookup, broadcast
         # when proven small so archive bytes are not shuffled
         wanted = chosen.groupBy("archive").agg(F.collect_list("member").alias("members"))
-        binary = small_side_join(binary, wanted, ["archive"], "inner")
+        binary = small_side_join(binary, wanted, ["archive"], "inner", known_rows=len(binary.inputFiles()))
     else:
         binary = binary.withColumn("members", F.lit(None).cast("array<string>"))
 
