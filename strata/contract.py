@@ -177,6 +177,20 @@ class Contract:
             if c not in self.schema.fieldNames():
                 raise ValueError(f"key column {c!r} is not in the target schema")
 
+    @staticmethod
+    def from_yaml(
+        text_or_path: str,
+        schema: T.StructType | None = None,
+        references: Mapping[str, DataFrame] | None = None,
+    ) -> "Contract":
+        """Build from a YAML contract (file path or YAML text); see ``from_dict``."""
+        import os
+
+        import yaml  # PyYAML
+
+        text = open(text_or_path, encoding="utf-8").read() if os.path.exists(text_or_path) else text_or_path
+        return Contract.from_dict(yaml.safe_load(text), schema, references)
+
     @staticmethod
     def from_dict(
         spec: Mapping[str, object],

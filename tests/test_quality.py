@@ -211,3 +211,25 @@ def test_isin_keeps_text_codes(spark):
     n = spark.createDataFrame([(1,), (3,)], "n int")
     g = classify(n, Contract("t", rules=[Rule.range("n", "1|2")]))
     assert sorted(str(r[REASON]) for r in g.collect()) == ["None", "n failed validation"]
+
+
+def test_contract_from_yaml(spark):
+    text = """
+dataset:
+  slug: "state-population"
+  primary_keys: ["state_id", "year"]
+  dedup_keys: ["state_id", "year"]
+  required_columns:
+    - "state_id"
+    - "year"
+  value_ranges:
+    "year": "1900..2100"
+  foreign_keys:
+    "state_id": "states_clean"
+  custom_rules:
+    - {column: "population", expr: "population >= 0", message: "negative population"}
+"""
+    c = Contract.from_yaml(text, SCHEMA, {"states_clean": states(spark)})
+    assert [r.kind for r in c.all_rules()] == ["required", "required", "range", "foreign_key", "custom"]
+    assert c.rules[0].expr == "`year` BETWEEN 1900 AND 2100"
+    c.validate(spark)
