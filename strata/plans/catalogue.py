@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from strata.contract import Contract, Rule
 from strata.functions.columns import decode
-from strata.functions.scalars import basename, json_field, to_bool, to_decimal_br, trunc_date
+from strata.functions.scalars import basename, json_field, to_bool, to_decimal_br
 from strata.operators import aggregates as A
 from strata.operators import audits as Q
 from strata.operators import windows as W

@@ -4,14 +4,14 @@ a runtime surface. Each name carries its D-number."""
 import datetime as dt
 import os
 
-import pytest
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.contract import Contract, Rule
 from strata.functions import columns as P
 from strata.functions import scalars as X
-from strata.operators.quality import CHECK_TIME, REASON, VALUE, classify, outcome_counts, split
+from strata.operators.quality import CHECK_TIME, REASON, VALUE, classify, split
 from strata.operators.report import batch_metadata
 from strata.plans.stages import bronze
 from strata.sinks import layout as K
