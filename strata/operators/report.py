@@ -82,6 +82,14 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return one.select("rows", F.explode("_s").alias("s")).select("s.column", "s.type", "rows", "s.nulls", "s.distinct_approx", "s.min", "s.max")
 
 
+def profile_tables(df: DataFrame, max_distinct: int = 50) -> dict[str, DataFrame]:
+    """R5 in full: per-column profile, numeric summary and the value
+    distribution of low-cardinality columns (A10-A13)."""
+    from strata.operators.aggregates import summary, value_counts
+
+    return {"columns": profile(df), "summary": summary(df), "values": value_counts(df, max_distinct=max_distinct)}
+
+
 def audit_table(*checks: DataFrame) -> DataFrame:
     """Audit results of all stages in one table."""
     return union_checks(*checks)

@@ -26,8 +26,9 @@ class SkewOptions:
     max_hot_keys: int = 10_000
     # Number of tasks a hot key is spread over.
     salt_buckets: int = 64
-    # A reference side is broadcast only when it has at most this many rows.
-    max_broadcast_rows: int = 2_000_000
+    # A reference side is broadcast only when it has at most this many rows
+    # (it is copied to every executor, so keep its bytes in the tens of MB).
+    max_broadcast_rows: int = 1_000_000
 
 
 DEFAULT_SKEW = SkewOptions()

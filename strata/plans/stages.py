@@ -199,7 +199,7 @@ def run_report(spark: SparkSession, bronze_run: StageRun, silver_run: StageRun,
         "failure_reasons": R.failure_reasons(this_run),
         "aggregate_catalog": R.aggregate_catalog(spark, aggregates),
         "batches": R.batch_metadata(spark.read.parquet(bronze_run.paths["manifest"])),
-        "bronze_profile": R.profile(spark.read.parquet(bronze_run.paths["bronze"])),
+        **{f"bronze_profile_{k}": v for k, v in R.profile_tables(spark.read.parquet(bronze_run.paths["bronze"])).items()},
         "audits": R.audit_table(bronze_run.checks, silver_run.checks, gold_run.checks),
         "storage": R.storage(spark, {k: v for k, v in {**bronze_run.paths, **silver_run.paths, **gold_run.paths}.items() if k != "manifest"}),
         "bad_samples": Q.bad_samples(this_run, 5, order=[c for c in this_run.columns if c not in (REASON,)][:2]),

@@ -71,3 +71,11 @@ def test_filters(spark):
     assert of_batch(df, "b1").count() == 1 and from_file(df, "g.csv").count() == 1
     assert contains_any(df, "t", ["á"]).count() == 1
     assert {r.column: r.suspect for r in mojibake(df).collect()}["t"] == 1
+
+
+def test_profile_tables(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", None), ("a", 3.0)], "s string, x double")
+    t = R.profile_tables(df)
+    assert {r.column for r in t["columns"].collect()} == {"s", "x"}
+    assert t["summary"].first()["column"] == "x"
+    assert {(r.col, r.v): r.n for r in t["values"].collect()}[("s", "a")] == 2
