@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from strata.contract import Contract, Rule
 from strata.functions.columns import with_lineage
-from strata.functions.scalars import new_batch_id, run_timestamp
+from strata.functions.scalars import run_timestamp
 from strata.operators import audits as Q
 from strata.operators import report as R
 from strata.operators.aggregates import Aggregate, Measure
@@ -119,21 +119,28 @@ def run_bronze(
     Rows read are counted by an ``Observation`` on the write itself, so
     the source is scanned once.
     """
-    batch_id = batch_id or new_batch_id()
     bronze_path, manifest_path = f"{root}/bronze", f"{root}/manifest"
     listing = list_files(spark, source)
     if K.path_exists(spark, manifest_path):
         todo = new_files(listing, spark.read.parquet(manifest_path), "name", "source_path")
     else:
         todo = listing
-    names = [r["path"] for r in todo.select("path").collect()]  # file paths: one row per file
+    listed = todo.select("path", "length", "modificationTime").orderBy("path").collect()  # one row per file
+    names = [r["path"] for r in listed]
+    if batch_id is None:
+        # derived from the files, so a run repeated after a failure reuses
+        # its batch id and replaces its own partition (write_bronze by_batch)
+        import hashlib
+
+        digest = hashlib.sha1("|".join(f"{r['path']}:{r['length']}:{r['modificationTime']}" for r in listed).encode()).hexdigest()
+        batch_id = f"b-{digest[:16]}"
     if not names:
         empty = Q.union_checks(Q.check_rows(spark, [("bronze", "new_files", True, 0, ">= 0", Q.REPORT)]))
         return StageRun({"bronze": bronze_path, "manifest": manifest_path}, empty, {"rows": 0, "files": 0})
     df = read_csv(spark, names, dialect, schema, source_column="source_file")
     obs = Observation("bronze_rows")
     b = bronze(df, batch_id, ingestion_date).observe(obs, F.count(F.lit(1)).alias("rows"))
-    K.write_bronze(b, bronze_path)
+    K.write_bronze(b, bronze_path, by_batch=True)
     rows_in = int(obs.get["rows"])
     stored = spark.read.parquet(bronze_path).filter(F.col("batch_id") == batch_id)
     K.append_manifest(stored, manifest_path)

@@ -62,9 +62,24 @@ def dir_bytes(spark: SparkSession, path: str) -> int:
 # --- writes --------------------------------------------------------------------
 
 
-def write_bronze(df: DataFrame, path: str, partition: str = "ingestion_date", fmt: str = "parquet") -> None:
-    """K1: append, partitioned by ingestion date."""
-    df.write.format(fmt).mode("append").partitionBy(partition).save(path)
+def write_bronze(df: DataFrame, path: str, partition: str = "ingestion_date", fmt: str = "parquet", by_batch: bool = False) -> None:
+    """K1: append, partitioned by ingestion date.
+
+    With ``by_batch`` each batch gets its own sub-partition and the write
+    replaces only the partitions it produces (dynamic overwrite): running
+    the same batch again after a failure replaces it instead of adding it
+    twice, while other batches stay.
+    """
+    if not by_batch:
+        df.write.format(fmt).mode("append").partitionBy(partition).save(path)
+        return
+    (
+        df.write.format(fmt)
+        .mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(partition, "batch_id")
+        .save(path)
+    )
 
 
 def write_bronze_bucketed(
@@ -125,16 +140,30 @@ def write_silver(df: DataFrame, path: str, fmt: str = "parquet", partition: Sequ
 def append_quarantine(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """K3: append quarantined rows, partitioned by the *date* of the check.
 
-    The table always exists with its schema, even when no row was ever
-    quarantined: an empty append leaves an empty file in today's partition.
+    Each run (its check time) is a sub-partition of its day, written with
+    dynamic partition overwrite: the history of earlier runs stays, and a
+    run repeated after a failure replaces its own rows instead of adding
+    them again. The table always exists with its schema, even when no row
+    was ever quarantined: an empty append leaves an empty file in today's
+    partition.
     """
     spark = df.sparkSession
-    df.withColumn("_dq_check_date", F.to_date(F.col(CHECK_TIME))).write.format(fmt).mode("append").partitionBy(
-        "_dq_check_date"
-    ).save(path)
+    (
+        df.withColumns(
+            {
+                "_dq_check_date": F.to_date(F.col(CHECK_TIME)),
+                "_dq_run": F.date_format(F.col(CHECK_TIME), "yyyyMMdd'T'HHmmss"),
+            }
+        )
+        .write.format(fmt)
+        .mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("_dq_check_date", "_dq_run")
+        .save(path)
+    )
     if not any(n.startswith("_dq_check_date=") for n in list_dir(spark, path)):
         today = _dt.datetime.now(_dt.timezone.utc).date().isoformat()
-        df.limit(0).write.format(fmt).mode("append").save(f"{path.rstrip('/')}/_dq_check_date={today}")
+        df.limit(0).write.format(fmt).mode("append").save(f"{path.rstrip('/')}/_dq_check_date={today}/_dq_run=none")
 
 
 def write_split(flagged: DataFrame, root: str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:

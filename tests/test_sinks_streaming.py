@@ -163,3 +163,18 @@ def test_bucketed_bronze_feeds_dedup_without_shuffle(spark, tmp_dir):
     assert "Exchange" not in window_part.split("FileScan")[0]  # no shuffle between scan and window
     assert sorted(tuple(r) for r in outcome_counts(f).collect()) == sorted(tuple(r) for r in outcome_counts(classify(li, c)).collect())
     spark.sql("DROP TABLE IF EXISTS strata_bronze_li_b")
+
+
+def test_reruns_are_idempotent(spark, tmp_dir):
+    df = spark.createDataFrame([(1,), (20,)], "v int")
+    c = Contract("t", rules=[Rule.range("v", "5..9")])
+    t1, t2 = dt.datetime(2024, 3, 1, 8), dt.datetime(2024, 3, 1, 9)
+    for t in (t1, t1, t2):  # run 1 twice (a retry), then run 2
+        K.append_quarantine(classify(df, c, check_time=t), f"{tmp_dir}/q")
+    q = spark.read.parquet(f"{tmp_dir}/q")
+    assert q.filter(F.col(REASON).isNotNull()).count() == 4  # 2 rows x 2 runs, not 3 runs
+    b = with_lineage(spark.range(5), "b1", "2024-01-01", "f.csv")
+    K.write_bronze(b, f"{tmp_dir}/b", by_batch=True)
+    K.write_bronze(b, f"{tmp_dir}/b", by_batch=True)  # the same batch again
+    K.write_bronze(with_lineage(spark.range(3), "b2", "2024-01-01", "g.csv"), f"{tmp_dir}/b", by_batch=True)
+    assert spark.read.parquet(f"{tmp_dir}/b").count() == 8
