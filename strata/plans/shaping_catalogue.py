@@ -151,8 +151,10 @@ def q13_audit_bronze(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q18_audit_silver(spark: SparkSession, d: str) -> DataFrame:
-    kept, _ = split(_flagged_lineitem(spark, d))
-    return Q.audit_silver(kept, lineitem_contract(spark, d))
+    c = lineitem_contract(spark, d)
+    c.required_columns = ["l_orderkey", "l_linenumber"]
+    kept, _ = split(classify(table(spark, d, "lineitem"), c))
+    return Q.audit_silver(kept, c)
 
 
 # --- reports -----------------------------------------------------------------------
@@ -310,6 +312,8 @@ ORACLE: dict[str, str] = {
     "q10_values": f"SELECT reason, count(DISTINCT value) AS distinct_values, count(*) FILTER (WHERE value IS NULL) AS null_values FROM {_Q9_REASON} WHERE reason<>'kept' GROUP BY 1",
     "q11_conservation": f"SELECT count(*) FILTER (WHERE reason='kept') AS kept, count(*) FILTER (WHERE reason<>'kept') AS quarantined, count(*) AS total, count(*) AS input_rows, true AS ok FROM {_Q9_REASON}",
     "q8_null_rates": "WITH j AS (SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id=l.doc_id), s AS (SELECT 'doc_id' AS col, count(*) AS rows, count(*) FILTER (WHERE doc_id IS NULL) AS nulls, CAST(0.0 AS DOUBLE) AS lim FROM j UNION ALL SELECT 'lang', count(*), count(*) FILTER (WHERE lang IS NULL), CAST(0.02 AS DOUBLE) FROM j UNION ALL SELECT 'quality', count(*), count(*) FILTER (WHERE quality IS NULL), CAST(0.02 AS DOUBLE) FROM j UNION ALL SELECT 'toxic', count(*), count(*) FILTER (WHERE toxic IS NULL), CAST(0.02 AS DOUBLE) FROM j) SELECT col AS \"column\", rows, nulls, CASE WHEN rows>0 THEN nulls/rows ELSE 0.0 END AS null_rate, lim AS \"limit\", (CASE WHEN rows>0 THEN nulls/rows ELSE 0.0 END)<=lim AS ok FROM s",
+    "q13_audit_bronze": "SELECT 'bronze' AS stage,'non_empty' AS \"check\",'pass' AS status,CAST(count(*) AS VARCHAR) AS observed,'> 0' AS expected,'abort' AS on_fail FROM lineitem UNION ALL SELECT 'bronze','lineage_ingestion_date','pass','0','0','abort' UNION ALL SELECT 'bronze','lineage_source_file','pass','0','0','abort' UNION ALL SELECT 'bronze','lineage_batch_id','pass','0','0','abort' UNION ALL SELECT 'bronze','rows_in_equals_rows_out','pass',CAST(count(*) AS VARCHAR),CAST(count(*) AS VARCHAR),'abort' FROM lineitem UNION ALL SELECT 'bronze','partition_column_present','pass','True','True','abort' UNION ALL SELECT 'bronze','storage_format','pass','parquet','parquet','abort'",
+    "q18_audit_silver": f"WITH k AS (SELECT * FROM {_Q9_REASON} WHERE reason='kept'), n AS (SELECT count(*) FILTER (WHERE l_orderkey IS NULL) AS n1, count(*) FILTER (WHERE l_linenumber IS NULL) AS n2 FROM k), dup AS (SELECT count(*) AS n3 FROM (SELECT l_orderkey,l_linenumber FROM k GROUP BY 1,2 HAVING count(*)>1)) SELECT 'silver' AS stage,'required_not_null:l_orderkey' AS \"check\",CASE WHEN n1=0 THEN 'pass' ELSE 'fail' END AS status,CAST(n1 AS VARCHAR) AS observed,'0' AS expected,'abort' AS on_fail FROM n UNION ALL SELECT 'silver','required_not_null:l_linenumber',CASE WHEN n2=0 THEN 'pass' ELSE 'fail' END,CAST(n2 AS VARCHAR),'0','abort' FROM n UNION ALL SELECT 'silver','dedup_applied',CASE WHEN n3=0 THEN 'pass' ELSE 'fail' END,CAST(n3 AS VARCHAR),'0','abort' FROM dup",
     "r1_run_summary": f"SELECT 'bronze' AS stage, 'lineitem_raw' AS output, count(*) AS rows FROM lineitem UNION ALL SELECT 'silver','lineitem_kept', count(*) FILTER (WHERE reason='kept') FROM {_Q9_REASON} UNION ALL SELECT 'silver','lineitem_quarantine', count(*) FILTER (WHERE reason<>'kept') FROM {_Q9_REASON} UNION ALL SELECT 'gold','by_flag_status', count(DISTINCT (l_returnflag,l_linestatus)) FROM {_Q9_REASON} WHERE reason='kept'",
     "r2_failure_reasons": f"SELECT reason, count(*) AS rows, round(100.0*count(*)/sum(count(*)) OVER (),2) AS pct FROM {_Q9_REASON} WHERE reason<>'kept' GROUP BY 1",
     "r4_batch_metadata": "SELECT 'batch-r4' AS batch_id, DATE '2024-01-01' AS ingestion_date, CAST(1 AS BIGINT) AS files, count(*) AS rows FROM orders",
