@@ -335,7 +335,7 @@ def e2e_lineitem_layers(spark: SparkSession, d: str) -> DataFrame:
         [Measure("total_price", "money_sum", "l_extendedprice"), Measure("row_count", "count_all"), Measure("avg_qty", "avg", "l_quantity", digits=6)],
     )
     g = run_gold(spark, s.paths["silver"], [agg], f"{root}/gold")
-    return spark.read.parquet(g.paths["by_flag_status"])
+    return spark.read.parquet(g.paths["by_flag_status"]).drop("last_updated")
 
 
 # --- streams ------------------------------------------------------------------------

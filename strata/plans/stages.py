@@ -183,11 +183,39 @@ def run_silver(
     )
 
 
-def run_gold(spark: SparkSession, silver_path: str, aggregates: list[Aggregate], root: str) -> StageRun:
-    """Gold: one table per aggregate; grain and null-dimension checks on the stored tables."""
+def run_gold(
+    spark: SparkSession,
+    silver_path: str,
+    aggregates: list[Aggregate],
+    root: str,
+    *,
+    stamp: bool = True,
+    zorder: dict[str, list[str]] | None = None,
+    register_prefix: str | None = None,
+    comments: dict[str, str] | None = None,
+) -> StageRun:
+    """Gold: one table per aggregate, stamped ``last_updated``; optionally
+    Z-ordered (``zorder``: name -> 1-4 columns), registered as external
+    tables ``<register_prefix><name>`` with a comment on every column.
+    Grain and null-dimension checks (and comment checks) read the stored
+    tables."""
+    from strata.functions.columns import stamp as add_stamp
+
     silver_df = spark.read.parquet(silver_path)
-    paths = K.write_gold({a.name: a.build(silver_df) for a in aggregates}, root)
+    built = {a.name: (add_stamp(a.build(silver_df)) if stamp else a.build(silver_df)) for a in aggregates}
+    zorder = zorder or {}
+    plain = {n: df for n, df in built.items() if n not in zorder}
+    paths = K.write_gold(plain, root)
+    for name, cols in zorder.items():
+        paths[name] = f"{root.rstrip('/')}/{name}"
+        K.zorder_write(built[name], paths[name], cols)
     checks = [Q.check_grain(spark.read.parquet(paths[a.name]), silver_df, a.dims, a.name) for a in aggregates]
+    if register_prefix is not None:
+        for a in aggregates:
+            table = f"{register_prefix}{a.name}"
+            K.register(spark, table, paths[a.name])
+            K.comment_columns(spark, table, comments or {})
+            checks.append(Q.check_comments(spark, table))
     return StageRun(paths, Q.union_checks(*checks))
 
 

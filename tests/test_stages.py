@@ -74,8 +74,15 @@ def test_four_layers(spark, tmp_dir):
         Aggregate("by_state_year", ["state_id", "year"], [Measure("total_population", "sum", "population"), Measure("row_count", "count_all")]),
         Aggregate("yearly_summary", ["year"], [Measure("total_population", "sum", "population"), Measure("state_count", "count_distinct", "state_id")]),
     ]
-    g = run_gold(spark, s.paths["silver"], aggs, f"{root}/gold")
+    g = run_gold(
+        spark, s.paths["silver"], aggs, f"{root}/gold",
+        zorder={"by_state_year": ["year", "total_population"]},
+        register_prefix="strata_test_gold_",
+        comments={"state_id": "state code", "year": "reference year"},
+    )
     assert g.checks.filter("status = 'fail'").count() == 0
+    assert "last_updated" in spark.read.parquet(g.paths["yearly_summary"]).columns
+    assert spark.table("strata_test_gold_by_state_year").count() == 3
     yearly = {r.year: (float(r.total_population), r.state_count) for r in spark.read.parquet(g.paths["yearly_summary"]).collect()}
     assert yearly == {2020: (17366189 + 46289333, 2), 2021: (17463349.0, 1)}
 
@@ -94,3 +101,5 @@ def test_four_layers(spark, tmp_dir):
     assert rep["batches"].first().rows == 8
     assert rep["storage"].count() >= 4
     assert rep["bad_samples"].count() == 5
+    for n in ("by_state_year", "yearly_summary"):
+        spark.sql(f"DROP TABLE IF EXISTS strata_test_gold_{n}")
