@@ -144,7 +144,11 @@ def run_bronze(
     rows_in = int(obs.get["rows"])
     stored = spark.read.parquet(bronze_path).filter(F.col("batch_id") == batch_id)
     K.append_manifest(stored, manifest_path)
-    checks = Q.audit_bronze(stored, input_rows=rows_in, stored_format="parquet")
+    empty_files = [r["path"] for r in listed if r["length"] == 0]
+    checks = Q.union_checks(
+        Q.audit_bronze(stored, input_rows=rows_in, stored_format="parquet", source_bytes=sum(r["length"] for r in listed)),
+        Q.check_rows(spark, [("bronze", "no_empty_files", not empty_files, len(empty_files), 0, Q.ABORT)]),
+    )
     return StageRun({"bronze": bronze_path, "manifest": manifest_path}, checks, {"rows": rows_in, "files": len(names), "batch_id": batch_id})
 
 
@@ -172,9 +176,14 @@ def run_silver(
     this_run = spark.read.parquet(quarantine_path).filter(F.col("_dq_check_time") == F.lit(check_time))
     cons = check_conservation(spark.read.parquet(run_dir), source=source).first()
     assert cons is not None
+    rates = Q.null_rates(stored_kept.select(*[c for c in stored_kept.columns if c in (contract.schema.fieldNames() if contract.schema else stored_kept.columns)]), key_columns=contract.primary_keys)
+    rate_rows = [
+        ("silver", f"null_rate:{r['column']}", bool(r["ok"]), round(r["null_rate"], 6), r["limit"], Q.REPORT) for r in rates.collect()
+    ]  # one row per column
     checks = Q.union_checks(
         Q.check_rows(spark, [("silver", "kept_plus_quarantined_equals_bronze", bool(cons["ok"]), cons["kept"] + cons["quarantined"], cons["input_rows"], Q.ABORT)]),
         Q.audit_silver(stored_kept, contract),
+        Q.check_rows(spark, rate_rows),
     )
     return StageRun(
         {"silver": silver_path, "quarantine": quarantine_path, "flagged": run_dir},
@@ -193,6 +202,7 @@ def run_gold(
     zorder: dict[str, list[str]] | None = None,
     register_prefix: str | None = None,
     comments: dict[str, str] | None = None,
+    continuity: dict[str, str] | None = None,
 ) -> StageRun:
     """Gold: one table per aggregate, stamped ``last_updated``; optionally
     Z-ordered (``zorder``: name -> 1-4 columns), registered as external
@@ -210,6 +220,11 @@ def run_gold(
         paths[name] = f"{root.rstrip('/')}/{name}"
         K.zorder_write(built[name], paths[name], cols)
     checks = [Q.check_grain(spark.read.parquet(paths[a.name]), silver_df, a.dims, a.name) for a in aggregates]
+    from strata.operators.windows import gaps
+
+    for name, date_col in (continuity or {}).items():
+        # date continuity is reported, never aborts
+        checks.append(Q.check_continuity(gaps(spark.read.parquet(paths[name]), date_col), name))
     if register_prefix is not None:
         for a in aggregates:
             table = f"{register_prefix}{a.name}"

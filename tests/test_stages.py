@@ -70,17 +70,21 @@ def test_four_layers(spark, tmp_dir):
     silver = spark.read.parquet(s.paths["silver"])
     assert "source_file" in silver.columns and "D2N" in silver.columns  # lineage and extra columns kept
 
+    silver_days = spark.read.parquet(s.paths["silver"]).withColumn("day", F.make_date("year", F.lit(1), F.lit(1)))
+    silver_days.write.parquet(f"{root}/silver_days")
     aggs = [
         Aggregate("by_state_year", ["state_id", "year"], [Measure("total_population", "sum", "population"), Measure("row_count", "count_all")]),
-        Aggregate("yearly_summary", ["year"], [Measure("total_population", "sum", "population"), Measure("state_count", "count_distinct", "state_id")]),
+        Aggregate("yearly_summary", ["year", "day"], [Measure("total_population", "sum", "population"), Measure("state_count", "count_distinct", "state_id")]),
     ]
     g = run_gold(
-        spark, s.paths["silver"], aggs, f"{root}/gold",
+        spark, f"{root}/silver_days", aggs, f"{root}/gold",
         zorder={"by_state_year": ["year", "total_population"]},
         register_prefix="strata_test_gold_",
         comments={"state_id": "state code", "year": "reference year"},
+        continuity={"yearly_summary": "day"},
     )
-    assert g.checks.filter("status = 'fail'").count() == 0
+    assert g.checks.filter("status = 'fail' AND on_fail = 'abort'").count() == 0
+    assert g.checks.filter("check = 'yearly_summary:date_continuity'").first().status == "fail"  # 2020 -> 2021 is a gap of days
     assert "last_updated" in spark.read.parquet(g.paths["yearly_summary"]).columns
     assert spark.table("strata_test_gold_by_state_year").count() == 3
     yearly = {r.year: (float(r.total_population), r.state_count) for r in spark.read.parquet(g.paths["yearly_summary"]).collect()}
@@ -97,7 +101,7 @@ def test_four_layers(spark, tmp_dir):
     }
     summary = {r.output: r.rows for r in rep["run_summary"].collect()}
     assert summary["bronze"] == 8 and summary["silver"] == 3 and summary["quarantine"] == 5
-    assert rep["audits"].filter("status = 'fail'").count() == 0
+    assert rep["audits"].filter("status = 'fail' AND on_fail = 'abort'").count() == 0
     assert rep["batches"].first().rows == 8
     assert rep["storage"].count() >= 4
     assert rep["bad_samples"].count() == 5
