@@ -7,9 +7,11 @@
 * ``stream_silver`` (T2/T3): ``foreachBatch`` runs the batch classifier
   on every epoch. Each epoch overwrites its own folder ``epoch=<id>``,
   so a replayed epoch replaces rather than duplicates its output; keys
-  whose first row came in an earlier epoch (``epoch < id``, flagged
-  ``_dq_first``) count as duplicates, which makes deduplication hold
-  across epochs with the batch rule order (rank first, then rules).
+  whose first row came in an earlier epoch (``epoch < id``) count as
+  duplicates, which makes deduplication hold across epochs with the batch
+  rule order (rank first, then rules). Each epoch also stores its distinct
+  first-row keys under ``out/_keys/epoch=<id>``, so later epochs read
+  only those narrow files, not the flagged rows.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from strata.sources.dialect import Dialect
 
 EPOCH = "epoch"
 FIRST = "_dq_first"
+# first-row keys per epoch; a leading "_" keeps the folder out of reads of ``out``
+KEYS_DIR = "_keys"
 
 
 def bronze_stream(
@@ -97,21 +101,28 @@ def silver_epoch_writer(
 ) -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` function of ``stream_silver`` (usable on its own)."""
 
+    keys_dir = f"{out.rstrip('/')}/{KEYS_DIR}"
+
     def write_epoch(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         seen = None
-        if contract.dedup_keys and path_exists(spark, out):
-            earlier = spark.read.format(fmt).load(out)
-            if EPOCH in earlier.columns and FIRST in earlier.columns:
-                seen = earlier.filter((F.col(EPOCH) < epoch_id) & F.col(FIRST)).select(*contract.dedup_keys)
+        if contract.dedup_keys and path_exists(spark, keys_dir):
+            earlier = spark.read.format(fmt).load(keys_dir)
+            if EPOCH in earlier.columns:
+                seen = earlier.filter(F.col(EPOCH) < epoch_id).select(*contract.dedup_keys)
         # the batch is read by the size checks and by the write: keep it once
         # (memory and disk; a lost block is recomputed from the same files)
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             flagged = classify(batch, contract, check_time=check_time, skew=skew, seen_keys=seen, first_flag=FIRST)
-            flagged.write.format(fmt).mode("overwrite").save(f"{out.rstrip('/')}/{EPOCH}={epoch_id}")
+            epoch_path = f"{out.rstrip('/')}/{EPOCH}={epoch_id}"
+            flagged.write.format(fmt).mode("overwrite").save(epoch_path)
         finally:
             batch.unpersist()
+        if contract.dedup_keys:
+            # this epoch's first-row keys, narrow and distinct, for later epochs
+            firsts = spark.read.format(fmt).load(epoch_path).filter(F.col(FIRST)).select(*contract.dedup_keys).distinct()
+            firsts.write.format(fmt).mode("overwrite").save(f"{keys_dir}/{EPOCH}={epoch_id}")
 
     return write_epoch
 
