@@ -102,7 +102,13 @@ def to_utc(c: Column | str, fmt: str | None = None) -> Column:
 
 
 def pct(c: Column | str, total: Column | None = None, digits: int = 6) -> Column:
-    """Percent of the total (default: the sum over the whole frame)."""
+    """Percent of the total (default: the sum over the whole frame).
+
+    The default total is a window over all rows, meant for small,
+    already aggregated frames (one row per reason, per status...); for a
+    frame of any size use ``strata.operators.aggregates.pct_of_total``,
+    which takes the total from a scalar subquery.
+    """
     from pyspark.sql import Window
 
     col = _col(c)

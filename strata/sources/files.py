@@ -21,6 +21,10 @@ from strata.sources.dialect import Dialect, canonical_encoding
 
 CORRUPT = "_corrupt_record"
 
+# A header row's first cell is shorter than this many
+# characters (title lines are longer), and is neither empty, "nan" nor digits.
+HEADER_MAX_CHARS = 60
+
 
 def _string_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType(), True) for n in names])
@@ -70,7 +74,7 @@ def header_candidate(first_cell: Column) -> Column:
     """S4 rule: a header row's first cell is non-empty, not ``nan``, shorter
     than 60 characters and not all digits."""
     c = F.trim(first_cell)
-    return c.isNotNull() & (c != "") & (F.lower(c) != "nan") & (F.length(c) < 60) & ~c.rlike("^[0-9]+$")
+    return c.isNotNull() & (c != "") & (F.lower(c) != "nan") & (F.length(c) < HEADER_MAX_CHARS) & ~c.rlike("^[0-9]+$")
 
 
 def _first_cell(line: Column, dialect: Dialect) -> Column:
