@@ -169,7 +169,7 @@ def s17_new_files(spark: SparkSession, d: str) -> DataFrame:
     bronze = with_lineage(first_two, "b-s17", "2024-01-01")
     names = listing.orderBy("name").limit(2).select("name")
     ingested = bronze.join(F.broadcast(names), bronze["source_file"] == names["name"], "left_semi")
-    manifest = K.manifest_rows(ingested).withColumn("source_path", F.col("source_path"))
+    manifest = K.manifest_rows(ingested)
     return S.new_files(listing, manifest, "name", "source_path").select("name")
 
 
