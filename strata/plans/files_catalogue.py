@@ -165,8 +165,8 @@ def s17_new_files(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_dir(spark, "s17")
     K.write_csv(_orders_for_text(spark, d).repartition(4), path, Dialect())
     listing = S.list_files(spark, f"{path}/*.csv")
-    first_two = S.read_dir(spark, f"{path}/*.csv", "csv", Dialect(), ORDER_SCHEMA)
-    bronze = with_lineage(first_two, "b-s17", "2024-01-01")
+    every_file = S.read_dir(spark, f"{path}/*.csv", "csv", Dialect(), ORDER_SCHEMA)
+    bronze = with_lineage(every_file, "b-s17", "2024-01-01")
     names = listing.orderBy("name").limit(2).select("name")
     ingested = bronze.join(F.broadcast(names), bronze["source_file"] == names["name"], "left_semi")
     manifest = K.manifest_rows(ingested)
