@@ -369,6 +369,19 @@ def t2_stream_silver(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count_if(F.col(REASON) == "duplicate").alias("duplicates"), F.count(F.lit(1)).alias("total"))
 
 
+def t2_stream_rules(spark: SparkSession, d: str) -> DataFrame:
+    """T2 without dedup: range and FK rules inside a plain streaming query."""
+    from strata.contract import Contract, Rule
+    from strata.streaming.files import bronze_stream, stream_silver_rules
+
+    src = _line_files(spark, d)
+    out, ck = scratch_dir(spark, "t2r_out"), scratch_dir(spark, "t2r_ck")
+    sup = table(spark, d, "supplier").filter(F.col("s_acctbal") >= 0)
+    c = Contract("lineitem_rules", rules=[Rule.range("l_quantity", "5..45"), Rule.foreign_key("l_suppkey", sup, "s_suppkey")])
+    stream_silver_rules(bronze_stream(spark, src, LINE_SCHEMA, Dialect(), max_files_per_trigger=2), c, out, ck)
+    return outcome_counts(spark.read.parquet(out))
+
+
 FILE_QUERIES: dict[str, Query] = {
     "s1_csv_latin1_semicolon": s1_csv_latin1_semicolon,
     "s3_preamble_skip": s3_preamble_skip,
@@ -386,6 +399,7 @@ FILE_QUERIES: dict[str, Query] = {
     "k9_compact": k9_compact,
     "t1_stream_bronze": t1_stream_bronze,
     "t2_stream_silver": t2_stream_silver,
+    "t2_stream_rules": t2_stream_rules,
     "f7_from_file": f7_from_file,
     "w6_head": w6_head,
     "k10_retention": k10_retention,
@@ -411,6 +425,7 @@ FILE_ORACLE: dict[str, str] = {
     "k9_compact": "SELECT o_orderkey,o_totalprice FROM orders",
     "t1_stream_bronze": "SELECT l_orderkey,l_linenumber,l_quantity FROM lineitem",
     "t2_stream_silver": "SELECT count(*)-count(DISTINCT (l_orderkey,l_linenumber)) AS duplicates,count(*) AS total FROM lineitem",
+    "t2_stream_rules": "SELECT CASE WHEN NOT l_quantity BETWEEN 5 AND 45 THEN 'l_quantity failed validation' WHEN s.s_suppkey IS NULL THEN 'l_suppkey not in reference' ELSE 'kept' END AS reason, count(*) AS n FROM lineitem l LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal>=0) s ON l.l_suppkey=s.s_suppkey GROUP BY 1",
     "f7_from_file": "SELECT o_orderkey,o_totalprice FROM orders",
     "w6_head": "SELECT o_orderkey,o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 20",
     "k10_retention": "SELECT l_orderkey,l_linenumber,l_quantity,'b-new' AS batch_id FROM lineitem",

@@ -152,6 +152,42 @@ def stream_silver(
     return q
 
 
+def stream_silver_rules(
+    bronze: DataFrame,
+    contract: Contract,
+    out: str,
+    checkpoint: str,
+    *,
+    check_time: _dt.datetime | None = None,
+    skew: SkewOptions = DEFAULT_SKEW,
+    wait: bool = True,
+) -> StreamingQuery:
+    """T2 for contracts without dedup keys: a plain streaming query.
+
+    Coercion, required, range, custom and foreign-key rules are a
+    projection plus stream-static joins, so the classifier runs inside
+    the stream itself; the file sink writes each row under
+    ``_dq_outcome=kept|quarantined`` exactly once (its commit log), and
+    no ``foreachBatch`` is needed. Contracts with dedup keys need state
+    across epochs: use ``stream_silver``.
+    """
+    if contract.dedup_keys:
+        raise ValueError("contracts with dedup keys need stream_silver (cross-epoch state)")
+    flagged = classify(bronze, contract, check_time=check_time, skew=skew)
+    outcome = F.when(F.col(REASON).isNull(), F.lit("kept")).otherwise(F.lit("quarantined"))
+    q = (
+        flagged.withColumn("_dq_outcome", outcome)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", checkpoint)
+        .partitionBy("_dq_outcome")
+        .trigger(availableNow=True)
+        .start(out)
+    )
+    if wait:
+        q.awaitTermination()
+    return q
+
+
 def silver_outputs(spark: SparkSession, out: str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
     """(kept, quarantined) across all epochs of a streaming Silver folder."""
     flagged = spark.read.format(fmt).load(out)

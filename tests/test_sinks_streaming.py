@@ -194,3 +194,21 @@ def test_every_epoch_replayed_once_equals_batch(spark, tmp_dir):
     got = sorted((r.k, r.v, r[REASON]) for r in q.select("k", "v", REASON).collect())
     # first row per key is the one of the earliest epoch (c,0 arrives after c,1)
     assert got == [("a", 2, "duplicate"), ("a", 3, "duplicate"), ("b", 1, "q failed validation"), ("b", 2, "duplicate"), ("c", 0, "duplicate")]
+
+
+def test_rules_only_silver_runs_as_a_plain_stream(spark, tmp_dir):
+    src = f"{tmp_dir}/src"
+    os.makedirs(src)
+    bodies = ["k,v,q\na,1,5\nb,1,99\n", "k,v,q\nzz,2,5\nc,1,\n"]
+    for i, body in enumerate(bodies):
+        with open(f"{src}/f{i}.csv", "w") as fh:
+            fh.write(body)
+    ref = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    c = Contract("t", required_columns=["k"], rules=[Rule.range("q", "0..10"), Rule.foreign_key("k", ref)])
+    ST.stream_silver_rules(ST.bronze_stream(spark, src, LINES), c, f"{tmp_dir}/out", f"{tmp_dir}/ck")
+    got = spark.read.parquet(f"{tmp_dir}/out")
+    assert sorted((r.k, r._dq_outcome, r[REASON]) for r in got.collect()) == [
+        ("a", "kept", None), ("b", "quarantined", "q failed validation"), ("c", "kept", None), ("zz", "quarantined", "k not in reference")
+    ]
+    with pytest.raises(ValueError):
+        ST.stream_silver_rules(ST.bronze_stream(spark, src, LINES), Contract("t", dedup_keys=["k"]), f"{tmp_dir}/o2", f"{tmp_dir}/c2")
