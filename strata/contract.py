@@ -48,9 +48,9 @@ def parse_range(col: str, spec: str) -> str:
     """
     s = spec.strip()
     q = _quote(col)
-    m = re.fullmatch(r"\s*([^.|]*?)\s*\.\.\s*([^.|]*?)\s*", s) if ".." in s and "|" not in s else None
-    if m and (m.group(1) or m.group(2)) and not re.search(r"[\s()=<>]", (m.group(1) + m.group(2)).strip()):
-        lo, hi = m.group(1), m.group(2)
+    parts = [p.strip() for p in s.split("..")] if s.count("..") == 1 and "|" not in s else None
+    if parts and (parts[0] or parts[1]) and not re.search(r"[\s()=<>']", parts[0] + parts[1]):
+        lo, hi = parts
         if lo and hi:
             return f"{q} BETWEEN {_sql_literal(lo)} AND {_sql_literal(hi)}"
         if lo:

@@ -98,3 +98,41 @@ def test_denormalise_and_small_side_join_salted_paths(spark):
         x = small_side_join(big, small, ["k"], how)
         y = small_side_join(big, small, ["k"], how, skew=SkewOptions(max_broadcast_rows=1, salt_buckets=4))
         assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0, how
+
+
+# --- property: the salted keep-first equals the plain window -----------------
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_rows = st.lists(
+    st.tuples(st.sampled_from(["h", "h", "h", "x", "y", None]), st.one_of(st.none(), st.integers(0, 3)), st.integers(0, 2)),
+    min_size=0,
+    max_size=40,
+)
+
+
+@settings(max_examples=10, deadline=None)
+@given(_rows, st.integers(1, 5), st.booleans())
+def test_property_salted_keep_first_equals_window(spark, rows, buckets, descending):
+    df = spark.createDataFrame(rows, "k string, t int, p int")
+    order = ["t", ("p", "desc")] if descending else ["t", "p"]
+    plain = window_flag_first(df, ["k"], order)
+    salted = flag_first(df, ["k"], order, skew=SkewOptions(hot_key_rows=2, max_hot_keys=2, salt_buckets=buckets))
+    a = sorted(map(tuple, plain.collect()), key=repr)
+    b = sorted(map(tuple, salted.collect()), key=repr)
+    assert a == b
+
+
+def test_classifier_with_every_skew_path_on(spark):
+    from strata.contract import Contract, Rule
+    from strata.operators.quality import classify, outcome_counts
+
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    sup = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").filter("s_acctbal >= 0")
+    c = Contract("li", dedup_keys=["l_returnflag"], dedup_order=["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+                 rules=[Rule.range("l_quantity", "5..45"), Rule.foreign_key("l_suppkey", sup, "s_suppkey")])
+    base = sorted(tuple(r) for r in outcome_counts(classify(li, c)).collect())
+    every = SkewOptions(hot_key_rows=10, max_hot_keys=2, salt_buckets=5, max_broadcast_rows=1)
+    assert sorted(tuple(r) for r in outcome_counts(classify(li, c, skew=every)).collect()) == base
+    assert dict(base)["duplicate"] == li.count() - li.select("l_returnflag").distinct().count()

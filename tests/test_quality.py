@@ -141,6 +141,9 @@ def test_parse_range_f4():
     assert parse_range("year", "1900..2100") == "`year` BETWEEN 1900 AND 2100"
     assert parse_range("s", "active|inactive|pending") == "`s` IN ('active', 'inactive', 'pending')"
     assert parse_range("uf", "01|02") == "`uf` IN ('01', '02')"
+    assert parse_range("d", "2020-01-01..2020-12-31") == "`d` BETWEEN '2020-01-01' AND '2020-12-31'"
+    assert parse_range("r", "0.5..1.5") == "`r` BETWEEN 0.5 AND 1.5"
+    assert parse_range("r", "-10 .. -1") == "`r` BETWEEN -10 AND -1"
     assert parse_range("x", "..10") == "`x` <= 10"
     assert parse_range("x", "5..") == "`x` >= 5"
     assert parse_range("x", "x % 3 = 0") == "x % 3 = 0"
