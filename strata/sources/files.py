@@ -56,6 +56,8 @@ def read_csv(
         if corrupt_column and CORRUPT not in schema.fieldNames():
             schema = schema.add(CORRUPT, T.StringType(), True)
     if dialect.preamble not in (0, None):
+        if dialect.multiline:
+            return _read_whole_with_preamble(spark, path, dialect, schema, corrupt_column, source_column)
         return _read_with_preamble(spark, path, dialect, schema, corrupt_column, source_column)
     reader = spark.read.options(**dialect.options()).option("mode", "PERMISSIVE")
     if corrupt_column:
@@ -153,6 +155,66 @@ def _read_with_preamble(
     return out.drop("_fname")
 
 
+def _read_whole_with_preamble(
+    spark: SparkSession,
+    path: str | list[str],
+    dialect: Dialect,
+    schema: T.StructType | None,
+    corrupt_column: bool,
+    source_column: str | None,
+) -> DataFrame:
+    """S3/S4 for files whose quoted fields hold line breaks.
+
+    Such files cannot be split, so each is read whole (one task per file),
+    decoded from its bytes, and its title lines and header are cut off in
+    Spark (a fixed count, or the header rule over the file's lines). The
+    remaining records are staged as text in the shared scratch folder,
+    one folder per source file, and parsed by the multi-line CSV reader,
+    which keeps quoted line breaks; the folder gives each row its file.
+    """
+    from strata.session import scratch_dir
+
+    enc = canonical_encoding(dialect.encoding)
+    docs = spark.read.text(path, wholetext=True)
+    text = F.decode(F.col("value").cast("binary"), enc) if enc != "UTF-8" else F.col("value")
+    lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
+    if dialect.preamble == "auto":
+        flags = F.transform(lines, lambda ln: F.coalesce(header_candidate(_first_cell(ln, dialect)), F.lit(False)))
+        hdr = F.array_position(flags, True)
+    else:
+        hdr = F.lit(int(dialect.preamble) + 1).cast("long")
+    staged = docs.select(
+        F.col("_metadata.file_name").alias("_src"),
+        F.element_at(lines, hdr.cast("int")).alias("_header"),
+        F.array_join(F.slice(lines, (hdr + 1).cast("int"), F.greatest(F.size(lines) - hdr, F.lit(0)).cast("int")), "\n").alias("value"),
+    ).where(hdr > 0)
+    first = staged.select("_header").limit(1).first()
+    if first is None:
+        raise ValueError(f"no header row found in {path}")
+    names = _split_header(first["_header"], dialect)
+    if schema is None:
+        schema = _string_schema(names)
+        if corrupt_column:
+            schema = schema.add(CORRUPT, T.StringType(), True)
+    tmp = scratch_dir(spark, "whole-csv")
+    staged.select("value", "_src").write.partitionBy("_src").text(tmp)
+    reader = (
+        spark.read.option("sep", dialect.sep)
+        .option("quote", dialect.quote)
+        .option("escape", dialect.escape)
+        .option("header", "false")
+        .option("multiLine", "true")
+        .option("mode", "PERMISSIVE")
+        .schema(schema.add("_src", T.StringType(), True))
+    )
+    if corrupt_column:
+        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+    out = reader.csv(tmp)
+    if source_column:
+        return out.withColumnRenamed("_src", source_column)
+    return out.drop("_src")
+
+
 def detect_header_rows(spark: SparkSession, path: str, dialect: Dialect = Dialect()) -> DataFrame:
     """S4 on its own: (file, header_line) — 1-based line number of the header."""
     lines = spark.read.text(path).select(
@@ -217,7 +279,7 @@ def read_dir(
 
 def read_text(spark: SparkSession, path: str, *, whole: bool = False, source_column: str | None = None) -> DataFrame:
     """Text kept as text (one row per line, or per file with ``whole``)."""
-    df = spark.read.option("wholetext", str(whole).lower()).text(path)
+    df = spark.read.text(path, wholetext=whole)
     if source_column:
         df = df.withColumn(source_column, F.col("_metadata.file_name"))
     return df

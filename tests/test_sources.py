@@ -148,3 +148,25 @@ def test_ctas_and_register(spark, tmp_dir):
     assert sorted(r.name for r in t2.collect()) == ["a", "b"]
     spark.sql("DROP TABLE IF EXISTS strata_ctas_t")
     spark.sql("DROP TABLE IF EXISTS strata_ext_t")
+
+
+def test_title_lines_with_quoted_line_breaks(spark, tmp_dir):
+    body = 'D1C;D1N;V\r\n"33";"Rio de\r\nJaneiro";"10"\r\n"35";"São Paulo";"20"\r\n'
+    long_title = "Tabela 1 - População residente estimada, por unidade da federação e ano"  # over 60 characters
+    for name, titles in (("a.csv", long_title + "\r\n\r\n2024\r\n"), ("b.csv", long_title + "\r\nnan\r\n2023\r\n")):
+        with open(f"{tmp_dir}/{name}", "wb") as fh:
+            fh.write((titles + body).encode("iso-8859-1"))
+    for pre in (3, "auto"):
+        d = Dialect(sep=";", encoding="latin-1", preamble=pre, multiline=True)
+        rows = S.read_csv(spark, tmp_dir, d, source_column="source_file").collect()
+        assert sorted((r.source_file, r.D1C, r.D1N, r.V) for r in rows) == sorted(
+            [(f, "33", "Rio de\nJaneiro", "10") for f in ("a.csv", "b.csv")] + [(f, "35", "São Paulo", "20") for f in ("a.csv", "b.csv")]
+        ), pre
+
+
+def test_read_text_whole_files(spark, tmp_dir):
+    for n in ("a", "b"):
+        with open(f"{tmp_dir}/{n}.txt", "w") as fh:
+            fh.write("line 1\nline 2\n")
+    assert S.read_text(spark, tmp_dir).count() == 4
+    assert S.read_text(spark, tmp_dir, whole=True).count() == 2
