@@ -177,17 +177,23 @@ def _read_whole_with_preamble(
     enc = canonical_encoding(dialect.encoding)
     docs = spark.read.text(path, wholetext=True)
     text = F.decode(F.col("value").cast("binary"), enc) if enc != "UTF-8" else F.col("value")
-    lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
     if dialect.preamble == "auto":
-        flags = F.transform(lines, lambda ln: F.coalesce(header_candidate(_first_cell(ln, dialect)), F.lit(False)))
-        hdr = F.array_position(flags, True)
+        # the header rule over every line (the file is in memory anyway)
+        all_lines = F.split(text, "\n")
+        flags = F.transform(
+            all_lines, lambda ln: F.coalesce(header_candidate(_first_cell(F.regexp_replace(ln, "\r$", ""), dialect)), F.lit(False))
+        )
+        hdr = F.array_position(flags, True).cast("int")
     else:
-        hdr = F.lit(int(dialect.preamble) + 1).cast("long")
+        hdr = F.lit(int(dialect.preamble) + 1)
+    # cut at the header's line break only: the records after it stay byte
+    # for byte as written (line breaks inside quoted values included)
+    parts = F.split(text, "\n", hdr + 1)
     staged = docs.select(
         F.col("_metadata.file_name").alias("_src"),
-        F.element_at(lines, hdr.cast("int")).alias("_header"),
-        F.array_join(F.slice(lines, (hdr + 1).cast("int"), F.greatest(F.size(lines) - hdr, F.lit(0)).cast("int")), "\n").alias("value"),
-    ).where(hdr > 0)
+        F.regexp_replace(F.try_element_at(parts, hdr), "\r$", "").alias("_header"),
+        F.try_element_at(parts, hdr + 1).alias("value"),
+    ).where((hdr > 0) & F.col("value").isNotNull())
     first = staged.select("_header").limit(1).first()
     if first is None:
         raise ValueError(f"no header row found in {path}")
