@@ -160,7 +160,8 @@ def test_title_lines_with_quoted_line_breaks(spark, tmp_dir):
         d = Dialect(sep=";", encoding="latin-1", preamble=pre, multiline=True)
         rows = S.read_csv(spark, tmp_dir, d, source_column="source_file").collect()
         assert sorted((r.source_file, r.D1C, r.D1N, r.V) for r in rows) == sorted(
-            [(f, "33", "Rio de\nJaneiro", "10") for f in ("a.csv", "b.csv")]  # as the multi-line reader gives it + [(f, "35", "São Paulo", "20") for f in ("a.csv", "b.csv")]
+            # the multi-line reader gives a quoted line break as "\n"
+            [(f, "33", "Rio de\nJaneiro", "10") for f in ("a.csv", "b.csv")] + [(f, "35", "São Paulo", "20") for f in ("a.csv", "b.csv")]
         ), pre
 
 
