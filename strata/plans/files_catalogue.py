@@ -78,7 +78,8 @@ def _orders_for_text(spark: SparkSession, d: str) -> DataFrame:
 def write_with_titles(df: DataFrame, path: str, dialect: Dialect, titles: list[str], files: int = 4) -> None:
     """Write ``df`` as delimited text, each file starting with ``titles`` and a header."""
     header = dialect.sep.join(df.columns)
-    lines = df.repartition(files).select(F.to_csv(F.struct(*df.columns), {"sep": dialect.sep}).alias("value"))
+    opts = {"sep": dialect.sep, "quote": dialect.quote, "escape": dialect.escape}
+    lines = df.repartition(files).select(F.to_csv(F.struct(*df.columns), opts).alias("value"))
     block = list(titles) + [header]
 
     def prepend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,6 +117,16 @@ def s4_header_detect(spark: SparkSession, d: str) -> DataFrame:
     return S.read_csv(spark, path, Dialect(sep="|", preamble="auto"), ORDER_SCHEMA)
 
 
+def s3_multiline_preamble(spark: SparkSession, d: str) -> DataFrame:
+    """Title lines above the header in files whose quoted fields hold
+    line breaks and quotes (whole document texts)."""
+    path = scratch_dir(spark, "s3m")
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    write_with_titles(docs, path, Dialect(sep=";"), TITLE_LINES)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("text", T.StringType())])
+    return S.read_csv(spark, path, Dialect(sep=";", preamble=3, multiline=True), schema)
+
+
 def s5_json_lines(spark: SparkSession, d: str) -> DataFrame:
     """JSON lines round trip."""
     path = scratch_dir(spark, "s5")
@@ -386,6 +397,7 @@ FILE_QUERIES: dict[str, Query] = {
     "s1_csv_latin1_semicolon": s1_csv_latin1_semicolon,
     "s3_preamble_skip": s3_preamble_skip,
     "s4_header_detect": s4_header_detect,
+    "s3_multiline_preamble": s3_multiline_preamble,
     "s5_json_lines": s5_json_lines,
     "s6_payload_unwrap": s6_payload_unwrap,
     "s9_dir_source_file": s9_dir_source_file,
@@ -414,6 +426,7 @@ FILE_ORACLE: dict[str, str] = {
     "s1_csv_latin1_semicolon": "SELECT c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment FROM customer",
     "s3_preamble_skip": _ORDERS_TEXT,
     "s4_header_detect": _ORDERS_TEXT,
+    "s3_multiline_preamble": "SELECT doc_id,lang,text FROM documents",
     "s5_json_lines": "SELECT event_id,ts,user_id,event_type,value,props FROM events",
     "s6_payload_unwrap": "SELECT c_custkey,c_name,c_acctbal FROM customer",
     "s9_dir_source_file": "SELECT o_orderkey,true AS has_source FROM orders",
