@@ -7,9 +7,12 @@ helpers only fill in settings that are unset, so a cluster's own choices
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -49,6 +52,7 @@ def local_session(
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -84,6 +88,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return str(current)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (once per context), so Python
+    tasks can import it wherever the driver was started from."""
+    sc = _context(spark)
+    if sc is None or getattr(sc, "_strata_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    digest = hashlib.sha1(held.getvalue()).hexdigest()[:12]
+    local = os.path.join(tempfile.mkdtemp(prefix="strata-ship-"), f"strata-{digest}.zip")
+    with open(local, "wb") as f:
+        f.write(held.getvalue())
+    sc.addPyFile(local)  # Spark copies it to every executor
+    sc._strata_shipped = True
+
+
 def _context(spark: SparkSession):  # noqa: ANN202
     """The SparkContext when the session has one (not under Spark Connect)."""
     try:

@@ -29,10 +29,11 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    from strata.session import configure, ensure_checkpoint_dir
+    from strata.session import configure, ensure_checkpoint_dir, ship_package
 
     configure(s)
     ensure_checkpoint_dir(s)
+    ship_package(s)
     yield s
     s.stop()
 
