@@ -62,7 +62,7 @@ class JoinOptions:
     target_recall: float = 0.999
     max_hashes: int = 128
     # Size of a block of a large bucket; a unit holds two blocks.
-    block_classes: int = 512
+    block_classes: int = 256
     block_bytes: int = 4 << 20
 
 

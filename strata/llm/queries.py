@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import quality_rules, toxicity, weak_quality
 from .ngram_join import near_duplicates
 
 
@@ -23,8 +25,41 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts and the verdict of the calibrated n-gram classifier."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_rules.train(docs, _table(spark, sf_dir, "labels"))
+    out = quality_rules.apply_rules(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", *quality_rules.COUNTS, "base_failed", "quality", "kept")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak label and verdict of the scorer it trains, for every document."""
+    docs = _table(spark, sf_dir, "documents")
+    out = weak_quality.classify(docs.select("doc_id", "text"), weak_quality.train(docs))
+    return out.select("doc_id", "weak_label", "quality", F.col("good").alias("kept"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, at the fixed cut and by language."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs.select("doc_id", "text", "lang"), model)
+    return out.select(
+        "doc_id",
+        (~toxicity.learnable()).alias("held_out"),
+        F.col("toxicity_score").alias("score"),
+        (F.col("toxicity_score") >= 0.3).cast("int").alias("predicted"),
+        "toxicity_threshold",
+        "toxic",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE: dict[str, str] = {}
