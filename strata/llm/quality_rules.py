@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import kept_columns, only, with_types
 from .linear import LinearModel, fit_linear, probabilities, raw_scores
 from .textops import NOT_SPACE, gram_hash, mix64, row_slices, texts_of, word_hash, words_of
 from .toxicity import platt, training_rows
@@ -137,9 +138,8 @@ def apply_rules(docs: DataFrame, model: LinearModel, opt: QualityOptions = DEFAU
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     added = (*COUNTS, "base_failed", "quality", "kept")
-    keep = [c for c in docs.columns if c not in added]
-    src = docs.select(*[F.col(f"`{c}`") for c in keep])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
+    keep = kept_columns(docs, added)
+    src = only(docs, keep)
     threshold = opt.threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,4 +157,4 @@ def apply_rules(docs: DataFrame, model: LinearModel, opt: QualityOptions = DEFAU
             )
 
     types = ", ".join(f"{c} bigint" for c in COUNTS) + ", base_failed boolean, quality double, kept boolean"
-    return src.withColumn("__text", docs["text"].cast("binary")).mapInArrow(run, f"{fields}, {types}")
+    return src.withColumn("__text", docs["text"].cast("binary")).mapInArrow(run, with_types(src.schema, types))

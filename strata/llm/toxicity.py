@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import kept_columns, only, with_types
 from .textops import mix64, prefix_codes, row_slices, span_hash, texts_of, words_of
 
 _PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -340,10 +341,9 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     added = ("toxicity_score", "toxicity_threshold", "toxic")
-    keep = [c for c in docs.columns if c not in added]
-    src = docs.select(*[F.col(f"`{c}`") for c in keep])
+    keep = kept_columns(docs, added)
+    src = only(docs, keep)
     lang = F.col("lang").cast("string") if "lang" in keep else F.lit(None).cast("string")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
     wide = src.withColumn("__lang", lang).withColumn("__text", F.col("text").cast("binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,4 +357,4 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 names=[*keep, *added],
             )
 
-    return wide.mapInArrow(run, f"{fields}, toxicity_score double, toxicity_threshold double, toxic boolean")
+    return wide.mapInArrow(run, with_types(src.schema, "toxicity_score double, toxicity_threshold double, toxic boolean"))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import kept_columns, only, with_types
 from .linear import LinearModel, fit_linear, probabilities, raw_scores
 from .quality_rules import text_counts
 from .textops import texts_of
@@ -211,9 +212,8 @@ def classify(docs: DataFrame, model: WeakModel, opt: WeakOptions = DEFAULT) -> D
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     added = ("weak_label", "quality", "good")
-    keep = [c for c in docs.columns if c not in added]
-    src = docs.select(*[F.col(f"`{c}`") for c in keep])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
+    keep = kept_columns(docs, added)
+    src = only(docs, keep)
     threshold = opt.threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,5 +229,5 @@ def classify(docs: DataFrame, model: WeakModel, opt: WeakOptions = DEFAULT) -> D
             )
 
     return src.withColumn("__text", docs["text"].cast("binary")).mapInArrow(
-        run, f"{fields}, weak_label double, quality double, good boolean"
+        run, with_types(src.schema, "weak_label double, quality double, good boolean")
     )
