@@ -12,19 +12,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, toxicity, weak_quality
+from . import quality_rules, queries_sql, toxicity, weak_quality
+from .bpe import encode_documents
+from .decontaminate import find_contamination
 from .ngram_join import near_duplicates
+from .token_counts import token_counts
+from .url_filter import judge_urls
+
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public vocabulary files' package keeps one (on every node)."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at Jaccard 0.8 or more over word 5-grams, one row per document."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a window of a benchmark item."""
+    found = find_contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and the verdict of the calibrated n-gram classifier."""
     docs = _table(spark, sf_dir, "documents")
@@ -33,6 +65,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.COUNTS, "base_failed", "quality", "kept")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text under the word-end BPE vocabulary."""
+    out = token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return out.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"),
+        "n_tokens",
+        (F.col("n_tokens") > 2048).alias("over_limit"),
+    )
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak label and verdict of the scorer it trains, for every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -40,6 +83,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "weak_label", "quality", F.col("good").alias("kept"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allow or block verdict of every page's url."""
+    out = judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, at the fixed cut and by language."""
     docs = _table(spark, sf_dir, "documents")
@@ -55,11 +104,25 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every whole text and of what they decode to."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode_documents(docs, tokenizer_path(), ids=False, digests=True)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op6_token_counts": op6_token_counts,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
+    "op10_bpe": op10_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_decontamination": queries_sql.OP4,
+    "op8_url_filter": queries_sql.OP8,
+}
