@@ -12,12 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
 from . import quality_rules, queries_sql, toxicity, weak_quality
 from .bpe import encode_documents
 from .decontaminate import find_contamination
 from .ngram_join import near_duplicates
 from .token_counts import token_counts
 from .url_filter import judge_urls
+from .warc import archive_pages, read_records
 
 URL_RULES = [
     ("allow", "com", "/"),
@@ -39,6 +41,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC, normalised, and read back through the index."""
+    index = archive_pages(_table(spark, sf_dir, "pages"), scratch_dir(spark, "warc"))
+    out = read_records(index, payloads=False)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at Jaccard 0.8 or more over word 5-grams, one row per document."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
@@ -112,6 +121,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
@@ -123,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_warc": queries_sql.OP1,
     "op4_decontamination": queries_sql.OP4,
     "op8_url_filter": queries_sql.OP8,
 }
