@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_dir
 from . import quality_rules, queries_sql, toxicity, weak_quality
 from .bpe import encode_documents
+from .chat import render_perspectives
 from .decontaminate import find_contamination
 from .ngram_join import near_duplicates
 from .token_counts import token_counts
@@ -48,6 +49,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from each participant's side, with learning masks."""
+    return render_perspectives(_table(spark, sf_dir, "conversations"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at Jaccard 0.8 or more over word 5-grams, one row per document."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
@@ -122,6 +128,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_chat_rotation": op2_chat_rotation,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
@@ -134,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_warc": queries_sql.OP1,
+    "op2_chat_rotation": queries_sql.OP2,
     "op4_decontamination": queries_sql.OP4,
     "op8_url_filter": queries_sql.OP8,
 }

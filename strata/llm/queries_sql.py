@@ -54,3 +54,26 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN best END AS refers_to
 FROM d LEFT JOIN b USING (payload_digest)
 """
+
+OP2 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations GROUP BY ALL),
+p AS (SELECT DISTINCT conv_id AS p_conv, role AS perspective FROM t WHERE role <> 'system'),
+s AS (
+  SELECT conv_id, perspective, turn, role, text, md5(role || chr(0) || text) AS tie,
+    CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
+      ELSE '<|user:' || role || '|>' END || chr(10) AS head
+  FROM t JOIN p ON conv_id IS NOT DISTINCT FROM p_conv),
+o AS (
+  SELECT *, length(head) + length(text) + 1 AS size,
+    sum(length(head) + length(text) + 1) OVER (
+      PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, tie, role, text ROWS UNBOUNDED PRECEDING) AS upto
+  FROM s),
+b AS (SELECT *, upto - size AS start, CAST(floor((upto - size) / 1000000) AS BIGINT) AS block FROM o)
+SELECT conv_id, perspective, block, count(*) AS n_turns, CAST(min(start) AS BIGINT) AS start,
+  string_agg(head || text || chr(10), '' ORDER BY start) AS text,
+  coalesce(string_agg(CAST(start + length(head) AS BIGINT) || '-' || CAST(upto AS BIGINT), ',' ORDER BY start)
+    FILTER (WHERE role = perspective), '') AS mask
+FROM b GROUP BY conv_id, perspective, block
+"""
