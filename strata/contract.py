@@ -128,15 +128,15 @@ class Contract:
 
     ``schema`` is the target (coerced) schema; ``coercers`` overrides the
     cast per column; ``rename`` maps source to target names before casting.
-    ``dedup_order`` lists order columns for keep-first (oldest first by
-    default); a deterministic row hash breaks remaining ties.
+    ``dedup_order`` lists order columns for keep-first (by default the
+    ingestion date, where there is one; oldest first); a deterministic row hash breaks remaining ties.
     """
 
     slug: str
     schema: T.StructType | None = None
     primary_keys: list[str] = field(default_factory=list)
     dedup_keys: list[str] = field(default_factory=list)
-    dedup_order: list[Column | str] = field(default_factory=lambda: ["ingestion_date"])
+    dedup_order: list[Column | str] | None = None
     required_columns: list[str] = field(default_factory=list)
     rules: list[Rule] = field(default_factory=list)
     rename: dict[str, str] = field(default_factory=dict)

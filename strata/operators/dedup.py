@@ -1,16 +1,18 @@
 """Keep-first deduplication (inventory W1, Q3) that survives hot keys.
 
-The plain form is ``row_number() over (partition by keys order by ..)``:
-one shuffle, but every row of a key lands in one task, so a key holding a
-third of the input would stall the job. Here keys are first counted with a
-partial (map-side combined) aggregate; the few keys above a row bound
-(at most ``max_hot_keys``, so the set is bounded) are broadcast as a
-"hot" set, and their rows are spread
-over ``salt_buckets`` window partitions. Each salt bucket yields one local
-first row; the global first among those candidates is found with a
-tiny aggregate over the hot rows, broadcast back. Ordinary keys keep the
-one-shuffle window, and when no key is hot the plan is exactly the plain
-window. Results are identical to the plain window.
+One plan for every size: ``min(struct(order, tie-break, row id))`` per key
+is an aggregate that Spark combines map-side, so a key with a third of all
+rows, identical ones included, is one row per task before the shuffle. The
+winners are joined back and a row is first when it equals its key's
+winner. The join is null-safe; adaptive execution splits its skewed
+partitions. No count, cap or salt decides anything, and no job runs while
+the plan is built.
+
+The row id tells identical rows apart. Rows of stored Parquet have one:
+file path and row index. Frames without one are first counted by their
+whole content (again combined map-side), so each distinct row is there
+once; copies come back from the count, and only the first of them is
+first.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
-from strata.operators.skew import DEFAULT_SKEW, SkewOptions, row_hash
+from strata.operators.skew import null_safe_on, row_hash
 
 OrderSpec = Sequence[str | tuple[str, str]]
 
@@ -37,7 +40,7 @@ def _normalised_order(df: DataFrame, order: OrderSpec) -> list[Column]:
     for item in order:
         name, direction = (item, "asc") if isinstance(item, str) else item
         if name not in df.columns:
-            continue
+            raise ValueError(f"order column {name!r} is not in the frame")
         c = F.col(f"`{name}`")
         if direction.lower() == "asc":
             out.append(c)
@@ -55,6 +58,11 @@ def _normalised_order(df: DataFrame, order: OrderSpec) -> list[Column]:
     return out
 
 
+def default_order(df: DataFrame) -> list[str]:
+    """Oldest ingestion first, where the frame has that column."""
+    return ["ingestion_date"] if "ingestion_date" in df.columns else []
+
+
 def tie_break_hash(df: DataFrame, keys: Sequence[str], order: OrderSpec, tie_break: str | Sequence[str]) -> Column:
     """The last sort field of keep-first.
 
@@ -73,6 +81,18 @@ def tie_break_hash(df: DataFrame, keys: Sequence[str], order: OrderSpec, tie_bre
     return F.xxhash64(*cols) if cols else F.lit(0).cast("long")
 
 
+def _row_id(df: DataFrame) -> Column | None:
+    """File path and row index, where the frame still knows them."""
+    if "_metadata" in df.columns:
+        return None  # a column of the data, not the scan's
+    rid = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    try:
+        df.select(rid).schema  # noqa: B018 - analysis only, no job
+    except AnalysisException:
+        return None
+    return rid
+
+
 def flag_first(
     df: DataFrame,
     keys: Sequence[str],
@@ -80,90 +100,58 @@ def flag_first(
     *,
     alive: Column | None = None,
     out: str = "_is_first",
-    skew: SkewOptions = DEFAULT_SKEW,
     tie_break: str | Sequence[str] = "row",
+    clustered: bool = False,
 ) -> DataFrame:
     """Add boolean ``out``: true on the one row kept per key, false on the others.
 
     ``order`` sorts rows inside a key (first wins); a hash (see
     ``tie_break_hash``) breaks remaining ties, so the choice is
     deterministic. Rows where ``alive`` is false take no part and get null.
-    Exactly one row per key is first whatever the tie-break.
+    Null key values count as equal. Exactly one living row per key is first
+    whatever the tie-break.
+
+    ``clustered``: the frame lies bucketed by ``keys`` (see
+    ``write_bronze_bucketed``), so a window ranks it in place, unshuffled.
     """
     keys = list(keys)
     if not keys:
         raise ValueError("dedup needs at least one key column")
-    base_cols = df.columns
     ordf = _normalised_order(df, order)
+    if clustered:
+        return _ranked_in_place(df, keys, ordf, alive, out, tie_break_hash(df, keys, order, tie_break))
+    names = df.columns
+    rid = _row_id(df)
     b = df.withColumn("_tb", tie_break_hash(df, keys, order, tie_break))
-    part = [F.col(f"`{k}`") for k in keys]
-    if alive is not None:
-        b = b.withColumn("_alive", F.coalesce(alive, F.lit(False)))
-        part.append(F.col("_alive"))
-
-    # Hot keys: exact counts by a partial aggregate; at most max_hot_keys of
-    # them (the heaviest) reach the driver, so the set has a proven bound.
-    hot_rows = hot_keys(b, keys, skew)
-    if not hot_rows:
-        w = Window.partitionBy(*part).orderBy(*ordf, F.col("_tb"))
-        first = F.row_number().over(w) == 1
-        if alive is not None:
-            first = F.when(F.col("_alive"), first)
-        return b.select(*[F.col(f"`{c}`") for c in base_cols], first.alias(out))
-    spark = df.sparkSession
-    hot_schema = T.StructType(
-        [T.StructField(f"_hk{i}", df.schema[k].dataType, True) for i, k in enumerate(keys)]
-    )
-    hot = spark.createDataFrame([tuple(r) for r in hot_rows], hot_schema).withColumn("_hot", F.lit(True))
-    cond = None
-    for i, k in enumerate(keys):
-        c = b[f"`{k}`"].eqNullSafe(hot[f"_hk{i}"])
-        cond = c if cond is None else cond & c
-    b = b.join(F.broadcast(hot), cond, "left").drop(*[f"_hk{i}" for i in range(len(keys))])
-    b = b.withColumn("_hot", F.coalesce(F.col("_hot"), F.lit(False)))
-    # the salt spreads a hot key by the hash of the whole row, so rows that
-    # tie on key and order still split across tasks
-    spread = row_hash(df)
-    b = b.withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(skew.salt_buckets))).otherwise(F.lit(0)).cast("int")
+    live = F.lit(True) if alive is None else F.coalesce(alive, F.lit(False))
+    b = b.withColumn("_alive", live)
+    if rid is not None:
+        b = b.withColumn("_rid", rid)
+    else:
+        # identical rows become one row with a count
+        b = b.groupBy(*[F.col(f"`{c}`") for c in names], "_tb", "_alive").agg(F.count(F.lit(1)).alias("_copies"))
+        b = b.withColumn("_rid", F.struct(*[F.col(f"`{c}`") for c in names]))
+    place = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(ordf)], F.col("_tb").alias("_otb"), F.col("_rid").alias("_orid"))
+    winners = (
+        b.where("_alive")
+        .groupBy(*[F.col(f"`{k}`").alias(f"_wk{i}") for i, k in enumerate(keys)])
+        .agg(F.min(place).alias("_win"))
     )
+    on = null_safe_on([(b[f"`{k}`"], winners[f"_wk{i}"]) for i, k in enumerate(keys)])
+    first = F.when(F.col("_alive"), place == F.col("_win"))
+    joined = b.join(winners, on, "left").withColumn(out, first)
+    if rid is None:
+        joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
+        joined = joined.withColumn(out, F.col(out) & (F.col("_copy") == 1))
+    return joined.select(*[F.col(f"`{c}`") for c in names], out)
 
-    w = Window.partitionBy(*part, F.col("_salt")).orderBy(*ordf, F.col("_tb"), F.col("_salt"))
-    ranked = b.withColumn("_rn", F.row_number().over(w))
 
-    # Winner of each hot key: min over its rows of (order, hash, salt).
-    ostruct = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(ordf)], F.col("_tb").alias("_otb"), F.col("_salt").alias("_os"))
-    hot_part = b.filter(F.col("_hot"))
-    if alive is not None:
-        hot_part = hot_part.filter(F.col("_alive"))
-    winners = (
-        hot_part.groupBy(*[F.col(f"`{k}`").alias(f"_wk{i}") for i, k in enumerate(keys)])
-        .agg(F.min(ostruct).alias("_win"))
-    )
-    wcond = None
-    for i, k in enumerate(keys):
-        c = ranked[f"`{k}`"].eqNullSafe(winners[f"_wk{i}"])
-        wcond = c if wcond is None else wcond & c
-    # winners has at most max_hot_keys rows, so broadcasting it is bounded.
-    joined = ranked.join(F.broadcast(winners), wcond, "left")
-    first = (F.col("_rn") == 1) & (~F.col("_hot") | (ostruct == F.col("_win")))
-    if alive is not None:
-        first = F.when(F.col("_alive"), first)
-    return joined.select(*[F.col(f"`{c}`") for c in base_cols], first.alias(out))
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], skew: SkewOptions = DEFAULT_SKEW) -> list:
-    """Keys holding more than ``skew.hot_key_rows`` rows, heaviest first.
-
-    Exact counts from a partial (map-side combined) aggregate; at most
-    ``skew.max_hot_keys`` key tuples are returned, so the list is bounded
-    whatever the data. Keys beyond the cap stay exact on the plain path.
-    (A row-bound pre-check would not be cheaper: a limit applies per task,
-    so on a large input it reads as much as this aggregate's scan.)
-    """
-    counts = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-    top = counts.filter(F.col("_n") > skew.hot_key_rows).orderBy(F.desc("_n")).limit(skew.max_hot_keys)
-    return [tuple(r[k] for k in keys) for r in top.collect()]
+def _ranked_in_place(df: DataFrame, keys: list[str], ordf: list[Column], alive: Column | None, out: str, tie: Column) -> DataFrame:
+    live = F.lit(True) if alive is None else F.coalesce(alive, F.lit(False))
+    # the dead sort behind the living, so the first living row is number one
+    w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(F.col("_dead"), *ordf, F.col("_tb"))
+    b = df.withColumn("_tb", tie).withColumn("_dead", ~live)
+    return b.withColumn(out, F.when(~F.col("_dead"), F.row_number().over(w) == 1)).drop("_tb", "_dead")
 
 
 def window_flag_first(
@@ -179,9 +167,8 @@ def window_flag_first(
 def dedup(
     df: DataFrame,
     keys: Sequence[str],
-    order: OrderSpec = ("ingestion_date",),
+    order: OrderSpec | None = None,
     *,
-    skew: SkewOptions = DEFAULT_SKEW,
     tie_break: str | Sequence[str] = "row",
 ) -> tuple[DataFrame, DataFrame]:
     """(kept, duplicates) — first row per key kept, the rest returned apart.
@@ -190,7 +177,7 @@ def dedup(
     (``strata.sinks.write_split``) when both are materialised, so the
     shuffle runs once.
     """
-    flagged = flag_first(df, keys, order, skew=skew, tie_break=tie_break)
+    flagged = flag_first(df, keys, default_order(df) if order is None else order, tie_break=tie_break)
     kept = flagged.filter(F.col("_is_first")).drop("_is_first")
     dups = flagged.filter(~F.col("_is_first")).drop("_is_first").withColumn(
         "_dq_failure_reason", F.lit("duplicate")

@@ -1,9 +1,8 @@
 """Joins against reference tables (inventory J1-J6, P13, A14).
 
-Reference tables are small in the template, but at scale nothing is
-assumed: a side is broadcast only after ``bounded`` proves its size; beyond
-that the join is a shuffle join whose reference side is replicated over
-``salt_buckets`` so a hot key on the big side is split across tasks.
+All are one plain left join on distinct or unique keys. Whether the
+reference is broadcast is Spark's choice, by its size in bytes; otherwise
+adaptive execution splits the skewed partitions of the big side.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators.skew import DEFAULT_SKEW, SkewOptions, bounded, row_hash
+from strata.operators.skew import null_safe_on
 
 
 def key_set(ref: DataFrame, column: str, alias: str = "_ref_key") -> DataFrame:
@@ -21,75 +20,45 @@ def key_set(ref: DataFrame, column: str, alias: str = "_ref_key") -> DataFrame:
     return ref.select(F.col(f"`{column}`").alias(alias)).where(F.col(alias).isNotNull()).distinct()
 
 
-def lookup_hit(
-    df: DataFrame,
-    column: str,
-    ref: DataFrame,
-    ref_column: str,
-    hit: str = "_ref_hit",
-    *,
-    skew: SkewOptions = DEFAULT_SKEW,
-) -> DataFrame:
+def lookup_hit(df: DataFrame, column: str, ref: DataFrame, ref_column: str, hit: str = "_ref_hit") -> DataFrame:
     """Add boolean ``hit``: does ``df[column]`` occur in ``ref[ref_column]``?
 
-    Single pass; every input row comes out once (the key side is distinct).
+    Single pass; every input row comes out once (the key side is distinct),
+    and a null never hits.
     """
     keys = key_set(ref, ref_column, "_ref_key")
-    if bounded(ref.select(ref_column), skew.max_broadcast_rows):
-        j = df.join(F.broadcast(keys), df[f"`{column}`"] == keys["_ref_key"], "left")
-        return j.withColumn(hit, F.col("_ref_key").isNotNull()).drop("_ref_key")
-    # Shuffle path: replicate the (distinct) keys over the salt buckets and
-    # give each big-side row a salt from its hash, so a hot key is split.
-    s = skew.salt_buckets
-    salted_keys = keys.withColumn("_ref_salt", F.explode(F.sequence(F.lit(0), F.lit(s - 1))))
-    big = df.withColumn("_row_salt", F.pmod(row_hash(df), F.lit(s)).cast("int"))
-    cond = (big[f"`{column}`"] == salted_keys["_ref_key"]) & (big["_row_salt"] == salted_keys["_ref_salt"])
-    j = big.join(salted_keys, cond, "left")
-    return j.withColumn(hit, F.col("_ref_key").isNotNull()).drop("_ref_key", "_ref_salt", "_row_salt")
-
-
-def small_side_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    *,
-    skew: SkewOptions = DEFAULT_SKEW,
-    known_rows: int | None = None,
-) -> DataFrame:
-    """Equi-join a big frame to a side expected to be small (a lookup).
-
-    ``known_rows`` is an upper bound on ``small``'s rows known without a
-    job (e.g. one row per input file); otherwise ``bounded`` checks it.
-    Broadcast when ``small`` is proven below ``max_broadcast_rows``;
-    otherwise ``small`` is replicated over ``salt_buckets`` and each big
-    row takes one salt from its hash, so no key of ``big`` — however hot —
-    lands in a single task. Valid for ``inner``/``left``/``left_semi``/
-    ``left_anti`` with ``big`` on the left; the output equals the plain join.
+    j = df.join(keys, null_safe_on([(df[f"`{column}`"], keys["_ref_key"])]), "left")
+    return j.withColumn(hit, F.col("_ref_key").isNotNull()).drop("_ref_key")
+
+
+# A lookup with one row per input file is broadcast up to so many files
+# (some tens of MB); the number comes from the scan's own listing.
+MAX_BROADCAST_FILES = 100_000
+
+
+def file_lookup(big: DataFrame, per_file: DataFrame, on: str, how: str, files: int) -> DataFrame:
+    """Join rows read from files to a frame with one row per file.
+
+    Broadcast within ``MAX_BROADCAST_FILES``, so the rows are not shuffled;
+    beyond it a plain join, whose skewed partitions (large files) adaptive
+    execution splits.
     """
-    keys = list(on)
-    small_enough = known_rows <= skew.max_broadcast_rows if known_rows is not None else bounded(small, skew.max_broadcast_rows)
-    if small_enough:
-        return big.join(F.broadcast(small), keys, how)
-    s = skew.salt_buckets
-    rep = small.withColumn("_jsalt", F.explode(F.sequence(F.lit(0), F.lit(s - 1))))
-    salted = big.withColumn("_jsalt", F.pmod(row_hash(big), F.lit(s)).cast("int"))
-    return salted.join(rep, keys + ["_jsalt"], how).drop("_jsalt")
+    return big.join(F.broadcast(per_file) if files <= MAX_BROADCAST_FILES else per_file, on, how)
 
 
-def fk_orphans(df: DataFrame, column: str, ref: DataFrame, ref_column: str | None = None, *, skew: SkewOptions = DEFAULT_SKEW) -> DataFrame:
+def fk_orphans(df: DataFrame, column: str, ref: DataFrame, ref_column: str | None = None) -> DataFrame:
     """Rows whose key is not in the reference (null keys included)."""
     return (
-        lookup_hit(df, column, ref, ref_column or column, "_ref_hit", skew=skew)
+        lookup_hit(df, column, ref, ref_column or column, "_ref_hit")
         .filter(~F.col("_ref_hit"))
         .drop("_ref_hit")
     )
 
 
-def fk_valid(df: DataFrame, column: str, ref: DataFrame, ref_column: str | None = None, *, skew: SkewOptions = DEFAULT_SKEW) -> DataFrame:
+def fk_valid(df: DataFrame, column: str, ref: DataFrame, ref_column: str | None = None) -> DataFrame:
     """Rows whose key is in the reference."""
     return (
-        lookup_hit(df, column, ref, ref_column or column, "_ref_hit", skew=skew)
+        lookup_hit(df, column, ref, ref_column or column, "_ref_hit")
         .filter(F.col("_ref_hit"))
         .drop("_ref_hit")
     )
@@ -108,37 +77,22 @@ def denormalise(
     how: str = "left",
     *,
     ref_on: str | Sequence[str] | None = None,
-    skew: SkewOptions = DEFAULT_SKEW,
 ) -> DataFrame:
     """Left join a reference table, keeping ``columns`` of it.
 
     ``on`` names the key on ``df``; ``ref_on`` the key on ``ref`` when it
-    is named differently. The reference side is broadcast when proven
-    small; otherwise it is replicated over the salt buckets and ``df``
-    rows are salted by their hash, so a hot key on ``df`` is split.
+    is named differently. Null keys match nothing.
     """
     left_keys = [on] if isinstance(on, str) else list(on)  # type: ignore[arg-type]
     right_keys = left_keys if ref_on is None else ([ref_on] if isinstance(ref_on, str) else list(ref_on))
     keep = list(columns) if columns is not None else [c for c in ref.columns if c not in right_keys]
     r = ref.select(*[F.col(f"`{k}`").alias(f"_jk{i}") for i, k in enumerate(right_keys)], *[F.col(f"`{c}`") for c in keep])
-    left = df
-    salted = not bounded(ref, skew.max_broadcast_rows)
-    if salted:
-        r = r.withColumn("_jsalt", F.explode(F.sequence(F.lit(0), F.lit(skew.salt_buckets - 1))))
-        left = df.withColumn("_jsalt", F.pmod(row_hash(df), F.lit(skew.salt_buckets)).cast("int"))
-    else:
-        r = F.broadcast(r)
-    cond = None
-    for i, k in enumerate(left_keys):
-        c = left[f"`{k}`"] == r[f"_jk{i}"]
-        cond = c if cond is None else cond & c
-    if salted:
-        cond = cond & (left["_jsalt"] == r["_jsalt"])
-    out = left.join(r, cond, how).drop(*[f"_jk{i}" for i in range(len(right_keys))])
-    return out.drop("_jsalt") if salted else out
-
-
-def star(df: DataFrame, dims: Sequence[tuple[DataFrame, str | Sequence[str], Sequence[str] | None] | tuple[DataFrame, str, Sequence[str] | None, str]], *, skew: SkewOptions = DEFAULT_SKEW) -> DataFrame:
+    r = r.dropna(subset=[f"_jk{i}" for i in range(len(right_keys))])
+    cond = null_safe_on([(df[f"`{k}`"], r[f"_jk{i}"]) for i, k in enumerate(left_keys)])
+    return df.join(r, cond, how).drop(*[f"_jk{i}" for i in range(len(right_keys))])
+
+
+def star(df: DataFrame, dims: Sequence[tuple[DataFrame, str | Sequence[str], Sequence[str] | None] | tuple[DataFrame, str, Sequence[str] | None, str]]) -> DataFrame:
     """Chain of left joins to dimension tables.
 
     Each item is ``(ref, on, columns)`` or ``(ref, on, columns, ref_on)``.
@@ -147,7 +101,7 @@ def star(df: DataFrame, dims: Sequence[tuple[DataFrame, str | Sequence[str], Seq
     for item in dims:
         ref, on, cols = item[0], item[1], item[2]
         ref_on = item[3] if len(item) > 3 else None  # type: ignore[misc]
-        out = denormalise(out, ref, on, cols, ref_on=ref_on, skew=skew)
+        out = denormalise(out, ref, on, cols, ref_on=ref_on)
     return out
 
 

@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from strata.contract import REASON_COERCION, REASON_DUPLICATE, Contract, Rule
 from strata.functions.columns import coerce, rename_present
-from strata.operators.dedup import flag_first
+from strata.operators.dedup import default_order, flag_first
 from strata.operators.joins import lookup_hit
-from strata.operators.skew import DEFAULT_SKEW, SkewOptions
+from strata.operators.skew import null_safe_on
 
 # Quarantine metadata columns.
 REASON = "_dq_failure_reason"
@@ -61,9 +61,9 @@ def classify(
     contract: Contract,
     *,
     check_time: _dt.datetime | None = None,
-    skew: SkewOptions = DEFAULT_SKEW,
     seen_keys: DataFrame | None = None,
     first_flag: str | None = None,
+    clustered: bool = False,
 ) -> DataFrame:
     """Q9: flag every row with its first failure (or null when kept).
 
@@ -71,6 +71,9 @@ def classify(
     earlier runs or stream epochs; rows with such a key are duplicates
     too (T3). ``first_flag`` names an output column holding whether the
     row was its key's first (what a later epoch must treat as seen).
+    ``clustered``: the input lies bucketed by the dedup keys (see
+    ``flag_first``). Rows with a null dedup key fail as required columns
+    do, before any ranking.
     """
     d = rename_present(df, contract.rename)
     if contract.schema is not None:
@@ -84,9 +87,12 @@ def classify(
         name = s[len(SOURCE_PREFIX):]
         pre.append(_fail(q(s).isNotNull() & q(name).isNull(), REASON_COERCION, q(s)))
     rules = contract.all_rules()
-    for r in rules:
-        if r.kind == "required":
-            pre.append(_fail(q(r.column).isNull(), r.message or "", None))
+    needed = [r for r in rules if r.kind == "required"]
+    if not contract.dedup_before_required:
+        named = {r.column for r in needed}
+        needed = [Rule.required(k) for k in contract.dedup_keys if k not in named] + needed
+    for r in needed:
+        pre.append(_fail(q(r.column).isNull(), r.message or "", None))
 
     d = d.withColumn("_pre", _first(pre))
 
@@ -94,11 +100,12 @@ def classify(
     post: list[_Failure] = []
     if contract.dedup_keys:
         alive = None if contract.dedup_before_required else F.col("_pre").isNull()
+        order = default_order(d) if contract.dedup_order is None else contract.dedup_order
         d = flag_first(
-            d, contract.dedup_keys, contract.dedup_order, alive=alive, out="_is_first", skew=skew, tie_break=contract.dedup_tie_break
+            d, contract.dedup_keys, order, alive=alive, out="_is_first", tie_break=contract.dedup_tie_break, clustered=clustered
         )
         if seen_keys is not None:
-            d = _mark_seen(d, seen_keys, contract.dedup_keys, skew)
+            d = _mark_seen(d, seen_keys, contract.dedup_keys)
         key_text = F.concat_ws("|", *[q(k).cast("string") for k in contract.dedup_keys])
         post.append(_fail(~F.coalesce(F.col("_is_first"), F.lit(True)), REASON_DUPLICATE, key_text))
 
@@ -109,7 +116,7 @@ def classify(
     for i, r in enumerate(r for r in rules if r.kind == "foreign_key"):
         hit = f"_fk_hit{i}"
         assert r.reference is not None
-        d = lookup_hit(d, r.column, r.reference, r.reference_column or r.column, hit, skew=skew)
+        d = lookup_hit(d, r.column, r.reference, r.reference_column or r.column, hit)
         miss = ~F.col(hit)
         if r.allow_null:
             miss = miss & q(r.column).isNotNull()
@@ -135,36 +142,13 @@ def classify(
     )
 
 
-def _mark_seen(d: DataFrame, seen: DataFrame, keys: list[str], skew: SkewOptions) -> DataFrame:
-    """Turn ``_is_first`` false for rows whose key is in ``seen``.
-
-    ``seen`` is reduced to distinct keys (a partial aggregate), and joined
-    by null-safe equality; broadcast when proven small.
-    """
-    from strata.operators.skew import bounded
-
-    from strata.operators.skew import row_hash
-
+def _mark_seen(d: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """Turn ``_is_first`` false for rows whose key is in ``seen`` (distinct
+    after a partial aggregate; null-safe)."""
     sk = seen.select(*[F.col(f"`{k}`").alias(f"_sk{i}") for i, k in enumerate(keys)]).distinct().withColumn("_seen", F.lit(True))
-    left = d
-    salted = not bounded(seen, skew.max_broadcast_rows)
-    if salted:
-        # replicate the distinct seen keys over the salt buckets; a hot key of
-        # this batch is split across tasks by its rows' hashes
-        sk = sk.withColumn("_ssalt", F.explode(F.sequence(F.lit(0), F.lit(skew.salt_buckets - 1))))
-        left = d.withColumn("_ssalt", F.pmod(row_hash(d), F.lit(skew.salt_buckets)).cast("int"))
-    else:
-        sk = F.broadcast(sk)
-    cond = None
-    for i, k in enumerate(keys):
-        c = left[f"`{k}`"].eqNullSafe(sk[f"_sk{i}"])
-        cond = c if cond is None else cond & c
-    if salted:
-        cond = cond & (left["_ssalt"] == sk["_ssalt"])
-    j = left.join(sk, cond, "left").drop(*[f"_sk{i}" for i in range(len(keys))], "_ssalt")
-    first = F.when(F.col("_is_first").isNull(), F.lit(None).cast("boolean")).otherwise(
-        F.col("_is_first") & F.col("_seen").isNull()
-    )
+    on = null_safe_on([(d[f"`{k}`"], sk[f"_sk{i}"]) for i, k in enumerate(keys)])
+    j = d.join(sk, on, "left").drop(*[f"_sk{i}" for i in range(len(keys))])
+    first = F.when(F.col("_is_first").isNotNull(), F.col("_is_first") & F.col("_seen").isNull())
     return j.withColumn("_is_first", first).drop("_seen")
 
 
@@ -198,21 +182,3 @@ def check_conservation(flagged: DataFrame, n_in: int | None = None, source: Data
     return agg.withColumn("input_rows", F.lit(n_in).cast("long")).withColumn(
         "ok", (F.col("kept") + F.col("quarantined") == F.lit(n_in)) & (F.col("total") == F.lit(n_in))
     )
-
-
-def rule_passes(df: DataFrame, rule: Rule) -> DataFrame:
-    """F1/F2/F3/F5 alone: rows passing one rule (nulls pass range/custom)."""
-    if rule.kind == "required":
-        return df.filter(F.col(rule.column).isNotNull())
-    return df.filter(rule.predicate())
-
-
-def rule_fails(df: DataFrame, rule: Rule) -> DataFrame:
-    """Rows failing one rule, with the reason and value columns."""
-    if rule.kind == "required":
-        bad = df.filter(F.col(rule.column).isNull())
-        val = F.lit(None).cast("string")
-    else:
-        bad = df.filter(~rule.predicate())
-        val = F.col(rule.column).cast("string")
-    return bad.withColumns({REASON: F.lit(rule.message), VALUE: val})

@@ -1,61 +1,29 @@
-"""Skew settings and size-checked broadcast shared by the keyed operators.
-
-Two rules hold everywhere in the library:
-
-* a side is broadcast only after its row count is proven below a bound
-  (``bounded``); beyond the bound the operator takes a shuffle path;
-* a key that may hold a large share of all rows (a "hot" key) is split
-  over ``salt_buckets`` tasks instead of landing in one.
+"""Row hash used as a deterministic tie-breaker.
+
+How hot keys are treated, everywhere in the library: keyed operators
+reduce each key with an aggregate, which Spark combines map-side (a hot
+key is one row per task before the shuffle), and join the result back.
+The joins are null-safe, so both sides get an exchange of their own below
+the sort, the form in which adaptive execution splits a skewed partition.
+Whether a side is broadcast is left to Spark, which goes by bytes. There
+are no row thresholds, and no job runs while a plan is built.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
-class SkewOptions:
-    # A key with more rows than this is treated as hot and salted.
-    hot_key_rows: int = 2_000_000
-    # At most this many hot keys are handled by the salted path; the set is
-    # broadcast, so this bounds its size. Keys beyond it stay exact on the
-    # ordinary shuffle path.
-    max_hot_keys: int = 10_000
-    # Number of tasks a hot key is spread over.
-    salt_buckets: int = 64
-    # A reference side is broadcast only when it has at most this many rows
-    # (it is copied to every executor, so keep its bytes in the tens of MB).
-    max_broadcast_rows: int = 1_000_000
-
-
-DEFAULT_SKEW = SkewOptions()
-
-
-def bounded(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
-
-    Used on the side that may be broadcast (reference tables, per-file or
-    per-archive lookups), never on the fact side. Each task stops after
-    ``max_rows + 1`` rows of its split, over the pruned columns only, so
-    the check costs at most one narrow scan of that smaller side.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def row_hash(df: DataFrame, exclude: tuple[str, ...] = ()) -> Column:
-    """Deterministic 64-bit hash of a row's columns (tie-breaker and salt source)."""
+    """Deterministic 64-bit hash of a row's columns."""
     cols = [F.col(f"`{c}`") for c in df.columns if c not in exclude]
     return F.xxhash64(*cols) if cols else F.lit(0).cast("long")
 
 
-def null_safe_on(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
-    """Null-safe equality condition over (left column, right column) pairs."""
-    cond: Column | None = None
-    for lc, rc in pairs:
-        c = left[lc].eqNullSafe(right[rc])
-        cond = c if cond is None else cond & c
-    assert cond is not None
+def null_safe_on(pairs: list[tuple[Column, Column]]) -> Column:
+    """Null-safe equality over (left, right) pairs of columns."""
+    cond = pairs[0][0].eqNullSafe(pairs[0][1])
+    for left, right in pairs[1:]:
+        cond = cond & left.eqNullSafe(right)
     return cond

@@ -25,7 +25,6 @@ from strata.operators.dedup import dedup, duplicate_groups
 from strata.operators.filters import contains_any
 from strata.operators.joins import denormalise, fk_orphans, fk_valid, star
 from strata.operators.quality import REASON, classify, outcome_counts
-from strata.operators.skew import SkewOptions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,7 +54,6 @@ def q3_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 # A third of all line items share one derived key: the hot-key case.
-HOT_SKEW = SkewOptions(hot_key_rows=1_000, max_hot_keys=100, salt_buckets=16)
 
 
 def _hot_keyed_lineitem(spark: SparkSession, d: str) -> DataFrame:
@@ -65,14 +63,14 @@ def _hot_keyed_lineitem(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w1_dedup_hot_key(spark: SparkSession, d: str) -> DataFrame:
-    """W1 with one key holding a third of the rows: the salted keep-first path."""
+    """W1 with one key holding a third of the rows: keep-first."""
     order = ["l_shipdate", "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber"]
-    kept, _ = dedup(_hot_keyed_lineitem(spark, d), ["hk"], order, skew=HOT_SKEW, tie_break="order")
+    kept, _ = dedup(_hot_keyed_lineitem(spark, d), ["hk"], order, tie_break="order")
     return kept.select("hk", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 def q9_hot_key_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """Q9 over the hot-keyed line items: salted dedup inside the classifier."""
+    """Q9 over the hot-keyed line items: dedup inside the classifier."""
     li = table(spark, d, "lineitem")
     hk = F.when(F.col("l_orderkey") % 3 == 0, F.lit(-1)).otherwise(F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     c = Contract(
@@ -82,7 +80,7 @@ def q9_hot_key_outcomes(spark: SparkSession, d: str) -> DataFrame:
         rules=[Rule.range("l_quantity", "5..45")],
         dedup_tie_break="order",
     )
-    return outcome_counts(classify(li.withColumn("hk", hk.cast("long")), c, skew=HOT_SKEW))
+    return outcome_counts(classify(li.withColumn("hk", hk.cast("long")), c))
 
 
 def q1_required(spark: SparkSession, d: str) -> DataFrame:

@@ -217,7 +217,7 @@ def q9_bucketed_bronze(spark: SparkSession, d: str) -> DataFrame:
     b = with_lineage(table(spark, d, "lineitem"), "b-bkt", "2024-01-01", "lineitem.csv")
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     t = K.write_bronze_bucketed(b, f"strata_bronze_{uuid.uuid4().hex[:8]}", path, ["l_orderkey", "l_linenumber"], n)
-    return outcome_counts(classify(t, lineitem_contract(spark, d)))
+    return outcome_counts(classify(t, lineitem_contract(spark, d), clustered=True))
 
 
 def k2_silver_split(spark: SparkSession, d: str) -> DataFrame:

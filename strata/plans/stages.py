@@ -24,7 +24,6 @@ from strata.operators import audits as Q
 from strata.operators import report as R
 from strata.operators.aggregates import Aggregate, Measure
 from strata.operators.quality import REASON, check_conservation, classify, split
-from strata.operators.skew import DEFAULT_SKEW, SkewOptions
 from strata.sinks import layout as K
 from strata.sources.dialect import Dialect
 from strata.sources.files import list_files, new_files, read_csv
@@ -40,10 +39,9 @@ def silver(
     contract: Contract,
     *,
     check_time: _dt.datetime | None = None,
-    skew: SkewOptions = DEFAULT_SKEW,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Silver: (flagged, kept, quarantined) from one classification plan."""
-    flagged = classify(bronze_df, contract, check_time=check_time, skew=skew)
+    flagged = classify(bronze_df, contract, check_time=check_time)
     kept, quarantined = split(flagged)
     return flagged, kept, quarantined
 
@@ -159,14 +157,13 @@ def run_silver(
     root: str,
     *,
     check_time: _dt.datetime | None = None,
-    skew: SkewOptions = DEFAULT_SKEW,
 ) -> StageRun:
     """Silver: classify once, store the flagged frame by outcome, rebuild
     Silver from its kept part and append its quarantined part; checks are
     computed over the stored tables."""
     check_time = check_time or run_timestamp()
     source = spark.read.parquet(bronze_path)
-    flagged = classify(source, contract, check_time=check_time, skew=skew)
+    flagged = classify(source, contract, check_time=check_time)
     run_dir = f"{root}/_runs/{check_time.strftime('%Y%m%dT%H%M%S')}"
     kept, quarantined = K.write_split(flagged, run_dir)
     silver_path, quarantine_path = f"{root}/silver", f"{root}/quarantine"

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.operators.joins import small_side_join
+from strata.operators.joins import file_lookup
 from strata.sources.dialect import Dialect, canonical_encoding
 
 # Member names skipped in every archive (macOS resource forks).
@@ -116,7 +116,7 @@ def read_zip_lines(spark: SparkSession, pattern: str, chosen: DataFrame | None =
         # one row per archive (its chosen member names): a lookup, broadcast
         # when proven small so archive bytes are not shuffled
         wanted = chosen.groupBy("archive").agg(F.collect_list("member").alias("members"))
-        binary = small_side_join(binary, wanted, ["archive"], "inner", known_rows=len(binary.inputFiles()))
+        binary = file_lookup(binary, wanted, "archive", "inner", len(binary.inputFiles()))
     else:
         binary = binary.withColumn("members", F.lit(None).cast("array<string>"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.columns import LINEAGE_COLUMNS
-from strata.operators.joins import small_side_join
+from strata.operators.joins import file_lookup
 from strata.sources.dialect import Dialect, canonical_encoding
 
 CORRUPT = "_corrupt_record"
@@ -132,7 +132,7 @@ def _read_with_preamble(
         marks = start.select("_file", (F.col("_m0") + skip).alias("_hdr"))
     # one row per file: broadcast when proven small, else a salted join, so
     # the lines of one big file are never gathered into one task
-    tagged = small_side_join(lines, marks, ["_file"], "left", known_rows=len(raw.inputFiles()))
+    tagged = file_lookup(lines, marks, "_file", "left", len(raw.inputFiles()))
     header_line = tagged.filter(F.col("_mid") == F.col("_hdr")).select("_line").limit(1).first()
     if header_line is None:
         raise ValueError(f"no header row found in {path}")

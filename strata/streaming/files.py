@@ -28,7 +28,6 @@ from pyspark.sql.streaming import StreamingQuery
 from strata.contract import Contract
 from strata.functions.columns import LINEAGE_COLUMNS
 from strata.operators.quality import REASON, classify
-from strata.operators.skew import DEFAULT_SKEW, SkewOptions
 from strata.sinks.layout import path_exists
 from strata.sources.dialect import Dialect
 
@@ -96,7 +95,6 @@ def silver_epoch_writer(
     out: str,
     *,
     check_time: _dt.datetime | None = None,
-    skew: SkewOptions = DEFAULT_SKEW,
     fmt: str = "parquet",
 ) -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` function of ``stream_silver`` (usable on its own)."""
@@ -114,7 +112,7 @@ def silver_epoch_writer(
         # (memory and disk; a lost block is recomputed from the same files)
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            flagged = classify(batch, contract, check_time=check_time, skew=skew, seen_keys=seen, first_flag=FIRST)
+            flagged = classify(batch, contract, check_time=check_time, seen_keys=seen, first_flag=FIRST)
             epoch_path = f"{out.rstrip('/')}/{EPOCH}={epoch_id}"
             flagged.write.format(fmt).mode("overwrite").save(epoch_path)
         finally:
@@ -134,7 +132,6 @@ def stream_silver(
     checkpoint: str,
     *,
     check_time: _dt.datetime | None = None,
-    skew: SkewOptions = DEFAULT_SKEW,
     wait: bool = True,
 ) -> StreamingQuery:
     """Classify each epoch of a Bronze stream into ``out/epoch=<id>``.
@@ -142,7 +139,7 @@ def stream_silver(
     Read the result with ``silver_outputs(spark, out)``.
     """
     q = (
-        bronze.writeStream.foreachBatch(silver_epoch_writer(contract, out, check_time=check_time, skew=skew))
+        bronze.writeStream.foreachBatch(silver_epoch_writer(contract, out, check_time=check_time))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -159,7 +156,6 @@ def stream_silver_rules(
     checkpoint: str,
     *,
     check_time: _dt.datetime | None = None,
-    skew: SkewOptions = DEFAULT_SKEW,
     wait: bool = True,
 ) -> StreamingQuery:
     """T2 for contracts without dedup keys: a plain streaming query.
@@ -173,7 +169,7 @@ def stream_silver_rules(
     """
     if contract.dedup_keys:
         raise ValueError("contracts with dedup keys need stream_silver (cross-epoch state)")
-    flagged = classify(bronze, contract, check_time=check_time, skew=skew)
+    flagged = classify(bronze, contract, check_time=check_time)
     outcome = F.when(F.col(REASON).isNull(), F.lit("kept")).otherwise(F.lit("quarantined"))
     q = (
         flagged.withColumn("_dq_outcome", outcome)

@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from strata.contract import Contract, Rule, parse_range
 from strata.operators.quality import REASON, VALUE, CHECK_TIME, check_conservation, classify, outcome_counts, split
-from strata.operators.skew import SkewOptions
 
 SCHEMA = T.StructType(
     [
@@ -180,7 +179,7 @@ def test_outcomes_match_reference_order_on_lineitem(spark):
     c = Contract("li", dedup_keys=["l_orderkey", "l_linenumber"], dedup_order=["l_shipdate", "l_partkey", "l_suppkey"],
                  rules=[Rule.range("l_quantity", "5..45"), Rule.foreign_key("l_suppkey", sup, "s_suppkey")])
     a = sorted(tuple(r) for r in outcome_counts(classify(li, c)).collect())
-    b = sorted(tuple(r) for r in outcome_counts(classify(li, c, skew=SkewOptions(hot_key_rows=1, salt_buckets=3))).collect())
+    b = sorted(tuple(r) for r in outcome_counts(classify(li, c, clustered=True)).collect())
     assert a == b and sum(n for _, n in a) == li.count()
 
 

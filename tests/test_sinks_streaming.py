@@ -131,17 +131,14 @@ def test_replayed_epoch_is_not_duplicated(spark, tmp_dir):
     assert [(r.k, r[REASON]) for r in q.collect()] == [("a", "duplicate")]
 
 
-def test_seen_keys_salted_path_matches_broadcast(spark):
-    from strata.operators.skew import SkewOptions
-
+def test_seen_keys_count_as_duplicates(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), (None, 1), ("c", 1)], "k string, v int")
     seen = spark.createDataFrame([("a",), (None,)], "k string")
     c = Contract("t", dedup_keys=["k"], dedup_order=["v"])
-    x = classify(df, c, seen_keys=seen)
-    y = classify(df, c, seen_keys=seen, skew=SkewOptions(max_broadcast_rows=1, salt_buckets=3))
-    got = sorted(((r.k, r.v, r[REASON]) for r in y.collect()), key=repr)
-    assert got == sorted(((r.k, r.v, r[REASON]) for r in x.collect()), key=repr)
-    assert got == sorted([("a", 1, "duplicate"), ("a", 2, "duplicate"), ("b", 1, None), (None, 1, "duplicate"), ("c", 1, None)], key=repr)
+    got = sorted(((r.k, r.v, r[REASON]) for r in classify(df, c, seen_keys=seen).collect()), key=repr)
+    # a null dedup key leaves before ranking
+    want = [("a", 1, "duplicate"), ("a", 2, "duplicate"), ("b", 1, None), (None, 1, "required_column_null:k"), ("c", 1, None)]
+    assert got == sorted(want, key=repr)
 
 
 def test_zorder_on_dates_and_timestamps(spark, tmp_dir):
@@ -157,7 +154,7 @@ def test_bucketed_bronze_feeds_dedup_without_shuffle(spark, tmp_dir):
     b = with_lineage(li, "b1", "2024-01-01", "li.csv")
     t = K.write_bronze_bucketed(b, "strata_bronze_li_b", f"{tmp_dir}/bb", ["l_orderkey", "l_linenumber"], 8)
     c = Contract("li", dedup_keys=["l_orderkey", "l_linenumber"], dedup_order=["l_shipdate", "l_partkey", "l_suppkey"])
-    f = classify(t, c)
+    f = classify(t, c, clustered=True)
     plan = f._jdf.queryExecution().executedPlan().toString()
     window_part = plan.split("Window [row_number()")[1]
     assert "Exchange" not in window_part.split("FileScan")[0]  # no shuffle between scan and window
