@@ -10,6 +10,7 @@ import datetime as _dt
 import re
 from collections.abc import Callable, Iterable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,7 @@ def with_lineage(
 ) -> DataFrame:
     """Add ``ingestion_date`` (date), ``source_file`` and ``batch_id``.
 
-    ``source_file`` defaults to the per-row file name from the scan's
+    ``source_file`` defaults to the per-row full file path from the scan's
     ``_metadata`` column, so multi-file loads keep the real file per row.
     ``ingestion_date`` is a ``DateType`` literal fixed on the driver.
     """
@@ -39,7 +40,7 @@ def with_lineage(
     if source_file is None and "source_file" in df.columns:
         src = F.col("source_file")
     elif source_file is None:
-        src = F.col("_metadata.file_name") if _has_metadata(df) else F.lit(None).cast("string")
+        src = F.col("_metadata.file_path") if resolves(df, "_metadata.file_path") else F.lit(None).cast("string")
     elif isinstance(source_file, str):
         src = F.lit(source_file)
     else:
@@ -49,12 +50,20 @@ def with_lineage(
     )
 
 
-def _has_metadata(df: DataFrame) -> bool:
+def resolves(df: DataFrame, *names: str) -> bool:
+    """Whether ``df`` can still reach these (hidden) columns; analysis only."""
+    import logging
+
+    log = logging.getLogger("DataFrameQueryContextLogger")  # reports the expected failure as an error
+    level = log.level
+    log.setLevel(logging.CRITICAL)
     try:
-        df.select("_metadata.file_name").schema
+        df.select(*names).schema  # noqa: B018
         return True
-    except Exception:
+    except AnalysisException:
         return False
+    finally:
+        log.setLevel(level)
 
 
 def rename_present(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:

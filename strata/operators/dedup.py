@@ -22,8 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
+from strata.functions.columns import resolves
 from strata.operators.skew import null_safe_on, row_hash
 
 OrderSpec = Sequence[str | tuple[str, str]]
@@ -85,12 +85,9 @@ def _row_id(df: DataFrame) -> Column | None:
     """File path and row index, where the frame still knows them."""
     if "_metadata" in df.columns:
         return None  # a column of the data, not the scan's
-    rid = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
-    try:
-        df.select(rid).schema  # noqa: B018 - analysis only, no job
-    except AnalysisException:
+    if not resolves(df, "_metadata.file_path", "_metadata.row_index"):
         return None
-    return rid
+    return F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
 
 
 def flag_first(

@@ -155,33 +155,64 @@ def s6_payload_unwrap(spark: SparkSession, d: str) -> DataFrame:
     return records_as_columns(rows, "record", "c_custkey long, c_name string, c_acctbal double").drop("_payload_error")
 
 
+def _csv_by_day(spark: SparkSession, d: str, key: str) -> tuple[str, DataFrame]:
+    """Orders as one CSV file in each of two folders: equal base names
+    under different paths."""
+    path = scratch_dir(spark, key)
+    for part in ("a", "b"):
+        own = F.col("o_orderkey") % 2 == (0 if part == "a" else 1)
+        K.write_csv(_orders_for_text(spark, d).where(own).coalesce(1), f"{path}/{part}", Dialect())
+        name = next(n for n in K.list_dir(spark, f"{path}/{part}") if n.endswith(".csv"))
+        K.rename_path(spark, f"{path}/{part}/{name}", f"{path}/{part}/data.csv")
+    return path, S.list_files(spark, f"{path}/*/data.csv")
+
+
 def s9_dir_source_file(spark: SparkSession, d: str) -> DataFrame:
-    """A glob over several files; every row knows its own file."""
-    path = scratch_dir(spark, "s9")
-    K.write_csv(_orders_for_text(spark, d).repartition(4), path, Dialect())
-    df = S.read_dir(spark, f"{path}/*.csv", "csv", Dialect(), ORDER_SCHEMA)
+    """A glob over files of one base name; every row knows its folder."""
+    path, _ = _csv_by_day(spark, d, "s9")
+    df = S.read_dir(spark, f"{path}/*/data.csv", "csv", Dialect(), ORDER_SCHEMA)
     b = with_lineage(df, "b-s9", "2024-01-01")
-    return b.select("o_orderkey", (F.col("source_file").endswith(".csv")).alias("has_source"))
+    return b.select("o_orderkey", F.regexp_extract("source_file", "([^/]+/[^/]+)$", 1).alias("source"))
 
 
 def s13_binary_listing(spark: SparkSession, d: str) -> DataFrame:
-    """File listing with sizes (bytes not read)."""
-    path = scratch_dir(spark, "s13")
-    table(spark, d, "orders").repartition(3).write.mode("overwrite").parquet(path)
-    return S.list_files(spark, f"{path}/*.parquet").select("name", "length")
+    """Listed files with their sizes, which must be their bytes' number."""
+    path, listing = _csv_by_day(spark, d, "s13")
+    read = S.read_binary(spark, f"{path}/*/data.csv").select(F.col("path").alias("p"), F.length("content").alias("n"))
+    lines = S.read_text(spark, f"{path}/*/data.csv", source_column="f").groupBy("f").agg((F.count(F.lit(1)) - 1).alias("rows"))
+    both = listing.join(read, F.col("path") == F.col("p")).join(lines, F.col("source_path") == F.col("f"))
+    return both.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "name", (F.col("length") == F.col("n")).alias("sized"), "rows")
 
 
 def s17_new_files(spark: SparkSession, d: str) -> DataFrame:
-    """Files not yet in the manifest (idempotent re-ingest)."""
-    path = scratch_dir(spark, "s17")
-    K.write_csv(_orders_for_text(spark, d).repartition(4), path, Dialect())
-    listing = S.list_files(spark, f"{path}/*.csv")
-    every_file = S.read_dir(spark, f"{path}/*.csv", "csv", Dialect(), ORDER_SCHEMA)
-    bronze = with_lineage(every_file, "b-s17", "2024-01-01")
-    names = listing.orderBy("name").limit(2).select("name")
-    ingested = bronze.join(F.broadcast(names), bronze["source_file"] == names["name"], "left_semi")
-    manifest = K.manifest_rows(ingested)
-    return S.new_files(listing, manifest, "name", "source_path").select("name")
+    """After folder a is ingested, only folder b's file of the same
+    name is new; after both, none is."""
+    path, listing = _csv_by_day(spark, d, "s17")
+    rows = with_lineage(S.read_dir(spark, f"{path}/*/data.csv", "csv", Dialect(), ORDER_SCHEMA), "b-s17", "2024-01-01")
+    some = listing.where(F.col("path").contains("/a/"))
+    seen = K.manifest_rows(rows.where(F.col("source_file").contains("/a/")), some, "b-s17", "2024-01-01")
+    every = K.manifest_rows(rows, listing, "b-s17", "2024-01-01")
+    folder = F.element_at(F.split("path", "/"), -2).alias("folder")
+    first = S.new_files(listing, seen).select(F.lit("after a").alias("state"), folder, "name")
+    return first.unionByName(S.new_files(listing, every).select(F.lit("after both").alias("state"), folder, "name"))
+
+
+def s3_headers_per_file(spark: SparkSession, d: str) -> DataFrame:
+    """Files with their columns in another order and one more column
+    are mapped by their own header; a file without a header row keeps its
+    lines, marked corrupt."""
+    path = scratch_dir(spark, "s3h")
+    o = _orders_for_text(spark, d).select("o_orderkey", "o_orderstatus", "o_totalprice")
+    part = F.col("o_orderkey") % 3
+    dialect = Dialect(sep=";")
+    write_with_titles(o.where(part == 0), f"{path}/a", dialect, TITLE_LINES, files=2)
+    write_with_titles(o.where(part == 1).select("o_totalprice", F.lit("x").alias("note"), "o_orderkey", "o_orderstatus"), f"{path}/b", dialect, TITLE_LINES, files=2)
+    # no line of these qualifies as a header: every first cell is a number
+    o.where(part == 2).select(F.to_csv(F.struct("o_orderkey", "o_orderstatus", "o_totalprice"), {"sep": ";"}).alias("value")).write.text(f"{path}/c")
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_orderstatus", T.StringType()), T.StructField("o_totalprice", T.DoubleType())])
+    out = S.read_csv(spark, f"{path}/*", Dialect(sep=";", preamble="auto"), schema, corrupt_column=True)
+    key = F.coalesce(F.col("o_orderkey"), F.split(S.CORRUPT, ";").getItem(0).cast("long"))
+    return out.select(key.alias("o_orderkey"), "o_orderstatus", "o_totalprice", F.col(S.CORRUPT).isNotNull().alias("corrupt"))
 
 
 def s20_corrupt_capture(spark: SparkSession, d: str) -> DataFrame:
@@ -229,7 +260,7 @@ def k2_silver_split(spark: SparkSession, d: str) -> DataFrame:
     K.append_quarantine(quarantined, qpath)
     spath = scratch_dir(spark, "k2s")
     K.write_silver(kept, spath)
-    stored_q = spark.read.parquet(qpath).drop("_dq_check_date")
+    stored_q = spark.read.parquet(qpath).drop("_dq_check_date", "_dq_run")
     stored_k = spark.read.parquet(spath)
     return outcome_counts(stored_q.unionByName(stored_k.withColumns({REASON: F.lit(None).cast("string")}), allowMissingColumns=True))
 
@@ -404,6 +435,7 @@ FILE_QUERIES: dict[str, Query] = {
     "s13_binary_listing": s13_binary_listing,
     "s17_new_files": s17_new_files,
     "s20_corrupt_capture": s20_corrupt_capture,
+    "s3_headers_per_file": s3_headers_per_file,
     "k1_bronze_roundtrip": k1_bronze_roundtrip,
     "k2_silver_split": k2_silver_split,
     "q9_bucketed_bronze": q9_bucketed_bronze,
@@ -429,7 +461,10 @@ FILE_ORACLE: dict[str, str] = {
     "s3_multiline_preamble": "SELECT doc_id,lang,text FROM documents",
     "s5_json_lines": "SELECT event_id,ts,user_id,event_type,value,props FROM events",
     "s6_payload_unwrap": "SELECT c_custkey,c_name,c_acctbal FROM customer",
-    "s9_dir_source_file": "SELECT o_orderkey,true AS has_source FROM orders",
+    "s9_dir_source_file": "SELECT o_orderkey,CASE WHEN o_orderkey%2=0 THEN 'a' ELSE 'b' END||'/data.csv' AS source FROM orders",
+    "s13_binary_listing": "SELECT CASE WHEN o_orderkey%2=0 THEN 'a' ELSE 'b' END AS folder,'data.csv' AS name,true AS sized,count(*) AS rows FROM orders GROUP BY 1",
+    "s17_new_files": "SELECT DISTINCT 'after a' AS state,'b' AS folder,'data.csv' AS name FROM orders WHERE o_orderkey%2=1",
+    "s3_headers_per_file": "SELECT o_orderkey,CASE WHEN o_orderkey%3<2 THEN o_orderstatus END AS o_orderstatus,CASE WHEN o_orderkey%3<2 THEN o_totalprice END AS o_totalprice,o_orderkey%3=2 AS corrupt FROM orders",
     "s20_corrupt_capture": "SELECT o_orderkey,CASE WHEN o_orderkey%10=0 THEN NULL ELSE o_totalprice END AS o_totalprice,o_orderkey%10=0 AS corrupt FROM orders",
     "k1_bronze_roundtrip": "SELECT count(*) AS total_rows,CAST(1 AS BIGINT) AS batches,count(*) AS batch_rows,CAST(1 AS BIGINT) AS partitions,count(*) AS of_batch_rows FROM lineitem",
     "k2_silver_split": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN rn>1 THEN 'duplicate' WHEN NOT l_quantity BETWEEN 5 AND 45 THEN 'l_quantity failed validation' WHEN hit IS NULL THEN 'l_suppkey not in reference' ELSE 'kept' END AS reason FROM (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey,l_linenumber ORDER BY l_shipdate,l_partkey,l_suppkey) AS rn, s.s_suppkey AS hit FROM lineitem l LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal>=0) s ON l.l_suppkey=s.s_suppkey)) GROUP BY 1",

@@ -120,11 +120,15 @@ def run_bronze(
     bronze_path, manifest_path = f"{root}/bronze", f"{root}/manifest"
     listing = list_files(spark, source)
     if K.path_exists(spark, manifest_path):
-        todo = new_files(listing, spark.read.parquet(manifest_path), "name", "source_path")
+        todo = new_files(listing, spark.read.parquet(manifest_path))
     else:
         todo = listing
-    listed = todo.select("path", "length", "modificationTime").orderBy("path").collect()  # one row per file
+    # one row per new file, as Spark's own listing of the read holds on the driver
+    listed = todo.select("path", "length", "modificationTime", "source_path").orderBy("path").collect()
     names = [r["path"] for r in listed]
+    todo_rows = spark.createDataFrame(
+        [tuple(r) for r in listed], "path string, length bigint, modificationTime timestamp, source_path string"
+    )
     if batch_id is None:
         # derived from the files, so a run repeated after a failure reuses
         # its batch id and replaces its own partition (write_bronze by_batch)
@@ -137,11 +141,15 @@ def run_bronze(
         return StageRun({"bronze": bronze_path, "manifest": manifest_path}, empty, {"rows": 0, "files": 0})
     df = read_csv(spark, names, dialect, schema, source_column="source_file")
     obs = Observation("bronze_rows")
+    if ingestion_date is None:
+        # a batch that was stored before keeps its date, so a retry after
+        # midnight replaces the batch instead of adding it a second time
+        ingestion_date = _stored_date(spark, bronze_path, batch_id) or run_timestamp().date()
     b = bronze(df, batch_id, ingestion_date).observe(obs, F.count(F.lit(1)).alias("rows"))
     K.write_bronze(b, bronze_path, by_batch=True)
     rows_in = int(obs.get["rows"])
     stored = spark.read.parquet(bronze_path).filter(F.col("batch_id") == batch_id)
-    K.append_manifest(stored, manifest_path)
+    K.append_manifest(stored, manifest_path, listing=todo_rows, batch_id=batch_id, ingestion_date=str(ingestion_date))
     empty_files = [r["path"] for r in listed if r["length"] == 0]
     checks = Q.union_checks(
         Q.audit_bronze(stored, input_rows=rows_in, stored_format="parquet", source_bytes=sum(r["length"] for r in listed)),
@@ -150,6 +158,14 @@ def run_bronze(
     return StageRun({"bronze": bronze_path, "manifest": manifest_path}, checks, {"rows": rows_in, "files": len(names), "batch_id": batch_id})
 
 
+def _stored_date(spark: SparkSession, bronze_path: str, batch_id: str) -> str | None:
+    """The ingestion date under which a batch is stored, from its folder."""
+    for name in K.list_dir(spark, bronze_path):
+        if name.startswith("ingestion_date=") and K.path_exists(spark, f"{bronze_path}/{name}/batch_id={batch_id}"):
+            return name.split("=", 1)[1]
+    return None
+
+
 def run_silver(
     spark: SparkSession,
     bronze_path: str,
@@ -164,13 +180,16 @@ def run_silver(
     check_time = check_time or run_timestamp()
     source = spark.read.parquet(bronze_path)
     flagged = classify(source, contract, check_time=check_time)
-    run_dir = f"{root}/_runs/{check_time.strftime('%Y%m%dT%H%M%S')}"
+    run = f"{contract.table_name}-{check_time.strftime('%Y%m%dT%H%M%S%f')}"
+    run_dir = f"{root}/_runs/{run}"
     kept, quarantined = K.write_split(flagged, run_dir)
     silver_path, quarantine_path = f"{root}/silver", f"{root}/quarantine"
     K.write_silver(kept, silver_path)
-    K.append_quarantine(quarantined, quarantine_path)
+    K.append_quarantine(quarantined, quarantine_path, run=run)
     stored_kept = spark.read.parquet(silver_path)
-    this_run = spark.read.parquet(quarantine_path).filter(F.col("_dq_check_time") == F.lit(check_time))
+    # by the partition columns, so earlier runs' files are not read
+    day = check_time.date().isoformat()
+    this_run = spark.read.parquet(quarantine_path).filter((F.col("_dq_check_date") == F.lit(day).cast("date")) & (F.col("_dq_run") == run))
     cons = check_conservation(spark.read.parquet(run_dir), source=source).first()
     assert cons is not None
     rates = Q.null_rates(stored_kept.select(*[c for c in stored_kept.columns if c in (contract.schema.fieldNames() if contract.schema else stored_kept.columns)]), key_columns=contract.primary_keys)

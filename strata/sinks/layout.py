@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators.quality import CHECK_TIME, REASON
-from strata.operators.skew import row_hash
 from strata.sources.dialect import Dialect
 
 OUTCOME = "_dq_outcome"
@@ -99,8 +98,10 @@ def write_bronze_bucketed(
     bucket count should match the intended shuffle width (e.g. from
     ``strata.session.size_for_input``).
     """
+    # clustered as the buckets are, so each bucket is one sorted file
     (
-        df.write.format(fmt)
+        df.repartition(buckets, *keys)
+        .write.format(fmt)
         .mode("append")
         .partitionBy(partition)
         .bucketBy(buckets, *keys)
@@ -111,13 +112,29 @@ def write_bronze_bucketed(
     return df.sparkSession.table(table)
 
 
+def recover(spark: SparkSession, path: str) -> bool:
+    """Put back the version that a swap cut short had moved aside, if the
+    path is missing; says whether it did."""
+    base, _, name = path.rstrip("/").rpartition("/")
+    if path_exists(spark, path) or not base:
+        return False
+    for old in sorted(n for n in list_dir(spark, base) if n.startswith(f"{name}.__old_")):
+        return rename_path(spark, f"{base}/{old}", path)
+    return False
+
+
 def write_overwrite(df: DataFrame, path: str, fmt: str = "parquet", partition: Sequence[str] = ()) -> None:
     """Overwrite a path that ``df`` may itself read: write beside, then swap.
 
     Spark refuses to overwrite a path its plan reads; the new version is
     written to a sibling folder first, then the old folder is replaced.
+    Every step is checked: when one fails, the old version is put back and
+    the error raised; the old version goes only after the new one stands.
+    A swap that died between its two renames is undone by the next write
+    (or by ``recover``).
     """
     spark = df.sparkSession
+    recover(spark, path)
     staging = f"{path.rstrip('/')}.__next_{uuid.uuid4().hex[:8]}"
     w = df.write.format(fmt).mode("overwrite")
     if partition:
@@ -125,9 +142,19 @@ def write_overwrite(df: DataFrame, path: str, fmt: str = "parquet", partition: S
     w.save(staging)
     old = f"{path.rstrip('/')}.__old_{uuid.uuid4().hex[:8]}"
     had = path_exists(spark, path)
-    if had:
-        rename_path(spark, path, old)
-    rename_path(spark, staging, path)
+    if had and not rename_path(spark, path, old):
+        delete_path(spark, staging)
+        raise OSError(f"can't move {path} aside; it is unchanged")
+    try:
+        done = rename_path(spark, staging, path)
+    except Exception:  # noqa: BLE001 - put the old version back, then raise
+        if had:
+            rename_path(spark, old, path)
+        raise
+    if not done:
+        if had and not rename_path(spark, old, path):
+            raise OSError(f"can't move the new version to {path}, nor the old one back; it is at {old}")
+        raise OSError(f"can't move {staging} to {path}; the old version stays")
     if had:
         delete_path(spark, old)
 
@@ -137,13 +164,14 @@ def write_silver(df: DataFrame, path: str, fmt: str = "parquet", partition: Sequ
     write_overwrite(df, path, fmt, partition)
 
 
-def append_quarantine(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+def append_quarantine(df: DataFrame, path: str, fmt: str = "parquet", run: str | None = None) -> None:
     """K3: append quarantined rows, partitioned by the *date* of the check.
 
-    Each run (its check time) is a sub-partition of its day, written with
-    dynamic partition overwrite: the history of earlier runs stays, and a
-    run repeated after a failure replaces its own rows instead of adding
-    them again. The table always exists with its schema, even when no row
+    Each run is a sub-partition of its day, written with dynamic partition
+    overwrite: the history of earlier runs stays, and a run repeated after a
+    failure replaces its own rows instead of adding them again. ``run``
+    names it (contract and run id, so that two contracts checked at one
+    time don't meet); by default it is the check time to the microsecond. The table always exists with its schema, even when no row
     was ever quarantined: an empty append leaves an empty file in today's
     partition.
     """
@@ -152,7 +180,7 @@ def append_quarantine(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         df.withColumns(
             {
                 "_dq_check_date": F.to_date(F.col(CHECK_TIME)),
-                "_dq_run": F.date_format(F.col(CHECK_TIME), "yyyyMMdd'T'HHmmss"),
+                "_dq_run": F.date_format(F.col(CHECK_TIME), "yyyyMMdd'T'HHmmssSSSSSS") if run is None else F.lit(run),
             }
         )
         .write.format(fmt)
@@ -188,17 +216,36 @@ def write_gold(aggs: Mapping[str, DataFrame], root: str, fmt: str = "parquet") -
     return paths
 
 
-def manifest_rows(bronze_df: DataFrame, source_path: str | None = None) -> DataFrame:
-    """K5 rows: one per (source file, batch, date) with its row count."""
-    src = F.col("source_file") if source_path is None else F.lit(source_path)
-    return bronze_df.groupBy(src.alias("source_path"), "batch_id", "ingestion_date").agg(
+def manifest_rows(bronze_df: DataFrame, listing: DataFrame | None = None, batch_id: str | None = None, ingestion_date: str | None = None) -> DataFrame:
+    """K5 rows: one per (source file, batch, date) with its row count.
+
+    With ``listing`` (``list_files``) rows also carry each file's length and
+    modification time, and listed files that gave no row are recorded too,
+    with 0 rows, under ``batch_id`` and ``ingestion_date``."""
+    rows = bronze_df.groupBy(F.col("source_file").alias("source_path"), "batch_id", "ingestion_date").agg(
         F.count(F.lit(1)).alias("row_count")
     )
+    if listing is None:
+        return rows
+    files = listing.select(
+        F.col("source_path").alias("_path"), F.col("length").alias("source_length"), F.col("modificationTime").alias("source_modified")
+    )
+    both = files.join(rows, F.col("_path") == F.col("source_path"), "left")
+    return both.select(
+        F.col("_path").alias("source_path"),
+        "source_length",
+        "source_modified",
+        F.coalesce("batch_id", F.lit(batch_id)).alias("batch_id"),
+        F.coalesce("ingestion_date", F.lit(ingestion_date).cast("date")).alias("ingestion_date"),
+        F.coalesce("row_count", F.lit(0)).alias("row_count"),
+    )
 
 
-def append_manifest(bronze_df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
+def append_manifest(
+    bronze_df: DataFrame, path: str, fmt: str = "parquet", listing: DataFrame | None = None, batch_id: str | None = None, ingestion_date: str | None = None
+) -> DataFrame:
     """K5: append manifest rows (path, rows, batch, date, time)."""
-    rows = manifest_rows(bronze_df).withColumn("recorded_at", F.current_timestamp())
+    rows = manifest_rows(bronze_df, listing, batch_id, ingestion_date).withColumn("recorded_at", F.current_timestamp())
     rows.write.format(fmt).mode("append").save(path)
     return bronze_df.sparkSession.read.format(fmt).load(path)
 
@@ -206,10 +253,8 @@ def append_manifest(bronze_df: DataFrame, path: str, fmt: str = "parquet") -> Da
 def register(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> None:
     """K6: external table over a location (idempotent)."""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING {fmt} LOCATION '{path}'")
-    try:
+    if any(c.isPartition for c in spark.catalog.listColumns(name)):
         spark.sql(f"MSCK REPAIR TABLE {name}")
-    except Exception:  # noqa: BLE001 - unpartitioned tables have nothing to repair
-        pass
 
 
 def comment_columns(spark: SparkSession, table: str, comments: Mapping[str, str], default: str = "No description provided.") -> None:
@@ -227,11 +272,16 @@ def rebuild_table(spark: SparkSession, name: str, df: DataFrame, fmt: str = "par
 
 
 def check_partition_column(df: DataFrame, column: str, limit: int = 10_000) -> int:
-    """Refuse a partition column with more than ``limit`` distinct values."""
-    n = df.agg(F.approx_count_distinct(F.col(column)).alias("n")).first()["n"]  # type: ignore[index]
+    """Refuse a partition column with more than ``limit`` distinct values.
+
+    An approximate count settles the clear cases in one pass; within a fifth
+    of the limit the values are counted exactly (limit + 1 at most)."""
+    n = int(df.agg(F.approx_count_distinct(F.col(column)).alias("n")).first()["n"])  # type: ignore[index]
+    if 0.8 * limit <= n <= 1.2 * limit or n < 100:
+        n = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).count()
     if n > limit:
-        raise ValueError(f"partition column {column!r} has ~{n} distinct values (limit {limit})")
-    return int(n)
+        raise ValueError(f"partition column {column!r} has {n} or more distinct values (limit {limit})")
+    return n
 
 
 def write_csv(df: DataFrame, path: str, dialect: Dialect = Dialect(), mode: str = "overwrite") -> None:
@@ -283,10 +333,17 @@ def zorder_key(df: DataFrame, columns: Sequence[str], bits: int = 8, relative_er
     edges = proxies.approxQuantile([f"_zq{i}" for i in range(len(columns))], probs, relative_error)
 
     def bucket(c: str, e: list[float]):  # noqa: ANN202
-        arr = F.array(*[F.lit(float(v)) for v in sorted(set(e))]) if e else F.array().cast("array<double>")
+        """Number of edges <= x, by binary search (nulls go to bucket 0)."""
+        ends = sorted(set(map(float, e)))
         x = numeric(c)
-        # number of edges <= x: the quantile bucket (nulls go to bucket 0)
-        return F.coalesce(F.size(F.filter(arr, lambda b: b <= x)), F.lit(0)).cast("long")
+
+        def search(lo: int, hi: int):  # noqa: ANN202
+            if lo == hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            return F.when(x < ends[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
+
+        return F.when(x.isNull(), F.lit(0)).otherwise(search(0, len(ends))).cast("long")
 
     buckets = [bucket(c, e) for c, e in zip(columns, edges)]
     key = F.lit(0).cast("long")
@@ -305,9 +362,11 @@ def zorder_write(df: DataFrame, path: str, columns: Sequence[str], files: int =
     """
     if not 1 <= len(columns) <= 4:
         raise ValueError("Z-order on 1-4 columns; more dilutes clustering")
-    keyed = zorder_key(df, columns, bits).withColumn("_zt", row_hash(df))
-    # the row hash after the key lets one very common key value span several
-    # files instead of landing in one range partition
+    others = [c for c in df.columns if c not in columns][:3]
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0).cast("long")
+    # a hash of a few other columns after the key lets one very common key
+    # value span several files instead of landing in one range partition
+    keyed = zorder_key(df, columns, bits).withColumn("_zt", tie)
     out = keyed.repartitionByRange(files, "_zkey", "_zt").sortWithinPartitions("_zkey").drop("_zkey", "_zt")
     write_overwrite(out, path, fmt)
 
@@ -320,14 +379,42 @@ def file_spans(spark: SparkSession, path: str, column: str, fmt: str = "parquet"
     )
 
 
-def compact(spark: SparkSession, path: str, target_mb: int = 128, fmt: str = "parquet", partition: Sequence[str] = ()) -> int:
-    """K9: rewrite a table into files of about ``target_mb``; returns the file count."""
-    size = dir_bytes(spark, path)
-    n = max(1, int(size / (target_mb * 1024 * 1024)) + (1 if size % (target_mb * 1024 * 1024) else 0))
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """The columns a stored table is partitioned by, from its folders."""
+    found: list[str] = []
+    at = path.rstrip("/")
+    while True:
+        inner = [n for n in list_dir(spark, at) if "=" in n and not n.startswith(("_", "."))] or [
+            n for n in list_dir(spark, at) if n.startswith("_dq_") and "=" in n
+        ]
+        if not inner:
+            return found
+        found.append(inner[0].split("=", 1)[0])
+        at = f"{at}/{inner[0]}"
+
+
+def compact(spark: SparkSession, path: str, target_mb: int = 128, fmt: str = "parquet") -> int:
+    """K9: rewrite a table into files of about ``target_mb``; returns the file count.
+
+    The table keeps its partition columns. Rows are rebalanced by adaptive
+    execution, which merges small partition values' tasks and splits large
+    values over several (REBALANCE goes by bytes)."""
+    partition = partition_columns(spark, path)
     df = spark.read.format(fmt).load(path)
-    out = df.repartition(n, *partition) if partition else df.repartition(n)
-    write_overwrite(out, path, fmt, partition)
-    return n
+    conf = {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_mb << 20),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        write_overwrite(df.hint("rebalance", *[F.col(f"`{c}`") for c in partition]), path, fmt, partition)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return len(spark.read.format(fmt).load(path).inputFiles())
 
 
 def drop_partitions(spark: SparkSession, path: str, before: _dt.date | str, column: str = "ingestion_date") -> list[str]:

@@ -68,7 +68,7 @@ def read_csv(
         reader = reader.option("inferSchema", str(infer_schema).lower())
     df = reader.csv(path)
     if source_column:
-        df = df.withColumn(source_column, F.col("_metadata.file_name"))
+        df = df.withColumn(source_column, F.col("_metadata.file_path"))
     return df
 
 
@@ -110,49 +110,95 @@ def _read_with_preamble(
     monotonically increasing id is consecutive, so a line's number is its
     id minus the smallest id of the file's first split (a small per-file
     aggregate, no window). Lines up to and including the header are
-    dropped, the rest parsed with ``from_csv``. The title lines must fit
-    in the first split; quoted line breaks need ``multiline`` (whole files).
+    dropped, the rest parsed with ``from_csv`` under their own file's
+    header and mapped by name (see ``_by_header``). The title lines must
+    fit in the first split; quoted line breaks need ``multiline``.
+
+    Lines of a file without a header row come out with null columns and
+    their text in ``_corrupt_record``; without that column the query fails
+    and names the file.
     """
     enc = canonical_encoding(dialect.encoding)
+    if enc.upper().startswith(("UTF-16", "UTF-32")):
+        raise ValueError(f"title lines in {enc} files need multiline=True: text scans split at byte 0x0A")
     raw = spark.read.text(path)
     lines = raw.select(
         (F.decode(F.col("value").cast("binary"), enc) if enc != "UTF-8" else F.col("value")).alias("_line"),
         F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_name").alias("_fname"),
         (F.col("_metadata.file_block_start") == 0).alias("_first_split"),
         F.monotonically_increasing_id().alias("_mid"),
     )
     first = lines.filter(F.col("_first_split"))
     if dialect.preamble == "auto":
         cand = first.filter(header_candidate(_first_cell(F.col("_line"), dialect)))
-        marks = cand.groupBy("_file").agg(F.min("_mid").alias("_hdr"))
     else:
-        skip = int(dialect.preamble)
         start = first.groupBy("_file").agg(F.min("_mid").alias("_m0"))
-        marks = start.select("_file", (F.col("_m0") + skip).alias("_hdr"))
-    # one row per file: broadcast when proven small, else a salted join, so
-    # the lines of one big file are never gathered into one task
+        cand = file_lookup(first, start, "_file", "inner", len(raw.inputFiles()))
+        cand = cand.filter(F.col("_mid") >= F.col("_m0") + int(dialect.preamble))
+    marks = cand.groupBy("_file").agg(F.min(F.struct("_mid", "_line")).alias("_h"))
+    marks = marks.select("_file", F.col("_h._mid").alias("_hdr"), F.col("_h._line").alias("_header"))
+    headers = _distinct_headers(marks, "_header", path)
+    # one row per file, so the lines of one big file are never gathered into one task
     tagged = file_lookup(lines, marks, "_file", "left", len(raw.inputFiles()))
-    header_line = tagged.filter(F.col("_mid") == F.col("_hdr")).select("_line").limit(1).first()
-    if header_line is None:
-        raise ValueError(f"no header row found in {path}")
-    names = _split_header(header_line["_line"], dialect)
-    if schema is None:
-        schema = _string_schema(names)
-        if corrupt_column:
-            schema = schema.add(CORRUPT, T.StringType(), True)
+    target = schema or _union_schema(headers, dialect, corrupt_column)
     body = tagged.filter(
-        (~F.col("_first_split") | (F.col("_mid") > F.col("_hdr"))) & (F.trim(F.col("_line")) != "")
+        F.col("_hdr").isNull() | (~F.col("_first_split") | (F.col("_mid") > F.col("_hdr"))) & (F.trim(F.col("_line")) != "")
     )
     opts = {k: v for k, v in dialect.options().items() if k in ("sep", "quote", "escape", "nullValue", "dateFormat", "timestampFormat")}
     opts["mode"] = "PERMISSIVE"
     if corrupt_column:
         opts["columnNameOfCorruptRecord"] = CORRUPT
-    parsed = body.select(F.from_csv(F.col("_line"), schema.simpleString(), opts).alias("_r"), F.col("_fname"))
-    out = parsed.select(*[F.col(f"_r.`{n}`").alias(n) for n in schema.fieldNames()], F.col("_fname"))
-    if source_column:
-        return out.withColumnRenamed("_fname", source_column)
-    return out.drop("_fname")
+    if corrupt_column:
+        row = F.struct(*[(F.col("_line") if f.name == CORRUPT else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.fields])
+    else:
+        row = F.raise_error(F.concat(F.lit("no header row found in "), F.col("_file"))).cast(target)
+    for header in headers:
+        own = _header_schema(_split_header(header, dialect), target)
+        parsed = F.from_csv(F.col("_line"), own.simpleString(), opts)
+        row = F.when(F.col("_header") == header, F.struct(*_mapped(parsed, own, target))).otherwise(row)
+    out = body.select(row.alias("_r"), F.col("_file"))
+    out = out.select(*[F.col(f"_r.`{n}`").alias(n) for n in target.fieldNames()], F.col("_file"))
+    return out.withColumnRenamed("_file", source_column) if source_column else out.drop("_file")
+
+
+# Files of one read may have that many different header rows.
+MAX_HEADERS = 200
+
+
+def _distinct_headers(marks: DataFrame, column: str, path: str | list[str]) -> list[str]:
+    """The different header rows among the files (few, whatever the files)."""
+    found = [r[0] for r in marks.select(column).distinct().limit(MAX_HEADERS + 1).collect()]
+    if not found:
+        raise ValueError(f"no header row found in {path}")
+    if len(found) > MAX_HEADERS:
+        raise ValueError(f"more than {MAX_HEADERS} different header rows in {path}")
+    return sorted(found)
+
+
+def _union_schema(headers: list[str], dialect: Dialect, corrupt_column: bool) -> T.StructType:
+    """Text columns for every name in any header, in order of appearance."""
+    names = dict.fromkeys(n for h in headers for n in _split_header(h, dialect))
+    schema = _string_schema(list(names))
+    return schema.add(CORRUPT, T.StringType(), True) if corrupt_column else schema
+
+
+def _header_schema(names: list[str], target: T.StructType) -> T.StructType:
+    """The schema to parse a file with this header: its own column order,
+    the target's types; extra columns as text. A header that shares no name
+    with the target stands for it by position."""
+    data = [f for f in target.fields if f.name != CORRUPT]
+    by_name = {f.name: f.dataType for f in data}
+    if not set(names) & set(by_name):
+        return target
+    own = T.StructType([T.StructField(n, by_name.get(n, T.StringType()), True) for n in names])
+    return own.add(CORRUPT, T.StringType(), True) if CORRUPT in target.fieldNames() else own
+
+
+def _mapped(parsed: Column, own: T.StructType, target: T.StructType) -> list[Column]:
+    have = set(own.fieldNames())
+    return [
+        (parsed.getField(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.fields
+    ]
 
 
 def _read_whole_with_preamble(
@@ -190,35 +236,56 @@ def _read_whole_with_preamble(
     # for byte as written (line breaks inside quoted values included)
     parts = F.split(text, "\n", hdr + 1)
     staged = docs.select(
-        F.col("_metadata.file_name").alias("_src"),
+        F.sha1(F.col("_metadata.file_path")).alias("_sid"),
+        F.col("_metadata.file_path").alias("_file"),
         F.regexp_replace(F.try_element_at(parts, hdr), "\r$", "").alias("_header"),
         F.try_element_at(parts, hdr + 1).alias("value"),
-    ).where((hdr > 0) & F.col("value").isNotNull())
-    first = staged.select("_header").limit(1).first()
-    if first is None:
-        raise ValueError(f"no header row found in {path}")
-    names = _split_header(first["_header"], dialect)
-    if schema is None:
-        schema = _string_schema(names)
-        if corrupt_column:
-            schema = schema.add(CORRUPT, T.StringType(), True)
-    tmp = scratch_dir(spark, "whole-csv")
-    staged.select("value", "_src").write.partitionBy("_src").text(tmp)
-    reader = (
-        spark.read.option("sep", dialect.sep)
-        .option("quote", dialect.quote)
-        .option("escape", dialect.escape)
-        .option("header", "false")
-        .option("multiLine", "true")
-        .option("mode", "PERMISSIVE")
-        .schema(schema.add("_src", T.StringType(), True))
+        (F.coalesce(hdr, F.lit(0)) > 0).alias("_found"),
     )
-    if corrupt_column:
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
-    out = reader.csv(tmp)
-    if source_column:
-        return out.withColumnRenamed("_src", source_column)
-    return out.drop("_src")
+    files = staged.select("_sid", "_file", "_header", "_found").checkpoint()  # one narrow row per file
+    lost = [r["_file"] for r in files.where(~F.col("_found") | F.col("_header").isNull()).limit(5).collect()]
+    if lost:
+        raise ValueError("no header row found in " + ", ".join(lost))
+    headers = _distinct_headers(files, "_header", path)
+    target = schema or _union_schema(headers, dialect, corrupt_column)
+    tmp = scratch_dir(spark, "whole-csv")
+    number = F.array_position(F.array(*[F.lit(h) for h in headers]), F.col("_header")).cast("int")
+    staged.where(F.col("value").isNotNull()).select("value", number.alias("_hid"), "_sid").write.partitionBy("_hid", "_sid").text(tmp)
+    parts_read = []
+    for k, header in enumerate(headers, 1):
+        own = _header_schema(_split_header(header, dialect), target)
+        reader = (
+            spark.read.option("sep", dialect.sep)
+            .option("quote", dialect.quote)
+            .option("escape", dialect.escape)
+            .option("header", "false")
+            .option("multiLine", "true")
+            .option("mode", "PERMISSIVE")
+            .option("basePath", f"{tmp}/_hid={k}")
+            .schema(T.StructType([*own.fields, T.StructField("_sid", T.StringType(), True)]))
+        )
+        if corrupt_column:
+            reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+        if not _exists(spark, f"{tmp}/_hid={k}"):
+            continue  # all of its files end with the header
+        have = set(own.fieldNames())
+        cols = [(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.fields]
+        parts_read.append(reader.csv(f"{tmp}/_hid={k}").select(*cols, "_sid"))
+    if not parts_read:
+        return spark.createDataFrame([], T.StructType([*target.fields, *([T.StructField(source_column, T.StringType(), True)] if source_column else [])]))
+    out = parts_read[0]
+    for more in parts_read[1:]:
+        out = out.unionByName(more)
+    if not source_column:
+        return out.drop("_sid")
+    names = files.select("_sid", F.col("_file").alias(source_column))
+    return file_lookup(out, names, "_sid", "left", len(docs.inputFiles())).drop("_sid")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    from strata.sinks.layout import path_exists
+
+    return path_exists(spark, path)
 
 
 def detect_header_rows(spark: SparkSession, path: str, dialect: Dialect = Dialect()) -> DataFrame:
@@ -249,7 +316,7 @@ def read_json(
         reader = reader.schema(schema)
     df = reader.json(path)
     if source_column:
-        df = df.withColumn(source_column, F.col("_metadata.file_name"))
+        df = df.withColumn(source_column, F.col("_metadata.file_path"))
     return df
 
 
@@ -257,7 +324,7 @@ def read_parquet(spark: SparkSession, path: str | list[str], source_column: str
     """Parquet file or folder; schema comes with the files."""
     df = spark.read.parquet(*([path] if isinstance(path, str) else path))
     if source_column:
-        df = df.withColumn(source_column, F.col("_metadata.file_name"))
+        df = df.withColumn(source_column, F.col("_metadata.file_path"))
     return df
 
 
@@ -280,14 +347,14 @@ def read_dir(
     if fmt == "json":
         return read_json(spark, pattern, schema, source_column=source_column)
     df = spark.read.format(fmt).load(pattern)
-    return df.withColumn(source_column, F.col("_metadata.file_name"))
+    return df.withColumn(source_column, F.col("_metadata.file_path"))
 
 
 def read_text(spark: SparkSession, path: str, *, whole: bool = False, source_column: str | None = None) -> DataFrame:
     """Text kept as text (one row per line, or per file with ``whole``)."""
     df = spark.read.text(path, wholetext=whole)
     if source_column:
-        df = df.withColumn(source_column, F.col("_metadata.file_name"))
+        df = df.withColumn(source_column, F.col("_metadata.file_path"))
     return df
 
 
@@ -297,16 +364,36 @@ def read_binary(spark: SparkSession, pattern: str, *, recursive: bool = False) -
 
 
 def list_files(spark: SparkSession, pattern: str, *, recursive: bool = False) -> DataFrame:
-    """File listing with sizes; ``content`` is pruned, so no bytes are read."""
+    """File listing with sizes; ``content`` is pruned, so no bytes are read.
+
+    ``source_path`` is the path as row lineage writes it."""
     return read_binary(spark, pattern, recursive=recursive).select(
-        "path", "length", "modificationTime", F.element_at(F.split("path", "/"), -1).alias("name")
+        "path",
+        "length",
+        "modificationTime",
+        F.element_at(F.split("path", "/"), -1).alias("name"),
+        F.col("_metadata.file_path").alias("source_path"),
     )
 
 
-def new_files(listing: DataFrame, manifest: DataFrame, path_column: str = "path", manifest_column: str = "source_path") -> DataFrame:
-    """Files in the listing that no manifest row records (idempotent ingest)."""
-    m = manifest.select(F.col(manifest_column).alias("_seen")).distinct()
-    return listing.join(m, listing[path_column] == m["_seen"], "left_anti")
+# What identifies one version of a source file, in a listing and in the manifest.
+LISTED = ("source_path", "length", "modificationTime")
+RECORDED = ("source_path", "source_length", "source_modified")
+
+
+def new_files(listing: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Listed files that no manifest row records (idempotent ingest).
+
+    A file is known by full path, length and modification time: equal base
+    names in two folders are two files, and a replaced file is new. Manifest
+    columns that are null or missing (older rows) are not compared."""
+    have = [(a, b) for a, b in zip(LISTED, RECORDED) if b in manifest.columns]
+    m = manifest.select(*[F.col(b).alias(f"_seen{k}") for k, (_, b) in enumerate(have)]).distinct()
+    cond = F.lit(True)
+    for k, (a, _) in enumerate(have):
+        same = listing[a] == m[f"_seen{k}"]
+        cond = cond & (same if k == 0 else F.coalesce(same, F.lit(True)))
+    return listing.join(m, cond, "left_anti")
 
 
 def preview(df: DataFrame, n: int = 20) -> tuple[DataFrame, list[tuple[str, str]], int]:

@@ -50,16 +50,16 @@ def bronze_stream(
     data_schema = T.StructType([f for f in schema.fields if f.name not in LINEAGE_COLUMNS])
     reader = spark.readStream.format(fmt).schema(data_schema)
     if fmt == "csv":
-        opts = dialect.options()
-        opts.pop("multiLine", None)
-        reader = reader.options(**opts)
+        if dialect.preamble not in (0, None):
+            raise ValueError("a CSV stream can't skip title lines: ingest such files in batches (run_bronze), which reads new files only")
+        reader = reader.options(**dialect.options())
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     df = reader.load(source_dir)
     return df.withColumns(
         {
             "ingestion_date": F.current_date(),
-            "source_file": F.col("_metadata.file_name"),
+            "source_file": F.col("_metadata.file_path"),
             "batch_id": F.lit(batch_id),
         }
     )
