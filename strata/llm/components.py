@@ -2,8 +2,9 @@
 
 Alternating large-star and small-star rounds (Kiveris et al., "Connected
 Components in MapReduce and Beyond", 2014). Every round is two joins of
-the edges with one row per node, so a node with very many neighbours is
-split by the skew-join rule, and the edge count never grows. Each round
+the edges with one row per node (null-safe, so the aggregate's side gets an
+exchange of its own and a node with very many neighbours is split by the
+skew-join rule), and the edge count never grows. Each round
 is cut by ``checkpoint()``; only one count and one sum reach the driver.
 """
 
@@ -18,10 +19,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("m", "a").alias("m"))
-        out = both.join(low, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = both.join(low, F.col("a").eqNullSafe(F.col("n"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         low = edges.groupBy("a").agg(F.min("b").alias("m"))
-        hop = edges.join(low.withColumnRenamed("a", "n"), F.col("a") == F.col("n"))
+        hop = edges.join(low.withColumnRenamed("a", "n"), F.col("a").eqNullSafe(F.col("n")))
         out = hop.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             low.select("a", F.col("m").alias("b"))
         )

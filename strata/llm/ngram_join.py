@@ -298,7 +298,9 @@ def ngram_join(
         .where("m > 1")
         .select(F.col("band").alias("b_band"), F.col("h").alias("b_h"), "m", "bytes")
     )
-    on = (F.col("band") == F.col("b_band")) & (F.col("h") == F.col("b_h"))
+    # null-safe, so that the counts get an exchange of their own and adaptive
+    # execution can split a bucket that holds a large share of the rows
+    on = F.col("band").eqNullSafe(F.col("b_band")) & F.col("h").eqNullSafe(F.col("b_h"))
     units = _units(banded.join(buckets, on), opt)
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     narrow = units.join(classes.select("key", "rep", "bands"), "key").select(*_UNIT, "own", "key", "rep", "bands")
@@ -351,7 +353,7 @@ def near_duplicates(
         "n_links",
     )
     none = F.col("key").isNull()
-    worded = rows.where(~none).join(ids, F.col("key") == F.col("c_key"))
+    worded = rows.where(~none).join(ids, F.col("key").eqNullSafe(F.col("c_key")))
     out = ["id", "class_id", "copy_of", "n_copies", "n_links"]
     alone = rows.where(none).select(
         "id", F.col("id").alias("class_id"), F.col("id").alias("copy_of"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links")

@@ -257,7 +257,8 @@ def choose_copies(written: DataFrame, opt: WarcOptions = DEFAULT) -> DataFrame:
         .where("n > 1")
         .select(F.col("digest").alias("g_digest"), F.col("n_bytes").alias("g_bytes"), "best")
     )
-    on = (F.col("digest") == F.col("g_digest")) & (F.col("n_bytes") == F.col("g_bytes"))
+    # null-safe, so both sides get an exchange and a hot digest can be split
+    on = F.col("digest").eqNullSafe(F.col("g_digest")) & F.col("n_bytes").eqNullSafe(F.col("g_bytes"))
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("best")), F.col("best"))
     return written.join(groups, on, "left").select(*written.columns, refers.alias("refers_to"))
 
