@@ -101,19 +101,10 @@ def to_utc(c: Column | str, fmt: str | None = None) -> Column:
     return F.try_to_timestamp(s, F.lit(fmt)) if fmt else F.try_to_timestamp(s)
 
 
-def pct(c: Column | str, total: Column | None = None, digits: int = 6) -> Column:
-    """Percent of the total (default: the sum over the whole frame).
-
-    The default total is a window over all rows, meant for small,
-    already aggregated frames (one row per reason, per status...); for a
-    frame of any size use ``strata.operators.aggregates.pct_of_total``,
-    which takes the total from a scalar subquery.
-    """
-    from pyspark.sql import Window
-
-    col = _col(c)
-    denom = total if total is not None else F.sum(col).over(Window.partitionBy())
-    return F.round(F.lit(100.0) * col / denom, digits)
+def pct(c: Column | str, total: Column, digits: int = 6) -> Column:
+    """Percent of ``total``, e.g. a scalar subquery of the sum
+    (``strata.operators.aggregates.pct_of_total`` builds it)."""
+    return F.round(F.lit(100.0) * _col(c) / total, digits)
 
 
 def json_field(c: Column | str, path: str, dtype: T.DataType | str = "string") -> Column:

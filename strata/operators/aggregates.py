@@ -110,6 +110,8 @@ def cohort(
     period is a window over that bounded set. The result counts distinct
     entities per (cohort, offset) as plain row counts.
     """
+    if grain not in ("day", "week", "month", "quarter", "year"):
+        raise ValueError(f"cohort grain {grain!r}: periods are days, weeks, months, quarters or years")
     period = trunc_date(ts, grain) if grain != "day" else F.to_date(F.col(ts))
     pairs = df.select(F.col(entity).alias("_e"), period.alias("_p")).where(F.col("_e").isNotNull() & F.col("_p").isNotNull()).distinct()
     first = pairs.withColumn("_c", F.min("_p").over(Window.partitionBy("_e")))
@@ -119,10 +121,10 @@ def cohort(
             off = F.floor(off / 7)
     elif grain == "month":
         off = F.floor(F.months_between(F.col("_p"), F.col("_c")))
-    elif grain == "year":
-        off = F.year("_p") - F.year("_c")
+    elif grain == "quarter":
+        off = (F.year("_p") - F.year("_c")) * 4 + F.quarter("_p") - F.quarter("_c")
     else:
-        off = F.datediff(F.col("_p"), F.col("_c"))
+        off = F.year("_p") - F.year("_c")
     return (
         first.groupBy(F.col("_c").alias(cohort_col), off.cast("bigint").alias(offset_col))
         .agg(F.count(F.lit(1)).alias(count_col))
@@ -163,6 +165,21 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact:
     return df.agg(*[fn(F.col(f"`{c}`")).alias(f"distinct_{c}") for c in cols])
 
 
+def _countable(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
+    if columns is not None:
+        return list(columns)
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BooleanType, T.IntegralType, T.DateType))]
+
+
+def skipped_columns(df: DataFrame, columns: Sequence[str] | None = None, max_distinct: int = 50) -> DataFrame:
+    """(col, distinct_approx) of the columns that ``value_counts`` leaves out."""
+    cols = _countable(df, columns)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "col string, distinct_approx long")
+    one = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(c) for c in cols])
+    return one.unpivot([], [F.col(f"`{c}`") for c in cols], "col", "distinct_approx").where(F.col("distinct_approx") > max_distinct)
+
+
 def value_counts(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -171,13 +188,11 @@ def value_counts(
     """(column, value, n) for low-cardinality columns.
 
     Columns above ``max_distinct`` (approximate distinct count, one scan)
-    are left out; pass ``columns`` and ``max_distinct=None`` to choose
-    them directly. Values are unpivoted as text and counted by a partial
+    are left out; ``skipped_columns`` lists them with their counts. Pass
+    ``columns`` and ``max_distinct=None`` to choose columns directly. Values are unpivoted as text and counted by a partial
     aggregate.
     """
-    cols = list(columns) if columns is not None else [
-        f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BooleanType, T.IntegralType, T.DateType))
-    ]
+    cols = _countable(df, columns)
     if max_distinct is not None and cols:
         row = distinct_counts(df, cols).first()
         assert row is not None

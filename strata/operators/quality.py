@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.contract import REASON_COERCION, REASON_DUPLICATE, Contract, Rule
-from strata.functions.columns import coerce, rename_present
+from strata.functions.columns import LINEAGE_COLUMNS, coerce, rename_present, strict_select
 from strata.operators.dedup import default_order, flag_first
 from strata.operators.joins import lookup_hit
 from strata.operators.skew import null_safe_on
@@ -77,6 +77,12 @@ def classify(
     """
     d = rename_present(df, contract.rename)
     if contract.schema is not None:
+        # columns beyond the schema go (``unexpected_columns`` reports them),
+        # but for lineage and the keys that rules and dedup name; missing ones
+        # become nulls, which then fail where they are required
+        used = {*LINEAGE_COLUMNS, *contract.dedup_keys, *(o if isinstance(o, str) else o[0] for o in contract.dedup_order or [])}
+        used |= {r.column for r in contract.all_rules()}
+        d, _ = strict_select(d, contract.schema, [c for c in d.columns if c in used])
         d = coerce(d, contract.schema, contract.coercers, keep_source=True, source_prefix=SOURCE_PREFIX)
     src_cols = [c for c in d.columns if c.startswith(SOURCE_PREFIX)]
     q = lambda c: F.col(f"`{c}`")
@@ -142,6 +148,14 @@ def classify(
     )
 
 
+def unexpected_columns(df: DataFrame, contract: Contract) -> list[str]:
+    """Q7 report: columns (after renaming) that the contract doesn't know."""
+    if contract.schema is None:
+        return []
+    known = {*contract.schema.fieldNames(), *LINEAGE_COLUMNS}
+    return [c for c in rename_present(df, contract.rename).columns if c not in known]
+
+
 def _mark_seen(d: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     """Turn ``_is_first`` false for rows whose key is in ``seen`` (distinct
     after a partial aggregate; null-safe)."""

@@ -56,12 +56,13 @@ def batch_metadata(manifest: DataFrame) -> DataFrame:
     )
 
 
-def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Per column: type, rows, nulls, approximate distinct count, min, max.
+def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
+    """Per column: type, rows, nulls, distinct count, min, max.
 
     One aggregate pass over the data; min/max are reported as text so all
-    columns fit one table.
+    columns fit one table. Distinct counts are approximate unless ``exact``.
     """
+    distinct, label = (F.count_distinct, "distinct") if exact else (F.approx_count_distinct, "distinct_approx")
     cols = list(columns) if columns is not None else df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
     structs = []
@@ -73,21 +74,27 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
                 F.lit(c).alias("column"),
                 F.lit(types[c].simpleString()).alias("type"),
                 F.count_if(x.isNull()).alias("nulls"),
-                (F.approx_count_distinct(x) if orderable else F.lit(None).cast("long")).alias("distinct_approx"),
+                (distinct(x) if orderable else F.lit(None).cast("long")).alias(label),
                 (F.min(x).cast("string") if orderable else F.lit(None).cast("string")).alias("min"),
                 (F.max(x).cast("string") if orderable else F.lit(None).cast("string")).alias("max"),
             )
         )
     one = df.agg(F.count(F.lit(1)).alias("rows"), F.array(*structs).alias("_s"))
-    return one.select("rows", F.explode("_s").alias("s")).select("s.column", "s.type", "rows", "s.nulls", "s.distinct_approx", "s.min", "s.max")
+    return one.select("rows", F.explode("_s").alias("s")).select("s.column", "s.type", "rows", "s.nulls", f"s.{label}", "s.min", "s.max")
 
 
 def profile_tables(df: DataFrame, max_distinct: int = 50) -> dict[str, DataFrame]:
-    """R5 in full: per-column profile, numeric summary and the value
-    distribution of low-cardinality columns (A10-A13)."""
-    from strata.operators.aggregates import summary, value_counts
+    """R5 in full: per-column profile, numeric summary, the value
+    distribution of low-cardinality columns (A10-A13), and the columns that
+    have too many values for one."""
+    from strata.operators.aggregates import skipped_columns, summary, value_counts
 
-    return {"columns": profile(df), "summary": summary(df), "values": value_counts(df, max_distinct=max_distinct)}
+    return {
+        "columns": profile(df),
+        "summary": summary(df),
+        "values": value_counts(df, max_distinct=max_distinct),
+        "values_skipped": skipped_columns(df, max_distinct=max_distinct),
+    }
 
 
 def audit_table(*checks: DataFrame) -> DataFrame:
@@ -98,14 +105,15 @@ def audit_table(*checks: DataFrame) -> DataFrame:
 def storage(spark: SparkSession, tables: Mapping[str, str]) -> DataFrame:
     """(table, files, bytes) from a recursive listing of each table folder.
 
-    The listing reads file metadata only (``content`` is pruned).
+    Every data file counts, of any format; markers and hidden files (names
+    that start with ``_`` or ``.``) don't. The listing reads file metadata
+    only (``content`` is pruned).
     """
     parts = []
     for name, path in tables.items():
         listing = (
             spark.read.format("binaryFile")
             .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*.parquet")
             .load(path)
             .select("length")
         )

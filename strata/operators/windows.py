@@ -1,8 +1,7 @@
 """Rankings, top-N, gaps, unions and reconciliation (inventory W2-W9).
 
 Global orderings never run as a single-partition window over unbounded
-data: ``rank_all`` numbers rows inside a proven bound in one partition and
-otherwise uses a range-partitioned sort plus per-partition offsets.
+data: ``rank_all`` is a range-partitioned sort plus per-partition offsets.
 """
 
 from __future__ import annotations
@@ -27,36 +26,19 @@ def _order_cols(order: OrderSpec) -> list[Column]:
     return out
 
 
-def rank_all(
-    df: DataFrame,
-    order: OrderSpec,
-    rank_col: str = "rank",
-    *,
-    max_single_partition_rows: int = 1_000_000,
-    partitions: int | None = None,
-) -> DataFrame:
+def rank_all(df: DataFrame, order: OrderSpec, rank_col: str = "rank", *, partitions: int | None = None) -> DataFrame:
     """Dense 1..N numbering in a total order (``order`` must break ties).
 
-    The input (normally an aggregate) is written once to the shared
-    scratch folder, so it is computed once and its row count is read from
-    Parquet footers. Inside the bound it is numbered by one window.
-    Beyond it: range-partitioned sort, rows counted per partition,
-    offsets summed over those few counts, and the offset table broadcast
-    back — no task ever holds more than one range of the data. The sorted
-    frame is checkpointed to the shared checkpoint folder first, so both
-    uses see the same partition boundaries.
+    One plan for any size: a range-partitioned sort, rows counted per
+    partition, offsets summed over those few counts, and the offset table
+    (one row per partition) broadcast back, so no task ever holds more than
+    one range of the data. The sorted frame is written to the shared
+    checkpoint folder first, so both uses see the same boundaries.
     """
     cols = _order_cols(order)
     spark = df.sparkSession
-    # Stage the input once in the shared folder: its row count then comes
-    # from Parquet footers, and neither path recomputes the input.
-    src_path = scratch_dir(spark, "rank-in")
-    df.write.parquet(src_path)
-    src = spark.read.parquet(src_path)
-    if src.count() <= max_single_partition_rows:
-        return src.withColumn(rank_col, F.row_number().over(Window.orderBy(*cols)).cast("bigint"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    sorted_df = src.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    sorted_df = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
     sorted_df = sorted_df.withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
     path = scratch_dir(spark, "rank")
     sorted_df.write.parquet(path)

@@ -269,11 +269,7 @@ def a12_value_dist(spark: SparkSession, d: str) -> DataFrame:
 def a10_null_counts(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang")
     j = denormalise(docs, table(spark, d, "labels"), "doc_id", ["quality"])
-    return j.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("quality").isNull()).alias("null_quality"),
-        F.count_distinct("lang").alias("d_lang"),
-    )
+    return A.null_counts(j, ["lang", "quality"])
 
 
 def r2_reason_share(spark: SparkSession, d: str) -> DataFrame:
@@ -381,7 +377,7 @@ ORACLE: dict[str, str] = {
     "j3_partial_fk": "SELECT d.doc_id,l.quality FROM documents d LEFT JOIN labels l ON d.doc_id=l.doc_id",
     "j4_fanout": "SELECT l_orderkey,l_linenumber,count(*) AS n FROM lineitem GROUP BY 1,2 HAVING count(*)>1",
     "a12_value_dist": "SELECT 'lang' AS col,lang AS v,count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'source',source,count(*) FROM documents GROUP BY 2",
-    "a10_null_counts": "SELECT count(*) AS n,count(*) FILTER (WHERE quality IS NULL) AS null_quality,count(DISTINCT lang) AS d_lang FROM documents LEFT JOIN labels USING(doc_id)",
+    "a10_null_counts": "SELECT count(*) AS rows,count(*) FILTER (WHERE lang IS NULL) AS null_lang,count(*) FILTER (WHERE quality IS NULL) AS null_quality FROM documents LEFT JOIN labels USING(doc_id)",
     "x16_json": "SELECT CAST(json_extract_string(props,'$.k') AS INT) AS k,count(*) AS n FROM events GROUP BY 1",
     "r2_reason_share": "SELECT event_type,count(*) AS n,round(100.0*count(*)/sum(count(*)) OVER (),6) AS pct FROM events GROUP BY 1",
     "q14_grain": "SELECT count(*) AS agg_rows,(SELECT count(DISTINCT (l_returnflag,l_linestatus)) FROM lineitem) AS keys,count(*) FILTER (WHERE l_returnflag IS NULL OR l_linestatus IS NULL) AS null_dims FROM (SELECT l_returnflag,l_linestatus FROM lineitem GROUP BY 1,2)",

@@ -266,26 +266,39 @@ def k2_silver_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k8_zorder(spark: SparkSession, d: str) -> DataFrame:
-    """K8: Z-ordered rewrite keeps every row."""
+    """K8: a Z-ordered rewrite keeps every row, and its files are narrower in
+    both columns than the whole (a plain copy's are not)."""
     path = scratch_dir(spark, "k8")
-    K.zorder_write(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), path, ["o_custkey", "o_totalprice"], files=8)
-    return spark.read.parquet(path)
+    o = table(spark, d, "orders")
+    K.zorder_write(o, path, ["o_custkey", "o_totalprice"], files=16)
+    out = spark.read.parquet(path)
+    for c in ("o_custkey", "o_totalprice"):
+        whole = o.select((F.max(c) - F.min(c)).alias("w")).scalar()
+        mean = K.file_spans(spark, path, c).select(F.avg(F.col("hi") - F.col("lo")).alias("m")).scalar()
+        out = out.withColumn(f"narrow_{c}", mean < whole * 0.8)
+    return out
 
 
 def k9_compact(spark: SparkSession, d: str) -> DataFrame:
-    """K9 K4: many small files compacted; rows unchanged."""
+    """K9 K4: many small files compacted; rows and partitions are kept, and
+    one file per partition value is left."""
     path = scratch_dir(spark, "k9")
-    table(spark, d, "orders").select("o_orderkey", "o_totalprice").repartition(16).write.parquet(path)
-    K.compact(spark, path, target_mb=64)
-    return spark.read.parquet(path)
+    table(spark, d, "orders").repartition(8).write.partitionBy("o_orderstatus").parquet(path)
+    before = len(spark.read.parquet(path).inputFiles())
+    after = K.compact(spark, path, target_mb=64)
+    parts = ",".join(K.partition_columns(spark, path))
+    out = spark.read.parquet(path)
+    per = out.select(F.count_distinct("o_orderstatus").alias("n")).scalar()
+    return out.withColumns({"fewer": F.lit(after < before), "per_value": F.lit(after) == per, "parts": F.lit(parts)})
 
 
 def f7_from_file(spark: SparkSession, d: str) -> DataFrame:
-    """Lineage lookup of the rows that came from one source file."""
-    path = scratch_dir(spark, "f7")
-    K.write_csv(_orders_for_text(spark, d), path, Dialect())
-    df = with_lineage(S.read_csv(spark, path, Dialect(), ORDER_SCHEMA), "b-f7", "2024-01-01", "orders_2024.csv")
-    return from_file(df, "orders_2024.csv").select("o_orderkey", "o_totalprice")
+    """Lineage lookup of the rows that came from one of two files of
+    the same base name."""
+    path, listing = _csv_by_day(spark, d, "f7")
+    df = with_lineage(S.read_dir(spark, f"{path}/*/data.csv", "csv", Dialect(), ORDER_SCHEMA), "b-f7", "2024-01-01")
+    one = listing.where(F.col("path").contains("/b/")).select("source_path").first()
+    return from_file(df, one["source_path"]).select("o_orderkey", "o_totalprice")  # type: ignore[index]
 
 
 def w6_head(spark: SparkSession, d: str) -> DataFrame:
@@ -399,16 +412,24 @@ def t1_stream_bronze(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t2_stream_silver(spark: SparkSession, d: str) -> DataFrame:
-    """Epochs classified one by one; duplicates found across epochs."""
+    """Epochs classified one by one; duplicates found across epochs.
+
+    The files follow the dedup order and are written one after another, so
+    the stream's outcomes are those of the batch classifier."""
     from strata.streaming.files import bronze_stream
 
-    src = _line_files(spark, d)
+    src = scratch_dir(spark, "t2src")
+    li = table(spark, d, "lineitem").select(*LINE_SCHEMA.fieldNames())
+    edges = li.select(F.year("l_shipdate").alias("y")).distinct().orderBy("y").collect()  # a few years
+    for lo in [r["y"] for r in edges][::2]:
+        own = li.where(F.year("l_shipdate").between(lo, lo + 1)).coalesce(1)
+        own.write.mode("append").option("header", "true").csv(src)
     out, ck = scratch_dir(spark, "t2out"), scratch_dir(spark, "t2ck")
     b = bronze_stream(spark, src, LINE_SCHEMA, Dialect(), max_files_per_trigger=1)
     stream_silver(b, lineitem_contract(spark, d), out, ck)
     kept, quarantined = silver_outputs(spark, out)
     both = quarantined.select(REASON).unionByName(kept.select(F.lit(None).cast("string").alias(REASON)))
-    return both.agg(F.count_if(F.col(REASON) == "duplicate").alias("duplicates"), F.count(F.lit(1)).alias("total"))
+    return outcome_counts(both)
 
 
 def t2_stream_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -468,13 +489,13 @@ FILE_ORACLE: dict[str, str] = {
     "s20_corrupt_capture": "SELECT o_orderkey,CASE WHEN o_orderkey%10=0 THEN NULL ELSE o_totalprice END AS o_totalprice,o_orderkey%10=0 AS corrupt FROM orders",
     "k1_bronze_roundtrip": "SELECT count(*) AS total_rows,CAST(1 AS BIGINT) AS batches,count(*) AS batch_rows,CAST(1 AS BIGINT) AS partitions,count(*) AS of_batch_rows FROM lineitem",
     "k2_silver_split": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN rn>1 THEN 'duplicate' WHEN NOT l_quantity BETWEEN 5 AND 45 THEN 'l_quantity failed validation' WHEN hit IS NULL THEN 'l_suppkey not in reference' ELSE 'kept' END AS reason FROM (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey,l_linenumber ORDER BY l_shipdate,l_partkey,l_suppkey) AS rn, s.s_suppkey AS hit FROM lineitem l LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal>=0) s ON l.l_suppkey=s.s_suppkey)) GROUP BY 1",
-    "k8_zorder": "SELECT o_orderkey,o_custkey,o_totalprice FROM orders",
+    "k8_zorder": "SELECT *,true AS narrow_o_custkey,true AS narrow_o_totalprice FROM orders",
     "q9_bucketed_bronze": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN rn>1 THEN 'duplicate' WHEN NOT l_quantity BETWEEN 5 AND 45 THEN 'l_quantity failed validation' WHEN hit IS NULL THEN 'l_suppkey not in reference' ELSE 'kept' END AS reason FROM (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey,l_linenumber ORDER BY l_shipdate,l_partkey,l_suppkey) AS rn, s.s_suppkey AS hit FROM lineitem l LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal>=0) s ON l.l_suppkey=s.s_suppkey)) GROUP BY 1",
-    "k9_compact": "SELECT o_orderkey,o_totalprice FROM orders",
+    "k9_compact": "SELECT *,true AS fewer,true AS per_value,'o_orderstatus' AS parts FROM orders",
     "t1_stream_bronze": "SELECT l_orderkey,l_linenumber,l_quantity FROM lineitem",
-    "t2_stream_silver": "SELECT count(*)-count(DISTINCT (l_orderkey,l_linenumber)) AS duplicates,count(*) AS total FROM lineitem",
+    "t2_stream_silver": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN rn>1 THEN 'duplicate' WHEN NOT l_quantity BETWEEN 5 AND 45 THEN 'l_quantity failed validation' WHEN hit IS NULL THEN 'l_suppkey not in reference' ELSE 'kept' END AS reason FROM (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey,l_linenumber ORDER BY l_shipdate,l_partkey,l_suppkey) AS rn, s.s_suppkey AS hit FROM lineitem l LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal>=0) s ON l.l_suppkey=s.s_suppkey)) GROUP BY 1",
     "t2_stream_rules": "SELECT CASE WHEN NOT l_quantity BETWEEN 5 AND 45 THEN 'l_quantity failed validation' WHEN s.s_suppkey IS NULL THEN 'l_suppkey not in reference' ELSE 'kept' END AS reason, count(*) AS n FROM lineitem l LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal>=0) s ON l.l_suppkey=s.s_suppkey GROUP BY 1",
-    "f7_from_file": "SELECT o_orderkey,o_totalprice FROM orders",
+    "f7_from_file": "SELECT o_orderkey,o_totalprice FROM orders WHERE o_orderkey%2=1",
     "w6_head": "SELECT o_orderkey,o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 20",
     "k10_retention": "SELECT l_orderkey,l_linenumber,l_quantity,'b-new' AS batch_id FROM lineitem",
     "k12_partition_guard": "SELECT 'l_returnflag' AS column,count(DISTINCT l_returnflag) AS distinct_values FROM lineitem UNION ALL SELECT 'l_linestatus',count(DISTINCT l_linestatus) FROM lineitem",

@@ -35,6 +35,12 @@ def _flagged_lineitem(spark: SparkSession, d: str) -> DataFrame:
     return classify(table(spark, d, "lineitem"), lineitem_contract(spark, d))
 
 
+def _stored_lineitem(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Silver and quarantine of the line items, classified and written once;
+    reports read what is stored."""
+    return K.write_split(_flagged_lineitem(spark, d), scratch_dir(spark, "split"))
+
+
 # --- column shaping -----------------------------------------------------------
 
 
@@ -74,7 +80,10 @@ def p11_drop_empty(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f9_mojibake(spark: SparkSession, d: str) -> DataFrame:
-    return mojibake(table(spark, d, "documents"), ["text", "source"])
+    # every seventh text and every third source were decoded as the wrong encoding
+    docs = table(spark, d, "documents")
+    bad = lambda c, k: F.when(F.col("doc_id") % k == 0, F.concat(F.col(c), F.lit("caf\u00c3\u00a9"))).otherwise(F.col(c)).alias(c)
+    return mojibake(docs.select(bad("text", 7), bad("source", 3)), ["text", "source"])
 
 
 def j6_cross_source(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +132,7 @@ def w5_top_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w9_reconcile(spark: SparkSession, d: str) -> DataFrame:
-    kept, quarantined = split(_flagged_lineitem(spark, d))
+    kept, quarantined = _stored_lineitem(spark, d)
     return W.reconcile(table(spark, d, "lineitem"), kept, quarantined)
 
 
@@ -145,63 +154,101 @@ def q8_null_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q13_audit_bronze(spark: SparkSession, d: str) -> DataFrame:
+    """Q13 over two stored tables: a good one, and one that is JSON, not
+    partitioned, and lacks its source files."""
     li = table(spark, d, "lineitem")
-    b = P.with_lineage(li, "batch-q13", "2024-01-01")
-    return Q.audit_bronze(b, input_rows=li.count(), stored_format="parquet")
+    good, bad = scratch_dir(spark, "q13"), scratch_dir(spark, "q13bad")
+    K.write_bronze(P.with_lineage(li, "batch-q13", "2024-01-01"), good)
+    P.with_lineage(li, "batch-q13", "2024-01-01", F.lit(None).cast("string")).write.json(bad)
+    rows = li.agg(F.count(F.lit(1)).alias("n")).first()["n"]  # type: ignore[index]
+    first = Q.audit_bronze(spark.read.parquet(good), input_rows=rows, path=good)
+    schema = spark.read.parquet(good).schema
+    second = Q.audit_bronze(spark.read.schema(schema).json(bad), input_rows=rows, path=bad)
+    tag = lambda c, name: c.withColumn("stored", F.lit(name))
+    return tag(first, "good").unionByName(tag(second, "bad")).withColumn("observed", F.when(F.col("check") == "partitioned_by", "").otherwise(F.col("observed")))
 
 
 def q18_audit_silver(spark: SparkSession, d: str) -> DataFrame:
     c = lineitem_contract(spark, d)
     c.required_columns = ["l_orderkey", "l_linenumber"]
-    kept, _ = split(classify(table(spark, d, "lineitem"), c))
+    kept, _ = K.write_split(classify(table(spark, d, "lineitem"), c), scratch_dir(spark, "q18"))
     return Q.audit_silver(kept, c)
 
 
+def q20_enforce(spark: SparkSession, d: str) -> DataFrame:
+    """Q20: duplicates in the raw line items fail an abort check, by policy."""
+    c = lineitem_contract(spark, d)
+    checks = Q.audit_silver(table(spark, d, "lineitem"), c)
+    try:
+        Q.enforce(checks)
+        outcome = "passed"
+    except RuntimeError:
+        outcome = "aborted"
+    return checks.select("check", "status", "observed", F.lit(outcome).alias("outcome"))
+
+
 # --- reports -----------------------------------------------------------------------
 
 
 def r1_run_summary(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    kept, quarantined = split(_flagged_lineitem(spark, d))
+    kept, quarantined = _stored_lineitem(spark, d)
     gold = A.aggregate(kept, ["l_returnflag", "l_linestatus"], [A.Measure("n", "count_all")])
     return R.run_summary(
-        {"lineitem_raw": ("bronze", li), "lineitem_kept": ("silver", kept), "lineitem_quarantine": ("silver", quarantined), "by_flag_status": ("gold", gold)}
+        {
+            "lineitem_raw": ("bronze", table(spark, d, "lineitem")),
+            "lineitem_kept": ("silver", kept),
+            "lineitem_quarantine": ("silver", quarantined),
+            "by_flag_status": ("gold", gold),
+        }
     )
 
 
 def r2_failure_reasons(spark: SparkSession, d: str) -> DataFrame:
-    _, quarantined = split(_flagged_lineitem(spark, d))
+    _, quarantined = _stored_lineitem(spark, d)
     return R.failure_reasons(quarantined)
 
 
+def r3_aggregate_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """An aggregate's catalogue row, whose sample query is then run."""
+    from strata.plans.stages import LINE_GOLD
+
+    agg = A.Aggregate(LINE_GOLD.name, LINE_GOLD.dims, [A.Measure("row_count", "count_all")], use_case=LINE_GOLD.use_case)
+    row = R.aggregate_catalog(spark, [agg], "strata_r3_").first()
+    agg.build(table(spark, d, "lineitem")).createOrReplaceTempView(f"strata_r3_{agg.name}")
+    return spark.sql(row["sample_query"]).withColumn("grain", F.lit(row["grain"]))  # type: ignore[index]
+
+
 def r4_batch_metadata(spark: SparkSession, d: str) -> DataFrame:
     b = P.with_lineage(table(spark, d, "orders"), "batch-r4", "2024-01-01")
     return R.batch_metadata(K.manifest_rows(b)).select("batch_id", "ingestion_date", "files", "rows")
 
 
 def r5_profile(spark: SparkSession, d: str) -> DataFrame:
-    return R.profile(table(spark, d, "orders"))
+    return R.profile(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), exact=True)
 
 
 def r6_audit_table(spark: SparkSession, d: str) -> DataFrame:
     """Bronze, Silver and Gold checks of one run in one table."""
     li = table(spark, d, "lineitem")
-    flagged = _flagged_lineitem(spark, d)
-    kept, _ = split(flagged)
+    kept, _ = _stored_lineitem(spark, d)
     gold = A.aggregate(kept, ["l_returnflag", "l_linestatus"], [A.Measure("n", "count_all")])
     return R.audit_table(
-        Q.audit_bronze(P.with_lineage(li, "batch-r6", "2024-01-01"), input_rows=li.count()),
+        Q.audit_bronze(P.with_lineage(li, "batch-r6", "2024-01-01")),
         Q.audit_silver(kept, lineitem_contract(spark, d)),
         Q.check_grain(gold, kept, ["l_returnflag", "l_linestatus"], "by_flag_status"),
     )
 
 
 def r7_storage(spark: SparkSession, d: str) -> DataFrame:
-    """Files and bytes per stored table."""
+    """Files and bytes per stored table, of two formats; bytes are those
+    of the files' contents."""
     root = scratch_dir(spark, "r7")
-    table(spark, d, "orders").write.parquet(f"{root}/orders")
-    table(spark, d, "lineitem").write.partitionBy("l_returnflag").parquet(f"{root}/lineitem")
-    return R.storage(spark, {"orders": f"{root}/orders", "lineitem": f"{root}/lineitem"})
+    table(spark, d, "orders").coalesce(1).write.json(f"{root}/orders")
+    table(spark, d, "lineitem").coalesce(1).write.partitionBy("l_returnflag").parquet(f"{root}/lineitem")
+    sized = R.storage(spark, {"orders": f"{root}/orders", "lineitem": f"{root}/lineitem"})
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    own = read.groupBy(F.when(F.col("path").contains("/orders/"), "orders").otherwise("lineitem").alias("t")).agg(F.sum(F.length("content")).alias("b"))
+    return sized.join(own, F.col("table") == F.col("t")).select("table", "files", (F.col("bytes") == F.col("b")).alias("sized"))
 
 
 # --- scalar functions ------------------------------------------------------------------
@@ -219,7 +266,9 @@ def x13_to_utc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def x14_two_digit_year(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select((F.year("o_orderdate") % 100).alias("yr"))
+    # every third year was cut to two digits
+    y = F.year("o_orderdate")
+    o = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 3 == 0, y % 100).otherwise(y).alias("yr"))
     f = classify(o, Contract("orders", rules=[Rule.custom("yr", "yr BETWEEN 1900 AND 2100", "two-digit year suspected")]))
     return f.agg(
         F.count(F.lit(1)).alias("n"),
@@ -229,10 +278,27 @@ def x14_two_digit_year(spark: SparkSession, d: str) -> DataFrame:
 
 
 def x17_leading_zeros(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("id"))
+    # every fourth id went through a number and lost its zeros
+    raw = F.col("c_custkey").cast("string")
+    c = table(spark, d, "customer").select(F.when(F.col("c_custkey") % 4 == 0, raw).otherwise(F.lpad(raw, 8, "0")).alias("id"))
     return c.groupBy(keeps_leading_zeros("id", 8).alias("ok")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def x7_batch_id(spark: SparkSession, d: str) -> DataFrame:
+    """One batch id and one stamp per run, other ids for other runs."""
+    from strata.functions.scalars import new_batch_id, run_timestamp
+
+    o = table(spark, d, "orders")
+    runs = [P.stamp(P.with_lineage(o, new_batch_id())).withColumns({"run": F.lit(k), "at": F.lit(run_timestamp())}) for k in (1, 2)]
+    both = runs[0].unionByName(runs[1])
+    return both.agg(
+        F.count_distinct("batch_id").alias("ids"),
+        F.count_if(F.length("batch_id") != 36).alias("malformed"),
+        F.count_if(F.col("last_updated").isNull() | F.col("ingestion_date").isNull()).alias("unstamped"),
+        (F.max(F.abs(F.datediff("at", F.current_date()))) <= 1).alias("today"),
+    )
+
+
 # --- sinks and scans ---------------------------------------------------------------------
 
 
@@ -242,8 +308,97 @@ def k4_write_gold(spark: SparkSession, d: str) -> DataFrame:
         "yearly": A.aggregate(o, [F.year("o_orderdate").alias("yr")], [A.Measure("customers", "count_distinct", "o_custkey"), A.Measure("n", "count_all")]),
         "by_status": A.aggregate(o, ["o_orderstatus"], [A.Measure("n", "count_all")]),
     }
-    paths = K.write_gold(aggs, scratch_dir(spark, "gold"))
-    return spark.read.parquet(paths["yearly"])
+    root = scratch_dir(spark, "gold")
+    K.write_gold(aggs, root)
+    paths = K.write_gold(aggs, root)  # a second run replaces the tables
+    yearly = spark.read.parquet(paths["yearly"]).select(F.col("yr").cast("string").alias("key"), "customers", "n")
+    status = spark.read.parquet(paths["by_status"]).select(F.col("o_orderstatus").alias("key"), F.lit(None).cast("bigint").alias("customers"), "n")
+    return yearly.unionByName(status)
+
+
+def k11_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """A table rebuilt twice holds its last version only."""
+    import uuid
+
+    name = f"strata_k11_{uuid.uuid4().hex[:8]}"
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    K.rebuild_table(spark, name, o)
+    return K.rebuild_table(spark, name, o.where(F.col("o_orderstatus") != "F"))
+
+
+def w8_schema_diff(spark: SparkSession, d: str) -> DataFrame:
+    """A stored layer's schema against its source's."""
+    from strata.sources.files import read_layer
+
+    path = scratch_dir(spark, "w8")
+    o = table(spark, d, "orders")
+    o.select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), F.lit(1).alias("n")).write.parquet(path)
+    diff = W.schema_diff(o.select("o_orderkey", "o_custkey", "o_orderstatus"), read_layer(spark, path), "source", "stored")
+    rows = read_layer(spark, path).agg(F.count(F.lit(1)).alias("stored_rows")).select("stored_rows").scalar()
+    return diff.withColumn("stored_rows", rows)
+
+
+def s19_preview(spark: SparkSession, d: str) -> DataFrame:
+    """The preview's rows, schema and row count."""
+    from strata.sources.files import preview
+
+    head, cols, n = preview(table(spark, d, "nation").orderBy("n_nationkey").select("n_nationkey", "n_name"), 5)
+    return head.withColumns({"columns": F.lit(",".join(c for c, _ in cols)), "rows": F.lit(n).cast("bigint")})
+
+
+def s14_zip_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Orders zipped by the executors, one archive per status, with
+    a readme and a CSV per half in each; all CSVs read back, by header."""
+    import io
+    import zipfile
+
+    from strata.sinks.layout import path_exists
+    from strata.sources import archives as Z
+    from strata.sources.dialect import Dialect
+
+    root = scratch_dir(spark, "zip")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    lines = o.select("o_orderstatus", (F.col("o_orderkey") % 2).alias("half"), F.to_csv(F.struct("o_orderkey", "o_orderstatus", "o_totalprice"), {"sep": ";"}).alias("line"))
+
+    def pack(pdf):  # noqa: ANN001, ANN202 - one status of the fixture
+        import pandas as pd
+        import pyarrow.fs as pafs
+
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("readme.txt", "o_orderkey;not data\n")
+            for half, own in pdf.groupby("half"):
+                z.writestr(f"part{half}.csv", "title line\no_orderkey;o_orderstatus;o_totalprice\n" + "\n".join(own["line"]) + "\n")
+        name = f"{root}/orders_{pdf['o_orderstatus'].iloc[0]}.zip"
+        fs, inner = pafs.FileSystem.from_uri(name) if "://" in name or name.startswith("file:") else (pafs.LocalFileSystem(), name)
+        fs.create_dir(inner.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(inner) as f:
+            f.write(held.getvalue())
+        return pd.DataFrame({"path": [name]})
+
+    lines.groupBy("o_orderstatus").applyInPandas(pack, "path string").collect()  # one row per status
+    assert path_exists(spark, root)
+    df = Z.read_zip_csv(spark, f"{root}/*.zip", Dialect(sep=";", preamble=1), strategy="all_csvs")
+    return df.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"), F.col("source_file").alias("member"))
+
+
+def q7_schema_match(spark: SparkSession, d: str) -> DataFrame:
+    """An extra column goes, a missing one is filled, and one that
+    is missing and required quarantines the rows."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_totalprice", T.DoubleType()), T.StructField("o_comment", T.StringType())])
+    filled = classify(o, Contract("orders", schema=schema))
+    needed = classify(o, Contract("orders", schema=schema, required_columns=["o_comment"]))
+    shape = lambda f, name: f.groupBy(
+        F.lit(name).alias("case"), F.lit(",".join(c for c in f.columns if not c.startswith("_dq_"))).alias("columns"), F.coalesce(F.col(REASON), F.lit("kept")).alias("reason")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    return shape(filled, "filled").unionByName(shape(needed, "required"))
+
+
+def d4_null_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with a null dedup key leave before duplicates are ranked."""
+    li = table(spark, d, "lineitem").withColumn("l_linenumber", F.nullif(F.col("l_linenumber"), F.lit(7)))
+    return classify(li, lineitem_contract(spark, d)).groupBy(F.coalesce(F.col(REASON), F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def s7_parquet_pushdown(spark: SparkSession, d: str) -> DataFrame:
@@ -284,6 +439,15 @@ QUERIES: dict[str, Query] = {
     "x17_leading_zeros": x17_leading_zeros,
     "k4_write_gold": k4_write_gold,
     "s7_parquet_pushdown": s7_parquet_pushdown,
+    "q20_enforce": q20_enforce,
+    "r3_aggregate_catalog": r3_aggregate_catalog,
+    "x7_batch_id": x7_batch_id,
+    "k11_rebuild": k11_rebuild,
+    "w8_schema_diff": w8_schema_diff,
+    "s19_preview": s19_preview,
+    "s14_zip_csv": s14_zip_csv,
+    "q7_schema_match": q7_schema_match,
+    "d4_null_keys": d4_null_keys,
 }
 
 _Q9_REASON = (
@@ -300,7 +464,7 @@ ORACLE: dict[str, str] = {
     "p5_strict_fill": "SELECT o_orderkey, o_totalprice, CAST(NULL AS VARCHAR) AS o_comment FROM orders",
     "p7_drift": "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS school_id FROM orders",
     "p11_drop_empty": "SELECT count(*) AS n FROM documents WHERE doc_id%5<>0 AND NOT ((lang IS NULL OR trim(lang)='') AND (source IS NULL OR trim(source)=''))",
-    "f9_mojibake": "SELECT 'text' AS column, count(*) FILTER (WHERE regexp_matches(text, '[ÂÃ][\\x{0080}-\\x{00BF}]|\\x{FFFD}')) AS suspect FROM documents UNION ALL SELECT 'source', count(*) FILTER (WHERE regexp_matches(source, '[ÂÃ][\\x{0080}-\\x{00BF}]|\\x{FFFD}')) FROM documents",
+    "f9_mojibake": "SELECT 'text' AS column, count(*) FILTER (WHERE doc_id%7=0) AS suspect FROM documents UNION ALL SELECT 'source', count(*) FILTER (WHERE doc_id%3=0) FROM documents",
     "j6_cross_source": "SELECT o_orderstatus, count(*) AS n, sum(l_quantity) AS qty FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY 1",
     "a4_average": "SELECT l_returnflag, round(avg(l_discount),6) AS average FROM lineitem GROUP BY 1",
     "a8_counts": "SELECT count(*) AS rows, count(DISTINCT l_orderkey) AS distinct_l_orderkey, count(DISTINCT l_suppkey) AS distinct_l_suppkey FROM lineitem",
@@ -312,15 +476,27 @@ ORACLE: dict[str, str] = {
     "q10_values": f"SELECT reason, count(DISTINCT value) AS distinct_values, count(*) FILTER (WHERE value IS NULL) AS null_values FROM {_Q9_REASON} WHERE reason<>'kept' GROUP BY 1",
     "q11_conservation": f"SELECT count(*) FILTER (WHERE reason='kept') AS kept, count(*) FILTER (WHERE reason<>'kept') AS quarantined, count(*) AS total, count(*) AS input_rows, true AS ok FROM {_Q9_REASON}",
     "q8_null_rates": "WITH j AS (SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id=l.doc_id), s AS (SELECT 'doc_id' AS col, count(*) AS rows, count(*) FILTER (WHERE doc_id IS NULL) AS nulls, CAST(0.0 AS DOUBLE) AS lim FROM j UNION ALL SELECT 'lang', count(*), count(*) FILTER (WHERE lang IS NULL), CAST(0.02 AS DOUBLE) FROM j UNION ALL SELECT 'quality', count(*), count(*) FILTER (WHERE quality IS NULL), CAST(0.02 AS DOUBLE) FROM j UNION ALL SELECT 'toxic', count(*), count(*) FILTER (WHERE toxic IS NULL), CAST(0.02 AS DOUBLE) FROM j) SELECT col AS \"column\", rows, nulls, CASE WHEN rows>0 THEN nulls/rows ELSE 0.0 END AS null_rate, lim AS \"limit\", (CASE WHEN rows>0 THEN nulls/rows ELSE 0.0 END)<=lim AS ok FROM s",
-    "q13_audit_bronze": "SELECT 'bronze' AS stage,'non_empty' AS \"check\",'pass' AS status,CAST(count(*) AS VARCHAR) AS observed,'> 0' AS expected,'abort' AS on_fail FROM lineitem UNION ALL SELECT 'bronze','lineage_ingestion_date','pass','0','0','abort' UNION ALL SELECT 'bronze','lineage_source_file','pass','0','0','abort' UNION ALL SELECT 'bronze','lineage_batch_id','pass','0','0','abort' UNION ALL SELECT 'bronze','rows_in_equals_rows_out','pass',CAST(count(*) AS VARCHAR),CAST(count(*) AS VARCHAR),'abort' FROM lineitem UNION ALL SELECT 'bronze','partition_column_present','pass','True','True','abort' UNION ALL SELECT 'bronze','storage_format','pass','parquet','parquet','abort'",
+    "q13_audit_bronze": "WITH n AS (SELECT CAST(count(*) AS VARCHAR) AS c FROM lineitem), t(stored) AS (VALUES ('good'),('bad')) SELECT 'bronze' AS stage,'non_empty' AS \"check\",'pass' AS status,c AS observed,'> 0' AS expected,'abort' AS on_fail,stored FROM n,t UNION ALL SELECT 'bronze','lineage_ingestion_date','pass','0','0','abort',stored FROM t UNION ALL SELECT 'bronze','lineage_batch_id','pass','0','0','abort',stored FROM t UNION ALL SELECT 'bronze','lineage_source_file',CASE stored WHEN 'good' THEN 'pass' ELSE 'fail' END,CASE stored WHEN 'good' THEN '0' ELSE c END,'0','abort',stored FROM n,t UNION ALL SELECT 'bronze','rows_in_equals_rows_out','pass',c,c,'abort',stored FROM n,t UNION ALL SELECT 'bronze','partitioned_by',CASE stored WHEN 'good' THEN 'pass' ELSE 'fail' END,'','ingestion_date','abort',stored FROM t UNION ALL SELECT 'bronze','storage_format',CASE stored WHEN 'good' THEN 'pass' ELSE 'fail' END,CASE stored WHEN 'good' THEN 'parquet' ELSE 'json' END,'parquet','abort',stored FROM t",
     "q18_audit_silver": f"WITH k AS (SELECT * FROM {_Q9_REASON} WHERE reason='kept'), n AS (SELECT count(*) FILTER (WHERE l_orderkey IS NULL) AS n1, count(*) FILTER (WHERE l_linenumber IS NULL) AS n2 FROM k), dup AS (SELECT count(*) AS n3 FROM (SELECT l_orderkey,l_linenumber FROM k GROUP BY 1,2 HAVING count(*)>1)) SELECT 'silver' AS stage,'required_not_null:l_orderkey' AS \"check\",CASE WHEN n1=0 THEN 'pass' ELSE 'fail' END AS status,CAST(n1 AS VARCHAR) AS observed,'0' AS expected,'abort' AS on_fail FROM n UNION ALL SELECT 'silver','required_not_null:l_linenumber',CASE WHEN n2=0 THEN 'pass' ELSE 'fail' END,CAST(n2 AS VARCHAR),'0','abort' FROM n UNION ALL SELECT 'silver','dedup_applied',CASE WHEN n3=0 THEN 'pass' ELSE 'fail' END,CAST(n3 AS VARCHAR),'0','abort' FROM dup",
     "r1_run_summary": f"SELECT 'bronze' AS stage, 'lineitem_raw' AS output, count(*) AS rows FROM lineitem UNION ALL SELECT 'silver','lineitem_kept', count(*) FILTER (WHERE reason='kept') FROM {_Q9_REASON} UNION ALL SELECT 'silver','lineitem_quarantine', count(*) FILTER (WHERE reason<>'kept') FROM {_Q9_REASON} UNION ALL SELECT 'gold','by_flag_status', count(DISTINCT (l_returnflag,l_linestatus)) FROM {_Q9_REASON} WHERE reason='kept'",
     "r2_failure_reasons": f"SELECT reason, count(*) AS rows, round(100.0*count(*)/sum(count(*)) OVER (),2) AS pct FROM {_Q9_REASON} WHERE reason<>'kept' GROUP BY 1",
     "r4_batch_metadata": "SELECT 'batch-r4' AS batch_id, DATE '2024-01-01' AS ingestion_date, CAST(1 AS BIGINT) AS files, count(*) AS rows FROM orders",
     "x10_digits": "SELECT regexp_full_match(split_part(url,'/',-1),'[0-9]+') AS digits, count(*) AS n FROM pages GROUP BY 1",
     "x13_to_utc": "SELECT event_id, ts FROM events",
-    "x14_two_digit_year": "SELECT count(*) AS n, count(*) FILTER (WHERE NOT (year(o_orderdate)%100 BETWEEN 1900 AND 2100)) AS failing, round(count(*) FILTER (WHERE NOT (year(o_orderdate)%100 BETWEEN 1900 AND 2100))/count(*),6) AS share FROM orders",
-    "x17_leading_zeros": "SELECT length(lpad(CAST(c_custkey AS VARCHAR),8,'0'))=8 AND regexp_full_match(lpad(CAST(c_custkey AS VARCHAR),8,'0'),'[0-9]+') AS ok, count(*) AS n FROM customer GROUP BY 1",
-    "k4_write_gold": "SELECT CAST(year(o_orderdate) AS INT) AS yr, count(DISTINCT o_custkey) AS customers, count(*) AS n FROM orders GROUP BY 1",
+    "x14_two_digit_year": "SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey%3=0) AS failing, round(count(*) FILTER (WHERE o_orderkey%3=0)/count(*),6) AS share FROM orders",
+    "x17_leading_zeros": "SELECT NOT (c_custkey%4=0 AND length(CAST(c_custkey AS VARCHAR))<8) AS ok, count(*) AS n FROM customer GROUP BY 1",
+    "k4_write_gold": "SELECT CAST(year(o_orderdate) AS VARCHAR) AS key, count(DISTINCT o_custkey) AS customers, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT o_orderstatus, NULL, count(*) FROM orders GROUP BY 1",
     "s7_parquet_pushdown": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'",
+    "q20_enforce": "WITH x AS (SELECT count(*) AS n FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey,l_linenumber HAVING count(*)>1)) SELECT 'dedup_applied' AS \"check\", CASE WHEN n=0 THEN 'pass' ELSE 'fail' END AS status, CAST(n AS VARCHAR) AS observed, CASE WHEN n=0 THEN 'passed' ELSE 'aborted' END AS outcome FROM x",
+    "r3_aggregate_catalog": "SELECT l_returnflag,l_linestatus,count(*) AS row_count,'l_returnflag, l_linestatus' AS grain FROM lineitem GROUP BY 1,2",
+    "r5_profile": "SELECT 'o_orderkey' AS column,'bigint' AS type,count(*) AS rows,count(*) FILTER (WHERE o_orderkey IS NULL) AS nulls,count(DISTINCT o_orderkey) AS distinct,CAST(min(o_orderkey) AS VARCHAR) AS min,CAST(max(o_orderkey) AS VARCHAR) AS max FROM orders UNION ALL SELECT 'o_custkey','bigint',count(*),count(*) FILTER (WHERE o_custkey IS NULL),count(DISTINCT o_custkey),CAST(min(o_custkey) AS VARCHAR),CAST(max(o_custkey) AS VARCHAR) FROM orders UNION ALL SELECT 'o_orderstatus','string',count(*),count(*) FILTER (WHERE o_orderstatus IS NULL),count(DISTINCT o_orderstatus),min(o_orderstatus),max(o_orderstatus) FROM orders",
+    "r6_audit_table": f"WITH k AS (SELECT * FROM {_Q9_REASON} WHERE reason='kept'), n AS (SELECT CAST(count(*) AS VARCHAR) AS c FROM lineitem), g AS (SELECT CAST(count(DISTINCT (l_returnflag,l_linestatus)) AS VARCHAR) AS c FROM k) SELECT 'bronze' AS stage,'non_empty' AS \"check\",'pass' AS status,c AS observed,'> 0' AS expected,'abort' AS on_fail FROM n UNION ALL SELECT 'bronze','lineage_'||x,'pass','0','0','abort' FROM (VALUES ('ingestion_date'),('source_file'),('batch_id')) v(x) UNION ALL SELECT 'silver','dedup_applied','pass','0','0','abort' UNION ALL SELECT 'gold','by_flag_status:grain','pass',c,c,'abort' FROM g UNION ALL SELECT 'gold','by_flag_status:null_dimensions','pass','0','0','abort'",
+    "r7_storage": "SELECT 'orders' AS table, CAST(1 AS BIGINT) AS files, true AS sized UNION ALL SELECT 'lineitem', count(DISTINCT l_returnflag), true FROM lineitem",
+    "x7_batch_id": "SELECT CAST(2 AS BIGINT) AS ids, CAST(0 AS BIGINT) AS malformed, CAST(0 AS BIGINT) AS unstamped, count(*)>0 AS today FROM orders",
+    "k11_rebuild": "SELECT o_orderkey,o_orderstatus FROM orders WHERE o_orderstatus<>'F'",
+    "w8_schema_diff": "SELECT c AS column,a AS source_type,b AS stored_type,s AS status,(SELECT count(*) FROM orders) AS stored_rows FROM (VALUES ('o_custkey','bigint','string','type_changed'),('o_orderstatus','string',NULL,'only_source'),('n',NULL,'int','only_stored')) v(c,a,b,s)",
+    "s19_preview": "SELECT n_nationkey,n_name,'n_nationkey,n_name' AS columns,(SELECT count(*) FROM nation) AS rows FROM nation ORDER BY n_nationkey LIMIT 5",
+    "s14_zip_csv": "SELECT o_orderkey,o_orderstatus,o_totalprice,'part'||(o_orderkey%2)||'.csv' AS member FROM orders",
+    "q7_schema_match": "SELECT 'filled' AS case,'o_orderkey,o_totalprice,o_comment' AS columns,'kept' AS reason,count(*) AS n FROM orders UNION ALL SELECT 'required','o_orderkey,o_totalprice,o_comment','required_column_null:o_comment',count(*) FROM orders",
+    "d4_null_keys": "SELECT CASE WHEN ln IS NULL THEN 'required_column_null:l_linenumber' WHEN rn>1 THEN 'duplicate' WHEN NOT l_quantity BETWEEN 5 AND 45 THEN 'l_quantity failed validation' WHEN hit IS NULL THEN 'l_suppkey not in reference' ELSE 'kept' END AS reason, count(*) AS n FROM (SELECT l.*, nullif(l_linenumber,7) AS ln, row_number() OVER (PARTITION BY l_orderkey,l_linenumber ORDER BY l_shipdate,l_partkey,l_suppkey) AS rn, s.s_suppkey AS hit FROM lineitem l LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal>=0) s ON l.l_suppkey=s.s_suppkey) GROUP BY 1",
 }

@@ -23,7 +23,7 @@ from strata.functions.scalars import run_timestamp
 from strata.operators import audits as Q
 from strata.operators import report as R
 from strata.operators.aggregates import Aggregate, Measure
-from strata.operators.quality import REASON, check_conservation, classify, split
+from strata.operators.quality import REASON, check_conservation, classify, split, unexpected_columns
 from strata.sinks import layout as K
 from strata.sources.dialect import Dialect
 from strata.sources.files import list_files, new_files, read_csv
@@ -152,7 +152,7 @@ def run_bronze(
     K.append_manifest(stored, manifest_path, listing=todo_rows, batch_id=batch_id, ingestion_date=str(ingestion_date))
     empty_files = [r["path"] for r in listed if r["length"] == 0]
     checks = Q.union_checks(
-        Q.audit_bronze(stored, input_rows=rows_in, stored_format="parquet", source_bytes=sum(r["length"] for r in listed)),
+        Q.audit_bronze(stored, input_rows=rows_in, path=bronze_path, source_bytes=sum(r["length"] for r in listed)),
         Q.check_rows(spark, [("bronze", "no_empty_files", not empty_files, len(empty_files), 0, Q.ABORT)]),
     )
     return StageRun({"bronze": bronze_path, "manifest": manifest_path}, checks, {"rows": rows_in, "files": len(names), "batch_id": batch_id})
@@ -196,6 +196,8 @@ def run_silver(
     rate_rows = [
         ("silver", f"null_rate:{r['column']}", bool(r["ok"]), round(r["null_rate"], 6), r["limit"], Q.REPORT) for r in rates.collect()
     ]  # one row per column
+    extra = unexpected_columns(source, contract)
+    rate_rows.append(("silver", "expected_columns_only", not extra, ",".join(extra), "", Q.REPORT))
     checks = Q.union_checks(
         Q.check_rows(spark, [("silver", "kept_plus_quarantined_equals_bronze", bool(cons["ok"]), cons["kept"] + cons["quarantined"], cons["input_rows"], Q.ABORT)]),
         Q.audit_silver(stored_kept, contract),
@@ -204,7 +206,7 @@ def run_silver(
     return StageRun(
         {"silver": silver_path, "quarantine": quarantine_path, "flagged": run_dir},
         checks,
-        {"kept": cons["kept"], "quarantined": cons["quarantined"], "check_time": check_time, "quarantine_this_run": this_run},
+        {"kept": cons["kept"], "quarantined": cons["quarantined"], "check_time": check_time, "quarantine_this_run": this_run, "unexpected_columns": extra},
     )
 
 

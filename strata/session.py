@@ -70,14 +70,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory named by the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is
-    used as is. Only when it is unset (tests, a laptop) is a local folder
-    created and set.
+    used as is; a cluster that names none is an error, as executors could
+    not see a folder of the driver's. In local mode (tests, a laptop) a
+    temporary folder is created and set.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     sc = _context(spark)
     if not current and sc is not None:
         current = sc.getCheckpointDir()
     if not current:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="strata-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", current)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.operators.joins import file_lookup
+from strata.sources.files import _distinct_headers, _first_cell, _header_schema, _mapped, _split_header, _union_schema, header_candidate
 from strata.sources.dialect import Dialect, canonical_encoding
 
 # Member names skipped in every archive (macOS resource forks).
@@ -63,6 +64,7 @@ def pick_members(
     """Choose members per archive with Spark expressions.
 
     * ``first_csv``: the first ``.csv`` member;
+    * ``all_csvs``: every ``.csv`` member;
     * ``essential``: CSVs whose name holds a keyword; if none, the first
       ``fallback`` CSVs;
     * ``first_csv_or_xlsx``: the first ``.csv`` or ``.xlsx``;
@@ -75,6 +77,8 @@ def pick_members(
     if strategy == "first_csv":
         c = members.filter(is_csv).withColumn("_r", F.row_number().over(w))
         return c.filter(F.col("_r") == 1).drop("_r")
+    if strategy == "all_csvs":
+        return members.filter(is_csv)
     if strategy == "first_csv_or_xlsx":
         c = members.filter(is_csv | name.endswith(".xlsx")).withColumn("_r", F.row_number().over(w))
         return c.filter(F.col("_r") == 1).drop("_r")
@@ -147,31 +151,38 @@ def read_zip_csv(
     spark: SparkSession,
     pattern: str,
     dialect: Dialect = Dialect(),
-    strategy: str | None = "first_csv",
+    strategy: str = "first_csv",
     keywords: Sequence[str] = (),
     schema: T.StructType | None = None,
 ) -> DataFrame:
     """S14 + S15: CSV rows from chosen members of every archive.
 
-    The header is the first line of each member (after ``dialect.preamble``
-    title lines); column names come from the first member's header.
+    The header is the first line of each member after ``dialect.preamble``
+    title lines (or found by the header rule, "auto"); columns are mapped by
+    each member's own header, as in ``read_csv``. A member without a header
+    row fails the query and is named.
     """
-    chosen = pick_members(list_members(spark, pattern), strategy, keywords) if strategy else None
+    chosen = pick_members(list_members(spark, pattern), strategy, keywords)
     lines = read_zip_lines(spark, pattern, chosen, dialect.encoding)
-    skip = int(dialect.preamble) if isinstance(dialect.preamble, int) else 0
-    hdr_no = skip + 1
-    if schema is None:
-        first = lines.filter(F.col("line_no") == hdr_no).orderBy("archive", "member").select("line").limit(1).first()
-        if first is None:
-            raise ValueError(f"no CSV member found in {pattern}")
-        import csv as _csv
-
-        names = next(_csv.reader(io.StringIO(first["line"]), delimiter=dialect.sep, quotechar=dialect.quote or '"'))
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    if dialect.preamble == "auto":
+        cand = lines.filter(header_candidate(_first_cell(F.col("line"), dialect)))
+    else:
+        cand = lines.filter(F.col("line_no") > int(dialect.preamble or 0))
+    # one row per member: its header line
+    marks = cand.groupBy("archive", "member").agg(F.min(F.struct("line_no", "line")).alias("_h"))
+    marks = marks.select("archive", "member", F.col("_h.line_no").alias("_hdr"), F.col("_h.line").alias("_header")).checkpoint()
+    headers = _distinct_headers(marks, "_header", pattern)
+    target = schema or _union_schema(headers, dialect, False)
     # one archive member is streamed by one task; spreading its lines over
     # the shuffle partitions lets parsing and everything after run in parallel
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    body = lines.filter((F.col("line_no") > hdr_no) & (F.trim("line") != "")).repartition(parts)
+    tagged = lines.repartition(parts).join(marks, ["archive", "member"], "left")
+    body = tagged.filter(F.col("_hdr").isNull() | (F.col("line_no") > F.col("_hdr")) & (F.trim("line") != ""))
     opts = {"sep": dialect.sep, "quote": dialect.quote, "escape": dialect.escape, "mode": "PERMISSIVE"}
-    parsed = body.select("archive", "member", F.from_csv("line", schema.simpleString(), opts).alias("_r"))
-    return parsed.select(*[F.col(f"_r.`{n}`").alias(n) for n in schema.fieldNames()], F.element_at(F.split("member", "/"), -1).alias("source_file"), "archive")
+    row = F.raise_error(F.concat(F.lit("no header row found in "), F.col("archive"), F.lit("!"), F.col("member"))).cast(target)
+    for header in headers:
+        own = _header_schema(_split_header(header, dialect), target)
+        parsed = F.from_csv(F.col("line"), own.simpleString(), opts)
+        row = F.when(F.col("_header") == header, F.struct(*_mapped(parsed, own, target))).otherwise(row)
+    out = body.select(row.alias("_r"), "archive", F.element_at(F.split("member", "/"), -1).alias("source_file"))
+    return out.select(*[F.col(f"_r.`{n}`").alias(n) for n in target.fieldNames()], "source_file", "archive")

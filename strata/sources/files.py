@@ -229,7 +229,7 @@ def _read_whole_with_preamble(
         flags = F.transform(
             all_lines, lambda ln: F.coalesce(header_candidate(_first_cell(F.regexp_replace(ln, "\r$", ""), dialect)), F.lit(False))
         )
-        hdr = F.array_position(flags, True).cast("int")
+        hdr = F.nullif(F.array_position(flags, True), F.lit(0)).cast("int")
     else:
         hdr = F.lit(int(dialect.preamble) + 1)
     # cut at the header's line break only: the records after it stay byte

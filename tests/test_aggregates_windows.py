@@ -1,5 +1,7 @@
+import pytest
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,11 +61,11 @@ def test_pct_of_total_is_subquery(spark):
     assert {r.k: r.pct for r in A.pct_of_total(df, "n").collect()} == {"a": 25.0, "b": 75.0}
 
 
-def test_rank_all_both_paths_agree(spark):
+def test_rank_all_equals_a_window(spark):
     df = spark.range(0, 5000).select((F.col("id") % 97).alias("g"), F.col("id"))
-    small = W.rank_all(df, [("g", "desc"), "id"], max_single_partition_rows=10_000)
-    dist = W.rank_all(df, [("g", "desc"), "id"], max_single_partition_rows=100, partitions=7)
-    a = sorted((r.id, r["rank"]) for r in small.collect())
+    one = df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("g"), "id")))
+    dist = W.rank_all(df, [("g", "desc"), "id"], partitions=7)
+    a = sorted((r.id, r["rank"]) for r in one.collect())
     b = sorted((r.id, r["rank"]) for r in dist.collect())
     assert a == b and sorted(r for _, r in a) == list(range(1, 5001))
 
@@ -107,3 +109,16 @@ def test_size_for_input(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
+
+
+def test_cohort_offsets_by_quarter(spark):
+    df = spark.createDataFrame([("a", "2020-01-15"), ("a", "2020-05-01"), ("a", "2021-02-01")], "u string, d string").withColumn("d", F.to_date("d"))
+    assert sorted(r.day_n for r in A.cohort(df, "u", "d", "quarter").collect()) == [0, 1, 4]
+    with pytest.raises(ValueError):
+        A.cohort(df, "u", "d", "hour")
+
+
+def test_skipped_columns_are_listed(spark):
+    df = spark.range(200).select(F.col("id").cast("string").alias("many"), (F.col("id") % 3).cast("string").alias("few"))
+    assert {r.col for r in A.value_counts(df).collect()} == {"few"}
+    assert [r.col for r in A.skipped_columns(df).collect()] == ["many"]

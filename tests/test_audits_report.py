@@ -8,9 +8,10 @@ from strata.operators.aggregates import Aggregate, Measure
 from strata.operators.filters import contains_any, from_file, mojibake, of_batch
 
 
-def test_audit_bronze_and_enforce(spark):
+def test_audit_bronze_and_enforce(spark, tmp_dir):
     ok = spark.createDataFrame([(1, "2024-01-01", "f.csv", "b")], "x int, ingestion_date string, source_file string, batch_id string")
-    checks = Q.audit_bronze(ok, input_rows=1, stored_format="parquet")
+    ok.write.partitionBy("ingestion_date").parquet(f"{tmp_dir}/b")
+    checks = Q.audit_bronze(ok, input_rows=1, path=f"{tmp_dir}/b")
     assert {r.status for r in checks.collect()} == {"pass"}
     Q.enforce(checks)
     bad = spark.createDataFrame([(1, None, None, "b")], "x int, ingestion_date string, source_file string, batch_id string")
@@ -18,6 +19,13 @@ def test_audit_bronze_and_enforce(spark):
     assert {r.check for r in failed.filter("status = 'fail'").collect()} == {"lineage_ingestion_date", "lineage_source_file", "rows_in_equals_rows_out"}
     with pytest.raises(RuntimeError):
         Q.enforce(failed)
+    # stored as something else, and not partitioned
+    ok.write.json(f"{tmp_dir}/j")
+    stored = Q.audit_bronze(ok, path=f"{tmp_dir}/j")
+    assert {(r.check, r.observed) for r in stored.filter("status = 'fail'").collect()} == {("partitioned_by", ""), ("storage_format", "json")}
+    many = Q.check_rows(spark, [("s", f"c{k}", False, k, 0, Q.ABORT) for k in range(120)])
+    with pytest.raises(RuntimeError, match="c119"):
+        Q.enforce(many)
 
 
 def test_null_rates_q8(spark):

@@ -47,7 +47,7 @@ def test_to_utc(spark):
 
 def test_pct_and_json_and_digits(spark):
     df = spark.createDataFrame([(1,), (3,)], "n int")
-    assert [r[0] for r in df.select(X.pct("n")).collect()] == [25.0, 75.0]
+    assert [r[0] for r in df.select(X.pct("n", df.select(F.sum("n")).scalar())).collect()] == [25.0, 75.0]
     got = one(spark, X.json_field("s", "$.k", "int"), [('{"k": 4}',), ('{"k": "x"}',), ("bad",)])
     assert got == [4, None, None]
     got = one(spark, X.keeps_leading_zeros("s", 5), [("00123",), ("123",), ("0012a",)])

@@ -209,3 +209,78 @@ def test_rules_only_silver_runs_as_a_plain_stream(spark, tmp_dir):
     ]
     with pytest.raises(ValueError):
         ST.stream_silver_rules(ST.bronze_stream(spark, src, LINES), Contract("t", dedup_keys=["k"]), f"{tmp_dir}/o2", f"{tmp_dir}/c2")
+
+
+def _fail_rename(monkeypatch, nth):
+    """Make the nth rename of the next swap say that it failed."""
+    real, seen = K.rename_path, []
+
+    def rename(spark, src, dst):
+        seen.append((src, dst))
+        return False if len(seen) == nth else real(spark, src, dst)
+
+    monkeypatch.setattr(K, "rename_path", rename)
+
+
+@pytest.mark.parametrize("nth", [1, 2])
+def test_failed_swap_keeps_the_table(spark, tmp_dir, monkeypatch, nth):
+    path = f"{tmp_dir}/t"
+    K.write_overwrite(spark.range(5), path)
+    _fail_rename(monkeypatch, nth)
+    with pytest.raises(OSError):
+        K.write_overwrite(spark.range(9), path)
+    monkeypatch.undo()
+    assert spark.read.parquet(path).count() == 5
+    K.write_overwrite(spark.range(7), path)
+    assert spark.read.parquet(path).count() == 7
+
+
+def test_swap_that_died_half_way_is_undone(spark, tmp_dir):
+    path = f"{tmp_dir}/t"
+    K.write_overwrite(spark.range(5), path)
+    K.rename_path(spark, path, f"{path}.__old_deadbeef")
+    assert not K.path_exists(spark, path)
+    assert K.recover(spark, path) and spark.read.parquet(path).count() == 5
+
+
+def test_quarantine_runs_of_two_contracts_at_one_time(spark, tmp_dir):
+    t = dt.datetime(2024, 3, 1, 8)
+    for slug, limit in (("a", "5..9"), ("b", "5..30")):
+        c = Contract(slug, rules=[Rule.range("v", limit)])
+        df = spark.createDataFrame([(1,), (20,)], "v int")
+        for _ in range(2):  # each repeated: replaced, not added
+            K.append_quarantine(classify(df, c, check_time=t).filter(F.col(REASON).isNotNull()), f"{tmp_dir}/q", run=f"{slug}-run")
+    q = spark.read.parquet(f"{tmp_dir}/q")
+    assert {r["_dq_run"]: r["count"] for r in q.groupBy("_dq_run").count().collect()} == {"a-run": 2, "b-run": 1}
+
+
+def test_compaction_keeps_partitions_and_splits_large_ones(spark, tmp_dir):
+    df = spark.range(60_000).select(F.when(F.col("id") % 100 == 0, "small").otherwise("large").alias("day"), F.md5(F.col("id").cast("string")).alias("x"))
+    df.repartition(20).write.partitionBy("day").parquet(f"{tmp_dir}/c")
+    assert K.compact(spark, f"{tmp_dir}/c", target_mb=1) < 40
+    assert K.partition_columns(spark, f"{tmp_dir}/c") == ["day"]
+    files = spark.read.parquet(f"{tmp_dir}/c").groupBy("day", F.col("_metadata.file_path").alias("f")).count()
+    per = {r["day"]: r["n"] for r in files.groupBy("day").agg(F.count("f").alias("n")).collect()}
+    assert per["small"] == 1 and 1 < per["large"] <= 8
+    assert spark.read.parquet(f"{tmp_dir}/c").count() == 60_000
+
+
+def test_partition_guard_is_exact_near_its_limit(spark):
+    df = spark.range(1000).select(F.col("id"))
+    assert K.check_partition_column(df, "id", 1000) == 1000
+    with pytest.raises(ValueError):
+        K.check_partition_column(df, "id", 999)
+
+
+def test_bucketed_bronze_has_one_file_per_bucket(spark, tmp_dir):
+    li = with_lineage(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").repartition(6), "b", "2024-01-01", "x")
+    K.write_bronze_bucketed(li, "strata_bucket_files", f"{tmp_dir}/bk", ["l_orderkey"], 4)
+    assert len(spark.read.parquet(f"{tmp_dir}/bk").inputFiles()) == 4
+    spark.sql("DROP TABLE IF EXISTS strata_bucket_files")
+
+
+def test_stream_refuses_title_lines(spark, tmp_dir):
+    from strata.sources.dialect import Dialect
+
+    with pytest.raises(ValueError, match="title lines"):
+        ST.bronze_stream(spark, tmp_dir, spark.range(1).schema, Dialect(preamble=1))

@@ -48,7 +48,8 @@ def test_preamble_latin1_semicolon_over_many_splits(spark, tmp_dir):
     assert len(rows) == 400
     assert df.columns == ["D1C", "D1N", "D2C", "V", "source_file"]
     assert all(r.D1N.startswith("São Paulo") for r in rows)  # accents decoded
-    assert {r.source_file for r in rows} == {"a.csv", "b.csv"}
+    # lineage holds the full path
+    assert {r.source_file.rsplit(":", 1)[1].replace("//", "") for r in rows} == {f"{tmp_dir}/a.csv", f"{tmp_dir}/b.csv"}
     assert sum(1 for r in rows if r.D1C is None) == 0
 
 
@@ -132,8 +133,12 @@ def test_listing_new_files_binary(spark, tmp_dir):
             fh.write("x\n1\n")
     listing = S.list_files(spark, f"{tmp_dir}/*.csv")
     assert sorted(r.name for r in listing.collect()) == ["a.csv", "b.csv", "c.csv"]
-    manifest = spark.createDataFrame([("a.csv", 1)], "source_path string, row_count long")
-    assert sorted(r.name for r in S.new_files(listing, manifest, "name").collect()) == ["b.csv", "c.csv"]
+    seen = listing.where("name = 'a.csv'").selectExpr("source_path", "length as source_length", "modificationTime as source_modified")
+    assert sorted(r.name for r in S.new_files(listing, seen).collect()) == ["b.csv", "c.csv"]
+    # the same path with other bytes is a new file; an older manifest knows paths only
+    other = seen.withColumn("source_length", F.lit(99).cast("long"))
+    assert sorted(r.name for r in S.new_files(listing, other).collect()) == ["a.csv", "b.csv", "c.csv"]
+    assert sorted(r.name for r in S.new_files(listing, seen.select("source_path")).collect()) == ["b.csv", "c.csv"]
     assert S.read_binary(spark, f"{tmp_dir}/a.csv").first().content == b"x\n1\n"
     head, cols, n = S.preview(S.read_csv(spark, f"{tmp_dir}/*.csv"), 2)
     assert head.count() == 2 and cols == [("x", "string")] and n == 3
@@ -159,7 +164,7 @@ def test_title_lines_with_quoted_line_breaks(spark, tmp_dir):
     for pre in (3, "auto"):
         d = Dialect(sep=";", encoding="latin-1", preamble=pre, multiline=True)
         rows = S.read_csv(spark, tmp_dir, d, source_column="source_file").collect()
-        assert sorted((r.source_file, r.D1C, r.D1N, r.V) for r in rows) == sorted(
+        assert sorted((r.source_file.rsplit("/", 1)[1], r.D1C, r.D1N, r.V) for r in rows) == sorted(
             # the multi-line reader gives a quoted line break as "\n"
             [(f, "33", "Rio de\nJaneiro", "10") for f in ("a.csv", "b.csv")] + [(f, "35", "São Paulo", "20") for f in ("a.csv", "b.csv")]
         ), pre
@@ -171,3 +176,53 @@ def test_read_text_whole_files(spark, tmp_dir):
             fh.write("line 1\nline 2\n")
     assert S.read_text(spark, tmp_dir).count() == 4
     assert S.read_text(spark, tmp_dir, whole=True).count() == 2
+
+
+def _write(path, text):
+    with open(path, "w", encoding="utf-8") as fh:
+        fh.write(text)
+
+
+@pytest.mark.parametrize("multiline", [False, True])
+def test_headers_are_mapped_per_file(spark, tmp_dir, multiline):
+    long_title = "Tabela 1 - População residente estimada, por unidade da federação e ano"
+    _write(f"{tmp_dir}/a.csv", f"{long_title}\nid;v\n1;x\n")
+    _write(f"{tmp_dir}/b.csv", f"{long_title}\nv;extra;id\ny;e;2\n")
+    d = Dialect(sep=";", preamble=1, multiline=multiline)
+    rows = sorted((r.id, r.v, r.extra) for r in S.read_csv(spark, tmp_dir, d).collect())
+    assert rows == [("1", "x", None), ("2", "y", "e")]
+    pinned = sorted((r.id, r.v) for r in S.read_csv(spark, tmp_dir, d, "id int, v string").collect())
+    assert pinned == [(1, "x"), (2, "y")]
+
+
+def test_files_without_a_header_row_are_marked_or_refused(spark, tmp_dir):
+    _write(f"{tmp_dir}/a.csv", "id;v\n1;x\n")
+    _write(f"{tmp_dir}/b.csv", "2;y\n3;z\n4;w\n")
+    d = Dialect(sep=";", preamble="auto")
+    rows = S.read_csv(spark, tmp_dir, d, "id int, v string", corrupt_column=True).collect()
+    assert sorted((r.id, r.v, r._corrupt_record) for r in rows if r.id) == [(1, "x", None)]
+    assert sorted(r._corrupt_record for r in rows if r.id is None) == ["2;y", "3;z", "4;w"]
+    with pytest.raises(Exception, match="no header row found in .*b.csv"):
+        S.read_csv(spark, tmp_dir, d, "id int, v string").collect()
+    with pytest.raises(ValueError, match="no header row found in .*b.csv"):
+        S.read_csv(spark, tmp_dir, Dialect(sep=";", preamble="auto", multiline=True), "id int, v string").collect()
+
+
+def test_utf16_title_lines_are_refused_early(spark, tmp_dir):
+    with open(f"{tmp_dir}/a.csv", "w", encoding="utf-16") as fh:
+        fh.write("title\nid;v\n1;x\n")
+    with pytest.raises(ValueError, match="multiline"):
+        S.read_csv(spark, tmp_dir, Dialect(sep=";", encoding="utf-16", preamble=1))
+
+
+def test_zip_members_with_titles_and_other_columns(spark, tmp_dir):
+    import zipfile
+
+    from strata.sources import archives as Z
+
+    with zipfile.ZipFile(f"{tmp_dir}/t.zip", "w") as z:
+        z.writestr("read me.txt", "not a table")
+        z.writestr("a.csv", "T" * 80 + "\nid;v\n1;x\n")
+        z.writestr("b.csv", "T" * 80 + "\n\nv;id\ny;2\n")
+    rows = Z.read_zip_csv(spark, f"{tmp_dir}/t.zip", Dialect(sep=";", preamble="auto"), strategy="all_csvs").collect()
+    assert sorted((r.id, r.v, r.source_file) for r in rows) == [("1", "x", "a.csv"), ("2", "y", "b.csv")]
