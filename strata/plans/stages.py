@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Observation
 from pyspark.sql import types as T
 
@@ -23,7 +24,7 @@ from strata.functions.scalars import run_timestamp
 from strata.operators import audits as Q
 from strata.operators import report as R
 from strata.operators.aggregates import Aggregate, Measure
-from strata.operators.quality import REASON, check_conservation, classify, split, unexpected_columns
+from strata.operators.quality import REASON, classify, split, unexpected_columns
 from strata.sinks import layout as K
 from strata.sources.dialect import Dialect
 from strata.sources.files import list_files, new_files, read_csv
@@ -174,24 +175,32 @@ def run_silver(
     *,
     check_time: _dt.datetime | None = None,
 ) -> StageRun:
-    """Silver: classify once, store the flagged frame by outcome, rebuild
-    Silver from its kept part and append its quarantined part; checks are
-    computed over the stored tables."""
+    """Silver: classify once, rebuild Silver from the kept rows and append the
+    quarantined ones; checks are computed over the stored tables."""
     check_time = check_time or run_timestamp()
     source = spark.read.parquet(bronze_path)
     flagged = classify(source, contract, check_time=check_time)
     run = f"{contract.table_name}-{check_time.strftime('%Y%m%dT%H%M%S%f')}"
-    run_dir = f"{root}/_runs/{run}"
-    kept, quarantined = K.write_split(flagged, run_dir)
     silver_path, quarantine_path = f"{root}/silver", f"{root}/quarantine"
-    K.write_silver(kept, silver_path)
-    K.append_quarantine(quarantined, quarantine_path, run=run)
+    # classified once, kept on the executors' disks, and each row written once,
+    # to the table it belongs to; the writes count their rows themselves
+    flagged = flagged.persist(StorageLevel.DISK_ONLY)
+    try:
+        counted = {name: Observation(f"silver_{name}") for name in ("kept", "quarantined")}
+        kept, quarantined = (
+            part.observe(o, F.count(F.lit(1)).alias("rows")) for part, o in zip(split(flagged), counted.values())
+        )
+        K.write_silver(kept, silver_path)
+        K.append_quarantine(quarantined, quarantine_path, run=run)
+        rows = {name: int(o.get["rows"]) for name, o in counted.items()}
+    finally:
+        flagged.unpersist()
+    rows_in = source.count()  # from the stored files' footers
     stored_kept = spark.read.parquet(silver_path)
     # by the partition columns, so earlier runs' files are not read
     day = check_time.date().isoformat()
     this_run = spark.read.parquet(quarantine_path).filter((F.col("_dq_check_date") == F.lit(day).cast("date")) & (F.col("_dq_run") == run))
-    cons = check_conservation(spark.read.parquet(run_dir), source=source).first()
-    assert cons is not None
+    total = rows["kept"] + rows["quarantined"]
     rates = Q.null_rates(stored_kept.select(*[c for c in stored_kept.columns if c in (contract.schema.fieldNames() if contract.schema else stored_kept.columns)]), key_columns=contract.primary_keys)
     rate_rows = [
         ("silver", f"null_rate:{r['column']}", bool(r["ok"]), round(r["null_rate"], 6), r["limit"], Q.REPORT) for r in rates.collect()
@@ -199,14 +208,14 @@ def run_silver(
     extra = unexpected_columns(source, contract)
     rate_rows.append(("silver", "expected_columns_only", not extra, ",".join(extra), "", Q.REPORT))
     checks = Q.union_checks(
-        Q.check_rows(spark, [("silver", "kept_plus_quarantined_equals_bronze", bool(cons["ok"]), cons["kept"] + cons["quarantined"], cons["input_rows"], Q.ABORT)]),
+        Q.check_rows(spark, [("silver", "kept_plus_quarantined_equals_bronze", total == rows_in, total, rows_in, Q.ABORT)]),
         Q.audit_silver(stored_kept, contract),
         Q.check_rows(spark, rate_rows),
     )
     return StageRun(
-        {"silver": silver_path, "quarantine": quarantine_path, "flagged": run_dir},
+        {"silver": silver_path, "quarantine": quarantine_path},
         checks,
-        {"kept": cons["kept"], "quarantined": cons["quarantined"], "check_time": check_time, "quarantine_this_run": this_run, "unexpected_columns": extra},
+        {**rows, "check_time": check_time, "quarantine_this_run": this_run, "unexpected_columns": extra},
     )
 
 
