@@ -29,19 +29,17 @@ from pyspark.sql import functions as F
 from strata.llm import toxicity, weak_quality
 from strata.llm.bpe import encode_documents
 from strata.llm.decontaminate import decontaminate
+from strata.llm.frames import only, text_batches
 from strata.llm.ngram_join import near_duplicates
 from strata.llm.queries import tokenizer_path
 from strata.session import scratch_dir
 
 
-def _only(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in names])
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the weak-label quality classifier calls good."""
+    text_batches(spark)
     judged = weak_quality.classify(docs, weak_quality.train(docs))
-    return _only(judged.where("good"), docs.columns)
+    return only(judged.where("good"), docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +47,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     The classifier learns from labelled rows of ``documents`` itself, so
     that earlier stages do not thin out what it learns from."""
+    text_batches(spark)
     model = toxicity.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(toxicity.score(docs, model).where(~F.col("toxic")), docs.columns)
+    return only(toxicity.score(docs, model).where(~F.col("toxic")), docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,19 +58,22 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat the kept document's id and all its columns are copies
     too: one of them stays. Documents without words are in no group; a
     document without an id stays only if its whole group has none."""
+    text_batches(spark)
     classes = near_duplicates(docs.select("doc_id", "text"))
     stay = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return _only(kept, docs.columns).dropDuplicates()
+    return only(kept, docs.columns).dropDuplicates()
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut benchmark passages out; drop documents that mostly are one."""
+    text_batches(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode every text: n_tokens, token_ids and the two digests."""
+    text_batches(spark)
     out = encode_documents(docs.select("doc_id", "text"), tokenizer_path(), ids=True, digests=True)
     return out.select("doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 

@@ -5,9 +5,9 @@ token can never end up in one token, so between them lies a certain cut.
 Each pre-token is split at its certain cuts, the fragments are merged
 independently and their ids joined. Fragments are short and recur, so each
 worker keeps those that it has merged; only a pre-token's last fragment
-ends with the word-end mark. Within a fragment, merges are applied in rank
-order over a linked list with a heap, so a very long fragment costs
-n log n.
+ends with the word-end mark. The merges inside one fragment are applied in
+rank order by the library's bare merge model. Caches live for a task;
+the encoder itself stays with the worker.
 
 Decoding maps ids back to their token strings, joined by one space, as the
 vocabulary file names no decoder.
@@ -16,11 +16,12 @@ vocabulary file names no decoder.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +32,13 @@ from .textops import texts_of
 from .token_counts import load_tokenizer
 
 _END = "</w>"
+# Of a pre-token: token count, ids as text, decoded text, ids as 32-bit numbers.
+Piece = tuple[int, str, str, bytes]
 
 
 @dataclass(frozen=True)
 class BpeOptions:
-    cache_entries: int = 250_000
+    cache_entries: int = 60_000  # of each generation; some 0.5 kB each
 
 
 DEFAULT = BpeOptions()
@@ -45,11 +48,14 @@ class Bpe:
     """Encoder and decoder for one vocabulary file."""
 
     def __init__(self, path: str, room: int = DEFAULT.cache_entries) -> None:
+        from tokenizers.models import BPE
+
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.ids: dict[str, int] = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.rank = {p: k for k, p in enumerate(pairs)}
+        # the merge rules alone, without and with the word-end mark after the last byte
+        self._models = (BPE(vocab=self.ids, merges=pairs), BPE(vocab=self.ids, merges=pairs, end_of_word_suffix=_END))
         self.splitter = Splitter(load_tokenizer(path))
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.splitter.specials.items()}
         inside = set()
@@ -59,46 +65,22 @@ class Bpe:
         self.inside = inside  # byte pairs that some token holds; any other pair is a cut
         self.room = room
         self._fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
-        self._pieces: dict[str, tuple[int, str, str, tuple[int, ...]]] = {}
+        # two generations: what the older one still gives is moved to the newer
+        # one, and when that is full, the older goes
+        self._pieces: dict[str, Piece] = {}
+        self._older: dict[str, Piece] = {}
 
     def fragments(self, word: str) -> list[str]:
         """``word`` (in the byte alphabet) split at its certain cuts."""
-        out, at = [], 0
-        for k in range(1, len(word)):
-            if (word[k - 1], word[k]) not in self.inside:
-                out.append(word[at:k])
-                at = k
-        out.append(word[at:])
-        return out
+        inside = self.inside
+        cuts = [k for k, pair in enumerate(zip(word, word[1:], strict=False), 1) if pair not in inside]
+        if not cuts:
+            return [word]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
     def _merge(self, fragment: str, last: bool) -> tuple[int, ...]:
-        parts: list[str | None] = list(fragment)
-        if last:
-            parts[-1] = parts[-1] + _END
-        n = len(parts)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        rank = self.rank
-        heap = [(rank[p], k, p) for k, p in enumerate(zip(parts, parts[1:], strict=False)) if p in rank]
-        heapq.heapify(heap)
-        while heap:
-            _, k, pair = heapq.heappop(heap)
-            j = after[k]
-            if parts[k] != pair[0] or j >= n or parts[j] != pair[1]:
-                continue  # one side has merged since
-            parts[k] = pair[0] + pair[1]
-            parts[j] = None
-            after[k] = after[j]
-            if after[j] < n:
-                before[after[j]] = k
-                new = (parts[k], parts[after[j]])
-                if new in rank:
-                    heapq.heappush(heap, (rank[new], k, new))
-            if before[k] >= 0:
-                new = (parts[before[k]], parts[k])
-                if new in rank:
-                    heapq.heappush(heap, (rank[new], before[k], new))
-        return tuple(self.ids[p] for p in parts if p is not None)
+        """Ids of one fragment by the vocabulary's merges in rank order."""
+        return tuple([t.id for t in self._models[last].tokenize(fragment)])
 
     def _word(self, token: str) -> tuple[int, ...]:
         pieces = self.fragments(to_alphabet(token))
@@ -113,30 +95,36 @@ class Bpe:
             ids += got
         return tuple(ids)
 
-    def piece(self, token: str) -> tuple[int, str, str, tuple[int, ...]]:
-        """Of a pre-token: token count, ids as text, decoded text, ids."""
+    def piece(self, token: str) -> Piece:
+        """The pre-token's piece, merged only where neither generation has it."""
         got = self._pieces.get(token)
         if got is None:
-            ids = self._word(token)
-            got = (len(ids), " ".join(map(str, ids)), self.decode(ids), ids)
+            got = self._older.get(token)
+            if got is None:
+                ids = self._word(token)
+                got = (len(ids), " ".join(map(str, ids)), self.decode(ids), array("i", ids).tobytes())
             if len(token) <= 64:  # long ones hardly recur, and would fill the memory
                 if len(self._pieces) >= self.room:
-                    self._pieces.clear()
+                    self._older, self._pieces = self._pieces, {}
                 self._pieces[token] = got
         return got
 
-    def pieces(self, text: str) -> list[tuple[int, str, str, tuple[int, ...]]]:
+    def forget(self) -> None:
+        """Empty the caches: a worker between tasks holds the vocabulary only."""
+        self._pieces, self._older, self._fragments = {}, {}, {}
+
+    def pieces(self, text: str) -> list[Piece]:
         out = []
         for k, part in enumerate(self.splitter.segments(text)):
             if k % 2:
                 i = self.splitter.specials[part]
-                out.append((1, str(i), part, (i,)))
+                out.append((1, str(i), part, array("i", [i]).tobytes()))
             else:
                 out += map(self.piece, self.splitter.split(part))
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.pieces(text) for i in p[3]]
+        return array("i", b"".join([p[3] for p in self.pieces(text)])).tolist()
 
     def decode(self, ids) -> str:  # noqa: ANN001
         return " ".join(map(self.tokens.__getitem__, ids))
@@ -146,7 +134,7 @@ _workers: dict[str, Bpe] = {}
 
 
 def _worker_bpe(path: str, room: int) -> Bpe:
-    from strata.llm import bpe as own  # the worker's own module keeps the caches between tasks
+    from strata.llm import bpe as own  # the worker's own module keeps the encoder between tasks
 
     if path not in own._workers:
         own._workers.clear()
@@ -174,18 +162,25 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, opt: BpeOptions = DEF
             for at in range(0, whole.num_rows, 500):  # bounds the ids held at once
                 batch = whole.slice(at, 500)
                 made = {c: [] for c in added}
+                packed: list[bytes] = []
                 for text in texts_of(batch.column("__text")):
                     pieces = bpe.pieces(text.decode("utf-8", "replace"))
                     made["n_tokens"].append(sum([p[0] for p in pieces]))
                     if ids:
-                        made["token_ids"].append([i for p in pieces for i in p[3]])
+                        packed += [p[3] for p in pieces]
                     if digests:
                         made["ids_sha256"].append(hashlib.sha256(" ".join([p[1] for p in pieces]).encode()).hexdigest())
                         made["decoded_sha256"].append(hashlib.sha256(" ".join([p[2] for p in pieces]).encode()).hexdigest())
-                kinds = {"n_tokens": pa.int64(), "token_ids": pa.list_(pa.int32())}
                 cols = [batch.column(c) for c in keep]
-                new = [pa.array(made[c], type=kinds.get(c, pa.string())) for c in added]
+                counts = np.array(made["n_tokens"], dtype=np.int64)
+                new = [pa.array(counts)]
+                if ids:
+                    flat = pa.array(np.frombuffer(b"".join(packed), dtype=np.int32))
+                    ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                    new.append(pa.ListArray.from_arrays(pa.array(ends), flat))
+                new += [pa.array(made[c], type=pa.string()) for c in added if c.endswith("sha256")]
                 yield pa.RecordBatch.from_arrays([*cols, *new], names=[*keep, *added])
+        bpe.forget()
 
     schema = with_types(src.schema, ", ".join(f"{c} {types[c]}" for c in added))
     return src.withColumn("__text", docs["text"].cast("binary")).mapInArrow(run, schema)

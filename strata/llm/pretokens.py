@@ -46,14 +46,18 @@ _CHAR_TO_BYTE = {c: b for b, c in _BYTE_TO_CHAR.items()}
 
 
 def to_alphabet(token: str) -> str:
+    if token.isascii() and token.isprintable() and " " not in token:
+        return token  # these bytes stand for themselves
     return "".join(_BYTE_TO_CHAR[b] for b in token.encode())
 
 
 class Splitter:
-    """Splits texts into pre-tokens and special strings."""
+    """Splits texts into pre-tokens and special strings.
+
+    Holds the tokenizer's normaliser and splitter only, not its vocabulary."""
 
     def __init__(self, tokenizer) -> None:  # noqa: ANN001 - a tokenizers.Tokenizer
-        self.tokenizer = tokenizer
+        self.normalizer, self.pre_tokenizer = tokenizer.normalizer, tokenizer.pre_tokenizer
         self.specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         names = sorted(self.specials, key=len, reverse=True)
         self._special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
@@ -66,6 +70,6 @@ class Splitter:
         """Pre-tokens of a text that holds no special string."""
         if _UNSAFE.search(text) is None:
             return _SPLIT.findall(text.lower())
-        normal = self.tokenizer.normalizer.normalize_str(text)
-        made = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
+        normal = self.normalizer.normalize_str(text)
+        made = self.pre_tokenizer.pre_tokenize_str(normal)
         return [bytes(_CHAR_TO_BYTE[c] for c in t).decode() for t, _ in made]

@@ -39,7 +39,7 @@ _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 @dataclass(frozen=True)
 class QualityOptions:
     threshold: float = 0.5
-    max_rows: int = 3000
+    max_rows: int = 2000
     max_train_bytes: int = 200_000
     calibration_share: float = 0.25
 

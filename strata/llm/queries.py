@@ -17,6 +17,7 @@ from . import quality_rules, queries_sql, toxicity, weak_quality
 from .bpe import encode_documents
 from .chat import render_perspectives
 from .decontaminate import find_contamination
+from .frames import text_batches
 from .ngram_join import near_duplicates
 from .token_counts import token_counts
 from .url_filter import judge_urls
@@ -32,6 +33,7 @@ URL_RULES = [
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -32,7 +32,7 @@ class CountOptions:
     max_sample_bytes: int = 100_000
     max_entries: int = 80_000
     max_bytes: int = 64
-    cache_entries: int = 400_000
+    cache_entries: int = 200_000
 
 
 DEFAULT = CountOptions()

@@ -43,8 +43,8 @@ class ToxicityOptions:
     dim: int = 8
     filters: int = 8
     widths: tuple[int, ...] = (1, 2, 3)
-    max_positive: int = 3000
-    max_negative: int = 5000
+    max_positive: int = 2000
+    max_negative: int = 3500
     # Longer texts are scored like any other, but not learned from.
     max_train_bytes: int = 200_000
     calibration_share: float = 0.25

@@ -43,7 +43,7 @@ _PLAIN = re.compile(rb"(?<![^\s])[A-Z]?[a-z\x80-\xff]+[.,;:!?]?(?![^\s])")
 @dataclass(frozen=True)
 class WeakOptions:
     threshold: float = 0.5
-    max_rows: int = 3000
+    max_rows: int = 2000
     max_train_bytes: int = 200_000
     calibration_share: float = 0.25
     rounds: int = 200
