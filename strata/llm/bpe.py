@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import kept_columns, only, with_types
+from .frames import kept_columns, only, release_memory, with_types
 from .pretokens import Splitter, to_alphabet
 from .textops import texts_of
 from .token_counts import load_tokenizer
@@ -181,6 +181,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, opt: BpeOptions = DEF
                 new += [pa.array(made[c], type=pa.string()) for c in added if c.endswith("sha256")]
                 yield pa.RecordBatch.from_arrays([*cols, *new], names=[*keep, *added])
         bpe.forget()
+        release_memory()
 
     schema = with_types(src.schema, ", ".join(f"{c} {types[c]}" for c in added))
     return src.withColumn("__text", docs["text"].cast("binary")).mapInArrow(run, schema)

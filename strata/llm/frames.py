@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -29,3 +33,11 @@ def text_batches(spark: SparkSession) -> None:
     """Set the session's Arrow batches to ``BATCH_ROWS`` rows (Spark's default
     is 10,000), which bounds what a Python worker holds at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def release_memory() -> None:
+    """At the end of a task, hand freed memory back to the system: Spark keeps
+    its Python workers for later tasks, and idle ones count as well."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .frames import release_memory
 from .textops import gram_hash, mix64, normalised, row_slices, texts_of, word_hash, words_of
 
 
@@ -120,6 +121,7 @@ def signatures(docs: DataFrame, opt: JoinOptions = DEFAULT, id_col: str = "doc_i
                 ],
                 names=["id", "key", "n_bytes", "bands"],
             )
+        release_memory()
 
     return src.mapInArrow(run, f"id {id_type}, key binary, n_bytes bigint, bands array<bigint>")
 

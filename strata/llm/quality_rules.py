@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import kept_columns, only, with_types
+from .frames import kept_columns, only, release_memory, with_types
 from .linear import LinearModel, fit_linear, probabilities, raw_scores
 from .textops import NOT_SPACE, gram_hash, mix64, row_slices, texts_of, word_hash, words_of
 from .toxicity import platt, training_rows
@@ -155,6 +155,7 @@ def apply_rules(docs: DataFrame, model: LinearModel, opt: QualityOptions = DEFAU
                 [*cols, *more, pa.array(failed), pa.array(p, type=pa.float64()), pa.array(~failed & (p >= threshold))],
                 names=[*keep, *added],
             )
+        release_memory()
 
     types = ", ".join(f"{c} bigint" for c in COUNTS) + ", base_failed boolean, quality double, kept boolean"
     return src.withColumn("__text", docs["text"].cast("binary")).mapInArrow(run, with_types(src.schema, types))

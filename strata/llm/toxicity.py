@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import kept_columns, only, with_types
+from .frames import kept_columns, only, release_memory, with_types
 from .textops import mix64, prefix_codes, row_slices, span_hash, texts_of, words_of
 
 _PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -356,5 +356,6 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 [*cols, pa.array(p, type=pa.float64()), pa.array(cut, type=pa.float64()), pa.array(p >= cut, type=pa.bool_())],
                 names=[*keep, *added],
             )
+        release_memory()
 
     return wide.mapInArrow(run, with_types(src.schema, "toxicity_score double, toxicity_threshold double, toxic boolean"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import kept_columns, only, with_types
+from .frames import kept_columns, only, release_memory, with_types
 from .linear import LinearModel, fit_linear, probabilities, raw_scores
 from .quality_rules import text_counts
 from .textops import texts_of
@@ -151,6 +151,7 @@ def _with_codes(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(pattern_codes(votes(texts))), size], names=["doc_id", "code", "n_bytes"]
             )
+        release_memory()
 
     return src.mapInArrow(run, f"doc_id {kind}, code bigint, n_bytes bigint")
 
@@ -227,6 +228,7 @@ def classify(docs: DataFrame, model: WeakModel, opt: WeakOptions = DEFAULT) -> D
                 [*cols, pa.array(weak, type=pa.float64()), pa.array(p, type=pa.float64()), pa.array(p >= threshold)],
                 names=[*keep, *added],
             )
+        release_memory()
 
     return src.withColumn("__text", docs["text"].cast("binary")).mapInArrow(
         run, with_types(src.schema, "weak_label double, quality double, good boolean")
