@@ -26,7 +26,7 @@ def with_types(schema: StructType, ddl: str) -> StructType:
 
 
 # Rows of one Arrow batch; whole texts travel, so a batch is a few MB.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def text_batches(spark: SparkSession) -> None:

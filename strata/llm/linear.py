@@ -80,22 +80,34 @@ def probabilities(model: LinearModel, texts: list[bytes]) -> np.ndarray:
 def fit_linear(texts: list[bytes], target: np.ndarray, weight: np.ndarray, bits: int = 16, epochs: int = 8, rate: float = 0.05, l2: float = 1e-6) -> LinearModel:
     """Adagrad on the weighted log loss; ``target`` may be soft (0 to 1)."""
     rng = np.random.default_rng(5)
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    # of each text: its table indices within their parts, how often each occurs,
+    # and by part how many there are; small numbers, as all texts stay in memory
+    rows: list[tuple[np.ndarray, np.ndarray, list[int]]] = []
+    small = np.min_scalar_type((1 << bits) - 1)
+    begin = np.arange(PARTS, dtype=np.int32) << bits
     for a, b in row_slices(texts):
         parts = _ngrams(texts[a:b], bits)
         for i in range(b - a):
-            own, value = [], []
-            for index, first in parts:
+            own, often = [], []
+            for part, (index, first) in enumerate(parts):
                 ids, n = np.unique(index[first[i] : first[i + 1]], return_counts=True)
-                own.append(ids)
-                value.append(SCALE * n / max(1, n.sum()))
-            rows.append((np.concatenate(own).astype(np.int32), np.concatenate(value).astype(np.float32)))
+                own.append((ids - begin[part]).astype(small))
+                often.append(n)
+            count = np.concatenate(often)
+            rows.append((np.concatenate(own), count.astype(np.min_scalar_type(count.max(initial=0))), [len(x) for x in own]))
+
+    def features(i: int) -> tuple[np.ndarray, np.ndarray]:
+        own, count, sizes = rows[i]
+        count = count.astype(np.int64)
+        sums = [max(1, int(c.sum())) for c in np.split(count, np.cumsum(sizes)[:-1])]
+        return own + np.repeat(begin, sizes), (SCALE * count / np.repeat(sums, sizes)).astype(np.float32)
+
     model = LinearModel(bits, np.zeros(PARTS << bits, dtype=np.float32), 0.0)
     seen = np.full(PARTS << bits, 1e-4, dtype=np.float32)
     shift_seen = 1e-4
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            ids, value = rows[i]
+            ids, value = features(i)
             z = float(model.weight[ids] @ value) + model.shift
             err = (1.0 / (1.0 + np.exp(-min(max(z, -30.0), 30.0))) - target[i]) * weight[i]
             if abs(err) < 1e-4:

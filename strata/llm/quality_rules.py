@@ -39,7 +39,7 @@ _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 @dataclass(frozen=True)
 class QualityOptions:
     threshold: float = 0.5
-    max_rows: int = 2000
+    max_rows: int = 3000
     max_train_bytes: int = 200_000
     calibration_share: float = 0.25
 
@@ -126,7 +126,9 @@ def train(docs: DataFrame, labels: DataFrame, opt: QualityOptions = DEFAULT) ->
     """Fit on labelled rows whose crc32(doc_id as text) mod 4 is not 2; the
     others stay unseen, for held-out checks."""
     texts, label, _, share = training_rows(docs, labels, "quality", opt.max_rows, opt.max_rows, opt.max_train_bytes)
-    return fit(texts, label, share, opt)
+    model = fit(texts, label, share, opt)
+    release_memory()
+    return model
 
 
 def apply_rules(docs: DataFrame, model: LinearModel, opt: QualityOptions = DEFAULT) -> DataFrame:

@@ -43,8 +43,8 @@ class ToxicityOptions:
     dim: int = 8
     filters: int = 8
     widths: tuple[int, ...] = (1, 2, 3)
-    max_positive: int = 2000
-    max_negative: int = 3500
+    max_positive: int = 3000
+    max_negative: int = 5000
     # Longer texts are scored like any other, but not learned from.
     max_train_bytes: int = 200_000
     calibration_share: float = 0.25
@@ -155,6 +155,18 @@ class _Adagrad:
             self.value[rows] -= self.rate * grad / np.sqrt(self.sum[rows])
 
 
+def _distinct_rows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of ``ids`` and where each row is among them: words
+    recur, so this holds a text in a seventh of the memory."""
+    code = np.zeros(len(ids), dtype=np.uint64)
+    for k in range(ids.shape[1]):
+        code = mix64(code + ids[:, k].astype(np.uint64) + np.uint64(k + 1))
+    _, some, at = np.unique(code, return_index=True, return_inverse=True)
+    if not np.array_equal(ids[some][at], ids):  # two rows with one code
+        return ids, np.arange(len(ids), dtype=np.int32)
+    return ids[some], at.astype(np.int32)
+
+
 def _train_weights(opt: ToxicityOptions, texts: list[bytes], label: np.ndarray, weight: np.ndarray) -> ToxicityModel:
     rng = np.random.default_rng(9)
     f, widths, d = opt.filters, opt.widths, opt.dim
@@ -170,16 +182,17 @@ def _train_weights(opt: ToxicityOptions, texts: list[bytes], label: np.ndarray,
     pieces = []
     for a, b in row_slices(texts):
         ids, first = word_pieces(texts[a:b], opt.buckets)
-        pieces += [ids[x:y].astype(np.int32) for x, y in zip(first[:-1], first[1:], strict=True)]
+        kinds, at = _distinct_rows(ids.astype(np.int32))
+        pieces += [(kinds, at[x:y]) for x, y in zip(first[:-1], first[1:], strict=True)]
     embed, conv, bias, out = (_Adagrad(v, opt.rate) for v in (m.embed, m.conv, m.bias, m.out))
     shift = _Adagrad(np.zeros(1, dtype=np.float32), opt.rate)
     pad = max(widths) - 1
     for _ in range(opt.epochs):
         order = rng.permutation(len(pieces))
-        for at in range(0, len(order), opt.batch):
-            own = order[at : at + opt.batch]
-            first = np.concatenate(([0], np.cumsum([len(pieces[i]) for i in own])))
-            ids = np.concatenate([pieces[i] for i in own])
+        for begin in range(0, len(order), opt.batch):
+            own = order[begin : begin + opt.batch]
+            first = np.concatenate(([0], np.cumsum([len(pieces[i][1]) for i in own])))
+            ids = np.concatenate([kinds[at] for kinds, at in (pieces[i] for i in own)])
             x, zs, starts, ids = _convolve(m, ids, first)
             win = np.zeros((len(own), f * len(widths)), dtype=np.int64)
             top = np.zeros((len(own), f * len(widths)), dtype=np.float32)
@@ -328,7 +341,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, opt_pos: i
 def train(docs: DataFrame, labels: DataFrame, opt: ToxicityOptions = DEFAULT) -> ToxicityModel:
     """Fit on the labelled rows that may be learned (see ``learnable``)."""
     texts, label, langs, share = training_rows(docs, labels, "toxic", opt.max_positive, opt.max_negative, opt.max_train_bytes)
-    return fit(texts, label, langs, share, opt)
+    model = fit(texts, label, langs, share, opt)
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -43,7 +43,7 @@ _PLAIN = re.compile(rb"(?<![^\s])[A-Z]?[a-z\x80-\xff]+[.,;:!?]?(?![^\s])")
 @dataclass(frozen=True)
 class WeakOptions:
     threshold: float = 0.5
-    max_rows: int = 2000
+    max_rows: int = 3000
     max_train_bytes: int = 200_000
     calibration_share: float = 0.25
     rounds: int = 200
@@ -178,7 +178,9 @@ def train(docs: DataFrame, opt: WeakOptions = DEFAULT) -> WeakModel:
         .sort_by("doc_id")
     )
     texts = texts_of(got.column("text"))
+    del got
     model.scorer = fit_scorer(model, texts, opt)
+    release_memory()
     return model
 
 
