@@ -346,9 +346,14 @@ def s19_preview(spark: SparkSession, d: str) -> DataFrame:
     return head.withColumns({"columns": F.lit(",".join(c for c, _ in cols)), "rows": F.lit(n).cast("bigint")})
 
 
+# Characters of the lines that one archive of s14_zip_csv takes.
+ARCHIVE_CHARS = 32 << 20
+
+
 def s14_zip_csv(spark: SparkSession, d: str) -> DataFrame:
-    """Orders zipped by the executors, one archive per status, with
-    a readme and a CSV per half in each; all CSVs read back, by header."""
+    """Orders zipped by the executors, each archive of one status and
+    of bounded size, with a readme and a CSV per half; all CSVs read back, by
+    header. A task writes its own rows: no status is gathered anywhere."""
     import io
     import zipfile
 
@@ -357,26 +362,48 @@ def s14_zip_csv(spark: SparkSession, d: str) -> DataFrame:
     from strata.sources.dialect import Dialect
 
     root = scratch_dir(spark, "zip")
+    limit = ARCHIVE_CHARS
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    lines = o.select("o_orderstatus", (F.col("o_orderkey") % 2).alias("half"), F.to_csv(F.struct("o_orderkey", "o_orderstatus", "o_totalprice"), {"sep": ";"}).alias("line"))
+    half = F.coalesce((F.col("o_orderkey") % 2).cast("string"), F.lit("")).alias("half")
+    lines = o.select("o_orderstatus", half, F.to_csv(F.struct("o_orderkey", "o_orderstatus", "o_totalprice"), {"sep": ";"}).alias("line"))
 
-    def pack(pdf):  # noqa: ANN001, ANN202 - one status of the fixture
+    def pack(batches):  # noqa: ANN001, ANN202
         import pandas as pd
         import pyarrow.fs as pafs
-
-        held = io.BytesIO()
-        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr("readme.txt", "o_orderkey;not data\n")
-            for half, own in pdf.groupby("half"):
-                z.writestr(f"part{half}.csv", "title line\no_orderkey;o_orderstatus;o_totalprice\n" + "\n".join(own["line"]) + "\n")
-        name = f"{root}/orders_{pdf['o_orderstatus'].iloc[0]}.zip"
-        fs, inner = pafs.FileSystem.from_uri(name) if "://" in name or name.startswith("file:") else (pafs.LocalFileSystem(), name)
-        fs.create_dir(inner.rpartition("/")[0], recursive=True)
-        with fs.open_output_stream(inner) as f:
-            f.write(held.getvalue())
-        return pd.DataFrame({"path": [name]})
-
-    lines.groupBy("o_orderstatus").applyInPandas(pack, "path string").collect()  # one row per status
+        from pyspark import TaskContext
+
+        fs, inner = pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pafs.LocalFileSystem(), root)
+        task = TaskContext.get().partitionId()
+        held: dict[str | None, dict[str, list[str]]] = {}
+        size = made = 0
+
+        def close():  # noqa: ANN202 - the names are those of a repeated attempt too
+            nonlocal held, size, made
+            paths = []
+            for halves in held.values():
+                packed = io.BytesIO()
+                with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("readme.txt", "o_orderkey;not data\n")
+                    for name, own in sorted(halves.items()):
+                        z.writestr(f"part{name}.csv", "title line\no_orderkey;o_orderstatus;o_totalprice\n" + "\n".join(own) + "\n")
+                paths.append(f"{inner}/orders_{task}_{made}.zip")
+                made += 1
+                fs.create_dir(inner, recursive=True)
+                with fs.open_output_stream(paths[-1]) as f:
+                    f.write(packed.getvalue())
+            held, size = {}, 0
+            return pd.DataFrame({"path": paths}, dtype=object)
+
+        for pdf in batches:
+            for status, name, line in zip(pdf["o_orderstatus"], pdf["half"], pdf["line"], strict=True):
+                if size and size + len(line) > limit:
+                    yield close()
+                held.setdefault(status, {}).setdefault(name, []).append(line)
+                size += len(line)
+        if held:
+            yield close()
+
+    lines.mapInPandas(pack, "path string").write.format("noop").mode("overwrite").save()
     assert path_exists(spark, root)
     df = Z.read_zip_csv(spark, f"{root}/*.zip", Dialect(sep=";", preamble=1), strategy="all_csvs")
     return df.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"), F.col("source_file").alias("member"))
