@@ -19,6 +19,7 @@ from .chat import render_perspectives
 from .decontaminate import find_contamination
 from .frames import text_batches
 from .ngram_join import near_duplicates
+from .substring_dedup import remove_repeats
 from .token_counts import token_counts
 from .url_filter import judge_urls
 from .warc import archive_pages, read_records
@@ -128,6 +129,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 50-word windows that a smaller doc_id holds."""
+    out = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_chat_rotation": op2_chat_rotation,
@@ -139,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op12_substring_dedup": op12_substring_dedup,
 }
 
 ORACLE: dict[str, str] = {
@@ -146,4 +154,5 @@ ORACLE: dict[str, str] = {
     "op2_chat_rotation": queries_sql.OP2,
     "op4_decontamination": queries_sql.OP4,
     "op8_url_filter": queries_sql.OP8,
+    "op12_substring_dedup": queries_sql.OP12,
 }

@@ -77,3 +77,21 @@ SELECT conv_id, perspective, block, count(*) AS n_turns, CAST(min(start) AS BIGI
     FILTER (WHERE role = perspective), '') AS mask
 FROM b GROUP BY conv_id, perspective, block
 """
+
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (
+  SELECT rid, doc_id, p, md5(array_to_string(list_slice(ws, p, p + 49), ' ')) AS win
+  FROM (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM d WHERE len(ws) >= 50)),
+m AS (SELECT win, min(doc_id) AS least FROM w GROUP BY win),
+gone AS (
+  SELECT DISTINCT rid, unnest(range(p, p + 50)) AS q
+  FROM (SELECT rid, p FROM w JOIN m USING (win) WHERE doc_id > least)),
+kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY q) AS txt, count(*) AS n
+  FROM (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS q FROM d) ANTI JOIN gone USING (rid, q) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(txt, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""

@@ -37,7 +37,7 @@ _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash multiplier and of its inverse, up to ``n`` at least."""
     have = _powers.get("mul")
     if have is None or len(have) <= n:
@@ -112,7 +112,7 @@ def words_of(texts: list[bytes], is_word: np.ndarray = IS_WORD, lower: bool = Tr
 
 def prefix_codes(buf: np.ndarray) -> np.ndarray:
     """Running polynomial codes, from which any span's hash follows."""
-    mul, _ = _power_table(len(buf))
+    mul, _ = power_tables(len(buf))
     out = np.empty(len(buf) + 1, dtype=np.uint64)
     out[0] = 0
     np.cumsum(_BYTE_CODE[buf] * mul[: len(buf)], out=out[1:])
@@ -121,7 +121,7 @@ def prefix_codes(buf: np.ndarray) -> np.ndarray:
 
 def span_hash(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes ``start:end``; equal bytes, equal hash anywhere."""
-    _, inv = _power_table(len(codes))
+    _, inv = power_tables(len(codes))
     return mix64((codes[end] - codes[start]) * inv[start])
 
 
