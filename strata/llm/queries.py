@@ -18,6 +18,7 @@ from .bpe import encode_documents
 from .chat import render_perspectives
 from .decontaminate import find_contamination
 from .frames import text_batches
+from .lexical_search import search
 from .ngram_join import near_duplicates
 from .substring_dedup import remove_repeats
 from .token_counts import token_counts
@@ -135,6 +136,12 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    out = search(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return out.select("item_id", "rank", F.col("doc").alias("doc_id"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_chat_rotation": op2_chat_rotation,
@@ -147,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE: dict[str, str] = {
@@ -155,4 +163,5 @@ ORACLE: dict[str, str] = {
     "op4_decontamination": queries_sql.OP4,
     "op8_url_filter": queries_sql.OP8,
     "op12_substring_dedup": queries_sql.OP12,
+    "op13_lexical_search": queries_sql.OP13,
 }

@@ -95,3 +95,24 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0)
   sha256(coalesce(txt, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (rid)
 """
+
+OP13 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ws) AS term FROM d) GROUP BY ALL),
+s AS (SELECT count(*) FILTER (len(ws) > 0) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM d),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tf, s GROUP BY term),
+b AS (
+  SELECT row_number() OVER () AS bid, item_id,
+    regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bt AS (SELECT bid, item_id, term, count(*) AS r FROM (SELECT bid, item_id, unnest(ws) AS term FROM b) GROUP BY ALL),
+m AS (SELECT rid, doc_id, 100 - 25 + ((25 * len(ws) * n_docs) // n_terms) AS m FROM d, s WHERE len(ws) > 0),
+sc AS (
+  SELECT bid, item_id, rid, doc_id, CAST(sum(r * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM bt JOIN w USING (term) JOIN tf USING (term) JOIN m USING (rid) GROUP BY bid, item_id, rid, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY bid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM sc WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 20
+"""
