@@ -20,6 +20,7 @@ from .decontaminate import find_contamination
 from .frames import text_batches
 from .lexical_search import search
 from .ngram_join import near_duplicates
+from .prefix_trie import encoded, rebuilt, trie_nodes
 from .substring_dedup import remove_repeats
 from .token_counts import token_counts
 from .url_filter import judge_urls
@@ -130,6 +131,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all conversations, their first turns taken from
+    the conversation at the last multiple of 100."""
+    own = encoded(_table(spark, sf_dir, "conversations"))
+    heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    return trie_nodes(rebuilt(own, heads, F.col("conv_id") - F.col("conv_id") % 100))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the 50-word windows that a smaller doc_id holds."""
     out = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -153,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_substring_dedup": op12_substring_dedup,
     "op13_lexical_search": op13_lexical_search,
 }
@@ -162,6 +172,7 @@ ORACLE: dict[str, str] = {
     "op2_chat_rotation": queries_sql.OP2,
     "op4_decontamination": queries_sql.OP4,
     "op8_url_filter": queries_sql.OP8,
+    "op11_prefix_trie": queries_sql.OP11,
     "op12_substring_dedup": queries_sql.OP12,
     "op13_lexical_search": queries_sql.OP13,
 }

@@ -116,3 +116,38 @@ sc AS (
 o AS (SELECT *, row_number() OVER (PARTITION BY bid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM sc WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 20
 """
+
+OP11 = """
+WITH t AS (
+  SELECT conv_id, turn, length(coalesce(text, '')) AS c,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'d': d, 'c': c} ORDER BY turn NULLS FIRST, d) AS seq FROM t GROUP BY conv_id),
+h AS (
+  SELECT conv_id, seq, xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+    lambda acc, b: list_reduce(list_concat([xor(acc, b)], range(8)), lambda a, i: xor(a >> 1, 3988292384 * (a & 1))))) % 6 AS h
+  FROM own),
+r AS (
+  SELECT h.conv_id, list_concat(list_slice(coalesce(o.seq, []), 1, h), list_slice(h.seq, h + 1, len(h.seq))) AS seq
+  FROM h LEFT JOIN own o ON o.conv_id = h.conv_id - h.conv_id % 100),
+pre AS (
+  SELECT conv_id, d, list_slice(seq, 1, d) AS p, len(seq) = d AS ends
+  FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM r)),
+n AS (
+  SELECT d, p, min(conv_id) AS conv_id, count(*) AS n,
+    string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends) AS ids
+  FROM pre GROUP BY d, p),
+k AS (SELECT d - 1 AS d, list_slice(p, 1, d - 1) AS p, count(*) AS k FROM n WHERE d > 0 GROUP BY ALL),
+v AS (
+  SELECT n.d, n.p, CASE WHEN k IS NULL THEN 1 ELSE 0 END AS leaf,
+    CASE WHEN n.d = 0 THEN 0 ELSE (n - 1) * n.p[n.d].c END AS saved
+  FROM n LEFT JOIN k ON n.d = k.d AND n.p = k.p),
+s AS (
+  SELECT a AS d, list_slice(p, 1, a) AS p, sum(leaf) AS leaves, sum(saved) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM v) GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k.k, 0) AS n_children,
+  CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ids, '')) AS ends_sha256
+FROM n JOIN s ON n.d = s.d AND n.p = s.p LEFT JOIN k ON n.d = k.d AND n.p = k.p
+  LEFT JOIN n u ON u.d = n.d - 1 AND u.p = list_slice(n.p, 1, n.d - 1)
+"""
