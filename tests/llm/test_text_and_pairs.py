@@ -61,7 +61,8 @@ def test_banding_reaches_its_recall():
         choose_bands(0.1, 0.9999, 4)
 
 
-def test_join_equals_brute_force(spark):
+@pytest.mark.parametrize("opt", [JoinOptions(block_classes=3), JoinOptions(hot_classes=2), JoinOptions(block_classes=3, hot_classes=1)])
+def test_join_equals_brute_force(spark, opt):
     rnd = random.Random(3)
     words = [f"w{k}" for k in range(400)]
     texts = []
@@ -75,7 +76,7 @@ def test_join_equals_brute_force(spark):
             texts.append(" ".join(near).upper() if rnd.random() < 0.3 else ", ".join(near))
     texts += ["", None, "!!!", "!!!", "one", "one", "one two three four", "ONE two three. four"]
     # tiny blocks, so that pairs of blocks are exercised too
-    got = near_duplicates(docs_of(spark, texts), JoinOptions(block_classes=3)).collect()
+    got = near_duplicates(docs_of(spark, texts), opt).collect()
     links, edges = brute_links(texts)
     assert len(got) == len(texts)
     keys = [X.normalised((t or "").encode()) for t in texts]
@@ -127,6 +128,30 @@ def test_hot_near_copies_emit_no_pairs(spark):
     assert edges.count() < 300 * 21
 
 
+def near_copies(n, words=60):
+    base = [f"w{k}" for k in range(words)]
+    return [" ".join([f"x{k}" if p == k % words else w for p, w in enumerate(base)]) for k in range(n)]
+
+
+def test_hot_group_is_sent_once(spark):
+    from strata.llm.ngram_join import _work_units, signatures
+
+    rows = {}
+    for n in (500, 1000, 2000):
+        sig = signatures(docs_of(spark, near_copies(n)))
+        classes = sig.groupBy("key").agg(F.first("id").alias("rep"), F.max("n_bytes").alias("n_bytes"), F.first("bands").alias("bands")).checkpoint()
+        rows[n] = _work_units(classes, JoinOptions()).count()
+    # each class once in its group, and some more in the buckets of the few that are not hot
+    assert rows[2000] <= 2.6 * rows[1000] <= 2.6 * 2.6 * rows[500] and rows[2000] < 2000 * 6
+
+
+def test_links_of_a_hot_group_with_blocks(spark):
+    texts = near_copies(420, 100) + [f"other {k} " * 9 for k in range(5)]
+    links, _ = brute_links(texts)
+    got = near_duplicates(docs_of(spark, texts), JoinOptions(block_classes=100, hot_classes=60)).collect()
+    assert {r.doc_id: r.n_links for r in got} == {i: links[X.normalised(t.encode())] for i, t in enumerate(texts)}
+
+
 def test_components_of_paths_stars_and_cycles(spark):
     e = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 150)] + [(200, 201), (201, 202), (202, 200), (5, 5), (None, 1)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(e, "a long, b long"), "a", "b").collect()}
