@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import kept_columns, only, with_types
+from .frames import kept_columns
 from .textops import TO_WORDS, texts_of
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -196,7 +196,8 @@ def benchmark_shards(benchmark: DataFrame, opt: DecontaminationOptions = DEFAULT
                 names=["item", "words", "n"],
             )
 
-    parts = src.mapInArrow(cut, "item string, words binary, n bigint").checkpoint()
+    # repeated items would all be dealt to one shard
+    parts = src.mapInArrow(cut, "item string, words binary, n bigint").distinct().checkpoint()
     total = parts.agg(F.sum("n").alias("n"), F.sum(F.length("words")).alias("b")).first()
     if not total["n"]:
         return
@@ -219,11 +220,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, opt: Decontaminati
     """
     added = ("n_words", "spans", "n_hit", "items")
     keep = kept_columns(docs, added)
-    src = only(docs, keep)
-    state_types = "n_words bigint, spans array<int>, items array<string>"
-    state = src.withColumn("__text", F.col("text").cast("binary")).withColumns(
-        {"n_words": F.lit(0).cast("bigint"), "spans": F.array().cast("array<int>"), "items": F.array().cast("array<string>")}
+    others = [c for c in keep if c != "text"]
+    state = docs.select(
+        F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]).alias("row"),
+        F.col("text").cast("binary").alias("text"),
+        F.lit(0).cast("bigint").alias("n_words"),
+        F.array().cast("array<int>").alias("spans"),
+        F.array().cast("array<string>").alias("items"),
     )
+    state_type = state.schema
     context = docs.sparkSession.sparkContext
 
     def through(frame: DataFrame, shard: list[tuple[str, list[bytes]]]) -> DataFrame:
@@ -234,7 +239,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, opt: Decontaminati
             for batch in batches:
                 sizes, spans, items = [], [], []
                 old_spans, old_items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-                for text, before, named in zip(texts_of(batch.column("__text")), old_spans, old_items, strict=True):
+                for text, before, named in zip(texts_of(batch.column("text")), old_spans, old_items, strict=True):
                     words = text.translate(TO_WORDS).split()
                     new, found = automaton.find(words)
                     if new:
@@ -243,13 +248,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, opt: Decontaminati
                     sizes.append(len(words))
                     spans.append(before)
                     items.append(named)
-                cols = [batch.column(c) for c in [*keep, "__text"]]
                 yield pa.RecordBatch.from_arrays(
-                    [*cols, pa.array(sizes, type=pa.int64()), pa.array(spans, type=pa.list_(pa.int32())), pa.array(items, type=pa.list_(pa.string()))],
-                    names=[*keep, "__text", "n_words", "spans", "items"],
+                    [
+                        batch.column("row"),
+                        batch.column("text"),
+                        pa.array(sizes, type=pa.int64()),
+                        pa.array(spans, type=pa.list_(pa.int32())),
+                        pa.array(items, type=pa.list_(pa.string())),
+                    ],
+                    names=["row", "text", "n_words", "spans", "items"],
                 )
 
-        return frame.mapInArrow(run, with_types(src.schema, f"__text binary, {state_types}"))
+        return frame.mapInArrow(run, state_type)
 
     used = 0
     for shard in benchmark_shards(benchmark, opt):
@@ -266,7 +276,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, opt: Decontaminati
     none = F.array().cast("array<struct<start:int,end:int>>")
     out = state.withColumn("spans", F.when(F.size("spans") > 0, pairs).otherwise(none))
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    return out.withColumn("n_hit", hit).select(*[F.col(f"`{c}`") for c in keep], *added)
+    kept = [F.col("text").cast(docs.schema["text"].dataType) if c == "text" else F.col(f"row.c{others.index(c)}").alias(c) for c in keep]
+    return out.withColumn("n_hit", hit).select(*kept, *added)
 
 
 def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -286,10 +297,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, opt: DecontaminationOpt
     are dropped; all others stay, those without a hit unchanged (a null
     text too). Where n_chars exists, it follows the new text.
     """
-    found = find_contamination(docs, benchmark, opt)
-    keep = docs.columns
-    names = [c for c in found.columns if c not in ("n_words", "n_hit", "items")]
-    kept = found.where(F.col("n_hit") <= opt.max_share * F.col("n_words")).select(*[F.col(f"`{c}`") for c in names])
+    # columns travel under names of their own, so that none clashes
+    inner = {c: "text" if c == "text" else f"kept{k}" for k, c in enumerate(docs.columns)}
+    found = find_contamination(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()]), benchmark, opt)
+    kept = found.where(F.col("n_hit") <= opt.max_share * F.col("n_words")).select(*inner.values(), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,7 +314,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, opt: DecontaminationOpt
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
     clean = kept.mapInArrow(run, kept.schema)
-    if "n_chars" in keep:
-        kind = docs.schema["n_chars"].dataType
-        clean = clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return only(clean, keep)
+    if "n_chars" in inner:
+        own = inner["n_chars"]
+        cut_size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        clean = clean.withColumn(own, F.when(F.size("spans") > 0, cut_size).otherwise(F.col(own)))
+    return clean.select(*[F.col(n).alias(c) for c, n in inner.items()])

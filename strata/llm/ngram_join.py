@@ -45,7 +45,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -85,10 +85,15 @@ def _grams(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     return gram_hash(word_hash(w), w.first, size)
 
 
+def text_key(text_col: str) -> Column:
+    """Hash of a text's bytes, null for a null text; with the id it names a row."""
+    text = F.col(f"`{text_col}`").cast("binary")
+    return F.when(text.isNotNull(), F.xxhash64(text))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, tk, text): the hash of the text tells rows with one id apart."""
-    text = F.col(f"`{text_col}`").cast("binary")
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.when(text.isNotNull(), F.xxhash64(text)).alias("tk"), text.alias("text"))
+    return docs.select(F.col(f"`{id_col}`").alias("id"), text_key(text_col).alias("tk"), F.col(f"`{text_col}`").cast("binary").alias("text"))
 
 
 def signatures(docs: DataFrame, opt: JoinOptions = DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

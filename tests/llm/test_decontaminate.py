@@ -105,3 +105,26 @@ def test_query_equals_brute_force(spark):
         hit, found = brute(docs[r.doc_id], bench)
         ids = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(docs[r.doc_id]), len(hit), len(found), ids, bool(hit))
+
+
+def test_clashing_names_and_repeated_items(spark):
+    ten = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    names = ["doc_id", "text", "n_words", "items", "n_hit", "spans", "__text", "row", "n_chars"]
+    df = spark.createDataFrame([(1, f"before {ten} after then more words to keep it all", "w", "i", "h", "s", "t", "r", 9), (2, "clean", "w", "i", "h", "s", "t", "r", 5)], names)
+    out = decontaminate(df, _bench(spark), DecontaminationOptions(max_share=0.9))
+    assert out.columns == names
+    rows = sorted(out.collect())
+    assert [tuple(r)[2:8] for r in rows] == [("w", "i", "h", "s", "t", "r")] * 2
+    assert rows[0].n_chars == len(rows[0].text) < 60 and rows[1].n_chars == 5 and ten not in rows[0].text
+    hits = find_contamination(df, _bench(spark)).collect()
+    assert sorted(r.n_hit for r in hits) == [0, 10]
+
+
+def test_a_third_of_the_benchmark_is_one_item(spark):
+    from strata.llm.decontaminate import benchmark_shards
+
+    rows = [(7, "one item that is there very often and has some words")] * 400 + [(k, f"item {k} " + "of its own " * 3) for k in range(800)]
+    opt = DecontaminationOptions(shard_words=500)
+    shards = list(benchmark_shards(spark.createDataFrame(rows, "item_id bigint, text string"), opt))
+    assert sum(len(s) for s in shards) == 801
+    assert all(sum(len(w) for _, w in s) <= opt.shard_words for s in shards)

@@ -108,3 +108,16 @@ def test_odd_documents_pass_through(spark):
     kept = C.near_duplicate_stage(spark, df, SF0001).collect()
     assert sorted((str(r.doc_id) for r in kept)) == ["0", "2", "3", "5", "None"]
     assert C.bpe_stage(spark, df, SF0001).count() == len(rows)
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    words = "The wind came over the hill and the rain followed it down to the old town by the river and nobody went out that day".split()
+    a, near = " ".join(words), " ".join([*words, "again"])
+    rows = [(0, a), (None, a), (None, a), (None, ""), (1, a), (1, near), (7, "quite another text that stands alone here"), (7, "quite another text that stands alone here"), (8, None), (8, None)]
+    df = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(rows)], DOCS)
+    kept = C.near_duplicate_stage(spark, df, SF0001)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert got == sorted([(0, a), (None, ""), (7, rows[6][1]), (8, None), (8, None)], key=repr)
+    none = [(None, a, "en", "s", 1)] * 40
+    assert C.near_duplicate_stage(spark, spark.createDataFrame(none, DOCS), SF0001).count() == 1
