@@ -30,7 +30,7 @@ from strata.llm import toxicity, weak_quality
 from strata.llm.bpe import encode_documents
 from strata.llm.decontaminate import decontaminate
 from strata.llm.frames import only, text_batches
-from strata.llm.ngram_join import near_duplicates
+from strata.llm.ngram_join import grouped_rows, text_key
 from strata.llm.queries import tokenizer_path
 from strata.session import scratch_dir
 
@@ -55,14 +55,24 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of copies and near copies.
 
-    Rows that repeat the kept document's id and all its columns are copies
-    too: one of them stays. Documents without words are in no group; a
-    document without an id stays only if its whole group has none."""
+    It is the group's row with the least doc_id, rows without an id last;
+    of several such rows with the same text one stays. Documents without
+    words are in no group and all stay."""
     text_batches(spark)
-    classes = near_duplicates(docs.select("doc_id", "text"))
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return only(kept, docs.columns).dropDuplicates()
+    rows, classes = grouped_rows(docs.select("doc_id", "text"))
+    # rows of one id and text, counted: a third of all rows may be the same
+    same = rows.groupBy("id", "tk", "key").agg(F.count(F.lit(1)).alias("n_same"))
+    judged = same.join(classes.select("c_key", "first"), F.col("key").eqNullSafe(F.col("c_key")), "left")
+    alone = F.col("key").isNull()
+    least = F.col("id").eqNullSafe(F.col("first.id")) & F.col("tk").eqNullSafe(F.col("first.tk"))
+    stay = judged.where(alone | least).select(
+        F.col("id").alias("stay_id"), F.col("tk").alias("stay_tk"), (~alone & (F.col("n_same") > 1)).alias("stay_one")
+    )
+    own = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"), F.col("doc_id").alias("id"), text_key("text").alias("tk"))
+    kept = own.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & F.col("tk").eqNullSafe(F.col("stay_tk")))
+    once = kept.where("stay_one").dropDuplicates(["id", "tk"])
+    out = kept.where("not stay_one").unionByName(once)
+    return out.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
