@@ -72,7 +72,7 @@ def stored_layout(spark: SparkSession, path: str) -> tuple[str, list[str]]:
     from strata.sinks.layout import partition_columns
 
     names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    ends = names.select(F.regexp_extract("path", r"([A-Za-z]+)(?:\\.(?:gz|snappy|zst|lz4))?$", 1).alias("e")).distinct().orderBy("e").collect()
+    ends = names.select(F.regexp_extract("path", r"([A-Za-z]+)(?:\.(?:gz|snappy|zst|lz4))?$", 1).alias("e")).distinct().orderBy("e").collect()
     return ",".join(r["e"] for r in ends), partition_columns(spark, path)
 
 

@@ -11,8 +11,8 @@ the plan is built.
 The row id tells identical rows apart. Rows of stored Parquet have one:
 file path and row index. Frames without one are first counted by their
 whole content (again combined map-side), so each distinct row is there
-once; copies come back from the count, and only the first of them is
-first.
+once; copies come back from the count, in blocks spread over all tasks,
+and only the first of them is first.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ from pyspark.sql import types as T
 from strata.functions.columns import resolves
 from strata.operators.skew import null_safe_on, row_hash
 
+# Copies of a row that one task writes out at a time.
+COPY_BLOCK = 4096
+
 OrderSpec = Sequence[str | tuple[str, str]]
 
 
@@ -137,10 +140,18 @@ def flag_first(
     on = null_safe_on([(b[f"`{k}`"], winners[f"_wk{i}"]) for i, k in enumerate(keys)])
     first = F.when(F.col("_alive"), place == F.col("_win"))
     joined = b.join(winners, on, "left").withColumn(out, first)
-    if rid is None:
-        joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
-        joined = joined.withColumn(out, F.col(out) & (F.col("_copy") == 1))
-    return joined.select(*[F.col(f"`{c}`") for c in names], out)
+    own = [F.col(f"`{c}`") for c in names]
+    if rid is not None:
+        return joined.select(*own, out)
+    # one of each, and the other copies apart: a row with very many of them is
+    # cut into blocks, which are spread over tasks before they are written out
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    more = joined.where("_copies > 1").select(*own, out, (F.col("_copies") - 1).alias("_more"))
+    last = F.floor((F.col("_more") - 1) / COPY_BLOCK)
+    blocks = more.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).repartition(spread)
+    size = F.least(F.lit(COPY_BLOCK).cast("bigint"), F.col("_more") - F.col("_block") * COPY_BLOCK)
+    copies = blocks.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), size)))
+    return joined.select(*own, out).unionByName(copies.select(*own, F.when(F.col(out).isNotNull(), F.lit(False)).alias(out)))
 
 
 def _ranked_in_place(df: DataFrame, keys: list[str], ordf: list[Column], alive: Column | None, out: str, tie: Column) -> DataFrame:

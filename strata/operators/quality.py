@@ -16,7 +16,7 @@ layer prescribes (dedup first, then rules).
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,6 +148,20 @@ def classify(
     )
 
 
+def living_keys(df: DataFrame, contract: Contract) -> DataFrame:
+    """The distinct dedup keys of the rows that take part in the ranking:
+    those that pass coercion and required rules (all, if duplicates are
+    ranked first)."""
+    first = [] if contract.dedup_before_required else [r for r in contract.all_rules() if r.kind == "required"]
+    named = {r.column for r in first}
+    first = [Rule.required(k) for k in contract.dedup_keys if k not in named] + first
+    early = replace(contract, dedup_keys=[], dedup_order=None, required_columns=[], rules=first)
+    keys = [F.col(f"`{k}`") for k in contract.dedup_keys]
+    ranked = classify(df, early)
+    alive = F.lit(True) if contract.dedup_before_required else F.col(REASON).isNull()
+    return ranked.where(alive).select(*keys).distinct()
+
+
 def unexpected_columns(df: DataFrame, contract: Contract) -> list[str]:
     """Q7 report: columns (after renaming) that the contract doesn't know."""
     if contract.schema is None:

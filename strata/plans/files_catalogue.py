@@ -279,6 +279,25 @@ def k8_zorder(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def k8_hilbert_text(spark: SparkSession, d: str) -> DataFrame:
+    """K8: customers clustered by a text and a number along the Hilbert curve;
+    files are narrow in both, and together no wider than in Z-order."""
+    c = table(spark, d, "customer")  # names sort as keys do
+    whole = c.select(F.max("c_custkey") - F.min("c_custkey"), F.max("c_acctbal") - F.min("c_acctbal")).first()
+    spans = {}
+    for curve in ("hilbert", "z"):
+        path = scratch_dir(spark, f"k8{curve}")
+        K.zorder_write(c, path, ["c_name", "c_acctbal"], files=16, curve=curve)
+        for k, column in enumerate(("c_custkey", "c_acctbal")):
+            spans[curve, column] = K.file_spans(spark, path, column).select(F.avg(F.col("hi") - F.col("lo"))).scalar() / whole[k]
+        spans[curve] = path
+    out = spark.read.parquet(spans["hilbert"])
+    for column in ("c_custkey", "c_acctbal"):
+        out = out.withColumn(f"narrow_{column}", spans["hilbert", column] < 0.6)
+    total = {curve: spans[curve, "c_custkey"] + spans[curve, "c_acctbal"] for curve in ("hilbert", "z")}
+    return out.withColumn("narrower_than_z", F.lit(total["hilbert"]) <= F.lit(total["z"]) * 1.02)
+
+
 def k9_compact(spark: SparkSession, d: str) -> DataFrame:
     """K9 K4: many small files compacted; rows and partitions are kept, and
     one file per partition value is left."""
@@ -321,8 +340,13 @@ def k10_retention(spark: SparkSession, d: str) -> DataFrame:
 def k12_partition_guard(spark: SparkSession, d: str) -> DataFrame:
     """Distinct values of candidate partition columns, checked against the limit."""
     li = table(spark, d, "lineitem")
-    rows = [(c, K.check_partition_column(li, c, 10_000)) for c in ("l_returnflag", "l_linestatus")]
-    return spark.createDataFrame(rows, "column string, distinct_values long")
+    rows = []
+    for c, limit in (("l_returnflag", 10_000), ("l_linestatus", 10_000), ("l_linestatus", 1), ("l_orderkey", 100)):
+        try:
+            rows.append((c, limit, K.check_partition_column(li, c, limit), False))
+        except ValueError:
+            rows.append((c, limit, None, True))
+    return spark.createDataFrame(rows, "column string, max_values long, distinct_values long, refused boolean")
 
 
 def k6_register_comment(spark: SparkSession, d: str) -> DataFrame:
@@ -420,9 +444,9 @@ def t2_stream_silver(spark: SparkSession, d: str) -> DataFrame:
 
     src = scratch_dir(spark, "t2src")
     li = table(spark, d, "lineitem").select(*LINE_SCHEMA.fieldNames())
-    edges = li.select(F.year("l_shipdate").alias("y")).distinct().orderBy("y").collect()  # a few years
-    for lo in [r["y"] for r in edges][::2]:
-        own = li.where(F.year("l_shipdate").between(lo, lo + 1)).coalesce(1)
+    pair = F.floor(F.year("l_shipdate") / 2)
+    for r in li.select(pair.alias("p")).distinct().orderBy("p").collect():  # a few pairs of years, null first
+        own = li.where(pair.eqNullSafe(F.lit(r["p"]).cast("bigint"))).coalesce(1)
         own.write.mode("append").option("header", "true").csv(src)
     out, ck = scratch_dir(spark, "t2out"), scratch_dir(spark, "t2ck")
     b = bronze_stream(spark, src, LINE_SCHEMA, Dialect(), max_files_per_trigger=1)
@@ -432,6 +456,24 @@ def t2_stream_silver(spark: SparkSession, d: str) -> DataFrame:
     return outcome_counts(both)
 
 
+def t3_keyed_state(spark: SparkSession, d: str) -> DataFrame:
+    """The first order of every customer, over runs of a stream that
+    remembers customers in keyed state (a run per three years of orders)."""
+    from strata.contract import Contract, Rule
+    from strata.streaming.files import bronze_stream
+
+    src, out, ck = scratch_dir(spark, "t3src"), scratch_dir(spark, "t3out"), scratch_dir(spark, "t3ck")
+    o = table(spark, d, "orders")
+    span = F.floor(F.year("o_orderdate") / 3)
+    c = Contract("first_orders", dedup_keys=["o_custkey"], dedup_order=["o_orderdate", "o_orderkey"], rules=[Rule.range("o_totalprice", "1000..300000")])
+    for r in o.select(span.alias("s")).distinct().orderBy("s").collect():  # a few spans, null first
+        o.where(span.eqNullSafe(F.lit(r["s"]).cast("bigint"))).write.mode("append").parquet(src)
+        stream_silver(bronze_stream(spark, src, o.schema, fmt="parquet"), c, out, ck, seen="state")
+    kept, quarantined = silver_outputs(spark, out)
+    own = ["o_orderkey", "o_custkey", "o_totalprice"]
+    return kept.select(*own, F.lit("kept").alias("reason")).unionByName(quarantined.select(*own, F.col(REASON).alias("reason")))
+
+
 def t2_stream_rules(spark: SparkSession, d: str) -> DataFrame:
     """T2 without dedup: range and FK rules inside a plain streaming query."""
     from strata.contract import Contract, Rule
@@ -461,10 +503,12 @@ FILE_QUERIES: dict[str, Query] = {
     "k2_silver_split": k2_silver_split,
     "q9_bucketed_bronze": q9_bucketed_bronze,
     "k8_zorder": k8_zorder,
+    "k8_hilbert_text": k8_hilbert_text,
     "k9_compact": k9_compact,
     "t1_stream_bronze": t1_stream_bronze,
     "t2_stream_silver": t2_stream_silver,
     "t2_stream_rules": t2_stream_rules,
+    "t3_keyed_state": t3_keyed_state,
     "f7_from_file": f7_from_file,
     "w6_head": w6_head,
     "k10_retention": k10_retention,
@@ -491,14 +535,16 @@ FILE_ORACLE: dict[str, str] = {
     "k2_silver_split": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN rn>1 THEN 'duplicate' WHEN NOT l_quantity BETWEEN 5 AND 45 THEN 'l_quantity failed validation' WHEN hit IS NULL THEN 'l_suppkey not in reference' ELSE 'kept' END AS reason FROM (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey,l_linenumber ORDER BY l_shipdate,l_partkey,l_suppkey) AS rn, s.s_suppkey AS hit FROM lineitem l LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal>=0) s ON l.l_suppkey=s.s_suppkey)) GROUP BY 1",
     "k8_zorder": "SELECT *,true AS narrow_o_custkey,true AS narrow_o_totalprice FROM orders",
     "q9_bucketed_bronze": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN rn>1 THEN 'duplicate' WHEN NOT l_quantity BETWEEN 5 AND 45 THEN 'l_quantity failed validation' WHEN hit IS NULL THEN 'l_suppkey not in reference' ELSE 'kept' END AS reason FROM (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey,l_linenumber ORDER BY l_shipdate,l_partkey,l_suppkey) AS rn, s.s_suppkey AS hit FROM lineitem l LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal>=0) s ON l.l_suppkey=s.s_suppkey)) GROUP BY 1",
+    "k8_hilbert_text": "SELECT *,true AS narrow_c_custkey,true AS narrow_c_acctbal,true AS narrower_than_z FROM customer",
     "k9_compact": "SELECT *,true AS fewer,true AS per_value,'o_orderstatus' AS parts FROM orders",
     "t1_stream_bronze": "SELECT l_orderkey,l_linenumber,l_quantity FROM lineitem",
     "t2_stream_silver": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN rn>1 THEN 'duplicate' WHEN NOT l_quantity BETWEEN 5 AND 45 THEN 'l_quantity failed validation' WHEN hit IS NULL THEN 'l_suppkey not in reference' ELSE 'kept' END AS reason FROM (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey,l_linenumber ORDER BY l_shipdate,l_partkey,l_suppkey) AS rn, s.s_suppkey AS hit FROM lineitem l LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal>=0) s ON l.l_suppkey=s.s_suppkey)) GROUP BY 1",
     "t2_stream_rules": "SELECT CASE WHEN NOT l_quantity BETWEEN 5 AND 45 THEN 'l_quantity failed validation' WHEN s.s_suppkey IS NULL THEN 'l_suppkey not in reference' ELSE 'kept' END AS reason, count(*) AS n FROM lineitem l LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal>=0) s ON l.l_suppkey=s.s_suppkey GROUP BY 1",
+    "t3_keyed_state": "SELECT o_orderkey,o_custkey,o_totalprice,CASE WHEN rn>1 THEN 'duplicate' WHEN NOT o_totalprice BETWEEN 1000 AND 300000 THEN 'o_totalprice failed validation' ELSE 'kept' END AS reason FROM (SELECT *,row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate,o_orderkey) AS rn FROM orders)",
     "f7_from_file": "SELECT o_orderkey,o_totalprice FROM orders WHERE o_orderkey%2=1",
     "w6_head": "SELECT o_orderkey,o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 20",
     "k10_retention": "SELECT l_orderkey,l_linenumber,l_quantity,'b-new' AS batch_id FROM lineitem",
-    "k12_partition_guard": "SELECT 'l_returnflag' AS column,count(DISTINCT l_returnflag) AS distinct_values FROM lineitem UNION ALL SELECT 'l_linestatus',count(DISTINCT l_linestatus) FROM lineitem",
+    "k12_partition_guard": "SELECT c AS column,m AS max_values,CASE WHEN n<=m THEN n END AS distinct_values,n>m AS refused FROM (SELECT 'l_returnflag' AS c,CAST(10000 AS BIGINT) AS m,count(DISTINCT l_returnflag) AS n FROM lineitem UNION ALL SELECT 'l_linestatus',10000,count(DISTINCT l_linestatus) FROM lineitem UNION ALL SELECT 'l_linestatus',1,count(DISTINCT l_linestatus) FROM lineitem UNION ALL SELECT 'l_orderkey',100,count(DISTINCT l_orderkey) FROM lineitem)",
     "k6_register_comment": "SELECT o_orderstatus,count(*) AS n FROM orders GROUP BY 1",
     "e2e_lineitem_layers": "SELECT l_returnflag,l_linestatus,CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total_price,count(*) AS row_count,round(avg(l_quantity),6) AS avg_qty FROM (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey,l_linenumber ORDER BY l_shipdate,l_partkey,l_suppkey) AS rn FROM lineitem l) x WHERE rn=1 AND l_quantity BETWEEN 5 AND 45 AND EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey=x.l_suppkey AND s.s_acctbal>=0) GROUP BY 1,2",
 }

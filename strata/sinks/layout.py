@@ -272,15 +272,14 @@ def rebuild_table(spark: SparkSession, name: str, df: DataFrame, fmt: str = "par
 
 
 def check_partition_column(df: DataFrame, column: str, limit: int = 10_000) -> int:
-    """Refuse a partition column with more than ``limit`` distinct values.
+    """Refuse a partition column with more than ``limit`` distinct values;
+    returns their number otherwise.
 
-    An approximate count settles the clear cases in one pass; within a fifth
-    of the limit the values are counted exactly (limit + 1 at most)."""
-    n = int(df.agg(F.approx_count_distinct(F.col(column)).alias("n")).first()["n"])  # type: ignore[index]
-    if 0.8 * limit <= n <= 1.2 * limit or n < 100:
-        n = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).count()
+    Exact: distinct values are combined map-side, and no more than
+    ``limit`` + 1 of them are counted."""
+    n = df.select(F.col(f"`{column}`").alias("v")).where("v is not null").distinct().limit(limit + 1).count()
     if n > limit:
-        raise ValueError(f"partition column {column!r} has {n} or more distinct values (limit {limit})")
+        raise ValueError(f"partition column {column!r} has more than {limit} distinct values")
     return n
 
 
@@ -306,19 +305,78 @@ def verify_write(spark: SparkSession, path: str, batch_id: str | None = None, fm
 # --- layout ----------------------------------------------------------------
 
 
-def zorder_key(df: DataFrame, columns: Sequence[str], bits: int = 8, relative_error: float = 0.01) -> DataFrame:
-    """K8 key: Morton (bit-interleaved) code of per-column quantile buckets.
+def _text_edges(df: DataFrame, column: str, buckets: int, prefix: int) -> list[str]:
+    """At most ``buckets`` - 1 values that cut the distinct prefixes of a text
+    column into ranges of about equal size.
+
+    Distinct prefixes are combined map-side, so a value that a third of the
+    rows have counts once; the ranges are those of a range partitioning,
+    and one prefix per range reaches the driver."""
+    values = df.select(F.substring(F.col(f"`{column}`").cast("string"), 1, prefix).alias("v")).where("v is not null").distinct()
+    lows = values.repartitionByRange(buckets, "v").groupBy(F.spark_partition_id().alias("p")).agg(F.min("v").alias("low"))
+    return sorted(r["low"] for r in lows.collect())[1:]
+
+
+def _hilbert(coordinates: list, bits: int):  # noqa: ANN202
+    """Position on the Hilbert curve: the coordinates are rotated and flipped
+    bit by bit, Gray-coded, and their bits interleaved (Skilling, 2004)."""
+    k = len(coordinates)
+    steps = [F.struct(F.lit(1 << bit).cast("long").alias("q"), F.lit(i).alias("i")) for bit in range(bits - 1, 0, -1) for i in range(k)]
+
+    def turn(x, step):  # noqa: ANN001, ANN202
+        q, i = step["q"], step["i"]
+        own, first, low = F.get(x, i), F.get(x, F.lit(0)), q - 1
+        hit = own.bitwiseAND(q) != 0
+        swap = first.bitwiseXOR(own).bitwiseAND(low)
+        new_first = F.when(hit, first.bitwiseXOR(low)).otherwise(first.bitwiseXOR(swap))
+        new_own = F.when(hit, own).otherwise(own.bitwiseXOR(swap))
+        return F.transform(x, lambda v, j: F.when(j == 0, new_first).when(j == i, new_own).otherwise(v))
+
+    x = F.array(*coordinates)
+    if k > 1 and steps:
+        x = F.aggregate(F.array(*steps), x, turn)
+    # Gray code along the axes: every axis is folded into the next
+    gray = F.aggregate(x, F.array().cast("array<bigint>"), lambda out, v: F.concat(out, F.array(v.bitwiseXOR(F.coalesce(F.get(out, F.size(out) - 1), F.lit(0).cast("long"))))))
+
+    def fold(a):  # noqa: ANN001, ANN202
+        flips = F.array(*[F.lit(1 << bit).cast("long") for bit in range(bits - 1, 0, -1)]) if bits > 1 else F.array().cast("array<bigint>")
+        last = F.get(a, F.lit(k - 1))
+        t = F.aggregate(flips, F.lit(0).cast("long"), lambda t, q: F.when(last.bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
+        return F.transform(a, lambda v: v.bitwiseXOR(t))
+
+    order = [F.struct(F.lit(bit).alias("b"), F.lit(i).alias("i")) for bit in range(bits - 1, -1, -1) for i in range(k)]
+    place = lambda a: F.aggregate(
+        F.array(*order),
+        F.lit(0).cast("long"),
+        lambda key, s: F.shiftleft(key, 1).bitwiseOR(F.call_function("shiftright", F.get(a, s["i"]), s["b"]).bitwiseAND(F.lit(1))),
+    )
+    # each stage is bound once, as the element of an array of one
+    return F.get(F.transform(F.transform(F.array(gray), fold), place), F.lit(0))
+
+
+def zorder_key(
+    df: DataFrame, columns: Sequence[str], bits: int = 8, relative_error: float = 0.01, curve: str = "z", text_prefix: int = 64
+) -> DataFrame:
+    """K8 key: position of the row's quantile buckets on a space-filling curve.
 
     Bucket edges come from ``approxQuantile`` (a bounded list of
-    2**bits - 1 numbers per column); the key interleaves the bucket bits,
-    so rows near each other in every column get near keys.
+    2**bits - 1 numbers per column), those of text columns from a range
+    partitioning of the distinct first ``text_prefix`` characters, so
+    buckets keep the order of the values. ``curve`` is ``"z"`` (bits
+    interleaved) or ``"hilbert"``, whose neighbours on the curve always are
+    neighbours in space, so files are narrower in every column.
     """
     from pyspark.sql import types as T
 
+    if curve not in ("z", "hilbert"):
+        raise ValueError(f"curve is 'z' or 'hilbert', not {curve!r}")
     n = 1 << bits
     probs = [i / n for i in range(1, n)]
 
-    def numeric(c: str):  # noqa: ANN202
+    def is_text(c: str) -> bool:
+        return isinstance(df.schema[c].dataType, (T.StringType, T.CharType, T.VarcharType))
+
+    def comparable(c: str):  # noqa: ANN202
         dt = df.schema[c].dataType
         col = F.col(f"`{c}`")
         if isinstance(dt, T.NumericType):
@@ -327,25 +385,34 @@ def zorder_key(df: DataFrame, columns: Sequence[str], bits: int = 8, relative_er
             return F.unix_date(col).cast("double")
         if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
             return F.unix_micros(col.cast("timestamp")).cast("double")
-        raise ValueError(f"Z-order needs numeric or temporal columns, not {c!r} ({dt.simpleString()})")
-
-    proxies = df.select(*[numeric(c).alias(f"_zq{i}") for i, c in enumerate(columns)])
-    edges = proxies.approxQuantile([f"_zq{i}" for i in range(len(columns))], probs, relative_error)
-
-    def bucket(c: str, e: list[float]):  # noqa: ANN202
+        if is_text(c):
+            return F.substring(col.cast("string"), 1, text_prefix)
+        raise ValueError(f"clustering needs numeric, temporal or text columns, not {c!r} ({dt.simpleString()})")
+
+    comparables = {c: comparable(c) for c in columns}
+    numbers = [c for c in columns if not is_text(c)]
+    edges: dict[str, list] = {}
+    if numbers:
+        proxies = df.select(*[comparables[c].alias(f"_zq{i}") for i, c in enumerate(numbers)])
+        found = proxies.approxQuantile([f"_zq{i}" for i in range(len(numbers))], probs, relative_error)
+        edges = {c: sorted(set(map(float, e))) for c, e in zip(numbers, found, strict=True)}
+    edges |= {c: _text_edges(df, c, n, text_prefix) for c in columns if is_text(c)}
+
+    def bucket(c: str):  # noqa: ANN202
         """Number of edges <= x, by binary search (nulls go to bucket 0)."""
-        ends = sorted(set(map(float, e)))
-        x = numeric(c)
+        ends, x = edges[c], comparables[c]
 
         def search(lo: int, hi: int):  # noqa: ANN202
             if lo == hi:
                 return F.lit(lo)
             mid = (lo + hi) // 2
-            return F.when(x < ends[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
+            return F.when(x < F.lit(ends[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
 
         return F.when(x.isNull(), F.lit(0)).otherwise(search(0, len(ends))).cast("long")
 
-    buckets = [bucket(c, e) for c, e in zip(columns, edges)]
+    buckets = [bucket(c) for c in columns]
+    if curve == "hilbert":
+        return df.withColumn("_zkey", _hilbert(buckets, bits))
     key = F.lit(0).cast("long")
     k = len(buckets)
     for bit in range(bits):
@@ -354,8 +421,11 @@ def zorder_key(df: DataFrame, columns: Sequence[str], bits: int = 8, relative_er
     return df.withColumn("_zkey", key)
 
 
-def zorder_write(df: DataFrame, path: str, columns: Sequence[str], files: int = 16, fmt: str = "parquet", bits: int = 8) -> None:
-    """K8: cluster rows by a Z-order key over 1-4 columns, ``files`` output files.
+def zorder_write(
+    df: DataFrame, path: str, columns: Sequence[str], files: int = 16, fmt: str = "parquet", bits: int = 8, curve: str = "z"
+) -> None:
+    """K8: cluster rows by a Z-order or Hilbert key over 1-4 columns (numbers,
+    dates, times or texts) into ``files`` output files.
 
     Range partitioning by the key groups nearby values in one file, so
     Parquet min/max statistics let filters on any of the columns skip files.
@@ -366,7 +436,7 @@ def zorder_write(df: DataFrame, path: str, columns: Sequence[str], files: int =
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0).cast("long")
     # a hash of a few other columns after the key lets one very common key
     # value span several files instead of landing in one range partition
-    keyed = zorder_key(df, columns, bits).withColumn("_zt", tie)
+    keyed = zorder_key(df, columns, bits, curve=curve).withColumn("_zt", tie)
     out = keyed.repartitionByRange(files, "_zkey", "_zt").sortWithinPartitions("_zkey").drop("_zkey", "_zt")
     write_overwrite(out, path, fmt)
 

@@ -6,12 +6,16 @@
   files and stops.
 * ``stream_silver`` (T2/T3): ``foreachBatch`` runs the batch classifier
   on every epoch. Each epoch overwrites its own folder ``epoch=<id>``,
-  so a replayed epoch replaces rather than duplicates its output; keys
-  whose first row came in an earlier epoch (``epoch < id``) count as
-  duplicates, which makes deduplication hold across epochs with the batch
-  rule order (rank first, then rules). Each epoch also stores its distinct
-  first-row keys under ``out/_keys/epoch=<id>``, so later epochs read
-  only those narrow files, not the flagged rows.
+  so a replayed epoch replaces rather than duplicates its output. Keys
+  whose first row came in an earlier epoch count as duplicates, which
+  makes deduplication hold across epochs with the batch rule order (rank
+  first, then rules). Which keys those are comes from the earlier epochs'
+  key files, or, with ``seen="state"``, from keyed state (``state.py``):
+  the epoch's distinct living keys go to ``out/_keys``, a stateful query
+  passes the known ones on to ``out/_again``, and the epoch reads back its
+  own part of these, so no epoch reads earlier epochs' keys. State costs a
+  Python call per distinct key of an epoch, key files a read of all keys
+  so far: prefer state for streams that run for long.
 """
 
 from __future__ import annotations
@@ -27,14 +31,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from strata.contract import Contract
 from strata.functions.columns import LINEAGE_COLUMNS
-from strata.operators.quality import REASON, classify
+from strata.operators.quality import REASON, classify, living_keys
 from strata.sinks.layout import path_exists
 from strata.sources.dialect import Dialect
+from strata.streaming.state import EPOCH, keys_seen_before, rocksdb_state
 
-EPOCH = "epoch"
 FIRST = "_dq_first"
-# first-row keys per epoch; a leading "_" keeps the folder out of reads of ``out``
+# the epochs' keys, the state and the keys known before; a leading "_" keeps
+# these folders out of reads of ``out``
 KEYS_DIR = "_keys"
+STATE_DIR = "_state"
+AGAIN_DIR = "_again"
 
 
 def bronze_stream(
@@ -96,30 +103,64 @@ def silver_epoch_writer(
     *,
     check_time: _dt.datetime | None = None,
     fmt: str = "parquet",
+    seen: str = "files",
 ) -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` function of ``stream_silver`` (usable on its own)."""
 
-    keys_dir = f"{out.rstrip('/')}/{KEYS_DIR}"
+    if seen not in ("files", "state"):
+        raise ValueError(f"seen is 'files' or 'state', not {seen!r}")
+    root = out.rstrip("/")
+    keys_dir = f"{root}/{KEYS_DIR}"
 
-    def write_epoch(batch: DataFrame, epoch_id: int) -> None:
+    def in_earlier_files(spark: SparkSession, epoch_id: int) -> DataFrame | None:
+        if not path_exists(spark, keys_dir):
+            return None
+        earlier = spark.read.format(fmt).load(keys_dir)
+        return earlier.filter(F.col(EPOCH) < epoch_id).select(*contract.dedup_keys) if EPOCH in earlier.columns else None
+
+    def seen_before(batch: DataFrame, epoch_id: int) -> DataFrame:
+        """Dedup keys of this epoch that earlier epochs had."""
         spark = batch.sparkSession
-        seen = None
-        if contract.dedup_keys and path_exists(spark, keys_dir):
-            earlier = spark.read.format(fmt).load(keys_dir)
-            if EPOCH in earlier.columns:
-                seen = earlier.filter(F.col(EPOCH) < epoch_id).select(*contract.dedup_keys)
-        # the batch is read by the size checks and by the write: keep it once
+        names = list(contract.dedup_keys)
+        keys = living_keys(batch, contract).withColumn(EPOCH, F.lit(epoch_id).cast("bigint"))
+        own = f"{keys_dir}/batch-{epoch_id}"
+        # a replayed epoch has the same keys; the stateful query may be half-way through these files
+        if not path_exists(spark, f"{own}/_SUCCESS"):
+            keys.write.format(fmt).mode("overwrite").save(own)
+        source = spark.readStream.format(fmt).schema(keys.schema).load(f"{keys_dir}/*")
+        with rocksdb_state(spark):
+            query = (
+                keys_seen_before(source, names)
+                .writeStream.format(fmt)
+                .option("checkpointLocation", f"{root}/{STATE_DIR}")
+                .partitionBy(EPOCH)
+                .trigger(availableNow=True)
+                .start(f"{root}/{AGAIN_DIR}")
+            )
+        query.awaitTermination()
+        again = f"{root}/{AGAIN_DIR}/{EPOCH}={epoch_id}"
+        key_columns = [F.col(f"`{k}`") for k in names]
+        if not path_exists(spark, again):
+            return keys.select(*key_columns).limit(0)
+        # only this epoch's folder: files of a failed attempt hold the same keys
+        return spark.read.format(fmt).load(again).select(*key_columns)
+
+    def write_epoch(batch: DataFrame, epoch_id: int) -> None:
+        # the batch is read for its keys and by the write: keep it once
         # (memory and disk; a lost block is recomputed from the same files)
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            flagged = classify(batch, contract, check_time=check_time, seen_keys=seen, first_flag=FIRST)
-            epoch_path = f"{out.rstrip('/')}/{EPOCH}={epoch_id}"
+            known = None
+            if contract.dedup_keys:
+                known = seen_before(batch, epoch_id) if seen == "state" else in_earlier_files(batch.sparkSession, epoch_id)
+            flagged = classify(batch, contract, check_time=check_time, seen_keys=known, first_flag=FIRST)
+            epoch_path = f"{root}/{EPOCH}={epoch_id}"
             flagged.write.format(fmt).mode("overwrite").save(epoch_path)
         finally:
             batch.unpersist()
-        if contract.dedup_keys:
+        if contract.dedup_keys and seen == "files":
             # this epoch's first-row keys, narrow and distinct, for later epochs
-            firsts = spark.read.format(fmt).load(epoch_path).filter(F.col(FIRST)).select(*contract.dedup_keys).distinct()
+            firsts = batch.sparkSession.read.format(fmt).load(epoch_path).filter(F.col(FIRST)).select(*contract.dedup_keys).distinct()
             firsts.write.format(fmt).mode("overwrite").save(f"{keys_dir}/{EPOCH}={epoch_id}")
 
     return write_epoch
@@ -133,13 +174,16 @@ def stream_silver(
     *,
     check_time: _dt.datetime | None = None,
     wait: bool = True,
+    seen: str = "files",
 ) -> StreamingQuery:
     """Classify each epoch of a Bronze stream into ``out/epoch=<id>``.
 
+    ``seen`` says where keys of earlier epochs are looked up: in their key
+    ``"files"`` or in keyed ``"state"``; a stream stays with its choice.
     Read the result with ``silver_outputs(spark, out)``.
     """
     q = (
-        bronze.writeStream.foreachBatch(silver_epoch_writer(contract, out, check_time=check_time))
+        bronze.writeStream.foreachBatch(silver_epoch_writer(contract, out, check_time=check_time, seen=seen))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -177,3 +177,18 @@ def test_classifier_in_place_agrees(spark):
     base = sorted(tuple(r) for r in outcome_counts(classify(li, c)).collect())
     assert sorted(tuple(r) for r in outcome_counts(classify(li, c, clustered=True)).collect()) == base
     assert dict(base)["duplicate"] == li.count() - li.select("l_returnflag").distinct().count()
+
+
+def test_copies_of_a_hot_row_come_back_in_blocks(spark, tmp_dir):
+    rows = spark.range(30_000).select((F.col("id") % 3).alias("third"), "id").select(
+        F.when(F.col("third") == 0, "same").otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"),
+        F.when(F.col("third") == 0, 1).otherwise(F.col("id")).alias("v"),
+    )
+    rows.write.csv(f"{tmp_dir}/hot", header=True)
+    df = spark.read.csv(f"{tmp_dir}/hot", header=True, schema="k string, v long")
+    flagged = flag_first(df, ["k"], ["v"]).cache()
+    assert flagged.count() == 30_000 and flagged.where("_is_first").count() == 20_001
+    hot = flagged.where("k = 'same' and not _is_first").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in hot) == 9_999 and max(r["count"] for r in hot) <= 2 * 4096
+    dead = flag_first(df, ["k"], ["v"], alive=F.col("k") != "same")
+    assert dead.where("_is_first is null").count() == 10_000

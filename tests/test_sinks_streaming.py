@@ -146,7 +146,27 @@ def test_zorder_on_dates_and_timestamps(spark, tmp_dir):
     K.zorder_write(o.withColumn("d", F.to_date("o_orderdate")), f"{tmp_dir}/zt", ["o_orderdate", "d", "o_totalprice"], files=4)
     assert spark.read.parquet(f"{tmp_dir}/zt").count() == o.count()
     with pytest.raises(ValueError):
-        K.zorder_write(o, f"{tmp_dir}/zs", ["o_orderstatus"])
+        K.zorder_write(o.withColumn("b", F.array("o_orderkey")), f"{tmp_dir}/zs", ["b"])
+
+
+def test_hilbert_key_visits_neighbours(spark):
+    for k in (2, 3):
+        side, bits = 4, 2
+        cells = spark.range(side**k).select(*[(F.floor(F.col("id") / side**i) % side).cast("long").alias(f"c{i}") for i in range(k)])
+        rows = sorted((r["h"], tuple(r[f"c{i}"] for i in range(k))) for r in cells.withColumn("h", K._hilbert([F.col(f"c{i}") for i in range(k)], bits)).collect())
+        assert [h for h, _ in rows] == list(range(side**k))
+        assert all(sum(abs(x - y) for x, y in zip(a, b, strict=True)) == 1 for (_, a), (_, b) in zip(rows, rows[1:]))
+
+
+def test_text_columns_keep_their_order(spark, tmp_dir):
+    words = ["", "a", "aa", "b", "é", "z" * 100, None] + [f"w{k:03d}" for k in range(300)] + ["hot"] * 500
+    df = spark.createDataFrame([(w, k) for k, w in enumerate(words)], "t string, n int")
+    got = K.zorder_key(df, ["t"], bits=4).collect()
+    order = sorted((r for r in got if r.t is not None), key=lambda r: r.t.encode())
+    assert [r["_zkey"] for r in order] == sorted(r["_zkey"] for r in order) and len({r["_zkey"] for r in order}) > 8
+    for curve in ("z", "hilbert"):
+        K.zorder_write(df, f"{tmp_dir}/{curve}", ["t", "n"], files=4, curve=curve)
+        assert spark.read.parquet(f"{tmp_dir}/{curve}").exceptAll(df).count() == 0
 
 
 def test_bucketed_bronze_feeds_dedup_without_shuffle(spark, tmp_dir):
@@ -284,3 +304,29 @@ def test_stream_refuses_title_lines(spark, tmp_dir):
 
     with pytest.raises(ValueError, match="title lines"):
         ST.bronze_stream(spark, tmp_dir, spark.range(1).schema, Dialect(preamble=1))
+
+
+def test_keyed_state_stays_flat_over_epochs(spark, tmp_dir):
+    c = Contract("t", dedup_keys=["k"], dedup_order=["v"], required_columns=["q"])
+    w = ST.silver_epoch_writer(c, f"{tmp_dir}/out", seen="state")
+    key_files, rows = [], []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    for e in range(7):
+        part = [(f"k{(e * 7 + j) % 40}", e * 100 + j, None if j == 5 else 1) for j in range(20)]
+        rows += [(e, *r) for r in part]
+        w(spark.createDataFrame(part, "k string, v int, q int"), e)
+        if e == 3:  # replayed
+            w(spark.createDataFrame(part, "k string, v int, q int"), e)
+        key_files.append(spark.read.parquet(f"{tmp_dir}/out/_keys/batch-{e}").count())
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    # an epoch's keys are its own, however many came before
+    assert set(key_files) == {19}
+    first = {}
+    for e, k, v, q in rows:
+        if q is not None:
+            first.setdefault(k, v)
+    kept, _ = ST.silver_outputs(spark, f"{tmp_dir}/out")
+    assert sorted((r.k, r.v) for r in kept.collect()) == sorted(first.items())
+    state = spark.read.format("statestore").option("stateVarName", "first_epoch").load(f"{tmp_dir}/out/_state")
+    assert state.count() == len(first)  # a row per key, not per epoch
