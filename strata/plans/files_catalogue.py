@@ -327,6 +327,24 @@ def w6_head(spark: SparkSession, d: str) -> DataFrame:
     return head(table(spark, d, "orders").orderBy("o_orderkey").select("o_orderkey", "o_orderstatus"), 20)
 
 
+def w1_incremental_first(spark: SparkSession, d: str) -> DataFrame:
+    """Line items merged batch by batch into the stored first rows;
+    later batches demote former winners. All rows with their final outcome."""
+    import uuid
+
+    from strata.operators.incremental import merge_first, winners
+
+    li = table(spark, d, "lineitem")
+    keys, order = ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey"]
+    name, path, lost = f"strata_first_{uuid.uuid4().hex[:8]}", scratch_dir(spark, "w1w"), scratch_dir(spark, "w1q")
+    for b in range(3):
+        part = li.where(F.coalesce(F.pmod("l_partkey", F.lit(3)), F.lit(0)) == b)
+        merge_first(part, f"b{b}", name, path, lost, keys, order, scratch_dir(spark, "w1s"))
+    own = [*keys, "l_partkey", "l_suppkey", "l_quantity"]
+    kept = winners(spark, name, keys, order).select(*own, F.lit("kept").alias("reason"))
+    return kept.unionByName(spark.read.parquet(lost).select(*own, F.col(REASON).alias("reason")))
+
+
 def k10_retention(spark: SparkSession, d: str) -> DataFrame:
     """Two daily Bronze batches; the older partition is dropped."""
     path = scratch_dir(spark, "k10")
@@ -512,6 +530,7 @@ FILE_QUERIES: dict[str, Query] = {
     "f7_from_file": f7_from_file,
     "w6_head": w6_head,
     "k10_retention": k10_retention,
+    "w1_incremental_first": w1_incremental_first,
     "k12_partition_guard": k12_partition_guard,
     "k6_register_comment": k6_register_comment,
     "e2e_lineitem_layers": e2e_lineitem_layers,
@@ -543,6 +562,7 @@ FILE_ORACLE: dict[str, str] = {
     "t3_keyed_state": "SELECT o_orderkey,o_custkey,o_totalprice,CASE WHEN rn>1 THEN 'duplicate' WHEN NOT o_totalprice BETWEEN 1000 AND 300000 THEN 'o_totalprice failed validation' ELSE 'kept' END AS reason FROM (SELECT *,row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate,o_orderkey) AS rn FROM orders)",
     "f7_from_file": "SELECT o_orderkey,o_totalprice FROM orders WHERE o_orderkey%2=1",
     "w6_head": "SELECT o_orderkey,o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 20",
+    "w1_incremental_first": "SELECT l_orderkey,l_linenumber,l_partkey,l_suppkey,l_quantity,CASE WHEN rn>1 THEN 'duplicate' ELSE 'kept' END AS reason FROM (SELECT *,row_number() OVER (PARTITION BY l_orderkey,l_linenumber ORDER BY l_shipdate,l_partkey,l_suppkey) AS rn FROM lineitem)",
     "k10_retention": "SELECT l_orderkey,l_linenumber,l_quantity,'b-new' AS batch_id FROM lineitem",
     "k12_partition_guard": "SELECT c AS column,m AS max_values,CASE WHEN n<=m THEN n END AS distinct_values,n>m AS refused FROM (SELECT 'l_returnflag' AS c,CAST(10000 AS BIGINT) AS m,count(DISTINCT l_returnflag) AS n FROM lineitem UNION ALL SELECT 'l_linestatus',10000,count(DISTINCT l_linestatus) FROM lineitem UNION ALL SELECT 'l_linestatus',1,count(DISTINCT l_linestatus) FROM lineitem UNION ALL SELECT 'l_orderkey',100,count(DISTINCT l_orderkey) FROM lineitem)",
     "k6_register_comment": "SELECT o_orderstatus,count(*) AS n FROM orders GROUP BY 1",
