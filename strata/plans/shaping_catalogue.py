@@ -409,6 +409,53 @@ def s14_zip_csv(spark: SparkSession, d: str) -> DataFrame:
     return df.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"), F.col("source_file").alias("member"))
 
 
+# Orders of one archive of s15_member_choice, by their keys.
+ARCHIVE_KEYS = 4096
+
+
+def s15_member_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Which members each strategy chooses, and the lines they hold, in
+    archives of a bounded range of order keys with a member per status."""
+    import io
+    import zipfile
+
+    from strata.sources import archives as Z
+
+    root = scratch_dir(spark, "s15")
+    names = {"O": "a/orders_open.csv", "F": "a/orders done per capita.csv", "P": "b/orders_mixed.xlsx"}
+    member = F.coalesce(*[F.when(F.col("o_orderstatus") == s, n) for s, n in names.items()], F.lit("b/others.csv"))
+    block = F.coalesce(F.floor(F.col("o_orderkey") / ARCHIVE_KEYS), F.lit(-1))
+    o = table(spark, d, "orders")
+    lines = o.select(block.alias("block"), member.alias("member"), F.to_csv(F.struct(*o.columns)).alias("line"))
+
+    def pack(pdf):  # noqa: ANN001, ANN202
+        import pandas as pd
+        import pyarrow.fs as pafs
+
+        fs, inner = pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pafs.LocalFileSystem(), root)
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("__MACOSX/a.csv", "x")
+            z.writestr("readme.txt", "x")
+            for name, own in sorted(pdf.groupby("member")):
+                z.writestr(name, "\n".join(sorted(own["line"])) + "\n")
+        fs.create_dir(inner, recursive=True)
+        with fs.open_output_stream(f"{inner}/{pdf['block'].iloc[0]}.zip") as f:
+            f.write(packed.getvalue())
+        return pd.DataFrame({"path": [inner]})
+
+    lines.groupBy("block").applyInPandas(pack, "path string").write.format("noop").mode("overwrite").save()
+    members = Z.list_members(spark, f"{root}/*.zip").checkpoint()
+    choices = {
+        "first_csv": [], "all_csvs": [], "first_csv_or_xlsx": [], "essential": ["open"], "keyword_rank": ["mixed&orders", "per capita"],
+    }
+    chosen = [Z.pick_members(members, s, k).select(F.lit(s).alias("strategy"), *members.columns) for s, k in choices.items()]
+    every = chosen[0].unionByName(chosen[1]).unionByName(chosen[2]).unionByName(chosen[3]).unionByName(chosen[4])
+    read = Z.read_zip_lines(spark, f"{root}/*.zip", members).groupBy("archive", "member").agg(F.count(F.lit(1)).alias("lines"))
+    block_of = F.regexp_extract("archive", r"(-?[0-9]+)\.zip$", 1).cast("long")
+    return every.join(read, ["archive", "member"]).select("strategy", block_of.alias("block"), "member", "lines")
+
+
 def q7_schema_match(spark: SparkSession, d: str) -> DataFrame:
     """An extra column goes, a missing one is filled, and one that
     is missing and required quarantines the rows."""
@@ -473,6 +520,7 @@ QUERIES: dict[str, Query] = {
     "w8_schema_diff": w8_schema_diff,
     "s19_preview": s19_preview,
     "s14_zip_csv": s14_zip_csv,
+    "s15_member_choice": s15_member_choice,
     "q7_schema_match": q7_schema_match,
     "d4_null_keys": d4_null_keys,
 }
@@ -523,6 +571,24 @@ ORACLE: dict[str, str] = {
     "k11_rebuild": "SELECT o_orderkey,o_orderstatus FROM orders WHERE o_orderstatus<>'F'",
     "w8_schema_diff": "SELECT c AS column,a AS source_type,b AS stored_type,s AS status,(SELECT count(*) FROM orders) AS stored_rows FROM (VALUES ('o_custkey','bigint','string','type_changed'),('o_orderstatus','string',NULL,'only_source'),('n',NULL,'int','only_stored')) v(c,a,b,s)",
     "s19_preview": "SELECT n_nationkey,n_name,'n_nationkey,n_name' AS columns,(SELECT count(*) FROM nation) AS rows FROM nation ORDER BY n_nationkey LIMIT 5",
+    "s15_member_choice": """
+WITH m AS (
+  SELECT CAST(coalesce(floor(o_orderkey / 4096), -1) AS BIGINT) AS block,
+    CASE o_orderstatus WHEN 'O' THEN 'a/orders_open.csv' WHEN 'F' THEN 'a/orders done per capita.csv'
+      WHEN 'P' THEN 'b/orders_mixed.xlsx' ELSE 'b/others.csv' END AS member, count(*) AS lines
+  FROM orders GROUP BY 1, 2),
+r AS (
+  SELECT *, member LIKE '%.csv' AS csv, row_number() OVER (PARTITION BY block ORDER BY member) AS pos,
+    row_number() OVER (PARTITION BY block, member LIKE '%.csv' ORDER BY member) AS kind_pos,
+    max(CASE WHEN member LIKE '%open.csv' THEN 1 ELSE 0 END) OVER (PARTITION BY block) AS has_open,
+    row_number() OVER (PARTITION BY block ORDER BY CASE WHEN member LIKE '%mixed%' THEN 0 WHEN member LIKE '%per capita%' THEN 1 ELSE 2 END, member) AS best
+  FROM m)
+SELECT 'first_csv' AS strategy, block, member, lines FROM r WHERE csv AND kind_pos = 1
+UNION ALL SELECT 'all_csvs', block, member, lines FROM r WHERE csv
+UNION ALL SELECT 'first_csv_or_xlsx', block, member, lines FROM r WHERE pos = 1
+UNION ALL SELECT 'essential', block, member, lines FROM r WHERE csv AND CASE WHEN has_open = 1 THEN member LIKE '%open%' ELSE kind_pos <= 3 END
+UNION ALL SELECT 'keyword_rank', block, member, lines FROM r WHERE best = 1 AND (member LIKE '%mixed%' OR member LIKE '%per capita%')
+""",
     "s14_zip_csv": "SELECT o_orderkey,o_orderstatus,o_totalprice,'part'||(o_orderkey%2)||'.csv' AS member FROM orders",
     "q7_schema_match": "SELECT 'filled' AS case,'o_orderkey,o_totalprice,o_comment' AS columns,'kept' AS reason,count(*) AS n FROM orders UNION ALL SELECT 'required','o_orderkey,o_totalprice,o_comment','required_column_null:o_comment',count(*) FROM orders",
     "d4_null_keys": "SELECT CASE WHEN ln IS NULL THEN 'required_column_null:l_linenumber' WHEN rn>1 THEN 'duplicate' WHEN NOT l_quantity BETWEEN 5 AND 45 THEN 'l_quantity failed validation' WHEN hit IS NULL THEN 'l_suppkey not in reference' ELSE 'kept' END AS reason, count(*) AS n FROM (SELECT l.*, nullif(l_linenumber,7) AS ln, row_number() OVER (PARTITION BY l_orderkey,l_linenumber ORDER BY l_shipdate,l_partkey,l_suppkey) AS rn, s.s_suppkey AS hit FROM lineitem l LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal>=0) s ON l.l_suppkey=s.s_suppkey) GROUP BY 1",

@@ -1,58 +1,123 @@
-"""Zip archives (inventory S14, S15).
-
-Archives are listed and read with ``binaryFile``; each archive is opened
-by one task with the standard ``zipfile`` module inside ``mapInPandas``
-(a zip is not splittable), and chosen members are streamed out as text
-lines in bounded batches. Archives are processed in parallel; the
-largest archive must fit one task's memory, which
-``spark.sql.sources.binaryFile.maxLength`` caps. Lines are parsed by
-``from_csv`` on the JVM side.
+"""Zip archives (inventory S14, S15), read by byte ranges.
+
+An archive's members are listed from its central directory, which lies at
+its end: one task per archive reads that range and nothing else (zip64
+included). A chosen member is then read by a task of its own, from its own
+range, and streamed out as text lines in bounded batches. No archive is
+held whole anywhere, so its size has no limit, and the members of one
+archive are read in parallel. Lines are parsed by ``from_csv`` on the JVM
+side.
+
+Tasks open files through ``pyarrow.fs`` (local paths, hdfs, s3, gs); for
+another store pass ``opener``, a function from a path to a seekable binary
+file.
 """
 
 from __future__ import annotations
 
 import io
+import re
+import struct
 import zipfile
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.operators.joins import file_lookup
 from strata.sources.files import _distinct_headers, _first_cell, _header_schema, _mapped, _split_header, _union_schema, header_candidate
 from strata.sources.dialect import Dialect, canonical_encoding
 
 # Member names skipped in every archive (macOS resource forks).
 SKIP_PREFIX = "__MACOSX"
 
-MEMBER_SCHEMA = "archive string, member string, position int, size long"
+MEMBER_SCHEMA = "archive string, member string, position int, size long, offset long, packed long, method int, crc long"
 LINE_SCHEMA = "archive string, member string, line_no long, line string"
 
+Opener = Callable[[str], BinaryIO]
+
 _BATCH_LINES = 50_000
 
 _PY_ENCODING = {"ISO-8859-1": "latin-1", "US-ASCII": "ascii", "UTF-8": "utf-8", "UTF-16": "utf-16", "UTF-16BE": "utf-16-be", "UTF-16LE": "utf-16-le", "UTF-32": "utf-32"}
 
 
+def open_range(path: str) -> BinaryIO:
+    """A seekable file that fetches only what is read from it."""
+    import pyarrow.fs as pafs
+
+    found = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?(/.*)", path)
+    if found is None or found[1] == "file":
+        return pafs.LocalFileSystem().open_input_file(found[3] if found else path)
+    fs, base = pafs.FileSystem.from_uri(f"{found[1]}://{found[2] or ''}/")
+    return fs.open_input_file(base.rstrip("/") + found[3])
+
+
 def _members(zf: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
     return [i for i in zf.infolist() if not i.is_dir() and not i.filename.startswith(SKIP_PREFIX) and "/__MACOSX/" not in i.filename]
 
 
-def list_members(spark: SparkSession, pattern: str) -> DataFrame:
-    """Members of every archive: (archive, member, position, size)."""
-    binary = spark.read.format("binaryFile").load(pattern).select("path", "content")
+def list_members(spark: SparkSession, pattern: str, opener: Opener = open_range) -> DataFrame:
+    """Members of every archive: (archive, member, position, size) and where
+    they lie in it. Reads the directories at the archives' ends."""
+    files = spark.read.format("binaryFile").load(pattern).select("path")  # lists; reads no content
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as zf:
-                    for pos, info in enumerate(_members(zf)):
-                        rows.append((path, info.filename, pos, info.file_size))
-            yield pd.DataFrame(rows, columns=["archive", "member", "position", "size"])
-
-    return binary.mapInPandas(run, MEMBER_SCHEMA)
+            for path in pdf["path"]:
+                with opener(path) as raw, zipfile.ZipFile(raw) as zf:
+                    rows = [
+                        (path, i.filename, pos, i.file_size, i.header_offset, i.compress_size, i.compress_type, i.CRC) for pos, i in enumerate(_members(zf))
+                    ]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in MEMBER_SCHEMA.split(", ")])
+
+    return files.mapInPandas(run, MEMBER_SCHEMA)
+
+
+class MemberStream(io.RawIOBase):
+    """The bytes of one member, inflated from its range of the archive."""
+
+    CHUNK = 1 << 20
+
+    def __init__(self, raw: BinaryIO, name: str, offset: int, packed: int, method: int, crc: int):
+        if method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+            raise ValueError(f"{name}: compression method {method} is not read (stored and deflated members are)")
+        raw.seek(offset)
+        head = raw.read(30)
+        if head[:4] != b"PK\x03\x04":
+            raise ValueError(f"{name}: no member starts at byte {offset}")
+        if struct.unpack("<H", head[6:8])[0] & 1:
+            raise ValueError(f"{name}: encrypted members are not read")
+        raw.seek(offset + 30 + sum(struct.unpack("<HH", head[26:30])))
+        self._raw, self._name, self._left, self._crc, self._seen = raw, name, packed, crc, 0
+        self._inflate = zlib.decompressobj(-15) if method else None
+        self._held = b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, target) -> int:  # noqa: ANN001 - a writable buffer
+        while not self._held:
+            pending = self._inflate.unconsumed_tail if self._inflate else b""
+            if not pending and self._left:
+                pending = self._raw.read(min(self.CHUNK, self._left))
+                if not pending:
+                    raise EOFError(f"{self._name}: the archive ends inside the member")
+                self._left -= len(pending)
+            if not pending:
+                self._held = self._inflate.flush() if self._inflate else b""
+                if not self._held:
+                    if self._seen != self._crc:
+                        raise ValueError(f"{self._name}: checksum differs")
+                    return 0
+            else:
+                self._held = self._inflate.decompress(pending, self.CHUNK) if self._inflate else pending
+            self._seen = zlib.crc32(self._held, self._seen)
+        n = min(len(target), len(self._held))
+        target[:n], self._held = self._held[:n], self._held[n:]
+        return n
 
 
 def pick_members(
@@ -107,44 +172,39 @@ def pick_members(
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
-def read_zip_lines(spark: SparkSession, pattern: str, chosen: DataFrame | None = None, encoding: str = "UTF-8") -> DataFrame:
+def read_zip_lines(
+    spark: SparkSession, pattern: str, chosen: DataFrame | None = None, encoding: str = "UTF-8", opener: Opener = open_range
+) -> DataFrame:
     """Text lines of chosen members (all members when ``chosen`` is None).
 
-    ``chosen`` holds (archive, member) pairs, e.g. from ``pick_members``;
-    it is joined to the archives by path, and each task streams its
-    archive's members line by line in batches of 50,000.
+    ``chosen`` holds rows of ``list_members``, e.g. from ``pick_members``, or
+    (archive, member) pairs. Members are dealt over the session's shuffle
+    partitions; a task streams its members one after another, line by line
+    in batches of 50,000.
     """
     py_enc = _PY_ENCODING[canonical_encoding(encoding)]
-    binary = spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("archive"), "content")
-    if chosen is not None:
-        # one row per archive (its chosen member names): a lookup, broadcast
-        # when proven small so archive bytes are not shuffled
-        wanted = chosen.groupBy("archive").agg(F.collect_list("member").alias("members"))
-        binary = file_lookup(binary, wanted, "archive", "inner", len(binary.inputFiles()))
-    else:
-        binary = binary.withColumn("members", F.lit(None).cast("array<string>"))
+    where = ["archive", "member", "offset", "packed", "method", "crc"]
+    if chosen is None or "offset" not in chosen.columns:
+        members = list_members(spark, pattern, opener)
+        chosen = members if chosen is None else members.join(chosen.select("archive", "member").distinct(), ["archive", "member"], "left_semi")
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for archive, content, members in zip(pdf["archive"], pdf["content"], pdf["members"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as zf:
-                    infos = _members(zf)
-                    if members is not None:
-                        keep = set(members)
-                        infos = [i for i in infos if i.filename in keep]
-                    for info in infos:
-                        buf: list[tuple[str, str, int, str]] = []
-                        with zf.open(info) as fh:
-                            text = io.TextIOWrapper(fh, encoding=py_enc, newline=None)
-                            for n, line in enumerate(text, start=1):
-                                buf.append((archive, info.filename, n, line.rstrip("\n")))
-                                if len(buf) >= _BATCH_LINES:
-                                    yield pd.DataFrame(buf, columns=["archive", "member", "line_no", "line"])
-                                    buf = []
-                        if buf:
+            for m in pdf.itertuples(index=False):
+                buf: list[tuple[str, str, int, str]] = []
+                with opener(m.archive) as raw:
+                    stream = MemberStream(raw, f"{m.archive}!{m.member}", m.offset, m.packed, m.method, m.crc)
+                    text = io.TextIOWrapper(io.BufferedReader(stream, MemberStream.CHUNK), encoding=py_enc, newline=None)
+                    for n, line in enumerate(text, start=1):
+                        buf.append((m.archive, m.member, n, line.rstrip("\n")))
+                        if len(buf) >= _BATCH_LINES:
                             yield pd.DataFrame(buf, columns=["archive", "member", "line_no", "line"])
+                            buf = []
+                if buf:
+                    yield pd.DataFrame(buf, columns=["archive", "member", "line_no", "line"])
 
-    return binary.mapInPandas(run, LINE_SCHEMA)
+    return chosen.select(*where).repartition(spread).mapInPandas(run, LINE_SCHEMA)
 
 
 def read_zip_csv(
