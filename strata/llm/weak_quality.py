@@ -1,12 +1,15 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristic labellers each vote good (2), bad (1) or abstain (0)
-on every document. Documents are counted by their votes over the whole
-table (a map-side combined count; at most ``3 ** len(LABELLERS)`` rows),
-and expectation-maximisation on those counts estimates the share of good
-documents and each labeller's accuracy, the probability that a vote it
-casts is right (votes independent given the class; abstaining tells
-nothing, as most labellers look for one kind of junk only). The posterior
+on every document. Some look for one kind of junk, others for evidence of
+prose of their own (sentences, pauses, plain words); none is defined by
+the others, so good and bad votes meet on many documents. Documents are
+counted by their votes over the whole table (a map-side combined count; at
+most ``3 ** len(LABELLERS)`` rows), and expectation-maximisation on those
+counts estimates the share of good documents and how often each labeller
+votes good, votes bad and abstains in either class (votes independent
+given the class). From these follows its accuracy, the probability that a
+vote it casts is right. The posterior
 of a document's votes is its weak label, and the weak labels train a
 hashed linear scorer (``linear``) on a bounded sample: ``max_rows`` on each
 side of 0.5, the rows of least hash. The scorer, calibrated on a fold it
@@ -31,12 +34,13 @@ from .quality_rules import text_counts
 from .textops import texts_of
 from .toxicity import platt
 
-LABELLERS = ("length", "symbols", "letters", "capitals", "marks", "table", "repeats", "lines", "variety", "stops", "forms", "prose")
+LABELLERS = ("length", "symbols", "letters", "capitals", "marks", "table", "repeats", "lines", "variety", "stops", "forms", "sentences", "pauses", "plain")
 _UPPER = bytes(range(65, 91))
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
 _SPACE = b" \t\n\r\x0b\x0c"
 _NOT_WORDS = bytes(b for b in range(33, 128) if not chr(b).isalnum())
 # a plain word: at most its first letter upper-case, then perhaps one mark
+_SENTENCE = re.compile(rb"[.!?][ \n]+[A-Z\xc3]")
 _PLAIN = re.compile(rb"(?<![^\s])[A-Z]?[a-z\x80-\xff]+[.,;:!?]?(?![^\s])")
 
 
@@ -55,9 +59,16 @@ DEFAULT = WeakOptions()
 @dataclass
 class WeakModel:
     good: float
-    accuracy: np.ndarray  # of each labeller's cast votes
+    rates: np.ndarray  # labellers x (bad class, good class) x (abstain, bad vote, good vote)
     scorer: LinearModel | None = None
 
+    @property
+    def accuracy(self) -> np.ndarray:
+        """Of each labeller's cast votes, the share that is right."""
+        right = self.good * self.rates[:, 1, 2] + (1 - self.good) * self.rates[:, 0, 1]
+        cast = self.good * self.rates[:, 1, 1:].sum(axis=1) + (1 - self.good) * self.rates[:, 0, 1:].sum(axis=1)
+        return right / np.maximum(cast, 1e-12)
+
 
 def _vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
     return np.where(bad, 1, np.where(good, 2, 0)).astype(np.int8)
@@ -95,9 +106,10 @@ def votes(texts: list[bytes]) -> np.ndarray:
         "stops": _vote((stops < 0.02 * n) & enough, no),
         "forms": _vote((plain < 0.8) & (words > 0), no),
     }
-    odd = np.any([v == 1 for k, v in table.items() if k != "length"], axis=0)
-    even = (other < 0.08 * dense) & (kinds > 0.45 * room) & (stops >= 0.03 * n) & (marks <= 0.05 * n)
-    table["prose"] = _vote(no, (words > 0) & even & ~odd)
+    sentences = each(lambda t: len(_SENTENCE.findall(t)))
+    table["sentences"] = _vote(no, (sentences >= 0.02 * n) & (sentences <= 0.25 * n) & enough)
+    table["pauses"] = _vote(no, (stops >= 0.05 * n) & (stops <= 0.35 * n) & (words > 0))
+    table["plain"] = _vote(no, (plain >= 0.9) & (words > 0))
     return np.stack([table[name] for name in LABELLERS], axis=1)
 
 
@@ -111,29 +123,33 @@ def _patterns(code: np.ndarray) -> np.ndarray:
 
 
 def posterior(m: WeakModel, v: np.ndarray) -> np.ndarray:
-    """Probability of good quality given the votes that were cast."""
-    side = (v == 2).astype(float) - (v == 1)
-    z = np.log(m.good / (1 - m.good)) + side @ np.log(m.accuracy / (1 - m.accuracy))
+    """Probability of good quality given the votes, abstentions included."""
+    ratio = np.log(m.rates[:, 1] / m.rates[:, 0])
+    z = np.log(m.good / (1 - m.good)) + ratio[np.arange(v.shape[1]), v].sum(axis=1)
     return 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))
 
 
 def estimate(code: np.ndarray, count: np.ndarray, opt: WeakOptions = DEFAULT) -> WeakModel:
     """EM over vote patterns and how many documents have them.
 
-    Starts from equal accuracies, that is from the majority of the votes,
-    which fixes what class is the good one. Accuracies are smoothed by one
-    right and one wrong vote and never fall below one half, where a
-    labeller would count against itself."""
+    Starts from the balance of the votes, a bad one weighing as two good
+    ones, which fixes what class is the good one. Rates are smoothed by one
+    document of each vote."""
+    k = len(LABELLERS)
+    m = WeakModel(0.8, np.full((k, 2, 3), 1 / 3))
     v = _patterns(code).astype(np.int64)
     n = count.astype(float)
-    m = WeakModel(0.8, np.full(len(LABELLERS), 0.8))
+    q = 1.0 / (1.0 + np.exp(2.0 * (v == 1).sum(axis=1) - (v == 2).sum(axis=1)))
     for _ in range(opt.rounds if len(v) else 0):
-        q = posterior(m, v)
         good = float(np.clip((n * q).sum() / n.sum(), 0.01, 0.99))
-        right = (n * q) @ (v == 2) + (n * (1 - q)) @ (v == 1)
-        accuracy = np.clip((right + 1) / (n @ (v > 0) + 2), 0.5, 0.999)
-        moved = max(abs(good - m.good), np.abs(accuracy - m.accuracy).max())
-        m = WeakModel(good, accuracy)
+        rates = np.ones((k, 2, 3))
+        for vote in range(3):
+            rates[:, 0, vote] += (n * (1 - q)) @ (v == vote)
+            rates[:, 1, vote] += (n * q) @ (v == vote)
+        m = WeakModel(good, rates / rates.sum(axis=2, keepdims=True))
+        new = posterior(m, v)
+        moved = np.abs(new - q).max()
+        q = new
         if moved < 1e-9:
             break
     return m
