@@ -91,7 +91,9 @@ class Bpe:
             if got is None:
                 if len(self._fragments) >= self.room:
                     self._fragments.clear()
-                got = self._fragments[key] = self._merge(*key)
+                got = self._merge(*key)
+                if len(piece) <= 64:  # long ones hardly recur, and would fill the memory
+                    self._fragments[key] = got
             ids += got
         return tuple(ids)
 

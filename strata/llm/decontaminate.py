@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import kept_columns
+from .frames import kept_columns, release_memory
 from .textops import TO_WORDS, texts_of
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -258,6 +258,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, opt: Decontaminati
                     ],
                     names=["row", "text", "n_words", "spans", "items"],
                 )
+            del automaton
+            release_memory()
 
         return frame.mapInArrow(run, state_type)
 
@@ -312,6 +314,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, opt: DecontaminationOpt
                     texts[k] = cut_spans(texts[k].encode(), cut).decode("utf-8", "replace")
             cols = [pa.array(texts, type=pa.string()) if c == "text" else batch.column(c) for c in batch.schema.names]
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+        release_memory()
 
     clean = kept.mapInArrow(run, kept.schema)
     if "n_chars" in inner:

@@ -214,7 +214,7 @@ def _by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[pa
 
 
 # Entries of a working matrix: rows of a tile times columns.
-TILE = 1 << 21
+TILE = 1 << 19
 
 
 class Unit:
