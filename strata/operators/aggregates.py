@@ -204,6 +204,25 @@ def value_counts(
     return long.groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
+def value_distribution(df: DataFrame, columns: Sequence[str] | None = None, max_distinct: int = 50) -> DataFrame:
+    """A12, nothing left out in silence: (col, v, n, listed, distinct_approx).
+
+    Columns of up to ``max_distinct`` values (approximate count) have a row per
+    value with its count; each other column has one row with ``listed`` false
+    and null ``v`` and ``n``. One scan finds the columns, one counts.
+    """
+    cols = _countable(df, columns)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "col string, v string, n long, listed boolean, distinct_approx long")
+    row = distinct_counts(df, cols).first()
+    assert row is not None
+    found = [(c, int(row[f"distinct_{c}"])) for c in cols]
+    approx = df.sparkSession.createDataFrame(found, "col string, distinct_approx long")
+    counts = value_counts(df, [c for c, k in found if k <= max_distinct], None)
+    listed = F.col("distinct_approx") <= max_distinct
+    return approx.join(counts, "col", "left").select("col", "v", "n", listed.alias("listed"), "distinct_approx")
+
+
 def summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, nulls, min, max, mean, stddev per numeric column, one scan.
 

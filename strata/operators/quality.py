@@ -148,10 +148,10 @@ def classify(
     )
 
 
-def living_keys(df: DataFrame, contract: Contract) -> DataFrame:
+def living_keys(df: DataFrame, contract: Contract, earliest: str | None = None) -> DataFrame:
     """The distinct dedup keys of the rows that take part in the ranking:
     those that pass coercion and required rules (all, if duplicates are
-    ranked first)."""
+    ranked first). ``earliest`` names a column whose least value comes along."""
     first = [] if contract.dedup_before_required else [r for r in contract.all_rules() if r.kind == "required"]
     named = {r.column for r in first}
     first = [Rule.required(k) for k in contract.dedup_keys if k not in named] + first
@@ -159,6 +159,8 @@ def living_keys(df: DataFrame, contract: Contract) -> DataFrame:
     keys = [F.col(f"`{k}`") for k in contract.dedup_keys]
     ranked = classify(df, early)
     alive = F.lit(True) if contract.dedup_before_required else F.col(REASON).isNull()
+    if earliest is not None:
+        return ranked.where(alive).groupBy(*keys).agg(F.min(F.col(f"`{earliest}`")).alias(earliest))
     return ranked.where(alive).select(*keys).distinct()
 
 

@@ -492,6 +492,30 @@ def t3_keyed_state(spark: SparkSession, d: str) -> DataFrame:
     return kept.select(*own, F.lit("kept").alias("reason")).unionByName(quarantined.select(*own, F.col(REASON).alias("reason")))
 
 
+def t3_watermark_late(spark: SparkSession, d: str) -> DataFrame:
+    """Events streamed in spans of six days, with copies of rows of the
+    span before and of three spans before, under a watermark of four days."""
+    import datetime as dt
+
+    from strata.contract import Contract, Rule
+    from strata.streaming.files import bronze_stream
+    from strata.streaming.watermark import stream_silver_within
+
+    src, out, ck = scratch_dir(spark, "t3wsrc"), scratch_dir(spark, "t3wout"), scratch_dir(spark, "t3wck")
+    e = table(spark, d, "events").withColumn("span", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (6 * 86400)))
+    again = e.where("event_id % 7 = 0").withColumn("span", F.col("span") + 1)
+    old = e.where("event_id % 11 = 0").withColumn("span", F.col("span") + 3)
+    feed = e.unionByName(again).unionByName(old)
+    c = Contract("events", dedup_keys=["event_id"], dedup_order=["ts"], rules=[Rule.range("value", "0..30")])
+    for r in e.select("span").distinct().orderBy("span").collect():  # a few spans
+        feed.where(F.col("span") == r["span"]).write.mode("append").parquet(src)
+        b = bronze_stream(spark, src, feed.schema, fmt="parquet")
+        stream_silver_within(b, c, out, ck, event_time="ts", delay=dt.timedelta(days=4))
+    kept, quarantined = silver_outputs(spark, out)
+    own = ["event_id", "span", "user_id", "event_type", "value", "props"]
+    return kept.select(*own, F.lit("kept").alias("reason")).unionByName(quarantined.select(*own, F.col(REASON).alias("reason")))
+
+
 def t2_stream_rules(spark: SparkSession, d: str) -> DataFrame:
     """T2 without dedup: range and FK rules inside a plain streaming query."""
     from strata.contract import Contract, Rule
@@ -527,6 +551,7 @@ FILE_QUERIES: dict[str, Query] = {
     "t2_stream_silver": t2_stream_silver,
     "t2_stream_rules": t2_stream_rules,
     "t3_keyed_state": t3_keyed_state,
+    "t3_watermark_late": t3_watermark_late,
     "f7_from_file": f7_from_file,
     "w6_head": w6_head,
     "k10_retention": k10_retention,
@@ -560,6 +585,16 @@ FILE_ORACLE: dict[str, str] = {
     "t2_stream_silver": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN rn>1 THEN 'duplicate' WHEN NOT l_quantity BETWEEN 5 AND 45 THEN 'l_quantity failed validation' WHEN hit IS NULL THEN 'l_suppkey not in reference' ELSE 'kept' END AS reason FROM (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey,l_linenumber ORDER BY l_shipdate,l_partkey,l_suppkey) AS rn, s.s_suppkey AS hit FROM lineitem l LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal>=0) s ON l.l_suppkey=s.s_suppkey)) GROUP BY 1",
     "t2_stream_rules": "SELECT CASE WHEN NOT l_quantity BETWEEN 5 AND 45 THEN 'l_quantity failed validation' WHEN s.s_suppkey IS NULL THEN 'l_suppkey not in reference' ELSE 'kept' END AS reason, count(*) AS n FROM lineitem l LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal>=0) s ON l.l_suppkey=s.s_suppkey GROUP BY 1",
     "t3_keyed_state": "SELECT o_orderkey,o_custkey,o_totalprice,CASE WHEN rn>1 THEN 'duplicate' WHEN NOT o_totalprice BETWEEN 1000 AND 300000 THEN 'o_totalprice failed validation' ELSE 'kept' END AS reason FROM (SELECT *,row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate,o_orderkey) AS rn FROM orders)",
+    "t3_watermark_late": """WITH e AS (SELECT *, CAST(floor(epoch(ts) / 518400) AS BIGINT) AS span FROM events),
+        feed AS (SELECT *, true AS own FROM e
+            UNION ALL SELECT * REPLACE (span + 1 AS span), false FROM e WHERE event_id % 7 = 0
+            UNION ALL SELECT * REPLACE (span + 3 AS span), false FROM e WHERE event_id % 11 = 0),
+        high AS (SELECT span, max(max(ts)) OVER (ORDER BY span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 4 DAY AS line
+            FROM e GROUP BY span)
+        SELECT event_id, span, user_id, event_type, value, props,
+            CASE WHEN ts <= line THEN 'late arrival' WHEN NOT own THEN 'duplicate'
+                WHEN NOT value BETWEEN 0 AND 30 THEN 'value failed validation' ELSE 'kept' END AS reason
+        FROM feed JOIN high USING (span)""",
     "f7_from_file": "SELECT o_orderkey,o_totalprice FROM orders WHERE o_orderkey%2=1",
     "w6_head": "SELECT o_orderkey,o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 20",
     "w1_incremental_first": "SELECT l_orderkey,l_linenumber,l_partkey,l_suppkey,l_quantity,CASE WHEN rn>1 THEN 'duplicate' ELSE 'kept' END AS reason FROM (SELECT *,row_number() OVER (PARTITION BY l_orderkey,l_linenumber ORDER BY l_shipdate,l_partkey,l_suppkey) AS rn FROM lineitem)",
