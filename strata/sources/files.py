@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from strata.functions.columns import LINEAGE_COLUMNS
 from strata.operators.joins import file_lookup
 from strata.sources.dialect import Dialect, canonical_encoding
+from strata.sources.records import join_quoted_lines
 
 CORRUPT = "_corrupt_record"
 
@@ -56,7 +57,7 @@ def read_csv(
         if corrupt_column and CORRUPT not in schema.fieldNames():
             schema = schema.add(CORRUPT, T.StringType(), True)
     if dialect.preamble not in (0, None):
-        if dialect.multiline:
+        if dialect.multiline and _wide(dialect):
             return _read_whole_with_preamble(spark, path, dialect, schema, corrupt_column, source_column)
         return _read_with_preamble(spark, path, dialect, schema, corrupt_column, source_column)
     reader = spark.read.options(**dialect.options()).option("mode", "PERMISSIVE")
@@ -72,6 +73,11 @@ def read_csv(
     return df
 
 
+def _wide(dialect: Dialect) -> bool:
+    """Is the encoding one whose line breaks text scans can't find?"""
+    return canonical_encoding(dialect.encoding).upper().startswith(("UTF-16", "UTF-32"))
+
+
 def header_candidate(first_cell: Column) -> Column:
     """S4 rule: a header row's first cell is non-empty, not ``nan``, shorter
     than 60 characters and not all digits."""
@@ -112,22 +118,29 @@ def _read_with_preamble(
     aggregate, no window). Lines up to and including the header are
     dropped, the rest parsed with ``from_csv`` under their own file's
     header and mapped by name (see ``_by_header``). The title lines must
-    fit in the first split; quoted line breaks need ``multiline``.
+    fit in the first split. Quoted line breaks need ``multiline``: the lines
+    after the header are then joined into records (see ``records.py``), still
+    by many tasks per file.
 
     Lines of a file without a header row come out with null columns and
     their text in ``_corrupt_record``; without that column the query fails
     and names the file.
     """
     enc = canonical_encoding(dialect.encoding)
-    if enc.upper().startswith(("UTF-16", "UTF-32")):
+    if _wide(dialect):
         raise ValueError(f"title lines in {enc} files need multiline=True: text scans split at byte 0x0A")
-    raw = spark.read.text(path)
+    multi = dialect.multiline
+    # as the multi-line CSV reader does, a quoted CR LF is given as LF, a lone CR as it is
+    raw = (spark.read.option("lineSep", "\n") if multi else spark.read).text(path)
     lines = raw.select(
         (F.decode(F.col("value").cast("binary"), enc) if enc != "UTF-8" else F.col("value")).alias("_line"),
         F.col("_metadata.file_path").alias("_file"),
         (F.col("_metadata.file_block_start") == 0).alias("_first_split"),
         F.monotonically_increasing_id().alias("_mid"),
+        *([F.col("_metadata.file_block_start").alias("_split")] if multi else []),
     )
+    if multi:
+        lines = lines.withColumn("_line", F.regexp_replace("_line", "\r$", ""))
     first = lines.filter(F.col("_first_split"))
     if dialect.preamble == "auto":
         cand = first.filter(header_candidate(_first_cell(F.col("_line"), dialect)))
@@ -137,13 +150,18 @@ def _read_with_preamble(
         cand = cand.filter(F.col("_mid") >= F.col("_m0") + int(dialect.preamble))
     marks = cand.groupBy("_file").agg(F.min(F.struct("_mid", "_line")).alias("_h"))
     marks = marks.select("_file", F.col("_h._mid").alias("_hdr"), F.col("_h._line").alias("_header"))
+    if multi:  # records of such a file can't be told from its title lines
+        lost = [r["_file"] for r in first.select("_file").distinct().join(marks, "_file", "left_anti").limit(5).collect()]
+        if lost:
+            raise ValueError("no header row found in " + ", ".join(lost))
     headers = _distinct_headers(marks, "_header", path)
     # one row per file, so the lines of one big file are never gathered into one task
     tagged = file_lookup(lines, marks, "_file", "left", len(raw.inputFiles()))
     target = schema or _union_schema(headers, dialect, corrupt_column)
-    body = tagged.filter(
-        F.col("_hdr").isNull() | (~F.col("_first_split") | (F.col("_mid") > F.col("_hdr"))) & (F.trim(F.col("_line")) != "")
-    )
+    body = tagged.filter(F.col("_hdr").isNull() | ~F.col("_first_split") | (F.col("_mid") > F.col("_hdr")))
+    if multi:
+        body = join_quoted_lines(body.select("_line", "_file", "_split", "_mid", "_hdr", "_header"), dialect.quote or '"', "_line", "_file", "_split", "_mid")
+    body = body.filter(F.col("_hdr").isNull() | (F.trim(F.col("_line")) != ""))
     opts = {k: v for k, v in dialect.options().items() if k in ("sep", "quote", "escape", "nullValue", "dateFormat", "timestampFormat")}
     opts["mode"] = "PERMISSIVE"
     if corrupt_column:
@@ -209,9 +227,9 @@ def _read_whole_with_preamble(
     corrupt_column: bool,
     source_column: str | None,
 ) -> DataFrame:
-    """S3/S4 for files whose quoted fields hold line breaks.
+    """S3/S4 for UTF-16 and UTF-32 files whose quoted fields hold line breaks.
 
-    Such files cannot be split, so each is read whole (one task per file),
+    Text scans cannot split them, so each is read whole (one task per file),
     decoded from its bytes, and its title lines and header are cut off in
     Spark (a fixed count, or the header rule over the file's lines). The
     remaining records are staged as text in the shared scratch folder,
