@@ -150,7 +150,9 @@ def _read_with_preamble(
         cand = cand.filter(F.col("_mid") >= F.col("_m0") + int(dialect.preamble))
     marks = cand.groupBy("_file").agg(F.min(F.struct("_mid", "_line")).alias("_h"))
     marks = marks.select("_file", F.col("_h._mid").alias("_hdr"), F.col("_h._line").alias("_header"))
-    if multi:  # records of such a file can't be told from its title lines
+    if multi:
+        marks = marks.checkpoint()  # a narrow row per file, read by every step below
+        # records of a file without a header can't be told from its title lines
         lost = [r["_file"] for r in first.select("_file").distinct().join(marks, "_file", "left_anti").limit(5).collect()]
         if lost:
             raise ValueError("no header row found in " + ", ".join(lost))
