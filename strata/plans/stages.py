@@ -112,14 +112,21 @@ def run_bronze(
     schema: T.StructType | None = None,
     batch_id: str | None = None,
     ingestion_date: _dt.date | str | None = None,
+    listing: DataFrame | None = None,
 ) -> StageRun:
     """Bronze: new files only (manifest), lineage, append by date, audit.
 
+    ``listing`` takes the files to consider from elsewhere, such as
+    ``walk_files``, which also lists empty files (``no_empty_files`` can
+    find them only then: Spark's own listing leaves them out); ``source`` is
+    not listed then. The paths of the new files are held on the driver.
+
     Rows read are counted by an ``Observation`` on the write itself, so
     the source is scanned once.
     """
     bronze_path, manifest_path = f"{root}/bronze", f"{root}/manifest"
-    listing = list_files(spark, source)
+    if listing is None:
+        listing = list_files(spark, source)
     if K.path_exists(spark, manifest_path):
         todo = new_files(listing, spark.read.parquet(manifest_path))
     else:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.sources.files import _distinct_headers, _first_cell, _header_schema, _mapped, _split_header, _union_schema, header_candidate
+from strata.sources.files import _UNKNOWN_HEADER, _distinct_headers, _first_cell, _header_schema, _mapped, _split_header, _union_schema, header_candidate
 from strata.sources.dialect import Dialect, canonical_encoding
 
 # Member names skipped in every archive (macOS resource forks).
@@ -220,7 +220,8 @@ def read_zip_csv(
     The header is the first line of each member after ``dialect.preamble``
     title lines (or found by the header rule, "auto"); columns are mapped by
     each member's own header, as in ``read_csv``. A member without a header
-    row fails the query and is named.
+    row, or with one that shares no name with ``schema`` (unless
+    ``dialect.by_position``), fails the query and is named.
     """
     chosen = pick_members(list_members(spark, pattern), strategy, keywords)
     lines = read_zip_lines(spark, pattern, chosen, dialect.encoding)
@@ -239,9 +240,12 @@ def read_zip_csv(
     tagged = lines.repartition(parts).join(marks, ["archive", "member"], "left")
     body = tagged.filter(F.col("_hdr").isNull() | (F.col("line_no") > F.col("_hdr")) & (F.trim("line") != ""))
     opts = {"sep": dialect.sep, "quote": dialect.quote, "escape": dialect.escape, "mode": "PERMISSIVE"}
-    row = F.raise_error(F.concat(F.lit("no header row found in "), F.col("archive"), F.lit("!"), F.col("member"))).cast(target)
+    why = F.when(F.col("_hdr").isNull(), "no header row found in ").otherwise(_UNKNOWN_HEADER)
+    row = F.raise_error(F.concat(why, F.col("archive"), F.lit("!"), F.col("member"))).cast(target)
     for header in headers:
-        own = _header_schema(_split_header(header, dialect), target)
+        own = _header_schema(_split_header(header, dialect), target, dialect.by_position)
+        if own is None:
+            continue
         parsed = F.from_csv(F.col("line"), own.simpleString(), opts)
         row = F.when(F.col("_header") == header, F.struct(*_mapped(parsed, own, target))).otherwise(row)
     out = body.select(row.alias("_r"), "archive", F.element_at(F.split("member", "/"), -1).alias("source_file"))

@@ -46,7 +46,10 @@ class Dialect:
 
     ``preamble``: title lines above the header (an int), or ``"auto"`` to
     detect the header row per file (S4). ``multiline``: quoted fields may
-    hold line breaks (then each file is read by one task).
+    hold line breaks (then each file is read by one task). ``by_position``:
+    a header found below title lines that shares no name with the given
+    schema stands for it column by column; otherwise such a file's rows are
+    corrupt records, or fail the query.
     """
 
     sep: str = ","
@@ -59,6 +62,7 @@ class Dialect:
     null_value: str | None = None
     date_format: str | None = None
     timestamp_format: str | None = None
+    by_position: bool = False
 
     def options(self) -> dict[str, str]:
         opts = {

@@ -122,9 +122,10 @@ def _read_with_preamble(
     after the header are then joined into records (see ``records.py``), still
     by many tasks per file.
 
-    Lines of a file without a header row come out with null columns and
-    their text in ``_corrupt_record``; without that column the query fails
-    and names the file.
+    Lines of a file without a header row, or whose header shares no name
+    with ``schema`` (unless ``dialect.by_position``), come out with null
+    columns and their text in ``_corrupt_record``; without that column the
+    query fails and names the file.
     """
     enc = canonical_encoding(dialect.encoding)
     if _wide(dialect):
@@ -171,9 +172,12 @@ def _read_with_preamble(
     if corrupt_column:
         row = F.struct(*[(F.col("_line") if f.name == CORRUPT else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.fields])
     else:
-        row = F.raise_error(F.concat(F.lit("no header row found in "), F.col("_file"))).cast(target)
+        why = F.when(F.col("_hdr").isNull(), "no header row found in ").otherwise(_UNKNOWN_HEADER)
+        row = F.raise_error(F.concat(why, F.col("_file"))).cast(target)
     for header in headers:
-        own = _header_schema(_split_header(header, dialect), target)
+        own = _header_schema(_split_header(header, dialect), target, dialect.by_position)
+        if own is None:
+            continue
         parsed = F.from_csv(F.col("_line"), own.simpleString(), opts)
         row = F.when(F.col("_header") == header, F.struct(*_mapped(parsed, own, target))).otherwise(row)
     out = body.select(row.alias("_r"), F.col("_file"))
@@ -202,14 +206,17 @@ def _union_schema(headers: list[str], dialect: Dialect, corrupt_column: bool) ->
     return schema.add(CORRUPT, T.StringType(), True) if corrupt_column else schema
 
 
-def _header_schema(names: list[str], target: T.StructType) -> T.StructType:
+_UNKNOWN_HEADER = "the header row shares no column name with the schema in "
+
+
+def _header_schema(names: list[str], target: T.StructType, by_position: bool) -> T.StructType | None:
     """The schema to parse a file with this header: its own column order,
     the target's types; extra columns as text. A header that shares no name
-    with the target stands for it by position."""
+    with the target is the target's own ``by_position``, else None."""
     data = [f for f in target.fields if f.name != CORRUPT]
     by_name = {f.name: f.dataType for f in data}
     if not set(names) & set(by_name):
-        return target
+        return target if by_position else None
     own = T.StructType([T.StructField(n, by_name.get(n, T.StringType()), True) for n in names])
     return own.add(CORRUPT, T.StringType(), True) if CORRUPT in target.fieldNames() else own
 
@@ -268,12 +275,18 @@ def _read_whole_with_preamble(
         raise ValueError("no header row found in " + ", ".join(lost))
     headers = _distinct_headers(files, "_header", path)
     target = schema or _union_schema(headers, dialect, corrupt_column)
+    # a record of these files can't be given back as one line: they fail
+    unknown = [h for h in headers if _header_schema(_split_header(h, dialect), target, dialect.by_position) is None]
+    if unknown:
+        lost = files.where(F.col("_header").isin(unknown)).limit(5).collect()
+        raise ValueError(_UNKNOWN_HEADER + ", ".join(r["_file"] for r in lost))
     tmp = scratch_dir(spark, "whole-csv")
     number = F.array_position(F.array(*[F.lit(h) for h in headers]), F.col("_header")).cast("int")
     staged.where(F.col("value").isNotNull()).select("value", number.alias("_hid"), "_sid").write.partitionBy("_hid", "_sid").text(tmp)
     parts_read = []
     for k, header in enumerate(headers, 1):
-        own = _header_schema(_split_header(header, dialect), target)
+        own = _header_schema(_split_header(header, dialect), target, dialect.by_position)
+        assert own is not None
         reader = (
             spark.read.option("sep", dialect.sep)
             .option("quote", dialect.quote)
