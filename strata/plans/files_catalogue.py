@@ -25,6 +25,7 @@ from strata.sinks import layout as K
 from strata.sources import files as S
 from strata.sources.dialect import SEMICOLON_LATIN1, Dialect
 from strata.sources.payload import explode_payload, records_as_columns
+from strata.sources.walk import walk_files
 from strata.streaming.files import silver_outputs, stream_bronze, stream_silver
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,6 +198,26 @@ def s17_new_files(spark: SparkSession, d: str) -> DataFrame:
     return first.unionByName(S.new_files(listing, every).select(F.lit("after both").alias("state"), folder, "name"))
 
 
+def s16_walk_new_files(spark: SparkSession, d: str) -> DataFrame:
+    """A file per order month and priority, in folders listed by
+    tasks; the files of two priorities are recorded, the others are new.
+    Rows find their file in the listing by their lineage path."""
+    path, known = scratch_dir(spark, "s16w"), scratch_dir(spark, "s16m")
+    o = table(spark, d, "orders").withColumns(
+        {"month": F.date_format("o_orderdate", "yyyy-MM"), "level": F.substring("o_orderpriority", 1, 1)}
+    )
+    o.repartition("month", "level").write.partitionBy("month", "level").csv(path)
+    walked = walk_files(spark, path)
+    seen = walked.where(F.col("path").rlike("/level=[12]/")).select(*[F.col(a).alias(b) for a, b in zip(S.LISTED, S.RECORDED)])
+    seen.write.parquet(known)
+    new = S.new_files(walked, spark.read.parquet(known)).select("source_path", F.lit(1).alias("new"))
+    rows = S.read_text(spark, path, source_column="f").groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+    files = walked.join(new, "source_path", "left").join(rows, F.col("source_path") == F.col("f"), "left")
+    return files.groupBy(F.regexp_extract("path", "/month=([^/]+)/", 1).alias("month")).agg(
+        F.count(F.lit(1)).alias("files"), F.count("new").alias("new_files"), F.sum("n").alias("rows")
+    )
+
+
 def s3_headers_per_file(spark: SparkSession, d: str) -> DataFrame:
     """Files with their columns in another order and one more column
     are mapped by their own header; a file without a header row keeps its
@@ -538,6 +559,7 @@ FILE_QUERIES: dict[str, Query] = {
     "s6_payload_unwrap": s6_payload_unwrap,
     "s9_dir_source_file": s9_dir_source_file,
     "s13_binary_listing": s13_binary_listing,
+    "s16_walk_new_files": s16_walk_new_files,
     "s17_new_files": s17_new_files,
     "s20_corrupt_capture": s20_corrupt_capture,
     "s3_headers_per_file": s3_headers_per_file,
@@ -572,6 +594,7 @@ FILE_ORACLE: dict[str, str] = {
     "s6_payload_unwrap": "SELECT c_custkey,c_name,c_acctbal FROM customer",
     "s9_dir_source_file": "SELECT o_orderkey,CASE WHEN o_orderkey%2=0 THEN 'a' ELSE 'b' END||'/data.csv' AS source FROM orders",
     "s13_binary_listing": "SELECT CASE WHEN o_orderkey%2=0 THEN 'a' ELSE 'b' END AS folder,'data.csv' AS name,true AS sized,count(*) AS rows FROM orders GROUP BY 1",
+    "s16_walk_new_files": "SELECT strftime(o_orderdate,'%Y-%m') AS month,count(DISTINCT substr(o_orderpriority,1,1)) AS files,count(DISTINCT substr(o_orderpriority,1,1)) FILTER (substr(o_orderpriority,1,1) NOT IN ('1','2')) AS new_files,count(*) AS rows FROM orders GROUP BY 1",
     "s17_new_files": "SELECT DISTINCT 'after a' AS state,'b' AS folder,'data.csv' AS name FROM orders WHERE o_orderkey%2=1",
     "s3_headers_per_file": "SELECT o_orderkey,CASE WHEN o_orderkey%3<2 THEN o_orderstatus END AS o_orderstatus,CASE WHEN o_orderkey%3<2 THEN o_totalprice END AS o_totalprice,o_orderkey%3=2 AS corrupt FROM orders",
     "s20_corrupt_capture": "SELECT o_orderkey,CASE WHEN o_orderkey%10=0 THEN NULL ELSE o_totalprice END AS o_totalprice,o_orderkey%10=0 AS corrupt FROM orders",
