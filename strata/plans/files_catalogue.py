@@ -239,11 +239,10 @@ def s3_headers_per_file(spark: SparkSession, d: str) -> DataFrame:
 def s20_corrupt_capture(spark: SparkSession, d: str) -> DataFrame:
     """Malformed values survive Bronze in ``_corrupt_record``."""
     path = scratch_dir(spark, "s20")
-    o = table(spark, d, "orders")
+    o = _orders_for_text(spark, d)
     price = F.when(F.col("o_orderkey") % 10 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string"))
-    K.write_csv(o.select("o_orderkey", price.alias("o_totalprice")), path, Dialect())
-    schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_totalprice", T.DoubleType())])
-    df = S.read_csv(spark, path, Dialect(), schema, corrupt_column=True)
+    K.write_csv(o.withColumn("o_totalprice", price), path, Dialect())
+    df = S.read_csv(spark, path, Dialect(), ORDER_SCHEMA, corrupt_column=True)
     return df.select("o_orderkey", "o_totalprice", F.col(S.CORRUPT).isNotNull().alias("corrupt"))
 
 
@@ -369,7 +368,7 @@ def w1_incremental_first(spark: SparkSession, d: str) -> DataFrame:
 def k10_retention(spark: SparkSession, d: str) -> DataFrame:
     """Two daily Bronze batches; the older partition is dropped."""
     path = scratch_dir(spark, "k10")
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    li = table(spark, d, "lineitem")
     K.write_bronze(with_lineage(li, "b-old", "2024-01-01", "old.csv"), path)
     K.write_bronze(with_lineage(li, "b-new", "2024-01-02", "new.csv"), path)
     K.drop_partitions(spark, path, "2024-01-02")
