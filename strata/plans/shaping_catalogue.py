@@ -239,15 +239,40 @@ def r6_audit_table(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _one_file_each(spark: SparkSession, df: DataFrame, path: str, column: str) -> None:
+    """Write ``df`` as Parquet with one file per value of ``column``.
+
+    The rows are first written by value, compressed well, by all tasks of the
+    scan; a file is then written by one task, but that reads the rows of its
+    value only, and none are sorted."""
+    parts = scratch_dir(spark, "by-value")
+    df.write.partitionBy(column).option("compression", "zstd").parquet(parts)
+    reader = spark.read.schema(df.schema).option("basePath", parts)
+    for folder in sorted(n for n in K.list_dir(spark, parts) if n.startswith(f"{column}=")):
+        reader.parquet(f"{parts}/{folder}").coalesce(1).write.mode("append").partitionBy(column).parquet(path)
+    if not K.path_exists(spark, path):
+        df.limit(0).write.partitionBy(column).parquet(path)
+
+
+def content_bytes(spark: SparkSession, root: str) -> DataFrame:
+    """(path, bytes) of JSON lines and Parquet files, by reading what is in
+    them: cut at line breaks, so many tasks read one file and no file is ever
+    one value. Each cut is a byte; a JSON-lines file ends with one, a Parquet
+    file with its magic number."""
+    read = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(root)
+    own = read.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.sum(F.octet_length("value") + F.lit(1).cast("long")).alias("b"))
+    return own.select("path", (F.col("b") - F.col("path").endswith(".parquet").cast("long")).alias("bytes"))
+
+
 def r7_storage(spark: SparkSession, d: str) -> DataFrame:
     """Files and bytes per stored table, of two formats; bytes are those
     of the files' contents."""
     root = scratch_dir(spark, "r7")
     table(spark, d, "orders").coalesce(1).write.json(f"{root}/orders")
-    table(spark, d, "lineitem").coalesce(1).write.partitionBy("l_returnflag").parquet(f"{root}/lineitem")
+    _one_file_each(spark, table(spark, d, "lineitem"), f"{root}/lineitem", "l_returnflag")
     sized = R.storage(spark, {"orders": f"{root}/orders", "lineitem": f"{root}/lineitem"})
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    own = read.groupBy(F.when(F.col("path").contains("/orders/"), "orders").otherwise("lineitem").alias("t")).agg(F.sum(F.length("content")).alias("b"))
+    read = content_bytes(spark, root)
+    own = read.groupBy(F.when(F.col("path").contains("/orders/"), "orders").otherwise("lineitem").alias("t")).agg(F.sum("bytes").alias("b"))
     return sized.join(own, F.col("table") == F.col("t")).select("table", "files", (F.col("bytes") == F.col("b")).alias("sized"))
 
 
