@@ -476,19 +476,19 @@ def t1_stream_bronze(spark: SparkSession, d: str) -> DataFrame:
 def t2_stream_silver(spark: SparkSession, d: str) -> DataFrame:
     """Epochs classified one by one; duplicates found across epochs.
 
-    The files follow the dedup order and are written one after another, so
-    the stream's outcomes are those of the batch classifier."""
+    The pairs of years follow the dedup order. Each is written by all tasks of
+    the scan and then streamed as one epoch, so the stream's outcomes are those
+    of the batch classifier."""
     from strata.streaming.files import bronze_stream
 
-    src = scratch_dir(spark, "t2src")
+    src, out, ck = scratch_dir(spark, "t2src"), scratch_dir(spark, "t2out"), scratch_dir(spark, "t2ck")
     li = table(spark, d, "lineitem").select(*LINE_SCHEMA.fieldNames())
+    contract = lineitem_contract(spark, d)
     pair = F.floor(F.year("l_shipdate") / 2)
     for r in li.select(pair.alias("p")).distinct().orderBy("p").collect():  # a few pairs of years, null first
-        own = li.where(pair.eqNullSafe(F.lit(r["p"]).cast("bigint"))).coalesce(1)
+        own = li.where(pair.eqNullSafe(F.lit(r["p"]).cast("bigint")))
         own.write.mode("append").option("header", "true").csv(src)
-    out, ck = scratch_dir(spark, "t2out"), scratch_dir(spark, "t2ck")
-    b = bronze_stream(spark, src, LINE_SCHEMA, Dialect(), max_files_per_trigger=1)
-    stream_silver(b, lineitem_contract(spark, d), out, ck)
+        stream_silver(bronze_stream(spark, src, LINE_SCHEMA, Dialect()), contract, out, ck)
     kept, quarantined = silver_outputs(spark, out)
     both = quarantined.select(REASON).unionByName(kept.select(F.lit(None).cast("string").alias(REASON)))
     return outcome_counts(both)
