@@ -84,10 +84,11 @@ def dealt(df: DataFrame, files: int = 4) -> DataFrame:
 
 
 def write_with_titles(df: DataFrame, path: str, dialect: Dialect, titles: list[str], files: int = 4) -> None:
-    """Write ``df`` as delimited text, each file starting with ``titles`` and a header."""
+    """Write ``df`` as delimited text, ``files`` files or more (see ``dealt``),
+    each starting with ``titles`` and a header."""
     header = dialect.sep.join(df.columns)
     opts = {"sep": dialect.sep, "quote": dialect.quote, "escape": dialect.escape}
-    lines = df.repartition(files).select(F.to_csv(F.struct(*df.columns), opts).alias("value"))
+    lines = dealt(df, files).select(F.to_csv(F.struct(*df.columns), opts).alias("value"))
     block = list(titles) + [header]
 
     def prepend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
