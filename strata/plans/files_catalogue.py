@@ -469,7 +469,7 @@ def e2e_lineitem_layers(spark: SparkSession, d: str) -> DataFrame:
 def _line_files(spark: SparkSession, d: str, files: int = 4) -> str:
     path = scratch_dir(spark, "lines")
     li = table(spark, d, "lineitem").select(*LINE_SCHEMA.fieldNames())
-    K.write_csv(li.repartition(files), path, Dialect())
+    K.write_csv(dealt(li, files), path, Dialect())
     return path
 
 
