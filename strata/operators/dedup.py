@@ -135,10 +135,11 @@ def flag_first(
     winners = (
         b.where("_alive")
         .groupBy(*[F.col(f"`{k}`").alias(f"_wk{i}") for i, k in enumerate(keys)])
-        .agg(F.min(place).alias("_win"))
+        .agg(F.min(place)["_orid"].alias("_win"))
     )
+    # the row id alone tells the winner, so order and hash stay out of the join
     on = null_safe_on([(b[f"`{k}`"], winners[f"_wk{i}"]) for i, k in enumerate(keys)])
-    first = F.when(F.col("_alive"), place == F.col("_win"))
+    first = F.when(F.col("_alive"), F.col("_rid") == F.col("_win"))
     joined = b.join(winners, on, "left").withColumn(out, first)
     own = [F.col(f"`{c}`") for c in names]
     if rid is not None:

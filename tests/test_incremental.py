@@ -58,3 +58,34 @@ def test_stored_rows_are_not_shuffled(spark, tmp_dir):
     scans = [(line, shuffled) for line, shuffled in _leaves(plan) if "Bucketed: true" in line]
     assert scans and not any(shuffled for _, shuffled in scans), plan
     spark.sql(f"DROP TABLE {table}")
+
+
+def test_batch_is_ranked_and_shuffled_once(spark, tmp_dir, monkeypatch):
+    from strata.operators import incremental as I
+
+    plans = []
+    real = I._judge_ranked
+
+    def noted(flagged, *args):
+        plans.append(flagged._jdf.queryExecution().executedPlan().toString())
+        return real(flagged, *args)
+
+    monkeypatch.setattr(I, "_judge_ranked", noted)
+    table = "strata_first_once"
+    for e, part in enumerate([[("a", 1, 1), ("b", 2, 2)], [("a", 0, 3), ("a", 5, 4), ("c", 1, 5)]]):
+        merge_first(spark.createDataFrame(part, ROWS), f"b{e}", table, f"{tmp_dir}/w", f"{tmp_dir}/q", ["k"], ["d"], f"{tmp_dir}/s{e}")
+    # with stored rows, first and later rows of the batch come from one stored ranking
+    assert "FileScan" in plans[-1] and "Exchange" not in plans[-1]
+    assert sorted(winners(spark, table, ["k"], ["d"]).collect()) == [("a", 0, 3), ("b", 2, 2), ("c", 1, 5)]
+    assert sorted(r["v"] for r in spark.read.parquet(f"{tmp_dir}/q").collect()) == [1, 4]
+    spark.sql(f"DROP TABLE {table}")
+
+
+def test_join_to_the_winners_carries_no_order_or_hash(spark, tmp_dir):
+    from strata.operators.dedup import flag_first
+
+    spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("b", 0, 3)], ROWS).write.parquet(f"{tmp_dir}/t")
+    df = flag_first(spark.read.parquet(f"{tmp_dir}/t"), ["k"], ["d"])
+    joined = next(line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "_win" in line and "Aggregate" in line)
+    assert "min(" in joined and "._orid AS _win" in joined
+    assert sorted(r["k"] for r in df.where("_is_first").collect()) == ["a", "b"]
